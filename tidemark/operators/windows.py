@@ -118,3 +118,58 @@ def ranked(
         .withColumn(name, F.col("_off") + F.col("_rn"))
         .drop("_b", "_eq", "_s", "_off", "_rn")
     )
+
+
+def chunked_lag(
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], columns: dict[str, str]
+) -> DataFrame:
+    """`lag` over (keys ordered by chunk, order) without one task per key: {source column: output name}.
+
+    The first row of a chunk takes the last row of the previous non-empty chunk.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys, chunk).orderBy(*order)
+    carried = Window.partitionBy(*keys).orderBy(chunk)
+    last = df.groupBy(*keys, chunk).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end"))
+    prev = last.select(*keys, chunk, F.lag("_end").over(carried).alias("_prev"))
+    local = df.select("*", F.row_number().over(w).alias("_rn"), F.lag(F.struct(*columns)).over(w).alias("_lag"))
+    source = F.when(F.col("_rn") == 1, F.col("_prev")).otherwise(F.col("_lag"))
+    return local.join(prev, [*keys, chunk]).select(
+        *df.columns, *[source[c].alias(out) for c, out in columns.items()]
+    )
+
+
+def chunked_running_sum(
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], columns: dict[str, str]
+) -> DataFrame:
+    """Running sums over (keys ordered by chunk, order): {source column: output name}."""
+    w = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = running_offsets(df, keys, chunk, {c: F.sum(c) for c in columns})
+    local = df.select("*", *[F.sum(c).over(w).alias(f"_run_{c}") for c in columns])
+    return local.join(offsets, [*keys, chunk]).select(
+        *df.columns, *[(F.col(f"_run_{c}") + F.col(f"{c}_before")).alias(out) for c, out in columns.items()]
+    )
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, fresh, out_schema: str) -> DataFrame:
+    """Sequential rule per key in constant memory: rows arrive sorted, `step(state, row) -> tuple` may change state.
+
+    Each key's rows lie in one sorted partition and stream through in Arrow batches, so memory does not depend on
+    the size of a key. Only for rules whose next result depends on the results before.
+    """
+    keys = list(keys)
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, state = key, fresh()
+                out.append(step(state, row))
+            yield pdf.assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
+
+    names = [part.strip().split(" ")[0] for part in out_schema.split(",")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + out_schema
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
