@@ -228,7 +228,7 @@ def _(spark, sf):
 @query(
     "weighted_blend",
     ENS + """, x AS (SELECT *, CASE WHEN component <> 5 THEN q / 50 END AS pr FROM f), b AS (SELECT obs_id, sum(weight * pr) AS bl, sum(weight * t) FILTER (pr IS NOT NULL) AS u, count(pr) AS n, count(*) - count(pr) AS miss FROM x GROUP BY 1),
-      z AS (SELECT b.obs_id, any_value(bl) AS bl, any_value(u) AS u, any_value(miss) AS miss, CASE WHEN any_value(n) <= 1 THEN 0 ELSE sum(weight * (pr - bl) ** 2) FILTER (pr IS NOT NULL) END AS dis FROM b JOIN x USING (obs_id) GROUP BY 1)
+      z AS (SELECT b.obs_id, any_value(bl) AS bl, any_value(u) AS u, any_value(miss) AS miss, CASE WHEN any_value(b.n) <= 1 THEN 0 ELSE sum(weight * (pr - bl) ** 2) FILTER (pr IS NOT NULL) END AS dis FROM b JOIN x USING (obs_id) GROUP BY 1)
       SELECT obs_id, round(bl, 6) AS prediction, round(dis, 6) AS disagreement, round(least(1, 0.4 * u + 0.3 * sqrt(dis) + 0.02 * miss), 5) AS composite FROM z WHERE bl IS NOT NULL""",
 )
 def _(spark, sf):
@@ -243,14 +243,14 @@ def _(spark, sf):
     """WITH p AS (SELECT l_orderkey AS obs_id, l_linenumber % 3 AS regime, sum(l_quantity) AS p, avg(l_discount) AS pred FROM lineitem GROUP BY ALL), s AS (SELECT * FROM (VALUES (0, 60.0), (1, 25.0), (2, 10.0)) t(regime, sessions)),
        g AS (SELECT obs_id, avg(pred) AS g FROM p GROUP BY 1), x AS (SELECT p.obs_id, p, CASE WHEN sessions >= 20 THEN sessions / (sessions + 40) ELSE 0 END AS w, pred, g FROM p JOIN s USING (regime) JOIN g USING (obs_id)),
        y AS (SELECT *, w * pred + (1 - w) * g AS sx FROM x), m AS (SELECT obs_id, sum(p * sx) / sum(p) AS mu FROM y GROUP BY 1)
-       SELECT y.obs_id, round(any_value(mu), 6) AS prediction, round(sum(p * (sx - mu) ** 2) / sum(p), 6) AS disagreement FROM y JOIN m USING (obs_id) GROUP BY 1""",
+       SELECT y.obs_id, round(any_value(mu), 6) AS prediction, round(sum(p * (sx - mu) ** 2) / sum(p), 8) AS disagreement FROM y JOIN m USING (obs_id) GROUP BY 1""",
 )
 def _(spark, sf):
     li = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("obs_id"), (F.col("l_linenumber") % 3).alias("regime")).agg(F.sum("l_quantity").alias("p"), F.avg("l_discount").alias("pred"))
     support = spark.createDataFrame([(0, 60.0), (1, 25.0), (2, 10.0)], "regime int, sessions double")
     g = li.groupBy("obs_id").agg(F.avg("pred").alias("g"))
     m = M.mixture_of_experts(li.select("obs_id", "regime", "pred"), li.select("obs_id", "regime", "p"), support, g)
-    return m.select("obs_id", r6("prediction", "prediction"), r6("disagreement", "disagreement"))
+    return m.select("obs_id", r6("prediction", "prediction"), F.round("disagreement", 8).alias("disagreement"))
 
 
 @query("ood_score")

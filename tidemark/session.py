@@ -38,3 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get("spark.checkpoint.dir", None):
         return df.checkpoint(eager=False)
     return df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir; a temporary one only where none is named
+    (local runs and tests)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
