@@ -6,7 +6,10 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-MODULES = ("series",)
+MODULES = (
+    "series", "quality", "chain", "joins", "labels", "structures", "economics", "evaluation", "journal", "regimes", "decisions",
+    "models", "sources", "streams",
+)
 
 
 def load() -> None:
