@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.exprs import epoch
 from tidemark.operators.bars import OPEN_MINUTE
@@ -96,72 +98,52 @@ def settle_closed_sessions(snapshots: DataFrame, settle: Callable[[DataFrame], D
 
 
 # -- keyed state: rolling rank and robust score ----------------------------------------------------------------------
-def _value_state() -> T.StructType:
-    return T.StructType([T.StructField("t", T.DoubleType()), T.StructField("v", T.DoubleType())])
+STATE = "t array<double>, v array<double>"
 
 
 def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 10.0, max_entries: int = 5000, min_samples: int = 30) -> DataFrame:
     """Rank of |net_gex| among the key's prints of the last ten days (newest 5000), .5 until warm; survives restarts
-    with the checkpoint. Twin of the batch `gex_rank`. Columns: key, ts, net_gex."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    with the checkpoint. Twin of the batch `gex_rank`. Columns: key, ts, net_gex.
 
+    The state of a key is its kept prints, at most 5000 numbers, whatever the stream's length.
+    """
     age = max_age_days * 86_400.0
 
-    class Rank(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.kept = handle.getListState("kept", _value_state(), int(age * 1000))
-
-        def handleInputRows(self, k: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-            held = [tuple(r) for r in self.kept.get()]
-            fresh = pd.concat(list(rows)).sort_values("ts")
-            out = []
-            for ts, gex in zip(fresh["ts"], fresh["net_gex"], strict=True):
-                now, mag = pd.Timestamp(ts).timestamp(), abs(float(gex))
-                held.append((now, mag))
-                held = [h for h in held if h[0] >= now - age][-max_entries:]
-                n = len(held)
-                rank = 0.5 if n < min_samples else sum(1 for h in held if h[1] < mag) / n
-                out.append((k[0], ts, n, rank))
-            self.kept.put(held)
-            yield pd.DataFrame(out, columns=[key, "ts", "n", "pct_rank"])
-
-        def close(self) -> None:
-            pass
+    def rank(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        fresh = pd.concat(list(frames)).sort_values("ts")
+        out = []
+        for ts, gex in zip(fresh["ts"], fresh["net_gex"], strict=True):
+            now, mag = ts.timestamp(), abs(float(gex))
+            held.append((now, mag))
+            held = [h for h in held if h[0] >= now - age][-max_entries:]
+            n = len(held)
+            out.append((k[0], ts, n, 0.5 if n < min_samples else sum(h[1] < mag for h in held) / n))
+        state.update(([h[0] for h in held], [h[1] for h in held]))
+        yield pd.DataFrame(out, columns=[key, "ts", "n", "pct_rank"])
 
     schema = f"{key} string, ts timestamp, n int, pct_rank double"
-    return prints.groupBy(key).transformWithStateInPandas(Rank(), schema, "Append", "ProcessingTime")
+    return prints.groupBy(key).applyInPandasWithState(rank, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def robust_stream(values: DataFrame, key: str = "symbol", window: int = 500, min_samples: int = 20) -> DataFrame:
     """Robust z-score of each value against the key's earlier ones (newest 500). Twin of the batch `robust_zscore`.
     Columns: key, ts, value."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Score(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.kept = handle.getListState("kept", _value_state())
-
-        def handleInputRows(self, k: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-            import numpy as np
-
-            held = [tuple(r) for r in self.kept.get()]
-            fresh = pd.concat(list(rows)).sort_values("ts")
-            out = []
-            for ts, value in zip(fresh["ts"], fresh["value"], strict=True):
-                score = None
-                if len(held) >= min_samples:
-                    past = np.array([h[1] for h in held])
-                    med = float(np.median(past))
-                    mad = float(np.median(np.abs(past - med)))
-                    score = (float(value) - med) / (1.4826 * mad) if mad > 0 else 0.0
-                held = [*held, (pd.Timestamp(ts).timestamp(), float(value))][-window:]
-                out.append((k[0], ts, score))
-            self.kept.put(held)
-            yield pd.DataFrame(out, columns=[key, "ts", "robust_z"])
-
-        def close(self) -> None:
-            pass
-
-    return values.groupBy(key).transformWithStateInPandas(Score(), f"{key} string, ts timestamp, robust_z double", "Append", "ProcessingTime")
+
+    def score(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, past = (list(x) for x in state.get) if state.exists else ([], [])
+        fresh = pd.concat(list(frames)).sort_values("ts")
+        out = []
+        for ts, value in zip(fresh["ts"], fresh["value"], strict=True):
+            z = None
+            if len(past) >= min_samples:
+                med = float(np.median(past))
+                mad = float(np.median(np.abs(np.asarray(past) - med)))
+                z = (float(value) - med) / (1.4826 * mad) if mad > 0 else 0.0
+            times, past = [*times, ts.timestamp()][-window:], [*past, float(value)][-window:]
+            out.append((k[0], ts, z))
+        state.update((times, past))
+        yield pd.DataFrame(out, columns=[key, "ts", "robust_z"])
+
+    schema = f"{key} string, ts timestamp, robust_z double"
+    return values.groupBy(key).applyInPandasWithState(score, schema, STATE, "append", GroupStateTimeout.NoTimeout)
