@@ -15,6 +15,6 @@ def spark():
     from tidemark.session import local_session
 
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    session = local_session("8", "tests", **{"spark.local.dir": folder, "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"{folder}/shared"})
+    session = local_session("8", "tests", **{"spark.local.dir": folder, "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": f"{folder}/shared"})
     yield session
     session.stop()

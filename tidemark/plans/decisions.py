@@ -304,7 +304,7 @@ def _(spark, sf):
 @query(
     "curriculum_weights",
     """WITH s AS (SELECT p_brand AS archetype, CASE WHEN max(p_partkey) % 5 <> 0 THEN count(*) / 10.0 - 5 END AS w FROM part GROUP BY 1)
-       SELECT archetype, round(CASE WHEN w > 0 THEN w ELSE avg(w) FILTER (w > 0) OVER () END, 6) AS weight FROM s""",
+       SELECT archetype, round(CASE WHEN w > 0 THEN w ELSE coalesce(avg(w) FILTER (w > 0) OVER (), 1.0) END, 6) AS weight FROM s""",
 )
 def _(spark, sf):
     g = A.table(spark, sf, "part").groupBy(F.col("p_brand").alias("archetype")).agg(F.count(F.lit(1)).alias("n"), F.max("p_partkey").alias("k"))

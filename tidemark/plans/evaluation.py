@@ -119,11 +119,11 @@ def by_archetype(spark, sf):
 
 @query(
     "archetype_matrix",
-    ARCH + " SELECT archetype, n_universes, trades, round(mean, 4) AS mean_session_pnl, round(swr, 6) AS session_win_rate, round(dh, 6) AS dir_hit, n_sessions FROM x",
+    ARCH + " SELECT archetype, n_universes, trades, round(mean, 6) AS mean_session_pnl, round(swr, 6) AS session_win_rate, round(dh, 6) AS dir_hit, n_sessions FROM x",
 )
 def _(spark, sf):
     return E.archetype_matrix(by_archetype(spark, sf)).select(
-        "archetype", "n_universes", "trades", F.round("mean_session_pnl", 4).alias("mean_session_pnl"),
+        "archetype", "n_universes", "trades", "mean_session_pnl",
         r6("session_win_rate", "session_win_rate"), r6("dir_hit", "dir_hit"), "n_sessions",
     )
 

@@ -29,7 +29,7 @@ def snapshot_lines(spark, sf):
     )
     feed = F.struct(F.col("l_returnflag").alias("component"), F.when(F.col("l_linestatus") == "O", "LIVE").otherwise("STALE").alias("status"), F.col("l_tax").alias("age_seconds"))
     arrays = li.groupBy("l_orderkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", quote.alias("x"), bar.alias("b"), feed.alias("f")))), lambda r: r).alias("rows")
+        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", quote.alias("x"), bar.alias("b"), feed.alias("f")))), lambda r: r).alias("rows")
     )
     o = A.table(spark, sf, "orders").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"))
     day = F.col("o_orderdate").cast("timestamp")
@@ -64,7 +64,7 @@ def _(spark, sf):
     return bad.select("o_orderkey", F.array_join("missing", ",").alias("missing"))
 
 
-LINES = f"FROM (SELECT lineitem.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE {GOOD}"
+LINES = f"FROM (SELECT lineitem.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE {GOOD}"
 
 
 @query(
