@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,28 @@ def batches(it: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFram
     for frame in it:
         for at in range(0, len(frame), rows):
             yield frame.iloc[at:at + rows]
+
+
+class BitFilter:
+    """A set of 64-bit hashes in a bit table of bounded size. A hash that was put in is always found; another one may be,
+    which costs work and no result."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
+        cells = self.table.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)]
+        return ((cells >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def bit_filter(hashes: DataFrame, col: str, least: int = 20, most: int = 28) -> BitFilter:
+    """Filter of a long column: 16 bits a row, from 2^least to 2^most bits (32 MB). Set in Spark, 64 bits to a row; at most
+    2^(most - 6) rows come to the driver."""
+    bits = max(least, min(most, max(1, hashes.count() * 16).bit_length()))
+    slot = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    cells = hashes.groupBy(F.shiftrightunsigned(slot, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)
+    table[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64)
+    return BitFilter(table, bits)

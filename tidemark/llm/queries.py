@@ -64,3 +64,71 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return best_fit(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-pass external shuffle under the law `rows`."""
+    from tidemark.llm.sharding import shard
+
+    out = shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_substrings")
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix automata over shards of shared passages."""
+    from tidemark.llm.substrings import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_search", sql="""
+WITH base AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM base q JOIN base c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+WHERE rank <= 5
+""")
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MaxScore over shards of integer vectors."""
+    from tidemark.llm.topk import search
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.filter(F.col("vec_id") % 50 == 0)).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op2_embeddings")
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NN-descent near duplicates of vectors."""
+    from tidemark.llm.neighbours import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op1_jaccard")
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix-tree join of word 5-gram sets at 75 percent Jaccard similarity."""
+    from tidemark.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bidirectional gated recurrent network over bytes."""
+    from tidemark.llm.language import fit_language, predict_language
+
+    docs = read(spark, sf_dir, "documents")
+    net = fit_language(docs.select("doc_id", "text", "lang"))
+    return predict_language(docs.select("doc_id", "text"), net).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
