@@ -61,8 +61,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return side.join(F.broadcast(picked), "__id").select("text", F.col("__y").cast("int").alias("y"))
 
 
-def batches(it: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
-    """The frames in pieces of at most `rows` rows."""
+def parts(it: Iterator[pd.Series], rows: int = 128) -> Iterator[pd.Series]:
+    """The series of a pandas UDF in pieces, so that results leave the worker before the whole batch is done."""
+    for series in it:
+        for at in range(0, len(series), rows):
+            yield series.iloc[at:at + rows]
+
+
+def frames(it: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The frames of mapInPandas in pieces, for results that are larger than their rows."""
     for frame in it:
         for at in range(0, len(frame), rows):
             yield frame.iloc[at:at + rows]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tidemark.llm.common import bit_filter, fresh, text_bytes, written
+from tidemark.llm.common import bit_filter, frames, fresh, text_bytes, written
 from tidemark.llm.graph import components
 from tidemark.llm.substrings import gram_hashes
 
@@ -166,7 +166,7 @@ def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFram
     classes = spark.sparkContext.broadcast(frequency_classes(texts, total))
 
     def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             out = [np.zeros(0, np.uint64)]
             for t in frame["raw"]:
                 s = shingles(bytes(t))
@@ -177,7 +177,7 @@ def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFram
     shared = spark.sparkContext.broadcast(bit_filter(often, "key"))
 
     def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             cols: dict[str, list] = {c: [] for c in ("key", "sid", "n", "at")}
             for t in frame["raw"]:
                 s = shingles(bytes(t))
@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int)
     wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(names.select(F.xxhash64("sid").alias("h")), "h"))
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             ids, data = [], []
             for t in frame["raw"]:
                 s = shingles(bytes(t))

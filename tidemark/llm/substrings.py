@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import bit_filter, fresh, text_bytes, written
+from tidemark.llm.common import bit_filter, frames, fresh, text_bytes, written
 
 LENGTH = 35
 GRAM = 8
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     plain = docs.select(*key, text_bytes(F.col(text_col)).alias(raw))
 
     def anchors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             found = [owners(bytes(t).split(), length, gram)[0] for t in frame[raw]]
             yield pd.DataFrame({"fp": np.concatenate(found) if found else np.zeros(0, np.int64)})
 
@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     def stretches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = filter_.value
-        for frame in it:
+        for frame in frames(it):
             cols: dict[str, list] = {c: [] for c in (k1, k2, "fp", "first", "windows", "hash", "stretch")}
             for a, b, t in zip(frame[k1], frame[k2], frame[raw]):
                 words = bytes(t).split()
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     by_shard = few.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(automaton, "fp long, hash long, mask long")
 
     def windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             for fp, h, times, s in zip(frame["fp"], frame["hash"], frame["times"], frame["stretch"]):
                 words = bytes(s).split()
                 n = len(words) - length + 1

@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, text_bytes, written
+from tidemark.llm.common import fresh, parts, text_bytes, written
 
 SEGMENT = 50_000  # characters of a row that is encoded in one go
 LEAF = 4_000  # characters of an unsplit stretch that is encoded in one go
-CACHED = 1_000_000  # words whose ids a worker remembers
+CACHED = 400_000  # words whose ids a worker remembers
 WINDOW = 8  # tokens on either side of a cut in the first window
 
 
@@ -73,29 +74,40 @@ class Encoder:
 
     def __init__(self, path: str, leaf: int = LEAF):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # the same merges without a word end, for all but the last piece of a stretch
-        self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
-        self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.last = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model.get("end_of_word_suffix") or ""))
-        self.last.pre_tokenizer = self.inner.pre_tokenizer
+        self.path = path
         self.leaf = leaf
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.strings = [self.whole.id_to_token(i) for i in range(size)]
         self.known: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # on plain texts this library's normalizer and word split are lower-casing and SPLIT
         form = f"{self.whole.normalizer} {self.whole.pre_tokenizer}"
         self.words = Words(self) if all(x in form for x in ("Lowercase", "ByteLevel", "p{N}]|")) else None
 
+    def stretch_models(self) -> tuple:
+        """Tokenizers of the same merges for pieces of a stretch: without a word end, and for the last piece with it. Built
+        when a stretch is first met."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        out = []
+        for end in ({}, {"end_of_word_suffix": model.get("end_of_word_suffix") or ""}):
+            own = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **end))
+            own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            out.append(own)
+        return tuple(out)
+
+    @cached_property
+    def inner_and_last(self) -> tuple:
+        return self.stretch_models()
+
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not remembered."""
         if len(self.known) > CACHED // 4:
@@ -150,7 +162,7 @@ class Encoder:
         return self.halves(word[:mid]) + self.halves(word[mid:])
 
     def piece(self, word: str, last: bool) -> list[int]:
-        return (self.last if last else self.inner).encode(word, add_special_tokens=False).ids
+        return self.inner_and_last[last].encode(word, add_special_tokens=False).ids
 
     def spelled(self, ids: list[int]) -> str:
         return "".join(self.strings[i] for i in ids)
@@ -173,12 +185,12 @@ class Encoder:
 
     def bytes_piece(self, text: str, last: bool) -> list[int]:
         """Ids of text that is in the vocabulary's byte characters already."""
-        model = (self.last if last else self.inner).model
+        model = self.inner_and_last[last].model
         return [t.id for t in model.tokenize(text)]
 
-    def tree(self, parts: list[list[int]]) -> list[int]:
+    def tree(self, leaves: list[list[int]]) -> list[int]:
         """Ids of a stretch from those of its leaves, joined in pairs level by level."""
-        level = [(p, k == len(parts) - 1) for k, p in enumerate(parts)]
+        level = [(p, k == len(leaves) - 1) for k, p in enumerate(leaves)]
         while len(level) > 1:
             up = [(self.joined(level[k][0], level[k + 1][0], level[k + 1][1]), level[k + 1][1]) for k in range(0, len(level) - 1, 2)]
             level = up + level[len(level) - len(level) % 2:]
@@ -225,7 +237,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text
     @F.pandas_udf(T.BinaryType())
     def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(vocabulary, leaf)
-        for part in texts:
+        for part in parts(texts):
             yield pd.Series([enc.encode(bytes(t).decode("utf-8", "replace")) for t in part], dtype=object)
 
     size = F.coalesce(F.length(F.col(text_col)), F.lit(0))
@@ -303,7 +315,7 @@ def decode(docs: DataFrame, vocabulary: str | None = None, ids_col: str = "ids",
     @F.pandas_udf(T.StringType())
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(vocabulary)
-        for part in ids:
+        for part in parts(ids):
             yield pd.Series([enc.decode(bytes(x) if x is not None else b"") for x in part], dtype=object)
 
     return docs.withColumn(text_col, text(F.col(ids_col)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SHARD = 8_192  # vectors of a shard, about
 QUERIES = 2_048  # queries of a block, about
 BLOCK = 1_024  # vectors whose essential postings are traversed at a time
+MOST = (1 << 63) - 1
 PROBE = 8  # terms probed between two looks at who competes
 
 
@@ -64,7 +65,7 @@ def max_score(q: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, hi
             best_scores, best_ids = best_scores[first], best_ids[first]
         if len(best_ids) == k:
             limit = best_scores.min()
-    return [(int(s), int(i)) for s, i in zip(best_scores, best_ids)]
+    return [(max(-MOST - 1, min(MOST, int(s))), int(i)) for s, i in zip(best_scores, best_ids)]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -73,7 +74,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Rows with a null id, a null or empty vector, or a null or non-finite component take no part. A query meets vectors of
     its own number of components only, and never those of its own id. Repeated vectors are each a candidate; queries of one
-    id count once, by their smallest vector. Query blocks meet shards of vectors, both of bounded size; no shard is left out.
+    id count once, by their smallest vector. Integers and scores beyond a long stand at its ends. Query blocks meet shards of vectors, both of bounded size; no shard is left out.
     """
     def ints(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
