@@ -70,6 +70,12 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def uniform_hash(*parts: Column | str) -> Column:
+    """A whole number from 0 to 2^32 - 1 from the md5 of the parts joined by '|'; other engines compute the same."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def array_median(values: Column) -> Column:
     """Median of an array of doubles, mean of the middle pair when even."""
 

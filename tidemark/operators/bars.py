@@ -138,8 +138,8 @@ def resample_many(
     )
 
 
-def normalize_vendor_bars(raw: DataFrame, keys: Sequence[str] = ("symbol",), max_bars: int = 8000) -> DataFrame:
-    """Drop unusable bars, keep the last arrival per timestamp, keep the newest `max_bars` per key.
+def normalize_vendor_bars(raw: DataFrame, keys: Sequence[str] = ("symbol",), max_bars: int | None = None) -> DataFrame:
+    """Drop unusable bars, keep the last arrival per timestamp; keep the newest `max_bars` per key if given.
 
     Prices must be finite and positive; a missing volume is 0, a negative one rejects the bar. `arrival` orders
     duplicates. The newest-N cut is a row_number top-k, which Spark limits per task before the shuffle.
@@ -156,17 +156,21 @@ def normalize_vendor_bars(raw: DataFrame, keys: Sequence[str] = ("symbol",), max
         .agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "arrival").alias("b"))
         .select(*keys, "ts", "b.*")
     )
+    if max_bars is None:
+        return latest
     newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
     return latest.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= max_bars).drop("_rn")
 
 
-def merge_tick_bars(tick_bars: DataFrame, keys: Sequence[str] = ("symbol",), keep: int = 420) -> DataFrame:
-    """Union of bars repeated across ticks: first arrival per timestamp wins, newest `keep` kept."""
+def merge_tick_bars(tick_bars: DataFrame, keys: Sequence[str] = ("symbol",), keep: int | None = None) -> DataFrame:
+    """Union of bars repeated across ticks: first arrival per timestamp wins; the newest `keep` stay if given."""
     first = (
         tick_bars.groupBy(*keys, "ts")
         .agg(F.min_by(F.struct("open", "high", "low", "close", "volume"), "arrival").alias("b"))
         .select(*keys, "ts", "b.*")
     )
+    if keep is None:
+        return first
     newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
     return first.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= keep).drop("_rn")
 

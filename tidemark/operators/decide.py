@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import clip, codes, mean_known
+from tidemark.functions.exprs import clip, codes, mean_known, uniform_hash
 
 
 def rank_snapshot(candidates: DataFrame) -> DataFrame:
@@ -357,15 +357,18 @@ def weakest_archetypes(gaps: DataFrame, n: int = 2, full_evidence: int = 6) -> D
 
 
 def stratified_session_sample(sessions: DataFrame, weights: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """Sessions kept with probability proportional to their archetype's weight; the draw hashes the session id.
+    """Sessions sampled so that archetypes appear in proportion to their weights, `share` of all rows in expectation.
 
-    The heaviest archetype keeps `share`; a session's draw depends on its id and the seed only, so it is stable under
-    repartitioning and reruns.
+    An archetype's rate is share · N · weight / (Σ weights · its own rows); a session stays if the md5 of its id falls
+    below the rate, so the draw is stable under repartitioning and reruns. A rate above 1 keeps the whole archetype, and
+    the sample is smaller than `share` by what it lacks.
     """
-    every = Window.partitionBy(F.lit(0))
-    f = weights.select("archetype", (share * F.col("weight") / F.max("weight").over(every)).alias("_f"))
-    u = F.pmod(F.xxhash64(F.col("session_id").cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return sessions.join(F.broadcast(f), "archetype").filter(u < F.col("_f")).drop("_f")
+    every = Window.partitionBy(F.lit(0))  # one row per archetype
+    sizes = sessions.groupBy("archetype").agg(F.count(F.lit(1)).alias("_n"))
+    rates = weights.join(sizes, "archetype").select(
+        "archetype", (share * F.sum("_n").over(every) * F.col("weight") / (F.sum("weight").over(every) * F.col("_n"))).alias("_f"))
+    u = uniform_hash(F.lit(seed), "session_id") / float(1 << 32)
+    return sessions.join(F.broadcast(rates), "archetype").filter(u < F.col("_f")).drop("_f")
 
 
 # -- close projection ----------------------------------------------------------------------------------------------

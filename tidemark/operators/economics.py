@@ -241,11 +241,12 @@ MAX_LEGS = 4
 def marked_paths(candidates: DataFrame, paths: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per (candidate, later bar of the session it expires in): t (µs), minute, close, value, pnl ratio.
 
-    The legs (at most four) become plain columns before the bars are unrolled, so the marks are generated code, and
+    The legs (at most four; more are refused by an error) become plain columns before the bars are unrolled, so the marks are generated code, and
     each candidate's rows are produced and consumed in one task: what follows aggregates them before any shuffle.
     """
     credit = F.col("entry_credit").cast("double")
     joined = candidates.join(paths, candidates.expiration == paths.session_date).filter(F.col("entry_credit") != 0)
+    joined = joined.withColumn("legs", F.when(F.size("legs") > MAX_LEGS, F.raise_error(F.lit("more than four legs"))).otherwise(F.col("legs")))
     legs = []
     for i in range(1, MAX_LEGS + 1):
         x = F.try_element_at("legs", F.lit(i))

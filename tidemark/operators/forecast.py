@@ -6,25 +6,36 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio
+from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio, uniform_hash
 from tidemark.operators.windows import ranked
 
 SEED = 42
 
 
 # -- feature vectors and fits ---------------------------------------------------------------------------------------
-def vector_stages(names: Sequence[str]) -> list:
-    """Median imputation (exact), missing flags, one standardised vector."""
+def exact_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """Median of each column's known values, the mean of the middle pair where their number is even, 0 where there is
+    none. Ranks are spread over tasks; one number a column comes to the driver."""
+    long = df.select(F.xxhash64(*names).alias("_tie"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])).alias("e"))
+    known = long.select("e.name", "e.v", "_tie").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2) + 1)
+    found = ranked(known, ["name"], "v", ["_tie"]).filter(middle).groupBy("name").agg(F.avg("v").alias("m"))
+    return dict.fromkeys(names, 0.0) | {r.name: r.m for r in found.collect()}
+
+
+def vector_stages(df: DataFrame, names: Sequence[str]) -> list:
+    """Imputation by the exact medians of df, missing flags, one standardised vector."""
     names = sorted(names)
     imputed = [f"{n}__i" for n in names]
+    filled = ", ".join(f"coalesce(`{n}`, {m!r}D) AS `{n}__i`" for n, m in exact_medians(df, names).items())
     return [
-        Imputer(strategy="median", inputCols=names, outputCols=imputed, relativeError=0.0),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
         VectorAssembler(inputCols=[*imputed, *[f"{n}__m" for n in names]], outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
     ]
@@ -38,8 +49,8 @@ def with_flags(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def vectorize(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Values (sorted names, medians for the missing) followed by missing flags, as one array column."""
-    stages = vector_stages(names)[:2]
     flagged = with_flags(df, names)
+    stages = vector_stages(flagged, names)[:2]
     return Pipeline(stages=stages).fit(flagged).transform(flagged).withColumn("vector", vector_to_array("raw_features"))
 
 
@@ -58,7 +69,7 @@ def logistic(df: DataFrame, names: Sequence[str], label: str, l1_ratio: float =
     lr = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", elasticNetParam=l1_ratio, regParam=1.0 / (c * max(n, 1)), maxIter=50
     )
-    return Pipeline(stages=[*vector_stages(names), lr]).fit(rows)
+    return Pipeline(stages=[*vector_stages(rows, names), lr]).fit(rows)
 
 
 def probability(model, df: DataFrame, names: Sequence[str], out: str = "p") -> DataFrame:
@@ -119,7 +130,7 @@ def return_quantiles(train: DataFrame, score: DataFrame, names: Sequence[str], l
     """
     flagged = with_flags(train.filter(F.col(label).isNotNull()), names)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=15, maxDepth=3, seed=SEED, stepSize=0.1)
-    model = Pipeline(stages=[*vector_stages(names), gbt]).fit(flagged)
+    model = Pipeline(stages=[*vector_stages(flagged, names), gbt]).fit(flagged)
     fitted = model.transform(flagged).select("prediction", (F.col(label) - F.col("prediction")).alias("residual"))
     cuts = fitted.agg(F.percentile_approx("prediction", [i / buckets for i in range(1, buckets)]).alias("cuts"))
     bucket = lambda df: df.join(F.broadcast(cuts), F.lit(True)).withColumn("bucket", F.size(F.filter("cuts", lambda q: q < F.col("prediction"))))
@@ -136,7 +147,8 @@ def volatility_forecast(quantiles: DataFrame) -> DataFrame:
 
 def huber(train: DataFrame, names: Sequence[str], label: str):
     lr = LinearRegression(featuresCol="features", labelCol=label, loss="huber", epsilon=1.35, maxIter=50)
-    return Pipeline(stages=[*vector_stages(names), lr]).fit(with_flags(train.filter(F.col(label).isNotNull()), names))
+    flagged = with_flags(train.filter(F.col(label).isNotNull()), names)
+    return Pipeline(stages=[*vector_stages(flagged, names), lr]).fit(flagged)
 
 
 def fill_concession(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "fill_fraction", prior: str = "prior") -> DataFrame:
@@ -179,7 +191,7 @@ def regime_probabilities(train: DataFrame, score: DataFrame, names: Sequence[str
     """Multinomial class probabilities, entropy (normalised) and support uncertainty."""
     flagged = with_flags(train, names).withColumn(label, F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", regParam=0.01, maxIter=40)
-    model = Pipeline(stages=[*vector_stages(names), lr]).fit(flagged)
+    model = Pipeline(stages=[*vector_stages(flagged, names), lr]).fit(flagged)
     p = vector_to_array("probability")
     scored = model.transform(with_flags(score, names)).withColumn("probs", p)
     entropy = F.aggregate(F.transform("probs", lambda x: F.when(x > 0, -x * F.ln(x)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
@@ -543,14 +555,15 @@ def eligible_blocks(library: DataFrame, length: int, session: str = "session_dat
 def session_bootstrap(sessions: DataFrame, n: int = 7, seed: int = SEED, session: str = "session_date") -> DataFrame:
     """(replica, session) membership of n bootstrap samples of whole sessions.
 
-    Drawing N of N with replacement keeps a session with probability 1 − (1 − 1/N)^N; only membership counts, so each
-    (replica, session) is kept by a seeded hash at that rate. Deterministic and independent of partitioning.
+    Each replica draws N of N sessions with replacement: draw k takes the session whose place is a seeded md5 of
+    (replica, k) modulo N. A session drawn more than once is a member once. The calendar bounds the sessions.
     """
     uniq = sessions.select(session).distinct()
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # one row per session
-    reps = uniq.select(session, total.alias("_n")).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = F.pmod(F.xxhash64(F.col(session).cast("string"), "replica", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return reps.filter(u < 1.0 - F.pow(1.0 - 1.0 / F.col("_n"), F.col("_n"))).select("replica", session)
+    every = Window.partitionBy(F.lit(0))
+    placed = uniq.select(session, (F.row_number().over(every.orderBy(session)) - 1).alias("_at"), F.count(F.lit(1)).over(every).alias("_n"))
+    draws = placed.select("_n", F.col("_at").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replica"))
+    draws = draws.select("replica", F.pmod(uniform_hash(F.lit(seed), "replica", "_k"), F.col("_n")).alias("_at"))
+    return draws.distinct().join(placed.select(session, "_at"), "_at").select("replica", session)
 
 
 def population_stability(reference: DataFrame, current: DataFrame, value: str = "value", keys: Sequence[str] = ("name",), bins: int = 10, eps: float = 1e-6) -> DataFrame:

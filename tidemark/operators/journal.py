@@ -71,16 +71,18 @@ def event_digest(previous: Column, *parts: Column) -> Column:
 def build_hash_chain(events: DataFrame, chain: str = "chain", order: str = "sequence_number", parts: Sequence[str] = ("status",)) -> DataFrame:
     """Stamp payload_hash, previous_event_hash and event_hash. Serial within a chain, so it streams in order with the
     previous digest as the only state; chains run in parallel."""
-    cols = [chain, order, *parts]
     prepared = events.withColumn("payload_hash", F.sha2("payload", 256))
+    # all but the previous digest is put together in Spark, as the verification does, so nulls and types read alike
+    own = F.concat_ws("|", *[F.col(c).cast("string") for c in (chain, order, *parts)], F.col("payload_hash"))
+    prepared = prepared.withColumn("digest_text", own)
 
     def step(state: dict, row) -> tuple:
         previous = state["h"]
-        text = "|".join([*(str(getattr(row, c)) for c in cols), row.payload_hash, previous or ""])
+        text = f"{row.digest_text}|{previous or ''}"
         state["h"] = hashlib.sha256(text.encode()).hexdigest()
         return previous, state["h"]
 
-    return fold_sorted(prepared, [chain], [order], step, lambda: {"h": None}, "previous_event_hash string, event_hash string")
+    return fold_sorted(prepared, [chain], [order], step, lambda: {"h": None}, "previous_event_hash string, event_hash string").drop("digest_text")
 
 
 def verify_hash_chain(events: DataFrame, chain: str = "chain", order: str = "sequence_number", parts: Sequence[str] = ("status",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,16 +13,20 @@ from tidemark.operators.windows import in_blocks, number_rows, with_halo
 
 
 def wilder_rma(
-    bars: DataFrame, column: str, period: int, keys: Sequence[str] = ("symbol",), lookback: int = 420
+    bars: DataFrame, column: str, period: int, keys: Sequence[str] = ("symbol",), tolerance: float = 1e-12
 ) -> DataFrame:
-    """Wilder average of any column; NULL until `period` samples exist."""
+    """Wilder average of any column; NULL until `period` samples exist.
+
+    A block looks back until what lies before weighs less than `tolerance`, however long the period.
+    """
+    lookback = period + (math.ceil(math.log(tolerance) / math.log((period - 1.0) / period)) if period > 1 else 0)
 
     def compute(df: DataFrame, group: list[str]) -> DataFrame:
         w = Window.partitionBy(*group).orderBy("session_date", "ts")
         numbered = df.withColumn("_i", F.row_number().over(w) - 1)
         return numbered.withColumn(f"rma{period}", wilder(F.col(column), F.col("_i"), period, w)).drop("_i")
 
-    return in_blocks(bars, keys, "session_date", ["ts"], lookback, compute)
+    return in_blocks(bars, keys, "session_date", ["ts"], lookback, compute, block_rows=max(512, min(2048, 30 * period)))
 
 
 def percentile_rank(
@@ -70,34 +75,28 @@ def gex_rank(
     prints: DataFrame,
     column: str,
     max_age_days: float = 10.0,
-    max_entries: int = 5000,
+    max_entries: int | None = None,
     min_samples: int = 30,
     keys: Sequence[str] = ("symbol",),
 ) -> DataFrame:
-    """Rank of |net GEX| among the prints of the last 10 days (newest 5000), itself included; 0.5 until warm.
+    """Rank of |net GEX| among the prints of the last `max_age_days` (the newest max_entries of them, if given), itself
+    included; 0.5 until warm.
 
-    Both limits are applied: the row cap bounds the frame, the age filter runs on the collected frame.
+    Blocks are stretches of time of that length, each with the stretch before it, so a frame is exact and a symbol is many
+    tasks whatever its history.
     """
     age = max_age_days * 86_400.0
 
-    def compute(df: DataFrame, group: list[str]) -> DataFrame:
-        w = Window.partitionBy(*group).orderBy("session_date", "ts")
-        t, mag = epoch("ts"), F.abs(F.col(column)).cast("double")
-        held = F.collect_list(F.struct(t.alias("t"), mag.alias("m"))).over(trailing(w, max_entries))
-        fresh = F.filter(held, lambda e: e["t"] >= t - F.lit(age))
-        return (
-            df.withColumn("_f", fresh)
-            .withColumn("n", F.size("_f"))
-            .withColumn(
-                "pct_rank",
-                F.when(F.col("n") < min_samples, F.lit(0.5)).otherwise(
-                    F.size(F.filter("_f", lambda e: e["m"] < mag)) / F.col("n").cast("double")
-                ),
-            )
-            .drop("_f")
-        )
-
-    return in_blocks(prints, keys, "session_date", ["ts"], max_entries, compute, block_rows=4 * max_entries)
+    micros, mag = F.unix_micros("ts"), F.abs(F.col(column)).cast("double")
+    own = F.floor(micros / (age * 1e6))
+    blocks = prints.withColumns({"_t": micros, "_m": mag}).withColumn("_blk", F.explode(F.array(own, own + 1))).withColumn("_core", F.col("_blk") == own)
+    w = Window.partitionBy(*keys, "_blk").orderBy("_t")
+    held = blocks.withColumn("_f", F.collect_list("_m").over(w.rangeBetween(-int(age * 1e6), 0)))
+    if max_entries is not None:
+        held = held.withColumn("_f", F.slice("_f", -F.least(F.size("_f"), F.lit(max_entries)), max_entries))
+    n = F.size("_f")
+    rank = F.when(n < min_samples, F.lit(0.5)).otherwise(F.size(F.filter("_f", lambda m: m < F.col("_m"))) / n.cast("double"))
+    return held.filter("_core").select(*prints.columns, n.alias("n"), rank.alias("pct_rank"))
 
 
 __all__ = ["gex_rank", "number_rows", "percentile_rank", "robust_score", "robust_zscore", "wilder_rma", "with_halo"]

@@ -21,22 +21,23 @@ CRASH_NET, SQUEEZE_NET, GRIND_NET, CALM_GEX = 0.008, 0.008, 0.004, 0.4
 ABS_RV_REF, ABS_MOVE_REF = 0.14, 0.0009
 
 
-def _returns(obs: DataFrame, session: str) -> DataFrame:
-    w = Window.partitionBy(session).orderBy("ts")
+def _returns(obs: DataFrame, session: str, keys: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*keys, session).orderBy("ts")
     prev = F.lag("spot").over(w)
     return obs.withColumn("ret", F.when((F.col("spot") > 0) & (prev > 0), F.ln(F.col("spot") / F.nullif(prev, F.lit(0.0)))))
 
 
-def label_regimes(obs: DataFrame, window: int = 15, session: str = "session_date") -> DataFrame:
+def label_regimes(obs: DataFrame, window: int = 15, session: str = "session_date", keys: Sequence[str] = ()) -> DataFrame:
     """Regime of every observation after a session's first, relative to the session's own volatility.
 
-    Priority: breakout, compression, drift up, drift down, pin. Windows stay inside a session.
+    Priority: breakout, compression, drift up, drift down, pin. Windows stay inside a session
+    of one series; `keys` name the series (a symbol) where obs holds several.
     """
-    rets = _returns(obs, session).filter(F.col("ret").isNotNull())
-    w = Window.partitionBy(session).orderBy("ts")
+    rets = _returns(obs, session, keys).filter(F.col("ret").isNotNull())
+    w = Window.partitionBy(*keys, session).orderBy("ts")
     rv = F.coalesce(F.stddev_samp("ret").over(trailing(w, window)), F.lit(0.0)) * (MINUTES_PER_YEAR**0.5)
     feat = rets.select("*", rv.alias("rv"), F.sum("ret").over(trailing(w, window)).alias("move"))
-    med = F.median(F.when(F.col("rv") > 0, F.col("rv"))).over(Window.partitionBy(session))
+    med = F.median(F.when(F.col("rv") > 0, F.col("rv"))).over(Window.partitionBy(*keys, session))
     ctx = feat.withColumn("rv_median", F.coalesce(med, F.lit(0.0)))
     known = F.col("rv_median") > 0
     rv_z = F.when(known, ratio("rv", "rv_median")).otherwise(F.col("rv") / ABS_RV_REF)
@@ -49,10 +50,10 @@ def label_regimes(obs: DataFrame, window: int = 15, session: str = "session_date
     return ctx.select(*obs.columns, "rv", "move", regime.alias("regime"))
 
 
-def label_archetypes(obs: DataFrame, session: str = "session_date") -> DataFrame:
+def label_archetypes(obs: DataFrame, session: str = "session_date", keys: Sequence[str] = ()) -> DataFrame:
     """Day-level archetype per session from net move, volatility against the cross-session median, gap, gamma sign."""
-    rets = _returns(obs, session)
-    day = rets.groupBy(session).agg(
+    rets = _returns(obs, session, keys)
+    day = rets.groupBy(*keys, session).agg(
         F.coalesce(F.sum("ret"), F.lit(0.0)).alias("net"),
         (F.coalesce(F.stddev_samp("ret"), F.lit(0.0)) * (MINUTES_PER_YEAR**0.5)).alias("day_rv"),
         F.min_by("spot", "ts").alias("first_spot"),
@@ -60,7 +61,7 @@ def label_archetypes(obs: DataFrame, session: str = "session_date") -> DataFrame
         F.avg(F.when(F.col("net_gex") > 0, 1.0).otherwise(-1.0)).alias("mean_gex_sign"),
     )
     # one row per session: the calendar bounds both windows
-    cal = Window.partitionBy(F.lit(0))
+    cal = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     prev = F.lag("last_spot").over(cal.orderBy(session))
     ctx = day.select(
         "*", F.nullif(F.median("day_rv").over(cal), F.lit(0.0)).alias("rv_med"),
@@ -78,7 +79,7 @@ def label_archetypes(obs: DataFrame, session: str = "session_date") -> DataFrame
         .when(lo & (F.col("mean_gex_sign") > CALM_GEX), "calm_pin")
         .otherwise("range_chop")
     )
-    return ctx.select(session, archetype.alias("archetype"), "net", "day_rv", "gap", "mean_gex_sign")
+    return ctx.select(*keys, session, archetype.alias("archetype"), "net", "day_rv", "gap", "mean_gex_sign")
 
 
 def transition_matrix(
@@ -109,30 +110,26 @@ def transition_matrix(
     return both.select(*keys, "from", "to", "n", F.when(~seen & has_prior, fallback).otherwise(p).alias("p"))
 
 
-def calibrate_regimes(obs: DataFrame, window: int = 15, smoothing: float = 0.5, session: str = "session_date") -> tuple[DataFrame, DataFrame]:
+def calibrate_regimes(obs: DataFrame, window: int = 15, smoothing: float = 0.5, session: str = "session_date", keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(archetype day chain, regime minute chain per archetype)."""
-    days = label_archetypes(obs, session)
-    arch = transition_matrix(days, ARCHETYPES, [session], "archetype", smoothing=smoothing)
-    minutes = label_regimes(obs, window, session).join(F.broadcast(days.select(session, "archetype")), session)
-    reg = transition_matrix(minutes, REGIMES, ["ts"], "regime", [session], ["archetype"], smoothing)
+    days = label_archetypes(obs, session, keys)
+    arch = transition_matrix(days, ARCHETYPES, [session], "archetype", keys, smoothing=smoothing)
+    minutes = label_regimes(obs, window, session, keys).join(days.select(*keys, session, "archetype"), [*keys, session])
+    reg = transition_matrix(minutes, REGIMES, ["ts"], "regime", [*keys, session], ["archetype"], smoothing)
     return arch, reg
 
 
-def labeler_accuracy(obs: DataFrame, window: int = 15, session: str = "session_date") -> DataFrame:
+def labeler_accuracy(obs: DataFrame, window: int = 15, session: str = "session_date", keys: Sequence[str] = ()) -> DataFrame:
     """Hit rates of the labels against `true_archetype` and `true_regime`; a session's first minute has no label."""
-    lab = label_regimes(obs, window, session)
+    lab = label_regimes(obs, window, session, keys)
     minutes = lab.agg(
         F.count(F.lit(1)).alias("n_minutes"), F.avg((F.col("regime") == F.col("true_regime")).cast("int")).alias("regime_accuracy")
     )
-    truth = obs.groupBy(session).agg(F.max_by("true_archetype", "ts").alias("t"))
-    days = label_archetypes(obs, session).join(truth, session).agg(
+    truth = obs.groupBy(*keys, session).agg(F.max_by("true_archetype", "ts").alias("t"))
+    days = label_archetypes(obs, session, keys).join(truth, [*keys, session]).agg(
         F.count(F.lit(1)).alias("n_sessions"), F.avg((F.col("archetype") == F.col("t")).cast("int")).alias("archetype_accuracy")
     )
     return minutes.join(F.broadcast(days), F.lit(True))
 
 
-def pivot_matrix(matrix: DataFrame, states: Sequence[str]) -> DataFrame:
-    return matrix.groupBy("from").pivot("to", list(states)).agg(F.max("p"))
-
-
-__all__ = ["Column", "calibrate_regimes", "label_archetypes", "label_regimes", "labeler_accuracy", "pivot_matrix", "transition_matrix"]
+__all__ = ["Column", "calibrate_regimes", "label_archetypes", "label_regimes", "labeler_accuracy", "transition_matrix"]

@@ -46,7 +46,8 @@ def _spec(family: str, *legs: Column) -> Column:
 
 
 def snapshot_maps(chain: DataFrame) -> DataFrame:
-    """One row per single-expiration snapshot: call and put maps strike → quote, sorted strikes, spot."""
+    """One row per single-expiration snapshot: call and put maps strike → quote, sorted strikes, spot. Of the quotes of one
+    side and strike the one with the largest `pos` counts (any, without that column)."""
     mid = F.coalesce("mark", ((F.col("bid") + F.col("ask")) / 2).cast(DEC), "last").cast(DEC)
     spread = F.col("ask") - F.col("bid")
     quality = F.when(spread >= 0, F.lit(1.0) / (F.lit(1.0) + spread.cast("double"))).otherwise(0.0)
@@ -54,8 +55,16 @@ def snapshot_maps(chain: DataFrame) -> DataFrame:
         mid.alias("mid"), quality.alias("quality"), F.col("bid"), F.col("ask"), F.col("mark"), F.col("iv"),
         F.col("age_seconds"), F.col("contract_id"),
     )
-    entry = F.struct(F.col("strike").cast(DEC), quote)
-    side = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("option_type") == s, entry)))
+    arrival = F.col("pos") if "pos" in chain.columns else F.lit(0)
+    entry = F.struct(F.col("strike").cast(DEC).alias("k"), arrival.alias("pos"), quote.alias("q"))
+    side = lambda s: F.sort_array(F.collect_list(F.when((F.col("option_type") == s) & F.col("strike").isNotNull(), entry)))
+
+    def last(entries: str) -> Column:
+        """strike → quote; sorted entries of one strike end with the largest pos."""
+        e = F.col(entries)
+        kept = F.filter(e, lambda x, i: (i == F.size(e) - 1) | (F.get(e, i + 1)["k"] != x["k"]))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["q"])))
+
     return (
         chain.groupBy("snapshot_id")
         .agg(
@@ -68,6 +77,7 @@ def snapshot_maps(chain: DataFrame) -> DataFrame:
         )
         .filter((F.col("spot") > 0) & (F.col("expiration") == F.col("_last")))
         .drop("_last")
+        .withColumns({"calls": last("calls"), "puts": last("puts")})
     )
 
 

@@ -164,7 +164,7 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+                key = tuple(None if (x := getattr(row, k)) != x else x for k in keys)  # a null may arrive as NaN
                 if key != current:
                     current, state = key, fresh()
                 out.append(step(state, row))

@@ -157,8 +157,10 @@ def _(spark, sf):
       d AS (SELECT * , c - p + strike AS est, row_number() OVER (PARTITION BY snapshot_id ORDER BY abs(c - p), strike) AS r FROM t WHERE c IS NOT NULL AND p IS NOT NULL),
       n AS (SELECT d.*, row_number() OVER (PARTITION BY snapshot_id ORDER BY abs(d.strike - z.k), d.strike) AS q
             FROM d JOIN (SELECT snapshot_id, strike AS k FROM d WHERE r = 1) z USING (snapshot_id)),
-      e AS (SELECT snapshot_id, max(q) AS n_paired, list_sort(list(est) FILTER (q <= 5)) AS es FROM n GROUP BY 1)
-      SELECT snapshot_id, n_paired::INT AS n_paired, round(CASE WHEN es[len(es) // 2 + 1] > 0 THEN es[len(es) // 2 + 1] END, 2) AS implied_spot FROM e""",
+      e AS (SELECT snapshot_id, max(q) AS n_paired, list_sort(list(est) FILTER (q <= 5)) AS es FROM n GROUP BY 1),
+      s AS (SELECT snapshot_id, arg_min(strike, (abs(delta - 0.5), pos, strike)) FILTER (side = 'call' AND delta > 0) AS dk FROM v_chain GROUP BY 1)
+      SELECT snapshot_id, coalesce(n_paired, 0)::INT AS n_paired, round(CASE WHEN n_paired > 0 THEN CASE WHEN es[len(es) // 2 + 1] > 0 THEN es[len(es) // 2 + 1] END
+             WHEN dk > 0 THEN dk END, 2) AS implied_spot FROM s LEFT JOIN e USING (snapshot_id)""",
         "v_chain",
     ),
 )

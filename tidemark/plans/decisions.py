@@ -320,7 +320,13 @@ def _(spark, sf):
     return D.weakest_archetypes(archetype_scores(spark, sf), 2, 600).select("archetype", r6("severity", "severity"))
 
 
-@query("stratified_session_sample")
+@query(
+    "stratified_session_sample",
+    """WITH w AS (SELECT o_orderpriority AS archetype, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) / count(*) AS weight FROM orders GROUP BY 1),
+       f AS (SELECT archetype, 0.5 * sum(n) OVER () * weight / (sum(weight) OVER () * n) AS f FROM w)
+       SELECT o_orderkey AS session_id, archetype FROM orders JOIN f ON o_orderpriority = archetype
+       WHERE ('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 < f""",
+)
 def _(spark, sf):
     s = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("archetype"))
     w = s.groupBy("archetype").agg((F.count_if(F.col("session_id") % 3 == 0) / F.count(F.lit(1))).alias("weight"))

@@ -339,7 +339,12 @@ def _(spark, sf):
     return b.groupBy(F.col("session_date").cast("string").alias("session_date")).agg(F.count(F.lit(1)).alias("starts"))
 
 
-@query("session_bootstrap")
+@query(
+    "session_bootstrap",
+    """WITH s AS (SELECT DISTINCT ts::DATE AS d FROM events), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM s),
+       x AS (SELECT DISTINCT rep::INT AS replica, ('0x' || substr(md5('42|' || rep || '|' || i), 1, 8))::BIGINT % n AS i FROM r, range(7) t(rep))
+       SELECT replica, d::VARCHAR AS session_date FROM x JOIN r USING (i)""",
+)
 def _(spark, sf):
     s = A.table(spark, sf, "events").select(F.to_date("ts").alias("session_date"))
     return M.session_bootstrap(s).withColumn("session_date", F.col("session_date").cast("string"))

@@ -163,7 +163,7 @@ def _(spark, sf):
 
 @query("vendor_bar_window", f"SELECT count(*) AS n, min(m) AS first_micros FROM (SELECT epoch_us(ts) AS m FROM events WHERE {TICK} AND round(value, 2) > 0 AND user_id >= 1 ORDER BY ts DESC LIMIT 420)")
 def _(spark, sf):
-    b = merge_tick_bars(V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf))))
+    b = merge_tick_bars(V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf))), keep=420)  # the window that a snapshot carries
     return b.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("first_micros"))
 
 

@@ -65,7 +65,7 @@ def _(spark, sf):
         return batch.groupBy(F.col("user_id").alias("snapshot_id")).agg(F.count(F.lit(1)).alias("n_events"))
 
     X.per_batch(events_stream(spark, sf), stage, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return X.merged(spark, f"{folder}/out", ["snapshot_id"], {"n_events": F.sum})
 
 
 @query("once_per_snapshot", "SELECT DISTINCT event_id AS snapshot_id FROM events")
@@ -74,7 +74,11 @@ def _(spark, sf):
     return drain(X.once_per_snapshot(s.unionByName(s)), "once").select("snapshot_id")
 
 
-@query("streaming_duplicate_guard")
+@query(
+    "streaming_duplicate_guard",
+    """WITH e AS (SELECT event_type AS account_id, user_id::VARCHAR AS candidate_id, strftime(ts, '%Y-%m-%d %H') AS geometry_hash FROM events)
+       SELECT DISTINCT account_id, candidate_id, geometry_hash FROM e""",
+)
 def _(spark, sf):
     d = events_stream(spark, sf).select(
         "ts", F.col("event_type").alias("account_id"), F.col("user_id").cast("string").alias("candidate_id"), F.date_format("ts", "yyyy-MM-dd HH").alias("geometry_hash"), "event_id"
@@ -132,11 +136,7 @@ def _(spark, sf):
 
 @query("streaming_settlement", "SELECT ts::DATE::VARCHAR AS session_date, arg_max(value, ts) AS settlement FROM events WHERE day(ts) <= 20 GROUP BY 1")
 def _(spark, sf):
-    folder = shared_folder(spark, "settle")
-    s = events_stream(spark, sf).select(F.to_date("ts").alias("session_date"), "ts", "value", (F.dayofmonth("ts") <= 20).alias("settlement_available"))
-
-    def settle(batch):
-        return batch.groupBy("session_date").agg(F.max_by("value", "ts").alias("settlement"))
+    s = events_stream(spark, sf).select("ts", "value", (F.dayofmonth("ts") <= 20).alias("settlement_available"))
 
-    X.settle_closed_sessions(s, settle, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.col("session_date").cast("string").alias("session_date"), "settlement")
+    out = drain(X.settle_closed_sessions(s), "settle")
+    return out.select(F.col("session_date").cast("string").alias("session_date"), "settlement")

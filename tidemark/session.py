@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Conf keys an operator relies on. A cluster session that already sets them keeps its own values.
 DEFAULTS = {
@@ -33,20 +33,15 @@ def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> Spark
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; outside one (no folder named) the plan is kept as is."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint(eager=False)
-    return df
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a temporary one only where none is named
-    (local runs and tests)."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir. Only a local master does without: there a
+    temporary folder is seen by all tasks; on a cluster it would not be, so that is refused."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")

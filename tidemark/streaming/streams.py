@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -75,37 +75,42 @@ def join_spot_chain(spot: DataFrame, chain: DataFrame, limit: str = "60 seconds"
     return s.join(c, cond, "inner").select("s.symbol", "spot_ts", "chain_ts", "spot", "chain")
 
 
-def per_batch(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "snapshot_id") -> StreamingQuery:
-    """Run a batch stage on each micro-batch and append what is not written yet. A retried batch finds its own rows in
-    the target and drops them, so the target holds each key once."""
+def per_batch(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Run a batch stage on each micro-batch and write its result below `path`, in a folder of the batch's own. A retried
+    batch writes the same folder again, so every row counts once. A key whose rows lie in several batches has a partial
+    result in each: `merged` puts them together."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        out = stage(batch)
-        spark = out.sparkSession
-        try:
-            done = spark.read.parquet(path).select(key)
-        except Exception:  # noqa: BLE001  (first batch: nothing written yet)
-            done = None
-        fresh = out if done is None else out.join(done, key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        stage(batch).write.mode("overwrite").parquet(f"{path}/micro_batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def settle_closed_sessions(snapshots: DataFrame, settle: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, closed: str = "settlement_available") -> StreamingQuery:
-    """Settle sessions that have closed, each exactly once (anti-join on what is already settled)."""
-    return per_batch(snapshots.filter(F.col(closed)), settle, path, checkpoint, "session_date")
+def merged(spark: SparkSession, path: str, keys: Sequence[str], parts: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """Results of `per_batch` over all micro-batches: one row per key, each column by its own aggregate of the partial ones
+    (a sum for counts and sums, min and max for themselves)."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*[how(c).alias(c) for c, how in parts.items()])
+
+
+def settle_closed_sessions(snapshots: DataFrame, value: str = "value", late: str = "1 hour", closed: str = "settlement_available", ts: str = "ts") -> DataFrame:
+    """(session_date, settlement): the last value among a day's closed rows. A session settles once, when the watermark has
+    passed the end of its day: the state is one value a day, whatever the number of micro-batches, and append mode emits it
+    a single time. Days without a closed row give none; all rows move the watermark on."""
+    day = F.window(ts, "1 day").alias("_day")
+    last = F.max_by(value, F.when(F.col(closed), F.col(ts))).alias("settlement")
+    days = snapshots.withWatermark(ts, late).groupBy(day).agg(last, F.count_if(F.col(closed)).alias("_closed"))
+    return days.filter("_closed > 0").select(F.to_date("_day.start").alias("session_date"), "settlement")
 
 
 # -- keyed state: rolling rank and robust score ----------------------------------------------------------------------
 STATE = "t array<double>, v array<double>"
 
 
-def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 10.0, max_entries: int = 5000, min_samples: int = 30) -> DataFrame:
-    """Rank of |net_gex| among the key's prints of the last ten days (newest 5000), .5 until warm; survives restarts
+def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 10.0, max_entries: int | None = None, min_samples: int = 30) -> DataFrame:
+    """Rank of |net_gex| among the key's prints of the last ten days (the newest max_entries of them, if given), .5 until warm; survives restarts
     with the checkpoint. Twin of the batch `gex_rank`. Columns: key, ts, net_gex.
 
-    The state of a key is its kept prints, at most 5000 numbers, whatever the stream's length.
+    The state of a key is its prints of ten days, whatever the stream's length.
     """
     age = max_age_days * 86_400.0
 
@@ -116,7 +121,8 @@ def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 1
         for ts, gex in zip(fresh["ts"], fresh["net_gex"], strict=True):
             now, mag = ts.timestamp(), abs(float(gex))
             held.append((now, mag))
-            held = [h for h in held if h[0] >= now - age][-max_entries:]
+            held = [h for h in held if h[0] >= now - age]
+            held = held[-max_entries:] if max_entries else held
             n = len(held)
             out.append((k[0], ts, n, 0.5 if n < min_samples else sum(h[1] < mag for h in held) / n))
         state.update(([h[0] for h in held], [h[1] for h in held]))
