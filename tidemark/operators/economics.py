@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, norm_cdf, norm_pdf, ratio
+from tidemark.operators.journal import thin_by_interval
 from tidemark.operators.structures import DEC, dec, terminal_payoff
 
 # fixed values: fill priors by leg count and family
@@ -284,7 +285,11 @@ def managed_outcome(candidates: DataFrame, paths: DataFrame, settlements: DataFr
     later bar or no entry price. Only a trailing policy needs the running peak, hence a window per candidate.
     """
     policy = policy or ExitPolicy()
-    m = marked_paths(candidates, paths)
+    # what settling needs travels with the marks, so candidates are built once
+    leg = lambda x: F.struct(x["option_type"].alias("option_type"), x["strike"].alias("strike"), x["quantity"].alias("quantity"))
+    extra = [c for c in ("family",) if c in candidates.columns]
+    terms = candidates.withColumn("terms_", F.struct("expiration", "entry_credit", *extra, F.transform("legs", leg).alias("legs")))
+    m = marked_paths(terms, paths, ("terms_",))
     peak = F.lit(0.0)
     if policy.policy_id == "trailing":
         w = Window.partitionBy("snapshot_id", "candidate_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
@@ -295,17 +300,15 @@ def managed_outcome(candidates: DataFrame, paths: DataFrame, settlements: DataFr
     fired = m.withColumn("signal", signal)
     hit = F.when(F.col("signal") != "hold", F.col("t"))
     first = fired.groupBy("snapshot_id", "candidate_id").agg(
-        F.min_by(F.struct(F.col("signal").alias("reason"), "t", "value"), hit).alias("x"), F.max("t").alias("_last")
+        F.min_by(F.struct(F.col("signal").alias("reason"), "t", "value"), hit).alias("x"), F.max("t").alias("_last"), F.first("terms_").alias("terms_")
     )
-    terms = candidates.select("snapshot_id", "candidate_id", "expiration", "legs", "entry_credit")
-    done = first.join(terms, ["snapshot_id", "candidate_id"]).join(
-        settlements, F.col("expiration") == settlements.session_date, "left"
-    )
-    settled = terminal_payoff(F.col("legs"), F.col("entry_credit"), F.col("settlement_price").cast(DEC)).cast("double")
+    done = first.join(settlements, F.col("terms_.expiration") == settlements.session_date, "left")
+    credit = F.col("terms_.entry_credit")
+    settled = terminal_payoff(F.col("terms_.legs"), credit, F.col("settlement_price").cast(DEC)).cast("double")
     held = F.col("x.reason").isNull()
-    pnl = F.when(held, settled).otherwise(F.col("entry_credit").cast("double") + F.col("x.value"))
+    pnl = F.when(held, settled).otherwise(credit.cast("double") + F.col("x.value"))
     return done.select(
-        "snapshot_id", "candidate_id", F.col("expiration").alias("session_date"),
+        "snapshot_id", "candidate_id", *[F.col(f"terms_.{c}") for c in extra], F.col("terms_.expiration").alias("session_date"),
         F.round(pnl, 6).alias("realized_pnl"),
         F.coalesce("x.reason", F.lit("expiration_settlement")).alias("exit_reason"),
         F.coalesce("x.t", "_last").alias("exit_micros"),
@@ -313,6 +316,27 @@ def managed_outcome(candidates: DataFrame, paths: DataFrame, settlements: DataFr
     ).filter(F.col("realized_pnl").isNotNull())
 
 
+def candidate_training_set(
+    candidates: DataFrame, paths: DataFrame, settlements: DataFrame, policy: ExitPolicy | None = None, seconds: float = 300.0
+) -> DataFrame:
+    """Training rows of the candidate value model: of snapshots at least `seconds` apart within their session, every
+    candidate with its economics as features and its managed P&L, absolute and per unit of maximum loss, as labels.
+
+    Needs what `candidate_economics` and `managed_outcome` need. Candidates without an outcome give no row.
+    """
+    snapshots = candidates.groupBy("snapshot_id").agg(F.min("expiration").alias("session"), F.min("observed_at").alias("seen"))
+    kept = thin_by_interval(snapshots, ["session"], ts="seen", seconds=seconds, tie=["snapshot_id"]).select("snapshot_id")
+    mine = candidates.join(kept, "snapshot_id", "left_semi")
+    features = candidate_economics(mine).select(
+        "snapshot_id", "candidate_id", F.size("legs").alias("n_legs"), "minutes_to_close", "relative_spread", "quote_age", "expected_fill_fraction",
+        "fill_probability", "fees", "entry_slippage", "exit_slippage", "maximum_loss",
+    )
+    labels = managed_outcome(mine, paths, settlements, policy)
+    return labels.join(features, ["snapshot_id", "candidate_id"]).withColumn(
+        "return_on_risk", F.when(F.col("maximum_loss") > 0, ratio(F.col("realized_pnl"), F.col("maximum_loss").cast("double")))
+    )
+
+
 def settle_session(positions: DataFrame, settlements: DataFrame) -> DataFrame:
     """Terminal P&L × contracts to 4 places (half-even) for traded and blocked (counterfactual) candidates."""
     pnl = terminal_payoff(F.col("legs"), F.col("entry_credit"), F.col("settlement_price").cast(DEC)) * F.col("contracts")

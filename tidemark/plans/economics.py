@@ -149,12 +149,10 @@ def _(spark, sf):
 def managed_inputs(spark, sf):
     tape = A.bars(spark, sf, 15, symbols=False)
     first = F.lit("2024-01-01").cast("date")
-    idx = F.pmod(F.xxhash64("snapshot_id"), F.lit(28)).cast("int")
     month = (F.substring("snapshot_id", 1, 4).cast("int") * 12 + F.substring("snapshot_id", 6, 2).cast("int")) % 28
     c = candidates(spark, sf).withColumn("expiration", F.date_add(first, month)).withColumn(
         "observed_at", F.timestamp_seconds(F.unix_timestamp(F.col("expiration").cast("timestamp")) + 10 * 3600)
     )
-    del idx
     scaled = tape.select("session_date", "ts", (F.col("close") + 895.0).alias("close"))
     minute = F.hour("ts") * 60 + F.minute("ts")
     settle = scaled.groupBy("session_date").agg(F.max_by("close", "ts").alias("settlement_price"))
@@ -184,13 +182,26 @@ MANAGED = PROOF + f""", cand AS (SELECT snapshot_id, family, {LEGS} AS lt, legs,
 def _(spark, sf):
     c, bars, minute, settle = managed_inputs(spark, sf)
     m = E.managed_outcome(c, E.session_paths(bars, minute), settle)
-    fam = c.select("snapshot_id", "candidate_id", "family")
-    return m.join(fam, ["snapshot_id", "candidate_id"]).groupBy("snapshot_id", "family", "exit_reason").agg(
+    return m.groupBy("snapshot_id", "family", "exit_reason").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("realized_pnl"), 3).alias("total_pnl"),
         F.floor(F.max("exit_micros") / 1_000_000).alias("last_exit"),
     )
 
 
+@query(
+    "candidate_training_set",
+    A.sql(
+        MANAGED + """, kp AS (SELECT min(snapshot_id) AS snapshot_id FROM (SELECT DISTINCT snapshot_id, s FROM cand) GROUP BY s)
+  SELECT snapshot_id, family, count(*) AS n, round(sum(pnl), 3) AS total_pnl FROM fi WHERE snapshot_id IN (SELECT snapshot_id FROM kp) GROUP BY ALL""",
+        "v_options", "v_tape15",
+    ),
+)
+def _(spark, sf):
+    c, bars, minute, settle = managed_inputs(spark, sf)
+    rows = E.candidate_training_set(c.withColumn("minutes_to_close", F.lit(90.0)), E.session_paths(bars, minute), settle)
+    return rows.groupBy("snapshot_id", "family").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("realized_pnl"), 3).alias("total_pnl"))
+
+
 @query(
     "mark_structures",
     A.sql(MANAGED + " SELECT snapshot_id, family, count(*) AS n_marks, round(sum(value), 2) AS sum_value FROM mk GROUP BY ALL", "v_options", "v_tape15"),
