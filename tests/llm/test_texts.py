@@ -49,7 +49,7 @@ def test_trie_walk_equals_brute_force():
 def test_substrings(spark, monkeypatch, hot):
     from tidemark.llm import substrings
 
-    monkeypatch.setattr(substrings, "HOT", hot)  # 1: every mixed anchor is counted window by window
+    monkeypatch.setattr(substrings, "HOT", hot)  # 1: every mixed anchor is halved, then counted window by window
     monkeypatch.setattr(substrings, "SHARD", 10)
     out = substrings.remove_repeats(documents(spark, clashing=True))
     got = out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()

@@ -7,7 +7,7 @@
    equal are counted once, with their number.
 3. Anchors whose stretches differ are dealt into shards. A shard's suffix automaton counts how often each path occurs;
    its own stretches are streamed over it for matching statistics, and a window is repeated if the state of its last
-   `length` words occurs twice. An anchor with very many different stretches is counted window by window instead.
+   `length` words occurs twice. Very many different stretches of one anchor are split by their words around it first.
 4. Repeated windows go back to their texts, whose covered words are removed.
 """
 
@@ -27,7 +27,7 @@ from tidemark.llm.common import bit_filter, frames, fresh, text_bytes, written
 LENGTH = 35
 GRAM = 8
 SHARD = 1_500  # stretches of a shard, about
-HOT = 2_000  # different stretches of one anchor from which windows are counted one by one
+HOT = 2_000  # different stretches of one anchor beyond which they are split
 
 
 def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
@@ -44,10 +44,10 @@ def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
     return out
 
 
-def owners(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of the runs of windows that own one anchor."""
+def owners(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, number of windows, place of the anchor) of the runs of windows that own one anchor."""
     if len(words) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     g = gram_hashes(words, gram)
     span = length - gram + 1
     n = len(words) - length + 1
@@ -61,7 +61,7 @@ def owners(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[
     cuts = np.flatnonzero(np.diff(at[:n])) + 1
     first = np.concatenate(([0], cuts))
     count = np.diff(np.concatenate((first, [n])))
-    return g[at[first]].view(np.int64), first, count
+    return g[at[first]].view(np.int64), first, count, at[first]
 
 
 class SuffixAutomaton:
@@ -128,6 +128,71 @@ class SuffixAutomaton:
         return bits
 
 
+def repeated_windows(different: DataFrame, length: int, gram: int, halve: bool) -> DataFrame:
+    """(fp, hash, mask) of stretches (fp, hash, times, windows, anchor, stretch), each once with how often it occurs: bit k
+    is set if its window k occurs more than once in stretches of the same anchor.
+
+    One kind of stretch needs only its count. A few kinds meet in the automaton of their shard. If there are very many, each
+    stretch is halved: windows that reach far behind the anchor meet by the words there, the others by the words before it;
+    halves of one kind are counted together. Halves that are still of very many kinds are counted window by window.
+    """
+    different = written(different, "different")
+    per = different.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("seen")).filter("seen > 1")
+    same = different.select("fp", "hash", "windows").join(per.filter("kinds = 1"), "fp").select("fp", "hash", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    mixed = written(different.join(per.filter("kinds > 1"), "fp"), "mixed")
+    few, many = mixed.filter(F.col("kinds") <= HOT), mixed.filter(F.col("kinds") > HOT)
+    shards = max(1, few.count() // SHARD)
+
+    def automaton(frame: pd.DataFrame) -> pd.DataFrame:
+        sam, names = SuffixAutomaton(), {}
+        texts = [[names.setdefault(w, len(names)) for w in bytes(s).split()] for s in frame["stretch"]]
+        for words, times in zip(texts, frame["times"]):
+            sam.add(words, int(times))
+        sam.finish()
+        return pd.DataFrame({"fp": frame["fp"], "hash": frame["hash"], "mask": [sam.repeated(words, length) for words in texts]})
+
+    by_shard = few.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(automaton, "fp long, hash long, mask long")
+    done = same.unionByName(by_shard)
+    if not many.limit(1).count():
+        return done
+
+    def windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames(it):
+            for fp, h, times, s in zip(frame["fp"], frame["hash"], frame["times"], frame["stretch"]):
+                words = bytes(s).split()
+                n = len(words) - length + 1
+                yield pd.DataFrame({"fp": fp, "hash": h, "times": times, "k": range(n), "window": [b" ".join(words[k:k + length]) for k in range(n)]})
+
+    middle = (length - gram + 1) // 2
+
+    def halves(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames(it):
+            rows = []
+            for fp, h, times, n, at, s in zip(frame["fp"], frame["hash"], frame["times"], frame["windows"], frame["anchor"], frame["stretch"]):
+                words = bytes(s).split()
+                cut = min(int(n), max(0, int(at) - middle + 1))  # windows before it reach at least `middle` words before the anchor
+                for lo, hi, side, near in ((0, cut, b"<", words[max(0, at - middle):at + gram]), (cut, int(n), b">", words[at:at + length - middle + 1])):
+                    if lo < hi:
+                        part = b" ".join(words[lo:hi + length - 1])
+                        names = [xxh3_64_intdigest(x) - (1 << 63) for x in (side + b" ".join(near), part)]
+                        rows.append((fp, h, times, *names, lo, hi - lo, at - lo, part))
+            yield pd.DataFrame(rows, columns=["fp", "hash", "times", "half", "part", "shift", "windows", "anchor", "stretch"])
+
+    if not halve:
+        single = many.select("fp", "hash", "times", "stretch").mapInPandas(windows, "fp long, hash long, times long, k int, window binary")
+        single = single.withColumn("window", F.sha2("window", 256))
+        twice = single.groupBy("window").agg(F.sum("times").alias("all")).filter("all > 1").select("window")
+        return done.unionByName(single.join(twice, "window").groupBy("fp", "hash").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")))
+    cut_up = many.select("fp", "hash", "times", "windows", "anchor", "stretch").mapInPandas(
+        halves, "fp long, hash long, times long, half long, part long, shift int, windows int, anchor int, stretch binary")
+    cut_up = written(cut_up, "halves")
+    kinds = cut_up.groupBy(F.col("half").alias("fp"), F.col("part").alias("hash")).agg(
+        F.sum("times").alias("times"), F.max("windows").alias("windows"), F.max("anchor").alias("anchor"), F.first("stretch").alias("stretch"))
+    covered = repeated_windows(kinds, length, gram, halve=False).select(F.col("fp").alias("half"), F.col("hash").alias("part"), "mask")
+    back = cut_up.select("fp", "hash", "half", "part", "shift").join(covered, ["half", "part"])
+    return done.unionByName(back.groupBy("fp", "hash").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask")))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
                    kept_col: str = "kept", words_col: str = "n_words", removed_col: str = "n_removed") -> DataFrame:
     """docs with kept_col (the kept words joined by one space), words_col and removed_col; columns of these names are
@@ -152,48 +217,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def stretches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = filter_.value
         for frame in frames(it):
-            cols: dict[str, list] = {c: [] for c in (k1, k2, "fp", "first", "windows", "hash", "stretch")}
+            cols: dict[str, list] = {c: [] for c in (k1, k2, "fp", "first", "windows", "anchor", "hash", "stretch")}
             for a, b, t in zip(frame[k1], frame[k2], frame[raw]):
                 words = bytes(t).split()
-                fps, first, count = owners(words, length, gram)
+                fps, first, count, anchor = owners(words, length, gram)
                 for i in np.flatnonzero(held.has(fps)):
                     text = b" ".join(words[first[i]:first[i] + count[i] + length - 1])
-                    for c, x in zip(cols, (a, b, int(fps[i]), int(first[i]), int(count[i]), xxh3_64_intdigest(text) - (1 << 63), text)):
+                    for c, x in zip(cols, (a, b, int(fps[i]), int(first[i]), int(count[i]), int(anchor[i] - first[i]), xxh3_64_intdigest(text) - (1 << 63), text)):
                         cols[c].append(x)
             yield pd.DataFrame(cols)
 
-    found = written(plain.mapInPandas(stretches, f"`{k1}` long, `{k2}` long, fp long, first long, windows int, hash long, stretch binary"), "stretches")
-    different = written(found.groupBy("fp", "hash").agg(F.count(F.lit(1)).alias("times"), F.max("windows").alias("windows"), F.first("stretch").alias("stretch")), "different")
-    per = different.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("seen")).filter("seen > 1")
-    same = different.select("fp", "hash", "windows").join(per.filter("kinds = 1"), "fp").select(
-        "fp", "hash", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
-    mixed = written(different.join(per.filter("kinds > 1"), "fp"), "mixed")
-    few = mixed.filter(F.col("kinds") <= HOT)
-    shards = max(1, few.count() // SHARD)
-
-    def automaton(frame: pd.DataFrame) -> pd.DataFrame:
-        sam, names = SuffixAutomaton(), {}
-        texts = [[names.setdefault(w, len(names)) for w in bytes(s).split()] for s in frame["stretch"]]
-        for words, times in zip(texts, frame["times"]):
-            sam.add(words, int(times))
-        sam.finish()
-        return pd.DataFrame({"fp": frame["fp"], "hash": frame["hash"], "mask": [sam.repeated(words, length) for words in texts]})
-
-    by_shard = few.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(automaton, "fp long, hash long, mask long")
-
-    def windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames(it):
-            for fp, h, times, s in zip(frame["fp"], frame["hash"], frame["times"], frame["stretch"]):
-                words = bytes(s).split()
-                n = len(words) - length + 1
-                yield pd.DataFrame({"fp": fp, "hash": h, "times": times, "k": range(n), "window": [b" ".join(words[k:k + length]) for k in range(n)]})
-
-    single = mixed.filter(F.col("kinds") > HOT).select("fp", "hash", "times", "stretch").mapInPandas(windows, "fp long, hash long, times long, k int, window binary")
-    single = single.withColumn("window", F.sha2("window", 256))
-    twice = single.groupBy("window").agg(F.sum("times").alias("all")).filter("all > 1").select("window")
-    by_window = single.join(twice, "window").groupBy("fp", "hash").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-
-    cover = same.unionByName(by_shard).unionByName(by_window).filter("mask != 0")
+    found = written(plain.mapInPandas(stretches, f"`{k1}` long, `{k2}` long, fp long, first long, windows int, anchor int, hash long, stretch binary"), "stretches")
+    different = found.groupBy("fp", "hash").agg(F.count(F.lit(1)).alias("times"), F.max("windows").alias("windows"), F.max("anchor").alias("anchor"), F.first("stretch").alias("stretch"))
+    cover = repeated_windows(different, length, gram, halve=True).filter("mask != 0")
     own = found.select(k1, k2, "first", "fp", "hash").join(cover, ["fp", "hash"]).groupBy(k1, k2).agg(F.collect_set(F.struct("first", "mask")).alias(marks))
 
     fields = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n", T.LongType()), T.StructField("removed", T.LongType())])
