@@ -139,7 +139,7 @@ def quoted(tokens: list[str], at: int) -> bool:
 
 FEATURES = ("bias", "exact", "misspelled", "quoted", "densest")
 PRIOR = np.array([-3.0, 3.0, 1.5, 0.0, 0.5])  # prior means; a kind of hit that no label shows keeps its own
-PRIOR_SD = np.array([3.0, 2.0, 1.5, 1.0, 1.0])
+PRIOR_SD = np.array([0.4, 2.5, 1.5, 1.0, 1.0])
 
 
 def context(text: str, verdicts: Verdicts) -> tuple[list[float], list[tuple[int, int]]]:
