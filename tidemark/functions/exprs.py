@@ -30,9 +30,6 @@ def clip(x: str | Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
-def null_if(cond: Column, value: Column) -> Column:
-    return F.when(~F.coalesce(cond, F.lit(True)), value)
-
 
 def epoch(ts: str | Column) -> Column:
     """Microsecond-exact epoch seconds as double."""
@@ -88,9 +85,6 @@ def array_median(values: Column) -> Column:
     return bind(F.sort_array(values), middle)
 
 
-def array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
 
 def decayed_sum(x: Column, idx: Column, q: float, w: WindowSpec) -> Column:
     """sum over i<=t of q^(t-i) * x_i as one running window sum.
@@ -142,9 +136,6 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2.0) * 0.3989422804014327
 
 
-def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
-
 
 def r6(x: str | Column, name: str | None = None) -> Column:
     out = F.round(c(x).cast("double"), 6)

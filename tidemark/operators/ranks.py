@@ -42,13 +42,6 @@ def percentile_rank(
     return in_blocks(bars, keys, "session_date", ["ts"], window, compute)
 
 
-def robust_score(value: Column, history: Column, min_samples: int = 20) -> Column:
-    """(x − median) / (1.4826·MAD) against an array of earlier values; 0 when MAD is 0, NULL until warm."""
-    med = array_median(history)
-    mad = array_median(F.transform(history, lambda v: F.abs(v - med)))
-    score = F.when(mad > 0, (value - med) / (1.4826 * F.nullif(mad, F.lit(0.0)))).otherwise(0.0)
-    return F.when(F.size(history) >= min_samples, score)
-
 
 def robust_zscore(
     bars: DataFrame, column: str, window: int = 500, min_samples: int = 20, keys: Sequence[str] = ("symbol",)
@@ -99,4 +92,4 @@ def gex_rank(
     return held.filter("_core").select(*prints.columns, n.alias("n"), rank.alias("pct_rank"))
 
 
-__all__ = ["gex_rank", "number_rows", "percentile_rank", "robust_score", "robust_zscore", "wilder_rma", "with_halo"]
+__all__ = ["gex_rank", "number_rows", "percentile_rank", "robust_zscore", "wilder_rma", "with_halo"]
