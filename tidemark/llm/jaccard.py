@@ -178,7 +178,7 @@ def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFram
 
     def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames(it):
-            cols: dict[str, list] = {c: [] for c in ("key", "sid", "n", "at")}
+            cols: dict[str, list] = {c: [] for c in ("key", "sid", "n", "at", "last", "lone")}
             for t in frame["raw"]:
                 s = shingles(bytes(t))
                 if not len(s):
@@ -190,30 +190,42 @@ def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFram
                 cols["sid"] += [name] * len(kept)
                 cols["n"] += [len(s)] * len(kept)
                 cols["at"] += kept.tolist()
+                cols["last"] += [int(keys[-1])] * len(kept)
+                cols["lone"] += [1000 * (len(keys) - len(kept)) // len(keys)] * len(kept)
             yield pd.DataFrame(cols)
 
     # one row for each key and set, however many copies of the set there are
-    held = texts.mapInPandas(members, "key long, sid binary, n int, at int").groupBy("key", "sid").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    rest = ("n", "at", "last", "lone")
+    held = texts.mapInPandas(members, "key long, sid binary, n int, at int, last long, lone int").groupBy("key", "sid").agg(*[F.first(c).alias(c) for c in rest])
     held = written(held, "members")
-    leaders = held.groupBy("key").agg(F.min(F.struct("sid", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
+    # a key's leader is the set of which most prefix keys occur elsewhere: of near copies, the text they were made from
+    leaders = held.groupBy("key").agg(F.min(F.struct("lone", "sid", "n", "at", "last")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
     held = written(held.join(leaders, "key"), "members")
 
-    def possible(a_n: str, a_at: str, b_n: str, b_at: str) -> str:
-        """Sizes near enough, and enough keys from the shared one on to reach the overlap."""
-        return (f"100 * {a_n} >= {percent} * {b_n} AND 100 * {b_n} >= {percent} * {a_n} AND "
-                f"{100 + percent} * least(least({a_n} - {a_at}, {b_n} - {b_at}) + least({a_at}, {b_at}), least({a_n}, {b_n})) >= {percent} * ({a_n} + {b_n})")
-
-    first = held.filter("sid != lead.sid").filter(possible("n", "at", "lead.n", "lead.at")).select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    def near(pairs: DataFrame) -> DataFrame:
+        """(a, b) of rows (a, b, n, at, last, n_, at_, last_), one for each prefix key that a pair shares, whose overlap can
+        still reach the threshold. Up to their last common key, and up to the end of the prefix that ends first, all common
+        keys are among those counted; what lies behind bounds the rest."""
+        size = lambda n: f"({n} - CAST(ceil({percent} * {n} / 100) AS INT) + 1)"
+        one = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("n", "at", "last", "n_", "at_", "last_")])
+        behind = lambda n, at, mine, other: f"{n} - CASE WHEN {mine} <= {other} THEN {size(n)} ELSE {at} + 1 END"
+        most = f"c + least({behind('n', 'at', 'last', 'last_')}, {behind('n_', 'at_', 'last_', 'last')})"
+        return one.filter(f"{100 + percent} * ({most}) >= {percent} * (n + n_)").select("a", "b")
+
+    sizes = f"100 * n >= {percent} * n_ AND 100 * n_ >= {percent} * n"
+    first = held.filter("sid != lead.sid").select(
+        F.col("lead.sid").alias("a"), F.col("sid").alias("b"), "n", "at", "last", *[F.col(f"lead.{c}").alias(f"{c}_") for c in ("n", "at", "last")])
+    first = near(first.filter(sizes))
     first = written(first, "pairs")
     edges = written(verified(first, texts, classes, percent), "links")
     labels = components(edges)
-    named = held.join(labels, held["sid"] == labels["node"], "left").select("key", "sid", "n", "at", F.coalesce("component", "sid").alias("class"))
+    named = held.join(labels, held["sid"] == labels["node"], "left").select("key", "sid", "n", "at", "last", F.coalesce("component", "sid").alias("class"))
     named = written(named, "classed")
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("key")
     open_ = written(named.join(mixed, "key"), "open")
-    left = open_.select("key", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "at", "class")])
-    pairs = open_.join(left, "key").filter(f"sid < sid_ AND class != class_ AND {possible('n', 'at', 'n_', 'at_')}")
-    second = pairs.select(F.col("sid").alias("a"), F.col("sid_").alias("b")).distinct()
+    other = open_.select("key", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "at", "last", "class")])
+    pairs = open_.join(other, "key").filter(f"sid < sid_ AND class != class_ AND {sizes}")
+    second = near(pairs.select(F.col("sid").alias("a"), F.col("sid_").alias("b"), "n", "at", "last", "n_", "at_", "last_"))
     second = written(second.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     more = verified(second, texts, classes, percent)
     return components(edges.union(more))
