@@ -252,3 +252,11 @@ def test_two_flat_symbols_of_one_session_have_no_volatility(spark):
     rows = [(s, "d", k, p) for k in range(40) for s, p in (("a", 10.0), ("b", 500.0))]
     obs = spark.createDataFrame(rows, "symbol string, session_date string, ts long, spot double")
     assert label_regimes(obs, keys=("symbol",)).agg(F.max("rv")).first()[0] == 0.0
+
+
+def test_robust_scaler_medians(spark):
+    from tidemark.operators.forecast import robust_scaler
+
+    rows = [([float(k), 5.0, None if k == 2 else float(10 * k)],) for k in range(4)]
+    r = robust_scaler(spark.createDataFrame(rows, "vector array<double>"), 3).first()
+    assert r.med == [1.5, 5.0, 10.0] and r.mad == [1.0, 1.0, 10.0]

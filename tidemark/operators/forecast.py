@@ -19,14 +19,18 @@ SEED = 42
 
 
 # -- feature vectors and fits ---------------------------------------------------------------------------------------
+def grouped_medians(long: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """(key, median): the mean of the middle pair where the number is even. Ranks are spread over value ranges, so a group
+    may hold all rows."""
+    middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2) + 1)
+    return ranked(long.select(key, value, tie), [key], value, [tie]).filter(middle).groupBy(key).agg(F.avg(value).alias("median"))
+
+
 def exact_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    """Median of each column's known values, the mean of the middle pair where their number is even, 0 where there is
-    none. Ranks are spread over tasks; one number a column comes to the driver."""
+    """Median of each column's known values, 0 where there is none. One number a column comes to the driver."""
     long = df.select(F.xxhash64(*names).alias("_tie"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])).alias("e"))
     known = long.select("e.name", "e.v", "_tie").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2) + 1)
-    found = ranked(known, ["name"], "v", ["_tie"]).filter(middle).groupBy("name").agg(F.avg("v").alias("m"))
-    return dict.fromkeys(names, 0.0) | {r.name: r.m for r in found.collect()}
+    return dict.fromkeys(names, 0.0) | {r.name: r.median for r in grouped_medians(known, "name", "v", "_tie").collect()}
 
 
 def vector_stages(df: DataFrame, names: Sequence[str]) -> list:
@@ -371,9 +375,10 @@ def apply_conformal(df: DataFrame, correction: DataFrame, ood_threshold: float =
 # -- out of distribution --------------------------------------------------------------------------------------------
 def robust_scaler(train: DataFrame, dims: int, vector: str = "vector") -> DataFrame:
     """One row: exact medians and MADs per dimension (MAD 0 → 1)."""
-    long = train.select(F.posexplode(F.col(vector)).alias("d", "x"))
-    med = long.groupBy("d").agg(F.median("x").alias("med"))
-    mad = long.join(F.broadcast(med), "d").groupBy("d").agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"), F.max("med").alias("med"))
+    long = train.select(F.xxhash64(vector).alias("_tie"), F.posexplode(F.col(vector)).alias("d", "x")).filter(F.col("x").isNotNull())
+    med = grouped_medians(long, "d", "x", "_tie").withColumnRenamed("median", "med")
+    off = long.join(F.broadcast(med), "d").withColumn("off", F.abs(F.col("x") - F.col("med")))  # one row per dimension
+    mad = grouped_medians(off, "d", "off", "_tie").withColumnRenamed("median", "mad").join(F.broadcast(med), "d")
     rows = mad.select("d", "med", F.when(F.col("mad") > 1e-12, F.col("mad")).otherwise(1.0).alias("mad"))
     arr = lambda n: F.transform(F.sort_array(F.collect_list(F.struct("d", n))), lambda s: s[n])
     return rows.agg(arr("med").alias("med"), arr("mad").alias("mad"))

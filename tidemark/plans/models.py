@@ -161,7 +161,15 @@ def conformal_rows(spark, sf):
     )
 
 
-@query("conformal_interval_coverage")
+@query(
+    "conformal_interval_coverage",
+    """WITH s AS (SELECT greatest(l_quantity * 0.7 - l_extendedprice / 2000, l_extendedprice / 2000 - l_quantity * 1.4, 0) AS s, l_extendedprice / 2000 AS y, l_quantity * 0.7 AS lo, l_quantity * 1.4 AS hi,
+         l_discount * 10 AS ood, l_returnflag FROM lineitem),
+       r AS (SELECT s, row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS n FROM s), h AS (SELECT max(n) AS n, (max(n) - 1) * least(1, ceil(round((max(n) + 1) * 0.9, 9)) / max(n)) AS h FROM r),
+       c AS (SELECT (SELECT s FROM r WHERE r = floor(h) + 1) + (h - floor(h)) * ((SELECT s FROM r WHERE r = least(floor(h) + 2, n)) - (SELECT s FROM r WHERE r = floor(h) + 1)) AS c FROM h),
+       k AS (SELECT s.*, c * CASE WHEN ood >= 0.8 THEN 1.5 ELSE 1 END AS k FROM s, c)
+       SELECT l_returnflag, count(*) AS n, round(avg((y >= lo - k AND y <= hi + k)::INT), 6) AS coverage FROM k GROUP BY 1""",
+)
 def _(spark, sf):
     c = conformal_rows(spark, sf)
     a = M.apply_conformal(c, M.split_conformal(c))
