@@ -81,6 +81,20 @@ def test_toxicity_learns_terms_and_meets_misspellings(spark):
     assert drop_toxic(docs, labels).filter("doc_id < 400").count() == 300
 
 
+def test_bounded_samples_keep_the_shares_of_the_labels(spark):
+    """The texts tell nothing about the label, so scores show the prior: it is that of all labelled rows, however few of
+    them are sampled."""
+    from tidemark.llm.quality import fit_quality, score_quality
+    from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+
+    rng = random.Random(8)
+    docs = documents(spark, [(k, " ".join(bag(rng, 60, 3000)), "en", "s", 0) for k in range(600)])
+    labels = spark.createDataFrame([(k, int(k % 10 > 0), int(k % 10 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    for fit, score, share in ((fit_quality, score_quality, 0.9), (fit_toxicity, score_toxicity, 0.1)):
+        means = [np.mean([r.score for r in score(docs, fit(docs, labels, max_rows=most)).collect()]) for most in (10_000, 30)]
+        assert all(abs(m - share) < 0.06 for m in means), (fit, means)
+
+
 def accuracy(rows, label: str) -> tuple[float, int]:
     held = [r for r in rows if r.held_out]
     return sum(r.predicted == r[label] for r in held) / len(held), len(held)

@@ -43,15 +43,28 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text bytes, label) of labelled documents outside the held-out fold. At most max_rows of each label value, those
-    with the smallest hash of the id; ids that are null or labelled both ways are left out."""
+def training_labels(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(__id, __y) of labelled ids outside the held-out fold; ids that are null or labelled both ways are left out."""
     one = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("__id"))
         .agg(F.min(label).alias("__y"), F.max(label).alias("__z")).filter("__y = __z")
     )
-    one = one.filter(fold(F.col("__id"), folds) != held)
+    return one.filter(fold(F.col("__id"), folds) != held).select("__id", "__y")
+
+
+def label_counts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, id_col: str = "doc_id") -> np.ndarray:
+    """Labelled rows of docs outside the held-out fold with label 0 and with label 1, all of them: a sample that is bounded
+    for each label does not show their shares."""
+    rows = docs.select(F.col(id_col).alias("__id")).join(training_labels(labels, label, folds, held), "__id")
+    counts = {r["__y"]: r.n for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return np.array([counts.get(0, 0), counts.get(1, 0)], dtype=float)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text bytes, label) of labelled documents outside the held-out fold. At most max_rows of each label value, those
+    with the smallest hash of the id, so shares of the labels come from label_counts."""
+    one = training_labels(labels, label, folds, held)
     picked = None
     for value in (0, 1):
         part = one.filter(F.col("__y") == value).orderBy(F.xxhash64("__id"), "__id").limit(max_rows).select("__id", "__y")

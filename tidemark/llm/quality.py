@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, labelled_sample, text_bytes
+from tidemark.llm.common import fresh, label_counts, labelled_sample, text_bytes
 
 STATS = (
     "log_words", "word_mean", "word_sd", "distinct", "top_word", "upper", "digit", "punct", "high", "line_words",
@@ -83,33 +83,37 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(logs[1] - logs[0], -40.0, 40.0)))
 
 
-def discriminant(x: np.ndarray, y: np.ndarray, shrink: float = 0.5, ridge: float = 0.05) -> Discriminant:
+def discriminant(x: np.ndarray, y: np.ndarray, shrink: float = 0.5, ridge: float = 0.05, counts: np.ndarray | None = None) -> Discriminant:
     """Fit from rows of statistics. shrink moves a class covariance to the pooled one, ridge moves that to its diagonal.
+    counts are the rows of label 0 and 1 that x stands for (its own if None): they give the prior and the pooled covariance.
     Statistics outside the range seen at the fit count as its ends, so a longer text than any seen is no outlier. With
     fewer than two rows of a class the score is the share of label 1 (0.5 without rows)."""
     d = len(STATS)
+    if counts is None:
+        counts = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
     if min((y == 0).sum(), (y == 1).sum()) < 2:
-        p = (float((y == 1).sum()) + 0.5) / (len(y) + 1.0)
+        p = (counts[1] + 0.5) / (counts.sum() + 1.0)
         return Discriminant(np.zeros(d), np.zeros(d), np.zeros((2, d)), np.zeros((2, d, d)), np.array([0.0, np.log(p / (1 - p))]))
     parts = [x[y == k] for k in (0, 1)]
     own = [np.cov(p.T, bias=True) for p in parts]
-    pooled = sum(len(p) * c for p, c in zip(parts, own)) / len(x)
+    shares = counts / counts.sum()
+    pooled = sum(s * c for s, c in zip(shares, own))
     means, factors, offsets = [], [], []
-    for part, cov in zip(parts, own):
+    for part, cov, share in zip(parts, own, shares):
         weight = min(1.0, shrink + d / len(part))
         cov = (1 - weight) * cov + weight * pooled
         cov = (1 - ridge) * cov + ridge * np.diag(np.diag(cov)) + 1e-4 * np.eye(d)
         chol = np.linalg.cholesky(cov)
         means.append(part.mean(axis=0))
         factors.append(np.linalg.inv(chol))
-        offsets.append(np.log(len(part) / len(x)) - np.log(np.diag(chol)).sum())
+        offsets.append(np.log(share) - np.log(np.diag(chol)).sum())
     return Discriminant(x.min(axis=0), x.max(axis=0), np.array(means), np.array(factors), np.array(offsets))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 10_000,
                 label: str = "quality") -> Discriminant:
-    """Fit on at most max_rows labelled documents of each class outside the held-out fold. Only their statistics, a few
-    numbers a row, come to the driver."""
+    """Fit on at most max_rows labelled documents of each class outside the held-out fold, with the prior of all of them. Only
+    their statistics, a few numbers a row, come to the driver."""
 
     def stats(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in it:
@@ -117,7 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
 
     rows = labelled_sample(docs, labels, label, folds, held, max_rows).mapInPandas(stats, "s array<double>, y int").collect()
     rows.sort(key=lambda r: (r.y, r.s))  # sums of floats depend on the order of rows
-    return discriminant(np.array([r.s for r in rows]).reshape(-1, len(STATS)), np.array([r.y for r in rows]))
+    counts = label_counts(docs, labels, label, folds, held)
+    return discriminant(np.array([r.s for r in rows]).reshape(-1, len(STATS)), np.array([r.y for r in rows]), counts=counts)
 
 
 def score_quality(docs: DataFrame, model: Discriminant, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import fresh, labelled_sample, text_bytes, written
+from tidemark.llm.common import fresh, label_counts, labelled_sample, text_bytes, written
 
 WINDOW = 8  # tokens on either side of a hit
 STEMS = (4, 5, 6)  # letters of a stem
@@ -175,12 +175,12 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Maximum a posteriori weights by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Maximum a posteriori weights by Newton steps; a row counts `times`."""
     w, precision = PRIOR.copy(), np.diag(PRIOR_SD ** -2.0)
     for _ in range(40):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + precision, x.T @ (y - p) - precision @ (w - PRIOR))
+        step = np.linalg.solve((x.T * (times * p * (1 - p))) @ x + precision, x.T @ (times * (y - p)) - precision @ (w - PRIOR))
         w = w + step * min(1.0, 3.0 / max(1e-12, np.abs(step).max()))
     return w
 
@@ -237,8 +237,9 @@ def lexicon(sample: DataFrame, surprise: float = 20.0, max_terms: int = MAX_TERM
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 10_000, label: str = "toxic") -> ToxicityModel:
-    """Lexicon and weights from at most max_rows labelled documents of each class outside the held-out fold. Without both
-    labels the lexicon is empty and every text scores low."""
+    """Lexicon and weights from at most max_rows labelled documents of each class outside the held-out fold; a sampled row
+    counts for as many labelled rows as its class has for each of the sample. Without both labels the lexicon is empty and
+    every text scores low."""
     sample = written(labelled_sample(docs, labels, label, folds, held, max_rows), "toxicity")
     words, stems = lexicon(sample)
     model = ToxicityModel(words, stems)
@@ -251,8 +252,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     # rows of equal features are summed in Spark; few distinct ones come to the driver
     rows = sample.mapInPandas(features, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     rows.sort(key=lambda r: (r.y, r.x))
-    x = np.array([r.x for r in rows for _ in range(r.n)]).reshape(-1, len(FEATURES))
-    model.weights = logistic(x, np.array([r.y for r in rows for _ in range(r.n)], dtype=float))
+    y, n = np.array([r.y for r in rows], dtype=int), np.array([r.n for r in rows], dtype=float)
+    each = label_counts(docs, labels, label, folds, held) / np.maximum(1, np.bincount(y, weights=n, minlength=2))
+    model.weights = logistic(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), y.astype(float), n * each[y])
     return model
 
 
