@@ -30,6 +30,17 @@ def test_one_of_each_keeps_one_row_a_class(spark):
     assert ordered(rows) == ordered(expected)
 
 
+def test_one_of_each_tells_classes_of_one_id_apart(spark):
+    """Different texts of null ids, and different texts that repeat an id, are classes of their own."""
+    from tidemark.llm.jaccard import one_of_each
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, f"{b} more", "en", "s", 0), (7, c, "en", "s", 0), (7, d, "en", "s", 0), (8, d, "en", "s", 0)]
+    got = [(r.doc_id, r.text) for r in one_of_each(documents(spark, rows)).collect()]
+    assert len(got) == 4 and {(None, a), (7, c), (7, d)} < set(got)
+    assert len({(None, b), (None, f"{b} more")} & set(got)) == 1
+
+
 def test_trie_walk_equals_brute_force():
     from tidemark.llm.jaccard import Trie
 

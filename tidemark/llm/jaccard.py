@@ -270,9 +270,10 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int)
 
 
 def jaccard_classes(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, sid, component_id) of every row: its set's size and name, and the smallest id reachable over
-    links of at least percent similarity, its own included. A null or empty text has no set and links with nothing; rows of
-    equal sets link; a null id counts as larger than any other. Every text is read whole."""
+    """(id_col, n_shingles, sid, class, component_id) of every row: its set's size and name, the name of its class, and the
+    smallest id reachable over links of at least percent similarity, its own included. A null or empty text has no set and
+    links with nothing; rows of equal sets link; a null id counts as larger than any other. Every text is read whole. Classes
+    may have the same smallest id (ids that are null or repeated), but not the same name."""
     named = docs.select(F.col(id_col), set_of(text_col).alias("s")).select(id_col, F.col("s.n").alias("n_shingles"), F.col("s.sid").alias("sid"))
     named = written(named, "set-names")
     texts = docs.select(text_bytes(F.col(text_col)).alias("raw"))
@@ -280,18 +281,19 @@ def jaccard_classes(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "do
     least = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("low"))
     least = written(least.join(classes, least["sid"] == classes["node"], "left").select("sid", "low", F.coalesce("component", "sid").alias("class")), "class-names")
     best = least.groupBy("class").agg(F.min("low").alias("component_id"))
-    by_set = least.join(best, "class").select("sid", "component_id")
-    return named.join(by_set, "sid", "left").select(id_col, "n_shingles", "sid", F.coalesce("component_id", id_col).alias("component_id"))
+    by_set = least.join(best, "class").select("sid", "class", "component_id")
+    return named.join(by_set, "sid", "left").select(id_col, "n_shingles", "sid", "class", F.coalesce("component_id", id_col).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each class the row of the smallest doc_id stays (of rows that repeat it, one).
-    Rows without a set stay. Columns as in docs."""
+    """docs without near duplicates: of each class the row of the smallest doc_id stays (of rows that repeat it, one; a
+    null id is the largest). Rows without a set stay. Columns as in docs."""
     key = fresh(docs, "__sid")
     found = jaccard_classes(docs.select("doc_id", "text"), percent)
     # one row a class: its smallest id with the name of one of its sets
-    kept = found.filter("sid IS NOT NULL").groupBy("component_id", "doc_id").agg(F.min("sid").alias("sid")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("sid").alias("__set"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")
+    kept = found.filter("sid IS NOT NULL").groupBy("class").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.sid").alias("__set"))
     named = docs.withColumn(key, set_of("text")).withColumn(key, F.col(f"{key}.sid"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     with_set = named.filter(F.col(key).isNotNull()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__set")), "left_semi")
