@@ -77,6 +77,24 @@ def test_descent_alone_finds_most_links(spark):
     assert second.filter(strong).count() > first.filter(strong).count() > 0
 
 
+def test_links_between_classes_of_full_lists(spark, monkeypatch):
+    """Two tight groups with one link between them, whose ends have more nearer partners than a list holds. The audit,
+    which would see every point of a table this small, sees none."""
+    from tidemark.llm import neighbours
+
+    real = neighbours.audit
+    monkeypatch.setattr(neighbours, "audit", lambda points, threshold, *rest: real(points, threshold, 0))
+    rng = np.random.default_rng(6)
+    at = lambda degrees: np.array([math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), *[0.0] * 14])
+    angles = [0] * 40 + [4] + [32] * 30 + [28]  # the link is 24 degrees, all other pairs across are 28 or more
+    rows = [(k, (at(d) + 0.002 * rng.standard_normal(16)).tolist(), 0) for k, d in enumerate(angles)]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("vec_id", "n_links", "component_id", "kept").collect()
+    rows = [(r[0], [float(np.float32(x)) for x in r[1]], 0) for r in rows]
+    want = links_brute(rows)
+    assert {r[2] for r in want} == {0} and want[40][1] == 41
+    assert ordered(got) == ordered(want)
+
+
 @pytest.mark.parametrize("k", [5, 1000])
 def test_search(spark, monkeypatch, k):
     from tidemark.llm import topk

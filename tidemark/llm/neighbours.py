@@ -2,9 +2,9 @@
 
 Equal vectors are one point with a count. Points that share a sign code of random hyperplanes seed the neighbour lists;
 each round joins a point's neighbours with each other and keeps the nearest. A sample of points compared with all others
-audits the recall; while it is short, more hyperplane tables are added. Edges at the threshold give classes, and a list
-that is saturated is enlarged to all members of its class, compared in blocks of bounded size, so no link inside a class is
-lost to the length of the lists.
+audits the recall; while it is short, more hyperplane tables are added. Edges at the threshold give classes. Points whose
+lists are saturated with links are compared with all such points of the neighbouring classes, and then all members of a
+class with each other, in blocks of bounded size, so no link is lost to the length of the lists.
 """
 
 from __future__ import annotations
@@ -54,9 +54,8 @@ def nearest(ids: np.ndarray, x: np.ndarray, size: int, floor: float) -> pd.DataF
     return pd.DataFrame({"a": ids[rows[ok]], "b": ids[cols[ok]], "sim": s[ok]})
 
 
-def seeded(points: DataFrame, n: int, dim: int, tables: int, seed: int, size: int = LIST) -> DataFrame:
-    """(a, b, sim) of near points that share a code in one of `tables` tables. A code that very many points share is dealt
-    into salts; what they lose to each other, the rounds of the descent find."""
+def coded(points: DataFrame, n: int, dim: int, tables: int, seed: int) -> DataFrame:
+    """(id, slot, code): sign codes of the points in `tables` tables of random hyperplanes."""
     width = max(0, math.ceil(math.log2(max(1, n / LEAF))))
     planes = np.random.default_rng(seed).standard_normal((dim, tables * width))
 
@@ -66,9 +65,15 @@ def seeded(points: DataFrame, n: int, dim: int, tables: int, seed: int, size: in
             code = (side << np.arange(width)).sum(axis=2)
             yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), tables), "slot": np.tile(np.arange(tables), len(frame)), "code": code.ravel()})
 
-    coded = points.mapInPandas(codes, "id long, slot int, code long")
-    hot = coded.groupBy("slot", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * CHUNK).select("slot", "code", F.ceil(F.col("n") / (2 * CHUNK)).alias("salts"))
-    dealt = coded.join(hot, ["slot", "code"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))))
+    return points.select("id", "v").mapInPandas(codes, "id long, slot int, code long")
+
+
+def seeded(points: DataFrame, n: int, dim: int, tables: int, seed: int, size: int = LIST) -> DataFrame:
+    """(a, b, sim) of near points that share a code in one of `tables` tables. A code that very many points share is dealt
+    into salts; what they lose to each other, the rounds of the descent find."""
+    codes = coded(points, n, dim, tables, seed)
+    hot = codes.groupBy("slot", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * CHUNK).select("slot", "code", F.ceil(F.col("n") / (2 * CHUNK)).alias("salts"))
+    dealt = codes.join(hot, ["slot", "code"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))))
     dealt = dealt.join(points.select("id", "v"), "id").repartition("slot", "code", "salt").sortWithinPartitions("slot", "code", "salt")
 
     def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,6 +134,58 @@ def audit(points: DataFrame, threshold: float, sample: int = AUDIT) -> DataFrame
     return points.select("id", "v").mapInPandas(compare, PAIRS)
 
 
+def links_across(points: DataFrame, lists: DataFrame, classes: DataFrame, n: int, dim: int, threshold: float, tables: int, seed: int) -> DataFrame:
+    """(a, b, sim): a link of every two classes that link through points with full lists of links. Points that met and
+    don't hold each other both have such lists, so these alone are compared: those of two classes that share a code and are
+    not too far apart, the larger class in blocks with blocks of all its smaller neighbours."""
+    full = lists.filter(F.col("sim") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LIST).select("a")
+    own = points.join(full, points["id"] == full["a"]).select("id", "v")
+    own = written(own.join(classes, own["id"] == classes["node"]).select("id", "v", "component"), "full")
+    hosts = written(coded(own, n, dim, tables, seed).join(own.select("id", "component"), "id").select("slot", "code", "component").distinct(), "class-codes")
+    other = hosts.select("slot", "code", F.col("component").alias("component_"))
+    met = hosts.join(other, ["slot", "code"]).filter("component < component_").select("component", "component_").distinct()
+    # of each class a point as the centre, the least cosine with it and the number of points
+    centres = own.groupBy("component").agg(F.min_by("v", "id").alias("centre"), F.count(F.lit(1)).alias("size"))
+
+    def cosines(a: str, b: str, out: str) -> object:
+        def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in it:
+                if len(frame):
+                    yield frame.drop(columns=[a, b]).assign(**{out: np.einsum("ij,ij->i", unit(frame[a]), unit(frame[b]))})
+        return local
+
+    reach = own.join(centres, "component").select("component", "v", "centre").mapInPandas(cosines("v", "centre", "reach"), "component long, reach double")
+    centres = written(centres.join(reach.groupBy("component").agg(F.min("reach").alias("reach")), "component"), "centres")
+    far = centres.select(*[F.col(c).alias(f"{c}_") for c in centres.columns])
+    sides = met.join(centres, "component").join(far, "component_")
+    sides = sides.mapInPandas(cosines("centre", "centre_", "apart"), "component_ long, component long, size long, reach double, size_ long, reach_ double, apart double")
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
+    sides = sides.filter(angle("apart") <= angle("reach") + angle("reach_") + math.acos(threshold) + 1e-6)
+    first = F.struct("size", "component") > F.struct("size_", "component_")
+    pick = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    sides = written(sides.select(
+        pick("component", "component_").alias("host"), pick("component_", "component").alias("guest"), pick("size", "size_").alias("size"),
+        pick("size_", "size").alias("guests")), "class-pairs")
+    blocks = sides.groupBy("host").agg(F.ceil(F.first("size") / BLOCK).cast("int").alias("m"), F.ceil(F.sum("guests") / BLOCK).cast("int").alias("k"))
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = own.join(blocks, own["component"] == blocks["host"]).select("host", part("m").alias("i"), every("k").alias("j"), "id", "v", F.lit(None).cast("long").alias("guest"))
+    right = own.join(sides, own["component"] == sides["guest"]).join(blocks, "host").select("host", every("m").alias("i"), part("k").alias("j"), "id", "v", "guest")
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        mine = frame["guest"].isna().to_numpy()
+        a, b = frame[mine], frame[~mine]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        sims = unit(a["v"]) @ unit(b["v"]).T
+        at = sims.argmax(axis=0)
+        out = pd.DataFrame({"a": a["id"].to_numpy()[at], "b": b["id"].to_numpy(), "sim": sims[at, np.arange(len(b))], "guest": b["guest"].to_numpy()})
+        out = out[out["sim"] >= threshold].sort_values("sim", ascending=False).drop_duplicates("guest")
+        return out[["a", "b", "sim"]]
+
+    return left.unionByName(right).groupBy("host", "i", "j").applyInPandas(best, PAIRS)
+
+
 def links_in_classes(members: DataFrame, threshold: float) -> DataFrame:
     """(id, linked): for points (id, v, times, component, size) the number of vectors of other points of the class within
     the threshold. Blocks of a class meet in pairs; only counts leave a task."""
@@ -207,6 +264,8 @@ def linked_pairs(points: DataFrame, n: int, dim: int, threshold: float, tables:
             had = now
         pairs = lists
         edges = lists.filter(F.col("sim") >= threshold)
+        across = links_across(points, lists, components(edges), n, dim, threshold, tables << attempt, seed + attempt)
+        edges = edges.union(written(across, "across"))
         if not wanted:
             return edges.union(checked)
         classes = components(edges)
