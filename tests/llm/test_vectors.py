@@ -95,6 +95,24 @@ def test_links_between_classes_of_full_lists(spark, monkeypatch):
     assert ordered(got) == ordered(want)
 
 
+def test_links_that_no_attempt_finds_are_found_by_comparing_all(spark, monkeypatch):
+    """The seeding finds nothing and the audit sees few points: the last attempt is short, so all points are compared."""
+    from tidemark.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "seeded", lambda points, *rest: points.sparkSession.createDataFrame([], neighbours.PAIRS))
+    monkeypatch.setattr(neighbours, "AUDIT_SMALL", 60, raising=False)
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(neighbours, "WHOLE", 100, raising=False)
+    got = neighbours.near_duplicates(spark.createDataFrame(table(), SCHEMA)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert ordered(got) == ordered(links_brute(table()))
+
+
+def test_tables_grow_with_the_points():
+    from tidemark.llm.neighbours import tables_for
+
+    assert [tables_for(n, 0.9, 16) for n in (0, 100, 10**6, 10**8)] == [16, 16, 28, 86]
+
+
 @pytest.mark.parametrize("k", [5, 1000])
 def test_search(spark, monkeypatch, k):
     from tidemark.llm import topk

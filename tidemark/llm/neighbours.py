@@ -1,8 +1,9 @@
 """Near-duplicate vectors by NN-descent on a neighbour graph.
 
 Equal vectors are one point with a count. Points that share a sign code of random hyperplanes seed the neighbour lists;
-each round joins a point's neighbours with each other and keeps the nearest. A sample of points compared with all others
-audits the recall; while it is short, more hyperplane tables are added. Edges at the threshold give classes. Points whose
+each round joins a point's neighbours with each other and keeps the nearest. Samples of all points and of those outside large
+classes, compared with all others, audit the recall; while it is short, more hyperplane tables are added, and at last all
+points are compared in blocks. Edges at the threshold give classes. Points whose
 lists are saturated with links are compared with all such points of the neighbouring classes, and then all members of a
 class with each other, in blocks of bounded size, so no link is lost to the length of the lists.
 """
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import frames, written
 from tidemark.llm.graph import components
 from tidemark.llm.topk import whole
 
@@ -27,7 +28,11 @@ CHUNK = 1_024  # points of a code that are compared at a time
 LIST = 16  # length of a neighbour list before it is enlarged
 EXPLORE = 0.6  # least cosine of an entry of a neighbour list
 AUDIT = 200  # points of the audit
+AUDIT_SMALL = 2_000  # points of the audit outside the classes larger than a list
+TELLS = 100  # of these with links, from which their recall is told
 RECALL = 0.99
+ATTEMPTS = 4
+WHOLE = 4_096  # points of a block when all are compared
 BLOCK = 512  # points of a block of a class
 
 PAIRS = "a long, b long, sim double"
@@ -117,13 +122,14 @@ def refined(lists: DataFrame, points: DataFrame, size: int) -> DataFrame:
     return around.groupBy("a").applyInPandas(local, PAIRS)
 
 
-def audit(points: DataFrame, threshold: float, sample: int = AUDIT) -> DataFrame:
-    """(a, b, sim): all links of a sample of points (smallest hashes of the id), by comparing it with every point."""
-    rows = points.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).select("id", "v").toPandas()
+def audit(points: DataFrame, threshold: float, sample: int = AUDIT, among: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim): all links of a sample of points (smallest hashes of the id), by comparing it with every point. The sample
+    is drawn from `among`, or from all points."""
+    rows = (points if among is None else among).orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).select("id", "v").toPandas()
     ids, x = rows["id"].to_numpy(dtype=np.int64), unit(rows["v"]) if len(rows) else np.zeros((0, 1))
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in it:
+        for frame in frames(it):
             if len(frame) and len(ids):
                 sims = x @ unit(frame["v"]).T
                 r, c = np.nonzero(sims >= threshold)
@@ -247,12 +253,54 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
         F.coalesce(F.col("vec_id") == F.coalesce("name", "vec_id"), F.lit(True)).alias("kept"))
 
 
+def tables_for(n: int, threshold: float, least: int) -> int:
+    """Tables after which a pair at the threshold has shared a code with probability RECALL; `least` or more."""
+    share = (1 - math.acos(threshold) / math.pi) ** max(0, math.ceil(math.log2(max(1, n / LEAF))))
+    return least if share >= 1 else max(least, math.ceil(math.log(1 - RECALL) / math.log1p(-share)))
+
+
+def recall(checked: DataFrame, classes: DataFrame) -> tuple[float, int]:
+    """Mean over the audited points that have links of the share of links inside a class, and the number of those points."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    hit = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")
+    each = checked.join(side("a"), "a", "left").join(side("b"), "b", "left").groupBy("a").agg(F.avg(hit).alias("share"))
+    r = each.agg(F.avg("share").alias("share"), F.count(F.lit(1)).alias("n")).first()
+    return (1.0 if r.share is None else r.share), r.n
+
+
+def every_link(points: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, sim): of all pairs of points, in blocks, a link of every two classes that link; a point of none is its own."""
+    k = -(-n // WHOLE)
+    own = points.join(classes, points["id"] == classes["node"], "left").select("id", "v", F.coalesce("component", "id").alias("component"))
+    own = written(own.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(k)).cast("int")), "blocks")
+    left = own.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(k - 1)))).select(F.col("block").alias("i"), F.col("other").alias("j"), "id", "v", "component", F.lit(True).alias("left"))
+    right = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select(F.col("other").alias("i"), F.col("block").alias("j"), "id", "v", "component", F.lit(False).alias("left"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["left"].to_numpy(dtype=bool)
+        a, b = frame[side], frame[~side]
+        out = pd.DataFrame({"a": [], "b": [], "sim": [], "ca": [], "cb": []})
+        if len(a) and len(b):
+            y, ids, own_class = unit(b["v"]).T, b["id"].to_numpy(), b["component"].to_numpy()
+            for at in range(0, len(a), BLOCK):
+                part = a.iloc[at:at + BLOCK]
+                sims = unit(part["v"]) @ y
+                r, c = np.nonzero((sims >= threshold) & (part["component"].to_numpy()[:, None] != own_class[None, :]))
+                new = pd.DataFrame({"a": part["id"].to_numpy()[r], "b": ids[c], "sim": sims[r, c], "ca": part["component"].to_numpy()[r], "cb": own_class[c]})
+                out = new if not len(out) else pd.concat((out, new), ignore_index=True)
+                out = out.drop_duplicates(["ca", "cb"])
+        return out[["a", "b", "sim"]]
+
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(meet, PAIRS)
+
+
 def linked_pairs(points: DataFrame, n: int, dim: int, threshold: float, tables: int, rounds: int, seed: int) -> DataFrame:
-    """Edges of at least the threshold between points of one length."""
-    checked = written(audit(points, threshold), "audit")
-    wanted = checked.count()
-    pairs = None
-    for attempt in range(4):
+    """Edges of at least the threshold between points of one length. The audit is of points of the whole table and of points
+    outside the larger classes, each by the mean share of a point's links. Where too few of the latter have links to tell, an
+    attempt must find no new link between classes. When the last attempt is short, all points are compared."""
+    tables = tables_for(n, threshold, tables)
+    pairs = checked = few = merged = None
+    for attempt in range(ATTEMPTS):
         fresh_pairs = seeded(points, n, dim, tables << attempt, seed + attempt)
         lists = written(shortest(fresh_pairs if pairs is None else pairs.union(fresh_pairs), LIST), "lists")
         had = lists.count()
@@ -266,11 +314,17 @@ def linked_pairs(points: DataFrame, n: int, dim: int, threshold: float, tables:
         edges = lists.filter(F.col("sim") >= threshold)
         across = links_across(points, lists, components(edges), n, dim, threshold, tables << attempt, seed + attempt)
         edges = edges.union(written(across, "across"))
-        if not wanted:
-            return edges.union(checked)
         classes = components(edges)
-        found = checked.join(classes.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
-            classes.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb").count()
-        if found >= RECALL * wanted:
-            break
-    return edges.union(checked)
+        if checked is None:
+            large = classes.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LIST)
+            inside = classes.join(large, "component").select("node")
+            outside = written(points.select("id", "v").join(inside, F.col("id") == F.col("node"), "left_anti"), "outside")
+            all_seen = outside.count() <= AUDIT_SMALL
+            checked = written(audit(points, threshold), "audit")
+            few = written(audit(points, threshold, AUDIT_SMALL, outside), "audit")
+        was, merged = merged, classes.count() - classes.select("component").distinct().count()
+        small, told = recall(few, classes)
+        short = recall(checked, classes)[0] < RECALL or (small < RECALL and not all_seen)
+        if not short and (all_seen or told >= TELLS or merged == was):
+            return edges.union(checked).union(few)
+    return edges.union(checked).union(few).union(every_link(points, classes, n, threshold))
