@@ -132,3 +132,24 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = fit_language(docs.select("doc_id", "text", "lang"))
     return predict_language(docs.select("doc_id", "text"), net).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_warc", sql="""
+WITH rows AS (
+  SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, row_number() OVER w AS n, first_value(page_id) OVER w AS first_id FROM rows
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND n > 1 THEN first_id END AS refers_to
+FROM firsts
+""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC archives written, read back, and assembled to captures through their concurrent-to identifiers."""
+    from tidemark.llm.warc import archive_records, assemble, capture_rows, page_captures, read_archives, write_archives
+    from tidemark.session import shared_folder
+
+    records = archive_records(capture_rows(read(spark, sf_dir, "pages")))
+    folder = write_archives(records, shared_folder(spark, "warc"))
+    return page_captures(assemble(read_archives(spark, folder))).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
