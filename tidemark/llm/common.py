@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_folder
@@ -111,3 +111,26 @@ def bit_filter(hashes: DataFrame, col: str, least: int = 20, most: int = 28) ->
     table = np.zeros(1 << (bits - 6), dtype=np.int64)
     table[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64)
     return BitFilter(table, bits)
+
+
+def places(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """df with `name` (long, from 0): the place of each row within its keys in the given order, rows alike in any order.
+
+    A range shuffle over keys, order and a row number sorts all rows, so a key or a repeated row that holds a third of them
+    is spread like any other. Places are counts of earlier partitions plus the place in the own one.
+    """
+    at, part, key_start, total = (fresh(df, c) for c in ("__at", "__part", "__start", "__n"))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    cut = df.withColumn(at, F.monotonically_increasing_id())
+    rows = written(
+        cut.repartitionByRange(*by, F.col(at)).sortWithinPartitions(*by, F.col(at)).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn(part, F.shiftrightunsigned(at, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition of the shuffle
+    starts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(total)).select(part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(total))
+    rows = rows.join(F.broadcast(starts), part).withColumn(at, F.col(total) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    if not keys:
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col(at).alias(name))
+    firsts = rows.groupBy(*keys).agg(F.min(at).alias(key_start))
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]
+    return rows.alias("r").join(firsts.alias("f"), same).select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col(at) - F.col(key_start)).alias(name))

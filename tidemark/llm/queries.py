@@ -153,3 +153,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_archives(records, shared_folder(spark, "warc"))
     return page_captures(assemble(read_archives(spark, folder))).select(
         "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
+@query("op12_merkle")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest over bitmap ranks; line feeds are deleted from the texts of every second document to test its proofs."""
+    from tidemark.llm.merkle import manifest
+
+    tampered = F.when(fold(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(read(spark, sf_dir, "documents"), tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
