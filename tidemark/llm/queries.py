@@ -162,3 +162,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tampered = F.when(fold(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return manifest(read(spark, sf_dir, "documents"), tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_trie")
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of conversations with subtree totals by rake and compress."""
+    from tidemark.llm.trie import prefix_trie
+
+    return prefix_trie(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
