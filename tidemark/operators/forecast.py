@@ -374,14 +374,16 @@ def apply_conformal(df: DataFrame, correction: DataFrame, ood_threshold: float =
 
 # -- out of distribution --------------------------------------------------------------------------------------------
 def robust_scaler(train: DataFrame, dims: int, vector: str = "vector") -> DataFrame:
-    """One row: exact medians and MADs per dimension (MAD 0 → 1)."""
+    """One row: exact medians and MADs per dimension (MAD 0 → 1), 0 and 1 for a dimension without values. They are computed
+    once: two numbers a dimension come to the driver, and plans that use the scaler don't hold its own."""
     long = train.select(F.xxhash64(vector).alias("_tie"), F.posexplode(F.col(vector)).alias("d", "x")).filter(F.col("x").isNotNull())
-    med = grouped_medians(long, "d", "x", "_tie").withColumnRenamed("median", "med")
-    off = long.join(F.broadcast(med), "d").withColumn("off", F.abs(F.col("x") - F.col("med")))  # one row per dimension
-    mad = grouped_medians(off, "d", "off", "_tie").withColumnRenamed("median", "mad").join(F.broadcast(med), "d")
-    rows = mad.select("d", "med", F.when(F.col("mad") > 1e-12, F.col("mad")).otherwise(1.0).alias("mad"))
-    arr = lambda n: F.transform(F.sort_array(F.collect_list(F.struct("d", n))), lambda s: s[n])
-    return rows.agg(arr("med").alias("med"), arr("mad").alias("mad"))
+    med = {r.d: r.median for r in grouped_medians(long, "d", "x", "_tie").collect()}
+    centre = F.array(*[F.lit(float(med.get(d, 0.0))) for d in range(dims)])
+    off = long.withColumn("off", F.abs(F.col("x") - centre[F.col("d")]))
+    mad = {r.d: r.median for r in grouped_medians(off, "d", "off", "_tie").collect()}
+    wide = [mad.get(d, 0.0) for d in range(dims)]
+    return train.sparkSession.createDataFrame(
+        [([float(med.get(d, 0.0)) for d in range(dims)], [float(m) if m > 1e-12 else 1.0 for m in wide])], "med array<double>, mad array<double>")
 
 
 def robust_z(df: DataFrame, scaler: DataFrame, vector: str = "vector", limit: float = 6.0) -> DataFrame:
@@ -389,63 +391,161 @@ def robust_z(df: DataFrame, scaler: DataFrame, vector: str = "vector", limit: fl
     return df.join(F.broadcast(scaler), F.lit(True)).withColumn("z", z).drop("med", "mad")
 
 
-def _euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+# -- exact nearest neighbours ---------------------------------------------------------------------------------------------
+MOST_PIVOTS = 1_024  # rows that come to the driver and are broadcast
+RINGS = 16  # rings of a cell at most
 
 
-def _best_of_blocks(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """(id, best): k smallest distances of each query row to the rows packed next to it."""
+def _distances(a, b):
+    """All distances between the rows of two matrices, by one matrix product."""
+    import numpy as np
+
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
 
-    def nearest(batches):
-        import numpy as np
-        import pandas as pd
 
-        for pdf in batches:
-            ids, best = [], []
-            for qid, qz, rows in zip(pdf["id"], pdf["z"], pdf["rows"], strict=True):
-                mat = np.stack([np.asarray(r["z"], dtype=float) for r in rows])
-                d = np.sqrt(((mat - np.asarray(qz, dtype=float)) ** 2).sum(axis=1))
-                if exclude_self:
-                    d = d[np.fromiter((r["id"] for r in rows), dtype=np.int64) != qid]
-                ids.append(qid)
-                best.append(np.sort(d)[:k].tolist())
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "best": best})
+def _closest(qids, q, tids, t, k: int, exclude_self: bool) -> list:
+    """The k smallest distances of each query row to the rows of a block. The product picks the candidates, differences give
+    their distances, so a distance of 0 is 0."""
+    import numpy as np
 
-    found = pairs.select("id", "z", "rows").mapInPandas(nearest, "id bigint, best array<double>")
-    return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    d = _distances(q, t)
+    if exclude_self:
+        d[qids[:, None] == tids[None, :]] = np.inf
+    few = min(d.shape[1], k + 4)
+    at = np.argpartition(d, few - 1, axis=1)[:, :few]
+    exact = np.sqrt(((q[:, None, :] - t[at]) ** 2).sum(axis=2))
+    exact[np.isinf(np.take_along_axis(d, at, axis=1))] = np.inf
+    return [row[np.isfinite(row)].tolist() for row in np.sort(exact, axis=1)[:, :k]]
 
 
-def knn_distance(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int = 16, block_rows: int = 4096) -> DataFrame:
-    """Mean and nearest distance to the k closest training rows, exact, by equi-joins on cells.
+class NeighbourIndex:
+    """Training rows in blocks of about block_rows, by nearest pivot and by ring of the distance to it.
 
-    Training rows (id, z) belong to the cell of their nearest pivot and are packed in blocks, so a crowded cell is
-    several blocks. A query first searches its own cell; the k-th distance found there bounds the rest, and only cells
-    whose pivot distance minus radius is within the bound are visited (triangle inequality).
+    Pivots grow with the root of the rows. Each cell is cut in up to RINGS rings at quantiles of the distance, and a ring
+    beyond block_rows (repeated rows, crowded cells) in salts, so no block holds more than a few times block_rows. Every
+    ring knows its lowest and highest distance.
     """
-    picked = train.orderBy(F.xxhash64("id"), "id").limit(pivots).agg(F.collect_list("z").alias("pivots"))
-    salts = max(1, -(-train.count() // block_rows))
-    to_pivots = F.transform("pivots", lambda p: _euclid(F.col("z"), p))
-
-    def celled(df: DataFrame) -> DataFrame:
-        d = df.join(F.broadcast(picked), F.lit(True)).select("id", "z", to_pivots.alias("pd"))
-        return d.withColumn("home", (F.array_position("pd", F.array_min("pd")) - 1).cast("int"))
-
-    t = celled(train).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts)).cast("int"))
-    packs = t.groupBy(F.col("home").alias("cell"), "salt").agg(F.collect_list(F.struct("id", "z")).alias("rows"))
-    radius = t.groupBy("home").agg(F.max(F.array_min("pd")).alias("r"))
-    radii = radius.agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radii"))
-    q = celled(queries)
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    first = _best_of_blocks(q.select("id", "z", F.col("home").alias("cell"), every_salt).join(packs, ["cell", "salt"]), k, exclude_self)
-    bound = F.when(F.size("best") >= k, F.element_at("best", -1)).otherwise(F.lit(float("inf")))
-    known = q.join(first, "id", "left").withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).join(F.broadcast(radii), F.lit(True))
-    cells = F.filter(
-        F.transform("pd", lambda d, i: F.struct(i.alias("cell"), (d - F.coalesce(F.try_element_at("radii", i), F.lit(0.0))).alias("gap"))),
-        lambda s: (s["cell"] != F.col("home")) & (s["gap"] <= F.col("bound") + 1e-9),
-    )
-    further = known.select("id", "z", F.explode(cells).alias("c")).select("id", "z", F.col("c.cell").alias("cell"), every_salt)
-    second = _best_of_blocks(further.join(packs, ["cell", "salt"]), k, exclude_self)
-    best = first.unionByName(second).groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+    def __init__(self, train: DataFrame, pivots: int | None = None, block_rows: int = 512):
+        import numpy as np
+
+        self.block_rows = block_rows
+        count = pivots or max(1, min(MOST_PIVOTS, int(train.count() ** 0.5) // 8))
+        picked = train.orderBy(F.xxhash64("id"), "id").limit(count).select("z").collect()
+        self.centres = np.array([r.z for r in picked], dtype=float)
+        rows = self.celled(train)
+        cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)]).alias("cuts"))
+        # at most MOST_PIVOTS rows, and RINGS times as many: the plan of every search needs them
+        self.cuts = cells.select("cell", "cuts", F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows)).cast("int").alias("rings"))
+        known = self.cuts.collect()
+        self.cuts = train.sparkSession.createDataFrame(known, self.cuts.schema)
+        ringed = self.ringed(rows)
+        self.rings = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect() if known else []
+        self.salts = train.sparkSession.createDataFrame(
+            [(r.cell, r.ring, -(-r.n // block_rows)) for r in self.rings], "cell int, ring int, salts long")
+        salted = ringed.join(F.broadcast(self.salts), ["cell", "ring"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")))
+        self.blocks = _blocks(salted, ["cell", "ring", "salt"], "t_")
+
+    def celled(self, df: DataFrame) -> DataFrame:
+        """(id, z, cell, d): nearest pivot and the distance to it."""
+        centres = self.centres
+
+        def nearest(batches):
+            import numpy as np
+            import pandas as pd
+
+            for f in batches:
+                if not len(f) or not len(centres):
+                    continue
+                d = _distances(np.stack(f["z"].to_numpy()).astype(float), centres)
+                at = d.argmin(axis=1)
+                yield pd.DataFrame({"id": f["id"], "z": f["z"], "cell": at.astype("int32"), "d": d[np.arange(len(d)), at]})
+
+        return df.select(F.col("id").cast("long").alias("id"), "z").mapInPandas(nearest, "id long, z array<double>, cell int, d double")
+
+    def ringed(self, rows: DataFrame) -> DataFrame:
+        ring = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("d"))) * F.col("rings") / RINGS).cast("int")
+        return rows.join(F.broadcast(self.cuts), "cell").select("id", "z", "cell", "d", ring.alias("ring"))
+
+    def visits(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(q_ids, q_zs, bounds, cell, ring, salt): each block of queries with every block of training rows that can hold one
+        of the k nearest of any of them. A first look at one block of the own ring gives the bounds."""
+        import numpy as np
+
+        dims, centres = self.centres.shape[-1], self.centres
+        cell = np.array([r.cell for r in self.rings], dtype=int)
+        low, high = np.array([r.low for r in self.rings]), np.array([r.high for r in self.rings])
+        names = [{"cell": r.cell, "ring": r.ring} for r in self.rings]
+
+        def look(batches):
+            import pandas as pd
+
+            for f in batches:
+                out = []
+                for qids, qz, tids, tz in zip(f["q_ids"], f["q_zs"], f["t_ids"], f["t_zs"]):
+                    q = np.asarray(qz, dtype=float).reshape(-1, dims)
+                    if tids is None:
+                        bound = np.full(len(q), np.inf)
+                    else:
+                        best = _closest(np.asarray(qids), q, np.asarray(tids), np.asarray(tz, dtype=float).reshape(-1, dims), k, exclude_self)
+                        bound = np.array([b[k - 1] if len(b) >= k else np.inf for b in best])
+                    to = _distances(q, centres)[:, cell]
+                    gap = np.maximum(to - high, low - to) - 1e-6 * (1.0 + to)  # a margin for the rounding of products
+                    near = (gap <= bound[:, None]).any(axis=0)
+                    out.append((qids, qz, bound.tolist(), [names[j] for j in np.flatnonzero(near)]))
+                yield pd.DataFrame(out, columns=["q_ids", "q_zs", "bounds", "near"])
+
+        rows = self.ringed(self.celled(queries))
+        sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("parts"))  # a row a ring
+        parted = rows.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")))
+        packs = _blocks(parted, ["cell", "ring", "part"], "q_").join(F.broadcast(self.salts), ["cell", "ring"], "left")
+        first = packs.withColumn("salt", F.pmod("part", "salts")).join(self.blocks, ["cell", "ring", "salt"], "left")
+        found = first.select("q_ids", "q_zs", "t_ids", "t_zs").mapInPandas(
+            look, "q_ids array<long>, q_zs array<double>, bounds array<double>, near array<struct<cell:int,ring:int>>")
+        pairs = found.withColumn("b", F.explode("near")).select("q_ids", "q_zs", "bounds", "b.cell", "b.ring")
+        return pairs.join(F.broadcast(self.salts), ["cell", "ring"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+    def search(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(id, best): the k smallest distances of each query, ascending; fewer where there are fewer rows."""
+        dims = self.centres.shape[-1]
+
+        def compare(batches):
+            import numpy as np
+            import pandas as pd
+
+            for f in batches:
+                ids, best = [], []
+                for qids, qz, bounds, tids, tz in zip(f["q_ids"], f["q_zs"], f["bounds"], f["t_ids"], f["t_zs"]):
+                    qids = np.asarray(qids)
+                    near = _closest(qids, np.asarray(qz, dtype=float).reshape(-1, dims), np.asarray(tids), np.asarray(tz, dtype=float).reshape(-1, dims), k, exclude_self)
+                    for i, d, bound in zip(qids, near, bounds):
+                        ids.append(int(i))
+                        best.append([x for x in d if x <= bound + 1e-9])
+                yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "best": best})
+
+        pairs = self.visits(queries, k, exclude_self).join(self.blocks, ["cell", "ring", "salt"])
+        found = pairs.select("q_ids", "q_zs", "bounds", "t_ids", "t_zs").mapInPandas(compare, "id bigint, best array<double>").filter(F.size("best") > 0)
+        # the k smallest of a running list, so that a query near many blocks holds no long one
+        rows = found.select("id", F.posexplode("best").alias("_p", "d"))
+        ranked_rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).filter(F.col("_r") <= k)
+        return ranked_rows.groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("best"))
+
+
+def _blocks(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """ids and one flat list of components for each block."""
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "z")).alias("_rows"))
+    return packed.select(
+        *keys, F.transform("_rows", lambda r: r["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("_rows", lambda r: r["z"])).alias(f"{prefix}zs"))
+
+
+def knn_distance(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None, block_rows: int = 512) -> DataFrame:
+    """Mean and nearest distance of (id, z) rows to the k closest training rows, exact. Blocks of queries meet the blocks of
+    training rows that the triangle inequality can't rule out, one matrix product a pair; all joins are equi-joins.
+    Queries without any training row to compare with are left out; an id stands for one row."""
+    return mean_nearest(NeighbourIndex(train, pivots, block_rows).search(queries, k, exclude_self))
+
+
+def mean_nearest(best: DataFrame) -> DataFrame:
     mean = F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best")
     return best.select("id", mean.alias("mean_distance"), F.element_at("best", 1).alias("nearest_distance"))
 
@@ -459,8 +559,9 @@ def ood_score(train: DataFrame, queries: DataFrame, dims: int, k: int = 5, limit
     """
     scaler = robust_scaler(train, dims)
     tz, qz = robust_z(train, scaler, limit=limit), robust_z(queries, scaler, limit=limit)
-    own = knn_distance(tz, tz.select("id", "z"), k, exclude_self=True).select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
-    theirs = knn_distance(qz, tz.select("id", "z"), k)
+    index = NeighbourIndex(tz.select("id", "z"))
+    own = mean_nearest(index.search(tz, k, True)).select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
+    theirs = mean_nearest(index.search(qz, k, False))
     both = own.unionByName(theirs.select("id", F.col("mean_distance").alias("d"), F.lit(0).alias("t")))
     # share of training distances <= own: counts per distance value, then a running sum over ranges of values
     cuts = both.agg(F.percentile_approx("d", [i / 64 for i in range(1, 64)]).alias("cuts"))

@@ -251,17 +251,28 @@ def _(spark, sf):
     """WITH p AS (SELECT l_orderkey AS obs_id, l_linenumber % 3 AS regime, sum(l_quantity) AS p, avg(l_discount) AS pred FROM lineitem GROUP BY ALL), s AS (SELECT * FROM (VALUES (0, 60.0), (1, 25.0), (2, 10.0)) t(regime, sessions)),
        g AS (SELECT obs_id, avg(pred) AS g FROM p GROUP BY 1), x AS (SELECT p.obs_id, p, CASE WHEN sessions >= 20 THEN sessions / (sessions + 40) ELSE 0 END AS w, pred, g FROM p JOIN s USING (regime) JOIN g USING (obs_id)),
        y AS (SELECT *, w * pred + (1 - w) * g AS sx FROM x), m AS (SELECT obs_id, sum(p * sx) / sum(p) AS mu FROM y GROUP BY 1)
-       SELECT y.obs_id, round(any_value(mu), 6) AS prediction, round(sum(p * (sx - mu) ** 2) / sum(p), 8) AS disagreement FROM y JOIN m USING (obs_id) GROUP BY 1""",
+       SELECT y.obs_id, round(any_value(mu), 6) AS prediction, round(sum(p * (sx - mu) ** 2) / sum(p) + 1e-11, 8) AS disagreement FROM y JOIN m USING (obs_id) GROUP BY 1""",
 )
 def _(spark, sf):
     li = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("obs_id"), (F.col("l_linenumber") % 3).alias("regime")).agg(F.sum("l_quantity").alias("p"), F.avg("l_discount").alias("pred"))
     support = spark.createDataFrame([(0, 60.0), (1, 25.0), (2, 10.0)], "regime int, sessions double")
     g = li.groupBy("obs_id").agg(F.avg("pred").alias("g"))
     m = M.mixture_of_experts(li.select("obs_id", "regime", "pred"), li.select("obs_id", "regime", "p"), support, g)
-    return m.select("obs_id", r6("prediction", "prediction"), F.round("disagreement", 8).alias("disagreement"))
+    return m.select("obs_id", r6("prediction", "prediction"), F.round(F.col("disagreement") + 1e-11, 8).alias("disagreement"))  # decimals end on a 5
 
 
-@query("ood_score")
+@query(
+    "ood_score",
+    """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT id, label, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM e),
+       m AS (SELECT d, median(x) AS med FROM l WHERE label < 8 GROUP BY 1), a AS (SELECT d, any_value(med) AS med, median(abs(x - med)) AS mad FROM l JOIN m USING (d) WHERE label < 8 GROUP BY 1),
+       z AS (SELECT id, any_value(label) AS label, list(greatest(-6, least(6, 0.6745 * (x - med) / CASE WHEN mad > 1e-12 THEN mad ELSE 1 END)) ORDER BY d) AS z FROM l JOIN a USING (d) GROUP BY 1),
+       p AS (SELECT q.id, q.label, q.id = t.id AS self, list_distance(q.z, t.z) AS d FROM z q JOIN z t ON t.label < 8),
+       n AS (SELECT id, avg(d) AS mean_distance FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM p) WHERE r <= 5 GROUP BY 1),
+       o AS (SELECT avg(d) AS d FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM p WHERE label < 8 AND NOT self) WHERE r <= 5 GROUP BY id),
+       c AS (SELECT n.id, any_value(n.mean_distance) AS mean_distance, count(*) FILTER (o.d <= n.mean_distance) / count(*) AS pct FROM n, o GROUP BY 1)
+       SELECT c.id, round(0.35 * len([x FOR x IN z IF abs(x) >= 6 * 0.85]) / len(z) + 0.65 * pct, 6) AS score, round(pct, 6) AS percentile, round(mean_distance, 6) AS mean_distance,
+         CASE WHEN pct <= 0.80 THEN 'normal_support' WHEN pct <= 0.95 THEN 'reduced_support' WHEN pct <= 0.99 THEN 'high_ood' ELSE 'extreme_ood' END AS bucket FROM c JOIN z USING (id)""",
+)
 def _(spark, sf):
     e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     o = M.ood_score(e.filter("label < 8").select("id", "vector"), e.select("id", "vector"), 64)

@@ -96,10 +96,8 @@ def _(spark, sf):
     A.sql(
         """
     SELECT symbol, epoch(ts)::BIGINT AS ts_sec, round(close, 6) AS close FROM (
-      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM (
-        SELECT symbol, date_trunc('hour', ts) AS ts, first(price ORDER BY seq) AS close
-        FROM v_ticks GROUP BY symbol, date_trunc('hour', ts)))
-    WHERE rn <= 420""",
+      SELECT symbol, date_trunc('hour', ts) AS ts, first(price ORDER BY seq) AS close
+      FROM v_ticks GROUP BY symbol, date_trunc('hour', ts))""",
         "v_ticks",
     ),
 )
