@@ -6,7 +6,7 @@ import pytest
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"train_group", "ood_score", "range_survival_model", "barrier_touch_model", "return_quantiles", "volatility_model"}
+SLOW: set[str] = set()
 
 
 def names():

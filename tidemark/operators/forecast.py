@@ -493,7 +493,8 @@ class NeighbourIndex:
                     gap = np.maximum(to - high, low - to) - 1e-6 * (1.0 + to)  # a margin for the rounding of products
                     near = (gap <= bound[:, None]).any(axis=0)
                     out.append((qids, qz, bound.tolist(), [names[j] for j in np.flatnonzero(near)]))
-                yield pd.DataFrame(out, columns=["q_ids", "q_zs", "bounds", "near"])
+                if out:
+                    yield pd.DataFrame(out, columns=["q_ids", "q_zs", "bounds", "near"])
 
         rows = self.ringed(self.celled(queries))
         sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("parts"))  # a row a ring
@@ -521,7 +522,8 @@ class NeighbourIndex:
                     for i, d, bound in zip(qids, near, bounds):
                         ids.append(int(i))
                         best.append([x for x in d if x <= bound + 1e-9])
-                yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "best": best})
+                if ids:
+                    yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "best": best})
 
         pairs = self.visits(queries, k, exclude_self).join(self.blocks, ["cell", "ring", "salt"])
         found = pairs.select("q_ids", "q_zs", "bounds", "t_ids", "t_zs").mapInPandas(compare, "id bigint, best array<double>").filter(F.size("best") > 0)
@@ -695,22 +697,3 @@ def drift_level(df: DataFrame, watch: float = 0.1, freeze: float = 0.25, min_ski
         F.when(fall, "rollback").when(skill < min_skill - 0.1, "rollback").when((skill < min_skill) & (base == "ok"), "freeze").otherwise(base)
     )
     return df.withColumn("level", level)
-
-
-def train_group(rows: DataFrame, folds: DataFrame, names: Sequence[str], label: str = "y", session: str = "session_date", min_rows: int = 200, min_skill: float = 0.01) -> DataFrame:
-    """Walk-forward out-of-fold metrics of the direction role: one fit per fold (few), everything else distributed.
-
-    Returns fold rows with n, Brier, base Brier and skill; `edge` marks a skill of at least one percent.
-    """
-    from tidemark.operators.evaluation import probability_scores
-
-    ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # at most n_folds rows
-    out = None
-    for fold in ids:
-        f = folds.filter(F.col("fold") == fold)
-        part = lambda role: rows.join(F.broadcast(f.filter(F.col("role") == role).select(session)), session, "left_semi")
-        train, test = part("train"), part("test")
-        scored = probability(logistic(train, names, label), test, names).select("p", F.col(label).alias("y"), F.lit(fold).alias("fold"))
-        out = scored if out is None else out.unionByName(scored)
-    m = probability_scores(out, ["fold"])
-    return m.withColumn("enough", F.col("n") >= min_rows).withColumn("edge", F.col("brier_skill") >= min_skill)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import r6
 from tidemark.operators import forecast as M
-from tidemark.operators.journal import expanding_folds
+from tidemark.operators import training as T
 from tidemark.plans import adapters as A
 from tidemark.plans.registry import query
 
@@ -392,18 +392,45 @@ def _(spark, sf):
     return M.drift_level(e).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def group_rows(spark, sf):
+    """Quarter-hour observations with every role's label and features known at their time."""
+    from pyspark.sql import Window
+
+    from tidemark.operators import labels as L
+    from tidemark.plans import labels as PL
+
+    obs, tape = PL.observations(spark, sf), PL.tape(spark, sf)
+    labels = L.label_observations(obs, tape, base_bar_minutes=15, horizons={"30m": 30})
+    day = Window.partitionBy("session_date").orderBy("ts")
+    c = F.col("close")
+    features = tape.select(
+        F.unix_timestamp("ts").alias("obs_id"), (F.hour("ts") + F.minute("ts") / 60.0).alias("hour"), F.col("volume").cast("double").alias("vol"), (F.col("high") - F.col("low")).alias("width"),
+        F.ln(c / F.col("open")).alias("body"), F.ln(c / F.lag("close", 4).over(day)).alias("momentum"), (c - F.floor(c)).alias("wall_place"))
+    cols = [r[1] for r in T.ROLES]
+    return labels.select("obs_id", "session_date", *cols).join(features, "obs_id")
+
+
+GROUP = ["hour", "vol", "width", "body", "momentum", "wall_place"]
+
+
 @query("train_group")
 def _(spark, sf):
-    b = bar_returns(spark, sf).withColumn("y", (F.col("y") > 0).cast("int"))
-    folds = expanding_folds(b.select("session_date"))
-    t = M.train_group(b, folds, ["hour", "vol", "width"])
-    return t.select("fold", "n", r6("brier", "brier"), r6("brier_skill", "brier_skill"), F.col("edge").cast("int").alias("edge"))
+    report, _, _ = T.train_group(group_rows(spark, sf), GROUP)
+    metrics = F.transform_values("metrics", lambda _, v: F.round(v, 6))
+    return report.select("role", "label", "n_rows", F.col("trained").cast("int").alias("trained"), "reason", "fold_count", F.to_json(metrics).alias("metrics"), r6("skill", "skill"), F.col("edge").cast("int").alias("edge"))
+
+
+@query("out_of_fold_predictions")
+def _(spark, sf):
+    _, held, _ = T.train_group(group_rows(spark, sf), GROUP)
+    return held.select("role", "fold", "obs_id", "name", r6("y", "y"), r6("value", "value"))
 
 
 @query("serve_forecasts")
 def _(spark, sf):
-    b = bar_returns(spark, sf)
-    up = b.withColumn("up", (F.col("y") > 0).cast("int"))
-    p = M.probability(M.logistic(up.filter(F.dayofmonth("session_date") <= 20), ["hour", "vol", "width"], "up"), up, ["hour", "vol", "width"], "p_up")
-    bundle = F.struct(F.round("p_up", 6).alias("p_up"), F.lit("direction").alias("role"))
-    return p.select("symbol", F.unix_timestamp("ts").alias("ts_sec"), F.to_json(bundle).alias("bundle"))
+    rows = group_rows(spark, sf)
+    _, _, group = T.train_group(rows, GROUP)
+    group.required = ("hour", "width")
+    served = T.serve_group(rows.select("obs_id", *GROUP), group)
+    rounded = F.transform_values("forecast", lambda _, m: F.transform_values(m, lambda _, v: F.round(v, 6)))
+    return served.select("obs_id", F.col("served").cast("int").alias("served"), "reason", F.to_json(rounded).alias("bundle"))
