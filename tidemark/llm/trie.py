@@ -129,10 +129,13 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
         zero = F.lit(0).cast("long")
         single = F.col("parent_id").isNotNull() & (F.col("children") - F.coalesce("gone", zero) == 1) & coin("id", n)
         more = written(more.select("id", "parent_id", *[(F.col(v) + F.coalesce(f"given_{v}", zero)).alias(v) for v in values], *above, single.alias("heads")), "raked")
-        heads = more.filter("heads").select(F.col("id").alias("parent_id"), F.lit(True).alias("parent_heads"))
+        heads = more.filter("heads").select(F.col("id").alias("parent_id"))
         # a chosen node whose parent isn't chosen goes; its child then hangs from its parent
         out = more.filter("heads").join(heads, "parent_id", "left_anti")
         out = written(out.select(F.col("id").alias("gone_id"), F.col("parent_id").alias("gone_parent"), *[F.col(c).alias(f"gone_{c}") for c in (*values, *above)]), "compressed")
+        if out.isEmpty():
+            left = more.select("id", "parent_id", *values, *above)
+            continue
         met = more.join(out, F.col("parent_id") == F.col("gone_id"), "left").join(out.select(F.col("gone_id").alias("id")), "id", "left_anti")
         met = written(met.select(
             "id", F.coalesce("gone_parent", "parent_id").alias("parent_id"), *values,
@@ -145,6 +148,7 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     totals = raked[0]
     for part in raked[1:]:
         totals = totals.unionByName(part)
+    totals = written(totals, "raked-totals") if compressed else totals
     for part in reversed(compressed):
         below = totals.select(F.col("id").alias("child"), *[F.col(v).alias(f"below_{v}") for v in values])
         back = part.join(below, "child").select("id", *[plus(v, f"below_{v}").alias(v) for v in values])
