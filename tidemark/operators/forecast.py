@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio, uniform_hash
+from tidemark.functions.tables import materialized
 from tidemark.operators.windows import ranked
 
 SEED = 42
@@ -433,7 +434,7 @@ class NeighbourIndex:
         count = pivots or max(1, min(MOST_PIVOTS, int(train.count() ** 0.5) // 8))
         picked = train.orderBy(F.xxhash64("id"), "id").limit(count).select("z").collect()
         self.centres = np.array([r.z for r in picked], dtype=float)
-        rows = self.celled(train)
+        rows = materialized(self.celled(train), "cells")
         cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)]).alias("cuts"))
         # at most MOST_PIVOTS rows, and RINGS times as many: the plan of every search needs them
         self.cuts = cells.select("cell", "cuts", F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows)).cast("int").alias("rings"))
