@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.tables import materialized
 from tidemark.operators.quality import FAMILIES
 
 DEC = "decimal(18,6)"
@@ -398,45 +399,71 @@ def dedupe_by_payoff(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def drop_dominated(candidates: DataFrame) -> DataFrame:
-    """Anti-join away every candidate some other one of its snapshot beats.
+def payoff_rows(candidates: DataFrame) -> DataFrame:
+    """(snapshot_id, candidate_id, credit, calls, strikes, quantities, grid) in millionths: all that the payoff needs. grid is
+    0, every strike of the snapshot's candidates and 50 above the last."""
+    leg = lambda f: F.transform("legs", f)
+    rows = candidates.select(
+        "snapshot_id", "candidate_id", _micros(F.col("entry_credit")).alias("credit"), leg(lambda x: x["option_type"] == "call").alias("calls"),
+        leg(lambda x: _micros(x["strike"])).alias("strikes"), leg(lambda x: x["quantity"].cast("bigint")).alias("quantities"))
+    grid = rows.select("snapshot_id", F.explode("strikes").alias("k")).groupBy("snapshot_id").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    grid = grid.select("snapshot_id", F.concat(F.array(F.lit(0).cast("bigint")), "ks", F.array(F.array_max("ks") + 50_000_000)).alias("grid"))
+    return rows.join(grid, "snapshot_id")
 
-    a beats b when credit(a) >= credit(b) and a's payoff is nowhere lower and somewhere higher on the snapshot's
-    strike grid. The relation is a strict partial order, so the survivors are the maximal set in any order. Scalar
-    necessary conditions are tested before the curves, and only (id, credit, curve) rows enter the join.
+
+def payoff_points(frame):
+    """Matrix of the entry credit and the P&L on the grid, one line a candidate of one snapshot. A candidate beats another
+    when none of its points is lower and its P&L sum is higher."""
+    import numpy as np
+
+    grid = np.asarray(frame["grid"].iloc[0], dtype=np.int64)
+    credit = frame["credit"].to_numpy(dtype=np.int64)
+    out = np.repeat(credit[:, None], len(grid) + 1, axis=1)
+    for i, (calls, strikes, quantities) in enumerate(zip(frame["calls"], frame["strikes"], frame["quantities"])):
+        for call, k, q in zip(calls, strikes, quantities):
+            out[i, 1:] += q * np.maximum(grid - k if call else k - grid, 0)
+    return out
+
+
+def maximal_rows(points, area, chunk: int = 256) -> tuple[list[int], int]:
+    """Rows that no other one beats, and the pairs compared.
+
+    Rows come in descending area, so only earlier ones can beat a row, and as the relation is transitive only earlier
+    maximal ones need to be asked: a chunk meets the maximal rows so far in one comparison, then its own rest.
     """
-    grid = (
-        candidates.select("snapshot_id", F.explode(F.transform("legs", lambda x: _micros(x["strike"]))).alias("k"))
-        .groupBy("snapshot_id")
-        .agg(F.sort_array(F.collect_set("k")).alias("ks"))
-        .select(
-            "snapshot_id",
-            F.concat(F.array(F.lit(0).cast("bigint")), "ks", F.array(F.array_max("ks") + 50_000_000)).alias("grid"),
-        )
-    )
-    curves = candidates.join(grid, "snapshot_id").select(
-        "snapshot_id", "candidate_id", "entry_credit",
-        F.flatten(
-            F.transform(
-                F.array(leg_micros(F.col("legs"))),
-                lambda m: F.transform("grid", lambda s: payoff_micros(m, _micros(F.col("entry_credit")), s)),
-            )
-        ).alias("curve"),
-    )
-    scored = curves.select(
-        "*", F.aggregate("curve", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("area"),
-        F.element_at("curve", 1).alias("head"), F.element_at("curve", -1).alias("tail"),
-    )
-    a = scored.select(*[F.col(n).alias(f"a_{n}") for n in scored.columns])
-    cond = (
-        (a.a_snapshot_id == scored.snapshot_id)
-        & (a.a_entry_credit >= scored.entry_credit)
-        & (a.a_area > scored.area)
-        & (a.a_head >= scored["head"])
-        & (a.a_tail >= scored["tail"])
-        & F.forall(F.zip_with(a.a_curve, scored.curve, lambda x, y: x >= y), lambda ok: ok)
-    )
-    survivors = scored.join(a, cond, "left_anti").select("snapshot_id", "candidate_id")
+    import numpy as np
+
+    order = np.lexsort((np.arange(len(area)), -area))
+    kept = np.zeros(0, dtype=int)
+    compared = 0
+    for at in range(0, len(order), chunk):
+        part = order[at:at + chunk]
+        for top in range(0, len(kept), chunk):
+            best = kept[top:top + chunk]
+            compared += len(best) * len(part)
+            beaten = ((points[best][:, None, :] >= points[part][None, :, :]).all(axis=2) & (area[best][:, None] > area[part][None, :])).any(axis=0)
+            part = part[~beaten]
+        compared += len(part) * len(part)
+        beaten = ((points[part][:, None, :] >= points[part][None, :, :]).all(axis=2) & (area[part][:, None] > area[part][None, :])).any(axis=0)
+        kept = np.concatenate((kept, part[~beaten]))
+    return sorted(kept.tolist()), compared
+
+
+def drop_dominated(candidates: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """Candidates that no other one of their snapshot beats (see payoff_points). The relation is a strict partial order, so a
+    snapshot is cut in blocks, each block gives its maximal rows, and those of all blocks meet in one merge."""
+    candidates = materialized(candidates, "candidates")
+    rows = payoff_rows(candidates)
+    sizes = rows.groupBy("snapshot_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+
+    def maximal(frame):
+        points = payoff_points(frame)
+        return frame.iloc[maximal_rows(points, points[:, 1:].sum(axis=1))[0]]
+
+    cut = rows.join(sizes, "snapshot_id").withColumn("block", F.pmod(F.xxhash64("candidate_id"), F.col("blocks")))
+    keep = [c for c in rows.columns]
+    local = cut.groupBy("snapshot_id", "block").applyInPandas(lambda f: maximal(f)[keep], rows.schema)
+    survivors = local.groupBy("snapshot_id").applyInPandas(maximal, rows.schema).select("snapshot_id", "candidate_id")
     return candidates.join(survivors, ["snapshot_id", "candidate_id"], "left_semi")
 
 

@@ -184,9 +184,8 @@ def _(spark, sf):
     return s.select("snapshot_id", "family", "geometry_hash", "candidate_id", "entry_type")
 
 
-def small_universe(spark, sf, dominance=True):
-    cfg = S.StructureConfig(families=("call_debit_spread", "bear_call_credit_spread", "long_call"))
-    return S.candidate_universe(A.options(spark, sf), cfg, dominance)
+def universe(spark, sf, families=None):
+    return S.candidate_universe(A.options(spark, sf), S.StructureConfig(families=families))
 
 
 @query(
@@ -206,12 +205,12 @@ def small_universe(spark, sf, dominance=True):
     ),
 )
 def _(spark, sf):
-    return small_universe(spark, sf).select("snapshot_id", "family", S.legs_text(F.col("legs")).alias("legs"))
+    return universe(spark, sf, ("call_debit_spread", "bear_call_credit_spread", "long_call")).select("snapshot_id", "family", S.legs_text(F.col("legs")).alias("legs"))
 
 
 @query("candidate_universe")
 def _(spark, sf):
-    u = S.universe_ids(small_universe(spark, sf))
+    u = S.universe_ids(universe(spark, sf))  # all 13 families
     return u.select("snapshot_id", "n_candidates", "universe_id")
 
 
