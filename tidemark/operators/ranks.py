@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import array_median, epoch, finite, rank_below, trailing, wilder
+from tidemark.functions.order import sliding_rank
 from tidemark.operators.windows import in_blocks, number_rows, with_halo
 
 
@@ -75,21 +76,26 @@ def gex_rank(
     """Rank of |net GEX| among the prints of the last `max_age_days` (the newest max_entries of them, if given), itself
     included; 0.5 until warm.
 
-    Blocks are stretches of time of that length, each with the stretch before it, so a frame is exact and a symbol is many
-    tasks whatever its history.
+    Blocks are stretches of time of that length, each with the stretch before it, so a window is exact and a symbol is many
+    tasks whatever its history; inside a block windows are counted over sorted runs. A null value counts in the window but
+    ranks below nothing.
     """
-    age = max_age_days * 86_400.0
-
+    age = int(max_age_days * 86_400 * 1e6)
     micros, mag = F.unix_micros("ts"), F.abs(F.col(column)).cast("double")
-    own = F.floor(micros / (age * 1e6))
+    own = F.floor(micros / age)
     blocks = prints.withColumns({"_t": micros, "_m": mag}).withColumn("_blk", F.explode(F.array(own, own + 1))).withColumn("_core", F.col("_blk") == own)
-    w = Window.partitionBy(*keys, "_blk").orderBy("_t")
-    held = blocks.withColumn("_f", F.collect_list("_m").over(w.rangeBetween(-int(age * 1e6), 0)))
-    if max_entries is not None:
-        held = held.withColumn("_f", F.slice("_f", -F.least(F.size("_f"), F.lit(max_entries)), max_entries))
-    n = F.size("_f")
-    rank = F.when(n < min_samples, F.lit(0.5)).otherwise(F.size(F.filter("_f", lambda m: m < F.col("_m"))) / n.cast("double"))
-    return held.filter("_core").select(*prints.columns, n.alias("n"), rank.alias("pct_rank"))
+
+    def rank(frame):
+        import numpy as np
+
+        frame = frame.sort_values("_t", kind="stable")
+        n, below = sliding_rank(frame["_t"].to_numpy(), frame["_m"].fillna(np.inf).to_numpy(), age, 0, max_entries)
+        known = frame["_m"].notna().to_numpy()
+        out = frame.assign(n=n.astype("int32"), pct_rank=np.where(n < min_samples, 0.5, np.where(known, below, 0) / n))
+        return out[out["_core"]].drop(columns=["_t", "_m", "_blk", "_core"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema.fields)
+    return blocks.groupBy(*keys, "_blk").applyInPandas(rank, f"{fields}, n int, pct_rank double")
 
 
 __all__ = ["gex_rank", "number_rows", "percentile_rank", "robust_zscore", "wilder_rma", "with_halo"]

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.exprs import epoch
+from tidemark.functions.order import sliding_median_score, sliding_rank
 from tidemark.operators.bars import OPEN_MINUTE
 from tidemark.operators.quality import classify_feed
 
@@ -103,53 +104,83 @@ def settle_closed_sessions(snapshots: DataFrame, value: str = "value", late: str
 
 
 # -- keyed state: rolling rank and robust score ----------------------------------------------------------------------
-STATE = "t array<double>, v array<double>"
-
-
-def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 10.0, max_entries: int | None = None, min_samples: int = 30) -> DataFrame:
+class KeyedWindow(StatefulProcessor):
+    """A key's trailing rows (time, value) as list state. Every micro-batch scores its new rows against the held ones, keeps
+    those that a later row can still need, and sets a timer: a key that is idle for `age` after its last row, in event time,
+    gives up its state."""
+
+    def __init__(self, key: str, value: str, age: float):
+        self.key, self.value, self.age = key, value, age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t double, v double")
+
+    def scored(self, times: np.ndarray, values: np.ndarray, first: int) -> tuple[dict[str, np.ndarray], int]:
+        """Result columns of the rows from `first` on, and the first row to hold."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        past = np.array([tuple(r) for r in self.held.get()], dtype=float).reshape(-1, 2) if self.held.exists() else np.zeros((0, 2))
+        frames = list(rows)
+        fresh = pd.concat(frames).sort_values("ts", kind="stable")
+        seconds = fresh["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        times, values = np.concatenate((past[:, 0], seconds)), np.concatenate((past[:, 1], fresh[self.value].to_numpy(dtype=float)))
+        # a late row takes its place in time among the held ones
+        order = np.argsort(times, kind="stable")
+        is_new = np.arange(len(times))[order] >= len(past)
+        first = int(np.argmax(is_new))
+        columns, keep = self.scored(times[order], values[order], first)
+        new = is_new[first:]
+        yield pd.DataFrame({self.key: key[0], "ts": fresh["ts"].to_numpy(), **{n: c[new] for n, c in columns.items()}})
+        self.held.put([(float(t), float(v)) for t, v in zip(times[order][keep:], values[order][keep:])])
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int((times.max() + self.age) * 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class RollingRank(KeyedWindow):
+    def __init__(self, key: str, age: float, max_entries: int | None, min_samples: int):
+        super().__init__(key, "net_gex", age)
+        self.max_entries, self.min_samples = max_entries, min_samples
+
+    def scored(self, times: np.ndarray, values: np.ndarray, first: int) -> tuple[dict[str, np.ndarray], int]:
+        n, below = sliding_rank(times, np.abs(values), self.age, first, self.max_entries)
+        keep = int(np.searchsorted(times, times[-1] - self.age, "left"))
+        return {"n": n.astype("int32"), "pct_rank": np.where(n < self.min_samples, 0.5, below / n)}, keep if self.max_entries is None else max(keep, len(times) - self.max_entries)
+
+
+class RobustScore(KeyedWindow):
+    def __init__(self, key: str, age: float, window: int, min_samples: int):
+        super().__init__(key, "value", age)
+        self.window, self.min_samples = window, min_samples
+
+    def scored(self, times: np.ndarray, values: np.ndarray, first: int) -> tuple[dict[str, np.ndarray], int]:
+        return {"robust_z": sliding_median_score(values, first, self.window, self.min_samples)}, max(0, len(values) - self.window)
+
+
+def rolling_rank(prints: DataFrame, key: str = "symbol", max_age_days: float = 10.0, max_entries: int | None = None, min_samples: int = 30, late: str = "1 hour") -> DataFrame:
     """Rank of |net_gex| among the key's prints of the last ten days (the newest max_entries of them, if given), .5 until warm; survives restarts
     with the checkpoint. Twin of the batch `gex_rank`. Columns: key, ts, net_gex.
 
-    The state of a key is its prints of ten days, whatever the stream's length.
+    The state of a key is its prints of ten days, whatever the stream's length, and goes when the watermark is ten days past
+    its last print.
     """
-    age = max_age_days * 86_400.0
-
-    def rank(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        fresh = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, gex in zip(fresh["ts"], fresh["net_gex"], strict=True):
-            now, mag = ts.timestamp(), abs(float(gex))
-            held.append((now, mag))
-            held = [h for h in held if h[0] >= now - age]
-            held = held[-max_entries:] if max_entries else held
-            n = len(held)
-            out.append((k[0], ts, n, 0.5 if n < min_samples else sum(h[1] < mag for h in held) / n))
-        state.update(([h[0] for h in held], [h[1] for h in held]))
-        yield pd.DataFrame(out, columns=[key, "ts", "n", "pct_rank"])
-
     schema = f"{key} string, ts timestamp, n int, pct_rank double"
-    return prints.groupBy(key).applyInPandasWithState(rank, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def robust_stream(values: DataFrame, key: str = "symbol", window: int = 500, min_samples: int = 20) -> DataFrame:
-    """Robust z-score of each value against the key's earlier ones (newest 500). Twin of the batch `robust_zscore`.
-    Columns: key, ts, value."""
-
-    def score(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, past = (list(x) for x in state.get) if state.exists else ([], [])
-        fresh = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, value in zip(fresh["ts"], fresh["value"], strict=True):
-            z = None
-            if len(past) >= min_samples:
-                med = float(np.median(past))
-                mad = float(np.median(np.abs(np.asarray(past) - med)))
-                z = (float(value) - med) / (1.4826 * mad) if mad > 0 else 0.0
-            times, past = [*times, ts.timestamp()][-window:], [*past, float(value)][-window:]
-            out.append((k[0], ts, z))
-        state.update((times, past))
-        yield pd.DataFrame(out, columns=[key, "ts", "robust_z"])
+    return prints.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(
+        RollingRank(key, max_age_days * 86_400.0, max_entries, min_samples), schema, "Append", "EventTime")
+
 
+def robust_stream(values: DataFrame, key: str = "symbol", window: int = 500, min_samples: int = 20, idle_days: float = 10.0, late: str = "1 hour") -> DataFrame:
+    """Robust z-score of each value against the key's earlier ones (newest 500). Twin of the batch `robust_zscore`. A key
+    that is idle for idle_days starts anew. Columns: key, ts, value."""
     schema = f"{key} string, ts timestamp, robust_z double"
-    return values.groupBy(key).applyInPandasWithState(score, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return values.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(
+        RobustScore(key, idle_days * 86_400.0, window, min_samples), schema, "Append", "EventTime")
