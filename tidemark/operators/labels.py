@@ -51,6 +51,70 @@ def _axis(obs: DataFrame, bars: DataFrame, keys: Sequence[str], obs_cols: Sequen
     )
 
 
+BUCKET = 64  # bars of a bucket
+
+
+def first_hit(high, low, start, level, kind: str):
+    """Place of the first bar from `start` on whose high reaches the level (up), whose low does (down), or whose range holds
+    it (touch); -1 if none. Buckets know their highest high and lowest low, so bars are looked at only in buckets that can
+    hold the level."""
+    import numpy as np
+
+    n, found = len(high), np.full(len(start), -1, dtype=np.int64)
+    for at in range(0, n, BUCKET):
+        end = min(at + BUCKET, n)
+        h, lo = high[at:end], low[at:end]
+        can = (found < 0) & (start < end)
+        if kind != "down":
+            can &= np.nanmax(h, initial=-np.inf) >= level
+        if kind != "up":
+            can &= np.nanmin(lo, initial=np.inf) <= level
+        rows = np.flatnonzero(can)
+        if len(rows):
+            want = level[rows][:, None]
+            hit = np.arange(at, end)[None, :] >= start[rows][:, None]
+            if kind != "down":
+                hit &= h[None, :] >= want
+            if kind != "up":
+                hit &= lo[None, :] <= want
+            some = hit.any(axis=1)
+            found[rows[some]] = at + hit[some].argmax(axis=1)
+    return found
+
+
+def with_passages(obs: DataFrame, bars: DataFrame, keys: Sequence[str], levels: dict[str, tuple[str, str]]) -> DataFrame:
+    """obs with one column for each entry name → (level column, kind): the time in microseconds of the first later bar of the
+    session that hits the level (see first_hit), null if none does or the level is null.
+
+    A session's bars stand once beside its observations; none is copied for an observation.
+    """
+    part = [*keys, "session_date"]
+    names = {n: f"_l_{n}" for n in levels}
+    tagged = obs.withColumns({names[n]: F.col(c).cast("double") for n, (c, _) in levels.items()}).withColumn("_t", F.unix_micros("ts"))
+    tape = bars.select(*part, F.unix_micros("ts").alias("_t"), F.col("high").cast("double").alias("_high"), F.col("low").cast("double").alias("_low"))
+    rows = tagged.unionByName(tape, allowMissingColumns=True).withColumn("_bar", F.col("_high").isNotNull() & F.col("_low").isNotNull())
+    keep = [f.name for f in obs.schema.fields]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in obs.schema.fields], *[f"`{n}` double" for n in levels]])
+
+    def passages(frame):
+        import numpy as np
+
+        bar = frame["_bar"].to_numpy(dtype=bool)
+        tape, out = frame[bar].sort_values("_t", kind="stable"), frame[~bar & frame["ts"].notna().to_numpy()]
+        times = tape["_t"].to_numpy(dtype=np.int64)
+        start = np.searchsorted(times, out["_t"].to_numpy(dtype=np.int64), "right")
+        found = {}
+        for name, (_, kind) in levels.items():
+            level = out[names[name]].to_numpy(dtype=float)
+            at = first_hit(tape["_high"].to_numpy(dtype=float), tape["_low"].to_numpy(dtype=float), start, np.where(np.isnan(level), np.inf if kind != "down" else -np.inf, level), kind)
+            hit = times[np.maximum(at, 0)] if len(times) else np.zeros(len(at))
+            found[name] = np.where(at >= 0, hit, np.nan).astype(float)
+        return out[keep].assign(**found)
+
+    timed = rows.groupBy(*part).applyInPandas(passages, schema)
+    return timed.select(*keep, *[F.col(n).cast("long").alias(n) for n in levels])
+
+
 def label_observations(
     obs: DataFrame,
     bars: DataFrame,
@@ -69,6 +133,9 @@ def label_observations(
     horizons = HORIZONS if horizons is None else horizons
     have = [c for c in ("call_wall", "put_wall", "gamma_flip") if c in obs.columns]
     extra = [implied_move] if implied_move else []
+    if "gamma_flip" in have:
+        obs = with_passages(obs, bars, keys, {"_touch": ("gamma_flip", "touch")})
+        extra = [*extra, "_touch"]
     axis = _axis(obs, bars, keys, ["obs_id", "spot", *have, *extra])
     part = [*keys, "session_date"]
     w = Window.partitionBy(*part).orderBy("t")
@@ -88,7 +155,6 @@ def label_observations(
         F.min(F.col("close")).over(ahead).alias("minc_close"),
         F.sum(F.col("ret") * F.col("ret")).over(ahead).alias("r2_close"),
         F.max_by(one, key).over(ahead).alias("end_close"),
-        F.collect_list(one).over(ahead).alias("path_close"),
     ]
     for h, minutes in horizons.items():
         s = minutes * MINUTE
@@ -101,7 +167,6 @@ def label_observations(
             F.max("close").over(inner).alias(f"maxc_{h}"),
             F.min("close").over(inner).alias(f"minc_{h}"),
             F.sum(F.col("ret") * F.col("ret")).over(inner).alias(f"r2_{h}"),
-            F.collect_list(one).over(inner).alias(f"path_{h}"),
         ]
     framed = axis.select("*", *cols).filter("is_obs")
 
@@ -112,14 +177,13 @@ def label_observations(
         if h == "close":
             ok = F.col("t") < F.col("close_ts")
             hi, lo = F.col("hi_close"), F.col("lo_close")
-            maxc, minc, r2, path = F.col("maxc_close"), F.col("minc_close"), F.col("r2_close"), F.col("path_close")
+            maxc, minc, r2 = F.col("maxc_close"), F.col("minc_close"), F.col("r2_close")
         else:
             s = horizons[h] * MINUTE
             ok = (F.col("t") + s <= F.col("close_ts")) & e.isNotNull()
             hi, lo = F.greatest(f"hi_{h}", e["high"]), F.least(f"lo_{h}", e["low"])
             maxc, minc = F.greatest(f"maxc_{h}", e["close"]), F.least(f"minc_{h}", e["close"])
             r2 = F.coalesce(f"r2_{h}", F.lit(0.0)) + F.coalesce(e["ret"] * e["ret"], F.lit(0.0))
-            path = F.concat(F.col(f"path_{h}"), F.array(e))
         first = F.col("start")
         var = (
             r2
@@ -151,7 +215,7 @@ def label_observations(
             out.append(F.when(ok, inside.cast("int")).alias(f"range_survive_{h}"))
         if "gamma_flip" in have:
             flip = F.col("gamma_flip")
-            touched = F.exists(path, lambda b: (b["low"] <= flip) & (b["high"] >= flip))
+            touched = F.coalesce(F.col("_touch") <= e["bar_ts"], F.lit(False))
             crossed = (
                 F.when(spot > flip, minc < flip).when(spot < flip, maxc > flip).otherwise((minc != flip) | (maxc != flip))
             )
@@ -172,15 +236,10 @@ def first_passage(
     """Which of `target` and `stop` is hit first after the observation; both in one bar is ambiguous (stop)."""
     if direction not in ("up", "down"):
         raise ValueError(f"direction must be 'up' or 'down', got {direction!r}")
-    axis = _axis(obs, bars, keys, ["obs_id", "target", "stop"])
     part = [*keys, "session_date"]
-    w = Window.partitionBy(*part).orderBy("t").rangeBetween(1, Window.unboundedFollowing)
-    bar = F.when(F.col("bar_ts").isNotNull(), F.struct("bar_ts", "high", "low"))
-    framed = axis.withColumn("path", F.collect_list(bar).over(w)).filter("is_obs")
-    above = lambda name: (lambda b: b["high"] >= F.col(name))
-    below = lambda name: (lambda b: b["low"] <= F.col(name))
-    hit_t, hit_s = (above("target"), below("stop")) if direction == "up" else (below("target"), above("stop"))
-    first = lambda hit: F.array_min(F.transform(F.filter("path", hit), lambda b: b["bar_ts"]))
+    up, down = ("up", "down") if direction == "up" else ("down", "up")
+    rows = obs.select("obs_id", *part, "ts", "target", "stop")
+    timed = with_passages(rows, bars, keys, {"t_target": ("target", up), "t_stop": ("stop", down)}).withColumn("t", F.unix_micros("ts"))
     t, s = F.col("t_target"), F.col("t_stop")
     event = (
         F.when(t == s, "ambiguous")
@@ -188,7 +247,6 @@ def first_passage(
         .when(s.isNotNull(), "stop")
         .otherwise("neither")
     )
-    timed = framed.select("obs_id", *part, "t", first(hit_t).alias("t_target"), first(hit_s).alias("t_stop"))
     return timed.select(
         "obs_id",
         *part,
@@ -201,19 +259,10 @@ def first_passage(
 
 def wall_first_passage(obs: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Which wall is reached first and the minutes to call wall, put wall and gamma flip."""
-    axis = _axis(obs, bars, keys, ["obs_id", "call_wall", "put_wall", "gamma_flip"])
     part = [*keys, "session_date"]
-    w = Window.partitionBy(*part).orderBy("t").rangeBetween(1, Window.unboundedFollowing)
-    bar = F.when(F.col("bar_ts").isNotNull(), F.struct("bar_ts", "high", "low"))
-    framed = axis.withColumn("path", F.collect_list(bar).over(w)).filter("is_obs")
-    cw, pw, fl = F.col("call_wall"), F.col("put_wall"), F.col("gamma_flip")
-    first = lambda hit: F.array_min(F.transform(F.filter("path", hit), lambda b: b["bar_ts"]))
-    timed = framed.select(
-        "obs_id", *part, "t", "call_wall", "put_wall",
-        first(lambda b: b["high"] >= cw).alias("tc"),
-        first(lambda b: b["low"] <= pw).alias("tp"),
-        first(lambda b: (b["low"] <= fl) & (b["high"] >= fl)).alias("tf"),
-    )
+    rows = obs.select("obs_id", *part, "ts", "call_wall", "put_wall", "gamma_flip")
+    timed = with_passages(rows, bars, keys, {"tc": ("call_wall", "up"), "tp": ("put_wall", "down"), "tf": ("gamma_flip", "touch")})
+    timed = timed.withColumn("t", F.unix_micros("ts"))
     c, p = F.col("tc"), F.col("tp")
     both = F.col("call_wall").isNotNull() & F.col("put_wall").isNotNull()
     ambiguous = F.coalesce(c == p, F.lit(False))
