@@ -87,7 +87,7 @@ def test_train_group(spark, data):
     from tidemark.operators.training import serve_group, train_group
 
     pdf, df = data
-    report, held, group = train_group(df, NAMES)
+    report, held, group = train_group(df, NAMES, rounds=14)
     rows = {r.role: r for r in report.collect()}
     assert len(rows) == 6 and not rows["touch_put_wall"].trained and rows["touch_put_wall"].reason == "single-class target (always 1) over the training window"
     assert all(r.trained and r.n_rows == 900 and r.fold_count == 4 and not r.reason for k, r in rows.items() if k != "touch_put_wall")
@@ -129,9 +129,63 @@ def test_gates(spark, data):
     from tidemark.operators.training import train_group
 
     _, df = data
-    report, held, _ = train_group(df.filter("session_date < '2024-01-11'"), NAMES)
+    report, held, _ = train_group(df.filter("session_date < '2024-01-11'"), NAMES, rounds=6)
     rows = {r.role: r for r in report.collect()}
     assert rows["direction_30m"].trained and rows["direction_30m"].metrics == {} and rows["direction_30m"].skill is None and not rows["direction_30m"].edge
     assert held.count() == 0
     few = {r.role: r for r in train_group(df.limit(150), NAMES)[0].collect()}
     assert all(not r.trained and r.reason == "150 rows < 200 minimum" for r in few.values())
+
+
+def test_quantile_forecasts_cover(spark, data):
+    from tidemark.operators.forecast import fill_concession, return_quantiles
+
+    _, df = data
+    big = spark.createDataFrame(frame(4000, 30, 11))
+    place = F.substring("obs_id", 2, 9).cast("int")
+    q = return_quantiles(big.filter(place % 2 == 0), big.filter(place % 2 == 1), NAMES, "fwd_return_30m").toPandas()
+    for name, t in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)):
+        assert abs((q["fwd_return_30m"] <= q[name]).mean() - t) < 0.03
+    assert (q["q10"] <= q["q50"]).all() and (q["q50"] <= q["q90"]).all()
+    f = fill_concession(df.withColumn("prior", F.lit(0.5)), df.withColumn("prior", F.lit(0.5)), NAMES, "remaining_realized_move").first()
+    pdf = frame()
+    assert np.allclose([f.q10, f.q50, f.q90], np.quantile(pdf["remaining_realized_move"], [0.1, 0.5, 0.9]))
+
+
+def test_replicas_equal_separate_fits(spark, data):
+    from tidemark.operators.fits import Fit, fit_many, predict_many, prepare
+    from tidemark.operators.forecast import bootstrap_predictions, session_bootstrap
+
+    _, df = data
+    out = bootstrap_predictions(df, df.select("obs_id", *NAMES), NAMES, "up_30m", n=3).toPandas().set_index("obs_id")
+    assert out["spread"].between(0, 1).all() and (out["replicas"].map(len) == 3).all()
+    members = session_bootstrap(df, 3)
+    for r in range(3):
+        part = df.join(members.filter(F.col("replica") == r), "session_date").withColumn("w", F.array(F.lit(1.0)))
+        prepared = prepare(part, NAMES, "w", 1)
+        one = [Fit("m", "up_30m", "logistic", l2=1.0)]
+        alone = predict_many(df.select("obs_id", *NAMES), NAMES, one, fit_many(part, NAMES, one, "w", prepared), prepared).toPandas().set_index("obs_id")
+        assert np.allclose(alone["fitted"].map(lambda m: m["m"]).loc[out.index], out["replicas"].map(lambda x: x[r]), atol=1e-4)  # noqa: B023
+
+
+def test_class_calibration(spark):
+    import pandas as pd
+
+    from tidemark.operators.forecast import regime_probabilities
+
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 1500)
+    x = rng.normal(size=(1500, 2)) + np.stack((label == 1, label == 2), axis=1) * 1.5
+    # later rows are noisier, so the fitted probabilities are too sure of themselves
+    x[600:] += rng.normal(size=(900, 2)) * 1.5
+    pdf = pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "label": label, "k": range(1500), "session": np.arange(1500) % 50})
+    df = spark.createDataFrame(pdf)
+    train, later, test = df.filter("k < 600"), df.filter("k between 600 and 1099"), df.filter("k >= 1100")
+    loss = {}
+    for name, how in (("raw", {}), ("calibrated", {"later": later, "session": "session"})):
+        out = regime_probabilities(train, test, ["x0", "x1"], "label", 4, **how).toPandas()
+        p = np.stack(out["probs"].to_numpy())
+        assert p.shape[1] == 4 and np.allclose(p.sum(axis=1), 1) and (p[:, 3] < 1e-3).all()
+        loss[name] = -np.log(np.maximum(p[np.arange(len(p)), out["label"]], 1e-9)).mean()
+    assert loss["calibrated"] < loss["raw"] - 0.01
+    assert np.allclose(out["support_uncertainty"], 1 - 50 / 90, atol=2e-3)

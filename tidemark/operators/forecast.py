@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio, uniform_hash
 from tidemark.functions.tables import materialized
+from tidemark.operators.fits import Fit, Prepared, exact_quantiles, fit_many, predict_many, prepare, rearranged
 from tidemark.operators.windows import ranked
 
 SEED = 42
@@ -128,21 +130,21 @@ def barrier_geometry(df: DataFrame) -> DataFrame:
     )
 
 
-def return_quantiles(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "y", taus: Sequence[float] = (0.1, 0.5, 0.9), buckets: int = 5) -> DataFrame:
-    """Quantile forecasts: gradient-boosted centre plus exact residual quantiles per prediction bucket, rearranged.
-
-    Spark ML has no quantile loss; this substitute is scored by pinball loss, not by equality.
-    """
+def return_quantiles(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "y", taus: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Quantile forecasts q<100·tau> of score, in ascending order: quantile regressions on the features and on a gradient-boosted
+    centre, all fitted in the same rounds of reweighted normal equations (see fits.fit_many)."""
     flagged = with_flags(train.filter(F.col(label).isNotNull()), names)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=15, maxDepth=3, seed=SEED, stepSize=0.1)
     model = Pipeline(stages=[*vector_stages(flagged, names), gbt]).fit(flagged)
-    fitted = model.transform(flagged).select("prediction", (F.col(label) - F.col("prediction")).alias("residual"))
-    cuts = fitted.agg(F.percentile_approx("prediction", [i / buckets for i in range(1, buckets)]).alias("cuts"))
-    bucket = lambda df: df.join(F.broadcast(cuts), F.lit(True)).withColumn("bucket", F.size(F.filter("cuts", lambda q: q < F.col("prediction"))))
-    shifts = bucket(fitted).groupBy("bucket").agg(F.percentile("residual", F.array(*[F.lit(t) for t in taus])).alias("shift"))
-    scored = bucket(model.transform(with_flags(score, names))).join(F.broadcast(shifts), "bucket", "left")
-    q = F.sort_array(F.transform("shift", lambda s: s + F.col("prediction")))
-    return scored.select(*score.columns, F.col("prediction").alias("center"), *[q[i].alias(f"q{round(t * 100)}") for i, t in enumerate(taus)])
+    centre = lambda df: model.transform(with_flags(df, names))
+    inputs = [*names, "prediction"]
+    rows = materialized(centre(train.filter(F.col(label).isNotNull())).select(*inputs, F.col(label).cast("double").alias(label)).withColumn("_w", F.array(F.lit(1.0))), "quantile-rows")
+    fits = [Fit(f"q{round(t * 100)}", label, "quantile", 0, t, l2=1e-3) for t in taus]
+    prepared = prepare(rows, inputs, "_w", 1)
+    beta = fit_many(rows, inputs, fits, "_w", prepared)
+    scored = predict_many(centre(score).select(*score.columns, "prediction"), inputs, fits, beta, prepared, "_fitted")
+    q = rearranged([F.col("_fitted")[f.name] for f in fits])
+    return scored.select(*score.columns, F.col("prediction").alias("center"), *[c.alias(f.name) for c, f in zip(q, fits)])
 
 
 def volatility_forecast(quantiles: DataFrame) -> DataFrame:
@@ -157,13 +159,20 @@ def huber(train: DataFrame, names: Sequence[str], label: str):
 
 
 def fill_concession(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "fill_fraction", prior: str = "prior") -> DataFrame:
-    """Huber concession forecast blended with the prior by support, plus empirical quantiles of the training fills."""
+    """Huber concession forecast blended with the prior by support, plus exact quantiles of the training fills."""
     model = huber(train, names, label)
-    stats = train.agg(F.count(label).alias("_n"), F.percentile(label, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"))
-    scored = model.transform(with_flags(score, names)).join(F.broadcast(stats), F.lit(True))
-    w = F.col("_n") / (F.col("_n") + 100.0)
-    blended = clip(w * F.col("prediction") + (1 - w) * F.col(prior), 0.0, 1.0)
-    return scored.select(*score.columns, blended.alias("concession"), *[F.col("_q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    n = train.filter(F.col(label).isNotNull()).count()
+    q = global_quantiles(train.select(F.col(label).cast("double").alias("v")), (0.1, 0.5, 0.9))
+    w = n / (n + 100.0)
+    blended = clip(F.col("prediction") * w + F.col(prior) * (1.0 - w), 0.0, 1.0)
+    return model.transform(with_flags(score, names)).select(*score.columns, blended.alias("concession"), *[F.lit(x).alias(c) for c, x in zip(("q10", "q50", "q90"), q)])
+
+
+def global_quantiles(values: DataFrame, taus: Sequence[float]) -> list[float]:
+    """Exact quantiles of column v over the whole table, from distributed ranks; one number each comes to the driver."""
+    rows = values.withColumns({"tie": F.monotonically_increasing_id(), "one": F.lit(1)})
+    got = {round(r.tau, 9): r.quantile for r in exact_quantiles(rows, ["one"], "v", taus, "tie").collect()}
+    return [got.get(round(float(t), 9)) for t in taus]
 
 
 def fill_probability(train: DataFrame, score: DataFrame, names: Sequence[str], horizons: Sequence[int], id_col: str) -> DataFrame:
@@ -179,33 +188,52 @@ def candidate_value(train: DataFrame, score: DataFrame, names: Sequence[str], la
     """Huber expected P&L, logistic P(profit), training residual quantiles shifted to the forecast, shortfall."""
     ev = huber(train, names, label)
     win = logistic(train.withColumn("won", (F.col(label) > 0).cast("double")), names, "won", l1_ratio=0.0, c=1.0, balanced=False)
-    resid = ev.transform(with_flags(train, names)).select((F.col(label) - F.col("prediction")).alias("r"))
+    resid = materialized(ev.transform(with_flags(train, names)).select((F.col(label) - F.col("prediction")).cast("double").alias("v")), "residuals")
     taus = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90)
-    q = resid.agg(F.percentile("r", F.array(*[F.lit(t) for t in taus])).alias("_q"))
-    tail = resid.join(F.broadcast(q), F.lit(True)).filter(F.col("r") <= F.col("_q")[0]).agg(F.avg("r").alias("_tail"))
+    q = global_quantiles(resid, taus)
+    tail = resid.filter(F.col("v") <= F.lit(q[0])).agg(F.avg("v")).first()[0]  # one number
     scored = ev.transform(with_flags(probability(win, score, names, "p_profit"), names))
-    scored = scored.join(F.broadcast(q), F.lit(True)).join(F.broadcast(tail), F.lit(True))
-    quant = [(F.col("prediction") + F.col("_q")[i]).alias(f"pnl_q{round(t * 100):02d}") for i, t in enumerate(taus)]
+    quant = [(F.col("prediction") + F.lit(x)).alias(f"pnl_q{round(t * 100):02d}") for t, x in zip(taus, q)]
     return scored.select(
         *score.columns, F.col("prediction").alias("expected_net_pnl"), "p_profit", *quant,
-        F.greatest(-(F.col("prediction") + F.col("_tail")), F.lit(0.0)).alias("expected_shortfall"),
+        F.greatest(-(F.col("prediction") + F.lit(tail)), F.lit(0.0)).alias("expected_shortfall"),
     )
 
 
-def regime_probabilities(train: DataFrame, score: DataFrame, names: Sequence[str], label: str, n_classes: int, support: Sequence[float] | None = None) -> DataFrame:
-    """Multinomial class probabilities, entropy (normalised) and support uncertainty."""
+def regime_probabilities(train: DataFrame, score: DataFrame, names: Sequence[str], label: str, n_classes: int, later: DataFrame | None = None, session: str | None = None, shrinkage: float = 40.0) -> DataFrame:
+    """Class probabilities (probs), normalised entropy, most likely class and, with a session column, support uncertainty.
+
+    later: rows after those of train; each class is calibrated on them by a logistic curve of its own (all curves in the same
+    rounds) and the row is normalised again. A class that later doesn't show both ways stays as it is. Support of a class
+    is the number of distinct training sessions that show it.
+    """
     flagged = with_flags(train, names).withColumn(label, F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", regParam=0.01, maxIter=40)
     model = Pipeline(stages=[*vector_stages(flagged, names), lr]).fit(flagged)
-    p = vector_to_array("probability")
-    scored = model.transform(with_flags(score, names)).withColumn("probs", p)
+    # a class that training doesn't show has no probability
+    whole = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.coalesce(F.try_element_at(p, k + 1), F.lit(0.0)))
+    raw = lambda df: model.transform(with_flags(df, names)).select(*df.columns, whole(vector_to_array("probability")).alias("probs"))
+    logit = lambda k: F.ln(clip(F.col("probs")[k], 1e-6, 1 - 1e-6) / (1 - clip(F.col("probs")[k], 1e-6, 1 - 1e-6)))
+    scored = raw(score)
+    if later is not None:
+        own = [f"_s{k}" for k in range(n_classes)]
+        rows = raw(later).select(
+            *[logit(k).alias(own[k]) for k in range(n_classes)], *[(F.col(label) == k).cast("double").alias(f"_y{k}") for k in range(n_classes)], F.array(F.lit(1.0)).alias("_w"))
+        plain = Prepared(tuple(own), np.zeros((1, n_classes)), np.zeros((1, n_classes)), np.ones((1, n_classes)))
+        curves = [Fit(f"{k}", f"_y{k}", "logistic", columns=(0, 1 + k)) for k in range(n_classes)]
+        beta = fit_many(materialized(rows, "calibration"), own, curves, "_w", plain)
+        each = [F.col("probs")[k] if f"{k}" not in beta else 1.0 / (1.0 + F.exp(-(logit(k) * float(beta[f"{k}"][1]) + float(beta[f"{k}"][0])))) for k in range(n_classes)]
+        scored = scored.withColumn("_each", F.array(*each)).withColumn("_sum", F.aggregate("_each", F.lit(0.0), lambda a, x: a + x))
+        scored = scored.withColumn("probs", F.transform("_each", lambda x: x / F.col("_sum"))).drop("_each", "_sum")
     entropy = F.aggregate(F.transform("probs", lambda x: F.when(x > 0, -x * F.ln(x)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    out = scored.withColumn("entropy", entropy / F.ln(F.lit(float(n_classes))))
-    if support is not None:
-        sup = F.array(*[F.lit(float(s)) for s in support])
-        weighted = F.aggregate(F.zip_with("probs", sup, lambda a, s: a * s / (s + 40.0)), F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("support_uncertainty", clip(1.0 - weighted, 0.0, 1.0))
-    return out.select(*score.columns, "probs", "entropy", F.col("prediction").cast("int").alias("predicted"), *(["support_uncertainty"] if support is not None else []))
+    predicted = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
+    out = scored.select(*score.columns, "probs", (entropy / F.ln(F.lit(float(n_classes)))).alias("entropy"), predicted.alias("predicted"))
+    if session is None:
+        return out
+    seen = {int(r[0]): float(r[1]) for r in train.groupBy(label).agg(F.count_distinct(session)).collect()}  # a row a class
+    support = F.array(*[F.lit(seen.get(k, 0.0)) for k in range(n_classes)])
+    weighted = F.aggregate(F.zip_with("probs", support, lambda p, s: p * s / (s + shrinkage)), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("support_uncertainty", clip(1.0 - weighted, 0.0, 1.0))
 
 
 # -- mixtures and ensembles -----------------------------------------------------------------------------------------
@@ -675,6 +703,21 @@ def session_bootstrap(sessions: DataFrame, n: int = 7, seed: int = SEED, session
     return draws.distinct().join(placed.select(session, "_at"), "_at").select("replica", session)
 
 
+def bootstrap_predictions(train: DataFrame, score: DataFrame, names: Sequence[str], label: str, kind: str = "logistic", n: int = 7, session: str = "session_date", l2: float = 1.0) -> DataFrame:
+    """score with `replicas`, the predictions of n models, each fitted on the sessions of one bootstrap sample, and `spread`
+    (see ensemble_uncertainty). The samples are entries of one weight array, so a round fits all models in one pass."""
+    members = session_bootstrap(train, n, session=session).groupBy(session).agg(F.collect_set("replica").alias("_in"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.coalesce(F.array_contains("_in", r), F.lit(False)).cast("double"))
+    rows = train.join(F.broadcast(members), session, "left").select(*names, F.col(label).cast("double").alias(label), weights.alias("_w"))  # a row a session
+    rows = materialized(rows, "replica-rows")
+    prepared = prepare(rows, names, "_w", n)
+    fits = [Fit(f"{r}", label, kind, r, l2=l2) for r in range(n)]
+    beta = fit_many(rows, names, fits, "_w", prepared)
+    scored = predict_many(score, names, fits, beta, prepared, "_fitted")
+    replicas = F.array(*[F.col("_fitted")[f.name] for f in fits if f.name in beta]) if beta else F.array().cast("array<double>")
+    return scored.select(*score.columns, replicas.alias("replicas"), ensemble_uncertainty(replicas, kind == "logistic").alias("spread"))
+
+
 def population_stability(reference: DataFrame, current: DataFrame, value: str = "value", keys: Sequence[str] = ("name",), bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index per key over the reference's quantile bins: Σ(p−q)·ln(p/q)."""
     keys = list(keys)

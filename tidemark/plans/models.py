@@ -134,10 +134,19 @@ def _(spark, sf):
     e = A.table(spark, sf, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)]
     r = e.select("vec_id", "label", *cols)
-    p = M.regime_probabilities(r, r, [f"x{i}" for i in range(8)], "label", 10, [40.0] * 10)
+    r = r.withColumn("session", F.col("vec_id") % 40)
+    p = M.regime_probabilities(r.filter("session < 24"), r, [f"x{i}" for i in range(8)], "label", 10, r.filter("session between 24 and 31"), "session")
     return p.select("vec_id", "predicted", r6("entropy", "entropy"), r6("support_uncertainty", "support_uncertainty"), r6(F.array_max("probs"), "top_p"))
 
 
+@query("bootstrap_predictions")
+def _(spark, sf):
+    b = bar_returns(spark, sf).withColumn("up", (F.col("y") > 0).cast("int"))
+    p = M.bootstrap_predictions(b, b.select("symbol", "ts", "hour", "vol", "width"), ["hour", "vol", "width"], "up")
+    rounded = F.transform("replicas", lambda x: F.round(x, 6))
+    return p.select("symbol", F.unix_timestamp("ts").alias("ts_sec"), F.array_join(rounded, ",").alias("replicas"), r6("spread", "spread"))
+
+
 CONF = "WITH s AS (SELECT greatest(l_quantity * 0.7 - l_extendedprice / 2000, l_extendedprice / 2000 - l_quantity * 1.4, 0) AS s, l_shipdate AS d FROM lineitem), c AS (SELECT quantile_cont(s, least(1, ceil(round((count(*) + 1) * 0.9, 9)) / count(*))) AS corr FROM (SELECT * FROM s))"
 
 
