@@ -14,7 +14,7 @@ HEADLINES = (
     "resample_ohlcv", "resample_all_timeframes", "adx_di", "bollinger", "keltner", "donchian", "realized_vol_rank", "gex_rank",
     "gex_levels", "flow", "atm_straddle", "rnd_summary", "spot_from_parity", "data_quality", "session_status", "asof_latest",
     "label_forward_returns", "label_wall_touches", "first_passage", "credit_verticals", "iron_condors", "candidate_economics",
-    "managed_outcome", "candidate_training_set", "candidate_universe", "knn_distance", "mtf_matrix", "streaming_gex_rank", "evaluate_trades", "decision_report", "attribute_trades", "shadow_account", "rank_snapshot", "policy_ensemble",
+    "managed_outcome", "candidate_training_set", "candidate_universe", "knn_distance", "ood_score", "train_group", "mtf_matrix", "streaming_gex_rank", "evaluate_trades", "decision_report", "attribute_trades", "shadow_account", "rank_snapshot", "policy_ensemble",
     "duplicate_decisions", "portfolio_state", "account_ledger", "inspect_recordings", "verify_hash_chain", "calibrate_regimes",
     "split_conformal", "ensemble_weights", "explode_chain", "streaming_bars",
 )
