@@ -471,12 +471,9 @@ def candidate_universe(
     chain: DataFrame, cfg: StructureConfig | None = None, dominance: bool = True
 ) -> DataFrame:
     """Enumerate → price → prove bounded → identify → dedupe → prune; one row per surviving candidate."""
-    built = with_identity(prove_bounded_loss(enumerate_structures(chain, cfg))).withColumn(
-        "breakevens", breakevens(F.col("spots"), F.col("payoffs"))
-    )
-    if not dominance:
-        return built
-    return drop_dominated(dedupe_by_payoff(dedupe_by_geometry(built)))
+    built = with_identity(prove_bounded_loss(enumerate_structures(chain, cfg)))
+    kept = drop_dominated(dedupe_by_payoff(dedupe_by_geometry(built))) if dominance else built
+    return kept.withColumn("breakevens", breakevens(F.col("spots"), F.col("payoffs")))
 
 
 def universe_ids(candidates: DataFrame, keys: Sequence[str] = ("snapshot_id",)) -> DataFrame:
