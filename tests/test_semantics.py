@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -145,7 +146,7 @@ def test_recording_round_trip_and_artifacts(spark, tmp_path):
     )
     rec = R.to_records(rows, F.col("payload"))
     R.write_recording(rec, str(tmp_path / "rec"))
-    back = R.read_recording(spark, str(tmp_path / "rec/*"))
+    back = R.read_recording(spark, str(tmp_path / "rec"))
     assert back.count() == 10 and back.filter("parsed").count() == 10
     report = J.inspect_recordings(back.withColumn("line_no", F.col("seq")), ["session_file"]).collect()
     assert {r.status for r in report} == {"clean"} and {r.session_file for r in report} == {"2024-01-02", "2024-01-03"}
@@ -260,3 +261,24 @@ def test_robust_scaler_medians(spark):
     rows = [([float(k), 5.0, None if k == 2 else float(10 * k)],) for k in range(4)]
     r = robust_scaler(spark.createDataFrame(rows, "vector array<double>"), 3).first()
     assert r.med == [1.5, 5.0, 10.0] and r.mad == [1.0, 1.0, 10.0]
+
+
+def test_sessions_without_a_close_give_no_outcome(spark):
+    day = dt.date(2024, 1, 2)
+    leg = lambda kind, k, q: {"option_type": kind, "strike": Decimal(k), "quantity": q, "q": {"iv": 0.2}}
+    legs_type = "array<struct<option_type:string,strike:decimal(18,6),quantity:int,q:struct<iv:double>>>"
+    rows = [(s, f"c-{s}", d, dt.datetime.combine(d, dt.time(15)), Decimal(2), [leg("call", 100, -1)]) for s, d in (("a", day), ("b", day + dt.timedelta(1)), ("c", day + dt.timedelta(2)))]
+    c = spark.createDataFrame(rows, f"snapshot_id string, candidate_id string, expiration date, observed_at timestamp, entry_credit decimal(18,6), legs {legs_type}")
+    bars = spark.createDataFrame(
+        [(d, dt.datetime.combine(d, dt.time(15, m)), 100.0) for d in (day, day + dt.timedelta(1)) for m in (10, 20)], "session_date date, ts timestamp, close double"
+    )
+    paths = E.session_paths(bars, F.lit(900))
+    settle = spark.createDataFrame([(day, Decimal("101")), (day + dt.timedelta(1), None)], "session_date date, settlement_price decimal(18,6)")
+    hold = E.ExitPolicy(take_profit=1e9, stop_loss=1e9, eod_close=False)
+    got = E.managed_outcome(c, paths, settle, hold).collect()
+    assert [(r.snapshot_id, r.realized_pnl, r.exit_reason) for r in got] == [("a", 1.0, "expiration_settlement")]
+    assert E.managed_outcome(c, paths, settle.limit(0), hold).count() == 0
+    skipped = {(r.session_date, r.reason, r.n_candidates) for r in E.skipped_sessions(c, paths, settle).collect()}
+    assert skipped == {(day + dt.timedelta(n), "never reached the close", 1) for n in (1, 2)}
+    later = spark.createDataFrame([(day + dt.timedelta(n), Decimal(100)) for n in (0, 1, 2)], settle.schema)
+    assert [(r.session_date, r.reason) for r in E.skipped_sessions(c, paths, later).collect()] == [(day + dt.timedelta(2), "no bars")]

@@ -282,7 +282,7 @@ def managed_outcome(candidates: DataFrame, paths: DataFrame, settlements: DataFr
     """P&L a policy would have realised: closed at the first bar that fires, else settled at expiry.
 
     `settlements` is (session_date, settlement_price). No row for structures that do not expire that session, have no
-    later bar or no entry price. Only a trailing policy needs the running peak, hence a window per candidate.
+    later bar or no entry price, nor for those held to the close of a session without a settlement price. Only a trailing policy needs the running peak, hence a window per candidate.
     """
     policy = policy or ExitPolicy()
     # what settling needs travels with the marks, so candidates are built once
@@ -316,14 +316,28 @@ def managed_outcome(candidates: DataFrame, paths: DataFrame, settlements: DataFr
     ).filter(F.col("realized_pnl").isNotNull())
 
 
+def skipped_sessions(candidates: DataFrame, paths: DataFrame, settlements: DataFrame) -> DataFrame:
+    """(session_date, reason, n_candidates) of the sessions that give no training rows: no close, else no bars."""
+    closed = settlements.filter(F.col("settlement_price").isNotNull()).select(F.col("session_date").alias("expiration"), F.lit(True).alias("_closed")).distinct()
+    walked = paths.select(F.col("session_date").alias("expiration"), F.lit(True).alias("_walked")).distinct()
+    counted = candidates.groupBy("expiration").agg(F.count(F.lit(1)).alias("n_candidates"))
+    reason = F.when(F.col("_closed").isNull(), "never reached the close").when(F.col("_walked").isNull(), "no bars")
+    return counted.join(closed, "expiration", "left").join(walked, "expiration", "left").select(
+        F.col("expiration").alias("session_date"), reason.alias("reason"), "n_candidates"
+    ).filter(F.col("reason").isNotNull())
+
+
 def candidate_training_set(
     candidates: DataFrame, paths: DataFrame, settlements: DataFrame, policy: ExitPolicy | None = None, seconds: float = 300.0
 ) -> DataFrame:
     """Training rows of the candidate value model: of snapshots at least `seconds` apart within their session, every
     candidate with its economics as features and its managed P&L, absolute and per unit of maximum loss, as labels.
 
-    Needs what `candidate_economics` and `managed_outcome` need. Candidates without an outcome give no row.
+    Needs what `candidate_economics` and `managed_outcome` need. Sessions that `skipped_sessions` names and candidates
+    without an outcome give no row.
     """
+    closed = settlements.filter(F.col("settlement_price").isNotNull())
+    candidates = candidates.join(closed.select(F.col("session_date").alias("expiration")).distinct(), "expiration", "left_semi")
     snapshots = candidates.groupBy("snapshot_id").agg(F.min("expiration").alias("session"), F.min("observed_at").alias("seen"))
     kept = thin_by_interval(snapshots, ["session"], ts="seen", seconds=seconds, tie=["snapshot_id"]).select("snapshot_id")
     mine = candidates.join(kept, "snapshot_id", "left_semi")
@@ -331,7 +345,7 @@ def candidate_training_set(
         "snapshot_id", "candidate_id", F.size("legs").alias("n_legs"), "minutes_to_close", "relative_spread", "quote_age", "expected_fill_fraction",
         "fill_probability", "fees", "entry_slippage", "exit_slippage", "maximum_loss",
     )
-    labels = managed_outcome(mine, paths, settlements, policy)
+    labels = managed_outcome(mine, paths, closed, policy)
     return labels.join(features, ["snapshot_id", "candidate_id"]).withColumn(
         "return_on_risk", F.when(F.col("maximum_loss") > 0, ratio(F.col("realized_pnl"), F.col("maximum_loss").cast("double")))
     )

@@ -227,8 +227,9 @@ def entry_credit(legs: str | Column = "legs") -> Column:
 
 
 def intrinsic(option_type: Column, strike: Column, spot: Column) -> Column:
+    """Worth at settlement; NULL where the price is (greatest alone would skip the NULL and say 0)."""
     gap = F.when(option_type == "call", spot - strike).otherwise(strike - spot)
-    return F.greatest(gap, dec(0)).cast(DEC)
+    return F.when(gap.isNotNull(), F.greatest(gap, dec(0)).cast(DEC))
 
 
 def terminal_payoff(legs: Column, credit: Column, spot: Column) -> Column:

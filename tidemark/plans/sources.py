@@ -8,6 +8,7 @@ from tidemark.functions.exprs import r6
 from tidemark.operators.bars import merge_tick_bars
 from tidemark.plans import adapters as A
 from tidemark.plans.registry import query
+from tidemark.session import shared_folder
 from tidemark.sources import recordings as R
 from tidemark.sources import vendor as V
 
@@ -117,8 +118,9 @@ def _(spark, sf):
     return R.pending(A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id")), done)
 
 
-def vendor_lines(spark, sf):
-    """events as vendor lines: ticks with options and bars, settle lines for error events, NaN for unknown numbers."""
+def vendor_texts(spark, sf):
+    """events as vendor lines (pos, day, value): ticks with options and bars, settle lines for error events, NaN for unknown
+    numbers, a broken line here and there."""
     e = A.table(spark, sf, "events")
     s = lambda c: c.cast("string")
     u, v = F.col("user_id"), F.round("value", 2)
@@ -132,7 +134,11 @@ def vendor_lines(spark, sf):
     tick = F.concat(F.lit('{"t":"tick","ts":"'), iso, F.lit('+00:00","market":{"spot":'), spot, F.lit(',"vix":'), s(v), F.lit(',"vvix":NaN},"option_rows":['), option, F.lit('],"bars":['), bar, F.lit("]}"))
     settle = F.concat(F.lit('{"t":"settle","date":"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('","price":'), F.when(u % 4 == 0, "NaN").otherwise(s(v)), F.lit("}"))
     line = F.when(u % 50 == 49, F.lit("{broken")).when(F.col("event_type") == "error", settle).otherwise(tick)
-    return V.parse_vendor_lines(e.select(F.col("event_id").alias("pos"), line.alias("value")))
+    return e.select(F.col("event_id").alias("pos"), F.date_format("ts", "yyyy-MM-dd").alias("day"), line.alias("value"))
+
+
+def vendor_lines(spark, sf):
+    return V.parse_vendor_lines(vendor_texts(spark, sf).drop("day"))
 
 
 TICK = "user_id % 50 <> 49 AND event_type <> 'error' AND user_id % 10 <> 0"
@@ -151,19 +157,19 @@ def _(spark, sf):
         FROM events WHERE {TICK} AND user_id % 3 <> 2 AND user_id % 7 <> 0 AND round(value, 2) > 0 AND user_id % 4 <> 0""",
 )
 def _(spark, sf):
-    c = V.vendor_chain(V.vendor_snapshots(vendor_lines(spark, sf)))
+    c = V.vendor_chain(V.vendor_snapshots(vendor_lines(spark, sf)), symbol="SPY")
     return c.select(F.unix_micros("ts").alias("micros"), "side", "strike", "contract_id", F.col("open_interest").cast("bigint").alias("open_interest"))
 
 
 @query("vendor_bars", f"SELECT epoch_us(ts) AS micros, round(round(value, 2) + 1, 2) AS close, (user_id - 1)::DOUBLE AS volume FROM events WHERE {TICK} AND round(value, 2) > 0 AND user_id >= 1")
 def _(spark, sf):
-    b = V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf)))
+    b = V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf)), symbol="SPY")
     return b.select(F.unix_micros("ts").alias("micros"), F.round("close", 2).alias("close"), "volume")
 
 
 @query("vendor_bar_window", f"SELECT count(*) AS n, min(m) AS first_micros FROM (SELECT epoch_us(ts) AS m FROM events WHERE {TICK} AND round(value, 2) > 0 AND user_id >= 1 ORDER BY ts DESC LIMIT 420)")
 def _(spark, sf):
-    b = merge_tick_bars(V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf))), keep=420)  # the window that a snapshot carries
+    b = merge_tick_bars(V.vendor_bars(V.vendor_snapshots(vendor_lines(spark, sf)), symbol="SPY"), keep=420)  # the window that a snapshot carries
     return b.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("first_micros"))
 
 
@@ -210,3 +216,108 @@ def _(spark, sf):
     )
     _snaps, feed = V.adapt_legacy(o.select(F.to_json(body).alias("value")))
     return feed.select("snapshot_id", "component", "status", r6("age_seconds", "age_seconds"))
+
+
+def vendor_archive(spark, sf):
+    """The vendor lines written as gzip files, a folder per day."""
+    folder = shared_folder(spark, "vendor-archive")
+    vendor_texts(spark, sf).hint("rebalance", "day").select("value", "day").write.partitionBy("day").option("compression", "gzip").text(folder)
+    return folder
+
+
+@query(
+    "read_vendor_ticks",
+    """SELECT ts::DATE::VARCHAR AS session, count(*) AS n_lines, count(*) FILTER (user_id % 50 = 49) AS n_malformed,
+       count(*) FILTER (user_id % 50 <> 49 AND event_type <> 'error') AS n_ticks, count(*) FILTER (user_id % 50 <> 49 AND event_type = 'error') AS n_settles FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    t = V.read_vendor_ticks(spark, vendor_archive(spark, sf))
+    return t.groupBy(F.col("file_session").alias("session")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if("malformed").alias("n_malformed"), F.count_if(F.col("t") == "tick").alias("n_ticks"), F.count_if(F.col("t") == "settle").alias("n_settles")
+    )
+
+
+@query(
+    "import_archive",
+    f"""WITH e AS (SELECT (ts - INTERVAL 5 HOUR)::DATE AS d, value FROM events WHERE {TICK})
+        SELECT d::VARCHAR AS session_date, count(*) AS n, CASE WHEN day(d) % 7 = 0 THEN count(*) ELSE 0 END AS n_live, round(sum(round(value, 2) + 1), 2) AS sum_spot,
+               CASE WHEN day(d) % 7 = 0 THEN 'holds live records; not overwritten' END AS refused FROM e GROUP BY d""",
+)
+def _(spark, sf):
+    """Live records stand for every seventh day of a month; the archive is imported, then twice more with overwrite."""
+    source, target = vendor_archive(spark, sf), shared_folder(spark, "vendor-import")
+    live = V.vendor_snapshots(V.read_vendor_ticks(spark, source)).filter(F.dayofmonth("session_date") % 7 == 0)
+    live.withColumn("flags", F.array(F.lit("live"))).write.partitionBy("session_date").parquet(target)
+    V.import_archive(spark, source, target)
+    V.import_archive(spark, source, target, overwrite=True)
+    refused = V.import_archive(spark, source, target, overwrite=True)
+    kept = spark.read.parquet(target).groupBy("session_date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("flags", "live")).alias("n_live"), F.round(F.sum("spot"), 2).alias("sum_spot")
+    )
+    return kept.join(refused.withColumnRenamed("reason", "refused"), "session_date", "left").withColumn("session_date", F.col("session_date").cast("string"))
+
+
+@query(
+    "read_recording",
+    """SELECT ts::DATE::VARCHAR AS session, count(*) AS n, count(*) FILTER (user_id % 20 <> 0) AS n_parsed, count(*) FILTER (user_id % 20 = 0) AS n_rejected,
+       max(CASE WHEN user_id % 20 <> 0 THEN event_id END) AS last_id FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    """events recorded as snapshots, lines of every twentieth user cut short, read back with their hashes recomputed."""
+    e = A.table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("snapshot_id"), F.to_date("ts").alias("session_date"), F.col("ts").cast("timestamp").alias("ts"),
+        F.to_json(F.struct("event_type", "value", "user_id")).alias("body"),
+    )
+    records, folder = R.to_records(e, F.col("body")), shared_folder(spark, "recordings")
+    text = F.to_json(F.struct(*[c for c in records.columns if c != "session_date"]))
+    cut = F.get_json_object("snapshot", "$.user_id").cast("long") % 20 == 0
+    records.select("session_date", F.when(cut, F.left(text, F.length(text) - 9)).otherwise(text).alias("value")).hint("rebalance", "session_date").write.partitionBy("session_date").text(folder)
+    back = R.read_recording(spark, folder)
+    sound = F.col("parsed") & (F.concat(F.lit("sha256:"), F.sha2("payload", 256)) == F.col("record_hash"))
+    return back.groupBy(F.col("session_file").alias("session")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_parsed"), F.count_if(~F.col("parsed")).alias("n_rejected"),
+        F.max(F.when(sound, F.col("snapshot_id").cast("long"))).alias("last_id"),
+    )
+
+
+@query(
+    "stage_artifacts",
+    """SELECT o_orderdate::DATE::VARCHAR AS session, o_orderpriority AS stage, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+       WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Two stages appended in two passes each, read back by stage."""
+    o = A.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority", "o_orderkey", "o_totalprice")
+    root = shared_folder(spark, "artifacts")
+    stages = ("1-URGENT", "2-HIGH")
+    for stage in stages:
+        mine = o.filter(F.col("o_orderpriority") == stage).drop("o_orderpriority")
+        for odd in (0, 1):
+            R.append_artifacts(mine.filter(F.col("o_orderkey") % 2 == odd).hint("rebalance", "month"), root, stage, "month")
+    back = [R.read_artifacts(spark, root, stage, session="month").withColumn("stage", F.lit(stage)) for stage in stages]
+    return back[0].unionByName(back[1]).groupBy(F.col("d").cast("string").alias("session"), "stage").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+
+
+@query(
+    "load_experience",
+    """SELECT ts::DATE::VARCHAR AS session_date, count(*) AS n, round(sum(CASE WHEN user_id % 4 <> 0 THEN round(value, 2) END), 2) AS realized, count(*) FILTER (event_type = 'error') AS n_errors,
+       round(sum(round(value, 2) * 2), 2) AS counterfactual FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    """events written as experience files (packet text, outcome, outcomes per candidate) and loaded again."""
+    e = A.table(spark, sf, "events")
+    v = F.round("value", 2)
+    rows = e.select(
+        F.col("event_id").cast("string").alias("snapshot_id"), F.date_format("ts", "yyyy-MM-dd").alias("session_date"), F.to_json(F.struct("user_id", "event_type")).alias("packet"),
+        F.when(F.col("user_id") % 4 != 0, v).alias("realized_pnl"), F.create_map(F.lit("kind"), F.col("event_type")).alias("labels"),
+        F.create_map(F.lit("a"), v, F.lit("b"), v * 2).alias("realized_pnl_by_candidate"),
+    )
+    folder = shared_folder(spark, "experience")
+    rows.write.option("compression", "gzip").json(folder)
+    x = V.load_experience(spark, folder)
+    return x.groupBy("session_date").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("realized_pnl"), 2).alias("realized"), F.count_if(F.col("labels")["kind"] == "error").alias("n_errors"),
+        F.round(F.sum(F.col("realized_pnl_by_candidate")["b"]), 2).alias("counterfactual"),
+    )

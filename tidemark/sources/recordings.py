@@ -8,23 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import RECORD, SNAPSHOT
+from tidemark.sources.session_lines import session_lines
 
 DEC = "decimal(18,6)"
 REQUIRED = ("snapshot_id", "timestamp", "session_date", "underlying_symbol", "underlying_price", "session_status")
 
 
-def read_recording(spark: SparkSession, path: str) -> DataFrame:
-    """Every non-blank line of the session files: parsed fields, the snapshot's exact text, `parsed`, session file.
+def read_recording(spark: SparkSession, path: str, sessions: Sequence[str] | None = None) -> DataFrame:
+    """Every non-blank line of the session files below `path`, plain or gzip: session file, parsed fields, `parsed`, the
+    snapshot's exact text, the line, its place in the file and what is wrong with it.
 
-    The snapshot stays text so its hash can be recomputed; `parse_snapshot` types it.
+    The snapshot stays text so its hash can be recomputed; `parse_snapshot` types it. A line that isn't a record, or the place
+    where a gzip file breaks off, is a row with `parsed` false.
     """
-    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(F.length(F.trim("line")) > 0)
-    # lines are read by split; order inside a file is the recorded seq, checked by the journal operators
+    lines = session_lines(spark, path, sessions)
     rec = F.from_json("line", RECORD, {"mode": "PERMISSIVE"})
-    return lines.select(
-        F.regexp_extract(F.input_file_name(), r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("session_file"), "line",
-        rec.alias("r"),
-    ).select("session_file", "r.*", (F.col("r.seq").isNotNull() & F.col("r.snapshot").isNotNull()).alias("parsed"), F.col("snapshot").alias("payload"))
+    good = F.col("problem").isNull() & F.col("r.seq").isNotNull() & F.col("r.snapshot").isNotNull()
+    return lines.select("*", rec.alias("r")).select(
+        "session_file", "r.*", F.coalesce(good, F.lit(False)).alias("parsed"), F.col("r.snapshot").alias("payload"), "line", "file", "position", "problem"
+    )
 
 
 def parse_snapshot(records: DataFrame, raw: str = "snapshot") -> tuple[DataFrame, DataFrame]:
@@ -84,8 +86,8 @@ def to_records(snapshots: DataFrame, payload: Column, session: str = "session_da
 
 
 def write_recording(records: DataFrame, path: str, session: str = "session_date", fmt: str = "json") -> None:
-    """One folder per session; only the sessions present in `records` are replaced."""
-    records.repartition(session).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).format(fmt).save(path)
+    """One folder per session; only the sessions present in `records` are replaced. A large session is cut in several files."""
+    records.hint("rebalance", session).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).format(fmt).save(path)
 
 
 def append_artifacts(rows: DataFrame, root: str, stage: str, session: str = "session_date") -> None:

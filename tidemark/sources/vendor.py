@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import finite
+from tidemark.functions.tables import materialized
 from tidemark.schemas import EXPERIENCE, LEGACY, VENDOR_LINE
+from tidemark.sources.session_lines import session_lines
 
 IMPORTED = "imported"
 # fixed values: component aliases of the legacy format
@@ -24,10 +27,14 @@ def parse_vendor_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_vendor_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """gzip JSON lines (one file per session, so a file is the unit of parallelism)."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    return parse_vendor_lines(lines.withColumn("file_session", F.regexp_extract(F.input_file_name(), r"ticks_([0-9-]{10})", 1)))
+def read_vendor_ticks(spark: SparkSession, path: str, sessions: Sequence[str] | None = None) -> DataFrame:
+    """Typed lines of vendor archives (JSON lines, gzip or plain, one or more files per session) in file order.
+
+    `malformed` marks lines that aren't JSON objects of a known kind and the place where a gzip file breaks off; the rest of
+    such a file is kept. `pos` orders the lines of a file.
+    """
+    lines = session_lines(spark, path, sessions).withColumnsRenamed({"session_file": "file_session", "position": "pos", "line": "value"})
+    return parse_vendor_lines(lines).withColumn("malformed", F.col("malformed") | F.col("problem").isNotNull())
 
 
 def _number(m: Column) -> Column:
@@ -46,7 +53,7 @@ def vendor_snapshots(lines: DataFrame, tz: str = "America/New_York") -> DataFram
     )
 
 
-def vendor_chain(snapshots: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFrame:
+def vendor_chain(snapshots: DataFrame, keys: Sequence[str] = ("ts",), *, symbol: str) -> DataFrame:
     """Usable option rows only: side, strike > 0, finite greeks, open interest ≥ 0, 0 < bid ≤ ask; nothing is defaulted."""
     o, side = F.col("o"), F.lower(F.col("o.side"))
     num = lambda n: finite(o[n])
@@ -59,20 +66,20 @@ def vendor_chain(snapshots: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFra
     right = F.when(side == "call", "C").otherwise("P")
     return rows.filter(ok).select(
         *keys, "pos", "spot", side.alias("side"), num("strike").alias("strike"), expiry.alias("expiration"),
-        F.concat(F.lit("SPY"), F.date_format(expiry, "yyMMdd"), right, F.lpad(F.round(num("strike") * 1000).cast("bigint").cast("string"), 8, "0")).alias("contract_id"),
+        F.concat(F.lit(symbol), F.date_format(expiry, "yyMMdd"), right, F.lpad(F.round(num("strike") * 1000).cast("bigint").cast("string"), 8, "0")).alias("contract_id"),
         num("bid").alias("bid"), num("ask").alias("ask"), ((num("bid") + num("ask")) / 2).alias("mark"), F.when(num("volume") >= 0, F.floor(num("volume"))).alias("volume"),
         F.floor(num("oi")).alias("open_interest"), num("delta").alias("delta"), num("gamma").alias("gamma"),
     )
 
 
-def vendor_bars(snapshots: DataFrame) -> DataFrame:
+def vendor_bars(snapshots: DataFrame, *, symbol: str) -> DataFrame:
     """Bar rows [iso, o, h, l, c, v]; nine-digit fractions are cut to six; unusable rows dropped. `arrival` is the tick."""
     r = F.col("r")
     iso = F.regexp_replace(r[0], r"(\.\d{6})\d+", "$1")
     num = lambda i: finite(r[i].cast("double"))
     rows = snapshots.select(F.col("ts").alias("arrival"), F.explode("bars").alias("r")).filter(F.size("r") >= 6)
     bars = rows.select(
-        F.lit("SPY").alias("symbol"), F.try_to_timestamp(iso).alias("ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"), "arrival"
+        F.lit(symbol).alias("symbol"), F.try_to_timestamp(iso).alias("ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"), "arrival"
     )
     return bars.filter(F.col("ts").isNotNull() & (F.least("open", "high", "low", "close") > 0) & F.col("close").isNotNull() & F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & (F.col("volume") >= 0))
 
@@ -101,6 +108,36 @@ def import_sessions(source: DataFrame, existing: DataFrame | None, sessions: Seq
     return rows.join(F.broadcast(skipped.select("session_date")), "session_date", "left_anti"), skipped
 
 
+def existing_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def import_archive(
+    spark: SparkSession, source: str, target: str, sessions: Sequence[str] | None = None, overwrite: bool = False, tz: str = "America/New_York"
+) -> DataFrame:
+    """Write the snapshots of vendor archives below `target`, one folder per session; returns the sessions skipped and why.
+
+    What may be written is decided first and kept in a table of its own, so a task that is run again decides the same
+    though folders have appeared meanwhile. Only folders of sessions that are written are replaced (dynamic overwrite), so
+    a second run changes nothing and a run that died is simply repeated with `overwrite`. Sessions named in `sessions` are
+    dates of the snapshots. Two imports into one target at a time are not guarded.
+    """
+    rows = vendor_snapshots(read_vendor_ticks(spark, source), tz)
+    _, skipped = import_sessions(rows, existing_table(spark, target), sessions, overwrite)
+    decided = materialized(skipped, "import-skipped")
+    named = rows.filter(F.col("session_date").cast("string").isin(*sessions)) if sessions else rows
+    named.join(decided.select("session_date"), "session_date", "left_anti").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("session_date").parquet(target)
+    return decided
+
+
 def adapt_legacy(df: DataFrame, raw: str = "value") -> tuple[DataFrame, DataFrame]:
     """(snapshots, feed observations) of legacy JSON; rows lacking symbol, ts or spot are left out of both."""
     v = df.withColumn("v", F.from_json(F.col(raw), LEGACY)).select("v.*")
