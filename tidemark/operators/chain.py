@@ -379,11 +379,11 @@ def structural_state(gex: DataFrame, vol: DataFrame, rnd: DataFrame, snapshots:
 
 
 def feature_rows(family: str, df: DataFrame, columns: list[str], ids: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
-    """Long (ids, name, value) rows `<family>.<column>` of the known values."""
+    """Long (ids, name, value) rows `<family>.<column>` of the known values; NaN and infinities stay, as signs of a defect."""
     return (
         df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(list(ids), columns, "_c", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        .filter(F.col("value").isNotNull())
         .select(*ids, F.concat(F.lit(f"{family}."), F.col("_c")).alias("name"), "value")
     )
 
@@ -404,25 +404,34 @@ def gex_features(levels: DataFrame) -> DataFrame:
 
 
 def feature_bundle(families: dict[str, DataFrame], snapshots: DataFrame, version: str = "1") -> DataFrame:
-    """One row per snapshot: sorted feature map, missing families, content id.
+    """One row per snapshot: sorted feature map, missing and failed families, content id.
 
-    `families` maps a family name to long (snapshot_id, name, value) rows; a family without rows is missing.
+    `families` maps a family name to long (snapshot_id, name, value) rows. A family without rows for a snapshot is missing
+    there; one with a value that isn't a finite number has failed there, and none of its values is published. Families are
+    listed in the order given.
     """
     rows = None
     for name, df in families.items():
         part = df.select("snapshot_id", F.lit(name).alias("family"), "name", "value")
         rows = part if rows is None else rows.unionByName(part)
-    agg = rows.groupBy("snapshot_id").agg(
-        F.sort_array(F.collect_list(F.struct("name", "value"))).alias("kv"), F.collect_set("family").alias("seen")
+    broken = F.isnan("value") | (F.abs("value") == float("inf"))
+    # a family has a bounded number of names, so its rows of a snapshot are one small array
+    per_family = rows.filter(F.col("value").isNotNull()).groupBy("snapshot_id", "family").agg(
+        F.collect_list(F.struct("name", "value")).alias("kv"), F.bool_or(broken).alias("broken")
+    )
+    agg = per_family.groupBy("snapshot_id").agg(
+        F.sort_array(F.flatten(F.collect_list(F.when(~F.col("broken"), F.col("kv"))))).alias("kv"),
+        F.collect_list("family").alias("seen"), F.collect_list(F.when(F.col("broken"), F.col("family"))).alias("failed"),
     )
     every = F.array(*[F.lit(n) for n in families])
-    seen = F.coalesce(F.col("seen"), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     kv = F.coalesce(F.col("kv"), F.array().cast("array<struct<name:string,value:double>>"))
     return snapshots.select("snapshot_id").join(agg, "snapshot_id", "left").select(
         "snapshot_id",
         F.map_from_entries(kv).alias("features"),
         F.size(kv).alias("n_features"),
-        F.array_except(every, seen).alias("missing_families"),
+        F.array_except(every, F.coalesce("seen", none)).alias("missing_families"),
+        F.array_intersect(every, F.coalesce("failed", none)).alias("failed_families"),
         F.concat(
             F.lit("feat-"), F.substring(F.sha2(F.to_json(F.struct("snapshot_id", F.lit(version).alias("v"), kv.alias("f"))), 256), 1, 12)
         ).alias("bundle_id"),

@@ -6,7 +6,7 @@ Every view covers its whole table and is built with map-side aggregation where s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import bars_from_ticks
@@ -35,13 +35,20 @@ def bars(spark: SparkSession, sf: str, minutes: int = 30, symbols: bool = True)
     return bars_from_ticks(t, minutes, tz=None).drop("bucket")
 
 
+def block_month() -> Column:
+    return F.concat_ws("-", F.date_format("l_shipdate", "yyyy-MM"), F.floor(F.col("l_orderkey") / 1000).cast("string"))
+
+
+BLOCK_MONTH_SQL = "strftime(l_shipdate, '%Y-%m') || '-' || (l_orderkey // 1000)"
+
+
 def chain(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as option quotes: one monthly snapshot holds the first line per (side, strike).
+    """lineitem as option quotes: a snapshot is a month of a thousand orders and holds the first line per (side, strike).
 
-    The pick is a min_by aggregate, combined map-side, so a month with a third of all rows stays cheap.
+    Snapshots grow with the orders, so most lines stay at every scale. The pick is a min_by aggregate, combined map-side.
     """
     li = table(spark, sf, "lineitem").select(
-        F.date_format("l_shipdate", "yyyy-MM").alias("snapshot_id"),
+        block_month().alias("snapshot_id"),
         F.when(F.col("l_linenumber") % 2 == 0, "put").otherwise("call").alias("side"),
         F.col("l_quantity").alias("strike"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
@@ -210,17 +217,17 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      ts::DATE AS session_date, floor((hour(ts) * 60 + minute(ts) - 570) / 15.0)::INT AS bucket
               FROM events)
         GROUP BY session_date, bucket"""),
-    "v_chain": ((), """
+    "v_chain": ((), f"""
         SELECT snapshot_id, side, strike, 25.0 AS spot, l_orderkey * 8 + l_linenumber AS pos, gamma, delta,
                open_interest, volume, bid, ask, mark, last, iv
-        FROM (SELECT strftime(l_shipdate, '%Y-%m') AS snapshot_id,
+        FROM (SELECT {BLOCK_MONTH_SQL} AS snapshot_id,
                      CASE WHEN l_linenumber % 2 = 0 THEN 'put' ELSE 'call' END AS side, l_quantity AS strike,
                      l_orderkey, l_linenumber, l_discount AS gamma, l_tax * 10 - 0.4 AS delta,
                      trunc(l_extendedprice)::BIGINT AS open_interest, l_partkey % 500 AS volume,
                      l_extendedprice / 1000.0 AS bid, l_extendedprice / 1000.0 * (1.0 + l_tax) AS ask,
                      CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 990.0 END AS mark,
                      l_extendedprice / 1010.0 AS last, 0.1 + l_discount AS iv,
-                     row_number() OVER (PARTITION BY strftime(l_shipdate, '%Y-%m'), l_linenumber % 2, l_quantity
+                     row_number() OVER (PARTITION BY {BLOCK_MONTH_SQL}, l_linenumber % 2, l_quantity
                                         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
               FROM lineitem)
         WHERE rn = 1"""),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import r6
 from tidemark.operators import chain as C
+from tidemark.operators import features as X
 from tidemark.plans import adapters as A
 from tidemark.plans.registry import query
 
@@ -280,20 +281,76 @@ def _(spark, sf):
     )
 
 
+def bundle_inputs(spark, sf):
+    """lineitem as all that a snapshot carries: facts, chain, minute bars, sector moves and volatility indices.
+
+    Returned lines have no index print and accepted ones no move, so families are missing here and there; one line in 997
+    has a move of infinite size, so breadth fails in the snapshots where such a move counts.
+    """
+    li = A.table(spark, sf, "lineitem").withColumn("snapshot_id", A.block_month()).withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    day = F.to_timestamp(F.concat(F.substring("snapshot_id", 1, 7), F.lit("-15 14:30:00")))
+    pick = lambda names, key: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(key) % len(names) + 1).cast("int"))
+    facts = li.groupBy("snapshot_id").agg(F.max("seq").alias("m"), F.count(F.lit(1)).alias("n"))
+    m = F.col("m")
+    snapshots = facts.select(
+        "snapshot_id", F.timestamp_seconds(F.unix_timestamp(day) + (m % 400) * 60).alias("ts"), F.lit(25.0).alias("spot"),
+        F.when(m % 5 != 0, m % 400).alias("minutes_from_open"), F.when(m % 5 != 0, 390 - m % 400).alias("minutes_to_close"),
+        (m % 3 / 4).alias("penalty"), (m % 3 == 0).alias("is_live"), F.when(m % 4 != 0, 24.0).alias("underlying_bid"), F.lit(25.0).alias("underlying_ask"),
+    )
+    q = F.col("l_quantity").cast("double")
+    bars = li.groupBy("snapshot_id", F.timestamp_seconds(F.unix_timestamp(day) + (F.col("l_partkey") % 420 - 20) * 60).alias("ts")).agg(
+        F.min_by(q, "seq").alias("open"), F.max(q + 1).alias("high"), F.min(q - 1).alias("low"), F.max_by(q, "seq").alias("close"), F.count(F.lit(1)).alias("volume")
+    )
+    moves = li.filter("l_returnflag <> 'A'").select(
+        "snapshot_id", pick(BREADTH_SYMBOLS, "l_partkey").alias("symbol"), "seq",
+        F.when((F.col("seq") % 997 == 0), float("inf")).otherwise(F.col("l_discount") - 0.05).alias("move"),
+    )
+    indices = li.filter("l_returnflag <> 'R'").select("snapshot_id", pick(C.VOL_INDICES, "l_suppkey").alias("symbol"), (q - 5).alias("last"), F.lit(90.0).alias("vvix_baseline"), "seq")
+    return snapshots, A.chain(spark, sf), bars, moves, indices
+
+
 @query("feature_bundle")
 def _(spark, sf):
-    ch = A.chain(spark, sf)
-    g = C.gex_features(C.gex_levels(ch))
-    v, r, f = C.atm_straddle(ch), C.rnd_summary(ch), C.flow(ch)
-    names = lambda d: [c for c in d.columns if c not in ("snapshot_id", "spot")]
-    fam = {
-        "gex": C.feature_rows("gex", g, names(g)),
-        "vol": C.feature_rows("vol", v, names(v)),
-        "rnd": C.feature_rows("rnd", r, names(r)),
-        "flow": C.feature_rows("flow", f, names(f)),
-    }
-    b = C.feature_bundle(fam, ch.groupBy("snapshot_id").count())
+    inputs = bundle_inputs(spark, sf)
+    b = C.feature_bundle(X.family_rows(*inputs, tz=None), inputs[0])
+    return b.select(
+        "snapshot_id", "n_features", F.array_join("missing_families", ",").alias("missing"), F.array_join("failed_families", ",").alias("failed"), "bundle_id",
+        r6(F.col("features")["gex.net_ratio"], "net_ratio"), r6(F.col("features")["1m.last_return"], "last_return"),
+    )
+
+
+@query(
+    "feature_families",
+    A.sql(
+        """WITH li AS (SELECT *, """ + A.BLOCK_MONTH_SQL + """ AS snapshot_id, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
+    f AS (SELECT snapshot_id, max(seq) AS m FROM li GROUP BY 1),
+    kc AS (SELECT snapshot_id, count(*) AS contracts, count(DISTINCT strike) AS strikes, sum(volume) FILTER (side = 'call') AS cv, sum(volume) FILTER (side = 'put') AS pv, sum(open_interest) AS oi FROM v_chain GROUP BY 1),
+    b AS (SELECT snapshot_id, l_partkey % 420 - 20 AS t, arg_min(l_quantity, seq) AS open FROM li GROUP BY ALL),
+    o AS (SELECT snapshot_id, coalesce(arg_min(open, t) FILTER (m % 5 <> 0 AND t >= 0), arg_min(open, t)) AS open FROM b JOIN f USING (snapshot_id) GROUP BY 1),
+    """ + STRADDLE_SQL[len("WITH "):] + """,
+    mv AS (SELECT snapshot_id, symbol, arg_max(move, seq) AS move FROM (SELECT snapshot_id, seq, list_value(""" + ", ".join(f"'{s}'" for s in BREADTH_SYMBOLS) + """)[1 + l_partkey % 23] AS symbol,
+           CASE WHEN seq % 997 = 0 THEN 'inf'::DOUBLE ELSE l_discount - 0.05 END AS move FROM li WHERE l_returnflag <> 'A') GROUP BY ALL),
+    br AS (SELECT snapshot_id, count(*) FILTER (symbol LIKE 'XL%') AS n, count(*) FILTER (symbol LIKE 'XL%' AND move > 0) AS up,
+           bool_or(symbol = 'SPY') AND bool_or(symbol = 'RSP') AS pair, bool_or(symbol IN (""" + ", ".join(f"'{s}'" for s in C.TOP10_WEIGHTS) + """)) AS top,
+           bool_or(isinf(move) AND symbol IN ('SPY', 'RSP')) AS inf_pair, bool_or(isinf(move) AND symbol NOT IN ('SPY', 'RSP') AND symbol NOT LIKE 'XL%') AS inf_top FROM mv GROUP BY 1),
+    ix AS (SELECT snapshot_id, arg_max(l_quantity - 5, seq) AS vix FROM li WHERE l_returnflag <> 'R' AND l_suppkey % 4 = 0 AND l_quantity > 5 GROUP BY 1)
+    SELECT snapshot_id, CASE WHEN m % 5 <> 0 THEN (m % 400)::DOUBLE END AS minutes_from_open, round((m % 3) / 4.0, 6) AS penalty, CASE WHEN m % 4 <> 0 THEN round(1 / 24.5, 6) END AS spread_pct,
+      contracts::DOUBLE AS contracts, strikes::DOUBLE AS strikes, CASE WHEN cv + pv > 0 OR oi > 0 THEN coalesce(cv, 0)::DOUBLE END AS call_volume, CASE WHEN cv > 0 THEN round(coalesce(pv, 0) / cv::DOUBLE, 6) END AS pcr_volume,
+      round(st, 6) AS straddle, CASE WHEN st > 0 THEN round(abs(25 - open) / st, 6) END AS consumed,
+      coalesce((inf_pair AND pair) OR (inf_top AND top), FALSE) AS breadth_failed, round(CASE WHEN n > 0 AND NOT ((inf_pair AND pair) OR (inf_top AND top)) THEN up / n::DOUBLE END, 6) AS sector_align, vix
+    FROM f LEFT JOIN kc USING (snapshot_id) LEFT JOIN o USING (snapshot_id) LEFT JOIN a USING (snapshot_id) LEFT JOIN br USING (snapshot_id) LEFT JOIN ix USING (snapshot_id)""",
+        "v_chain",
+    ),
+)
+def _(spark, sf):
+    """The families that SQL can say, out of a bundle of those families."""
+    inputs = bundle_inputs(spark, sf)
+    rows = X.family_rows(*inputs, tz=None)
+    b = C.feature_bundle({n: rows[n] for n in ("vol", "flow", "breadth", "vix", "session")}, inputs[0])
+    g = lambda name, alias: r6(F.col("features")[name], alias)
     return b.select(
-        "snapshot_id", "n_features", F.array_join("missing_families", ",").alias("missing"), "bundle_id",
-        r6(F.col("features")["gex.net_ratio"], "net_ratio"),
+        "snapshot_id", g("session.minutes_from_open", "minutes_from_open"), g("session.data_quality_penalty", "penalty"), g("session.underlying_spread_pct", "spread_pct"),
+        g("session.contracts", "contracts"), g("session.strikes", "strikes"), g("flow.call_volume", "call_volume"), g("flow.pcr_volume", "pcr_volume"),
+        g("vol.atm_straddle", "straddle"), g("vol.expected_move_consumed", "consumed"), F.array_contains("failed_families", "breadth").alias("breadth_failed"),
+        g("breadth.sector_align", "sector_align"), g("vix.vix", "vix"),
     )

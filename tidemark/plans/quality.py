@@ -230,7 +230,7 @@ def _(spark, sf):
         """
     WITH k AS (SELECT snapshot_id, count(*) AS contracts_total, count(DISTINCT strike) AS strikes_total,
            bool_or(side = 'call') AS has_calls, bool_or(side = 'put') AS has_puts, sum(volume)::BIGINT AS v
-         FROM v_chain WHERE strike <= 4 OR volume % 3 = 0 GROUP BY 1),
+         FROM v_chain GROUP BY 1),
     x AS (SELECT *, ['OPEN', 'CLOSED', 'PRE_OPEN', 'OPEN', 'HOLIDAY'][1 + v % 5] AS session_status,
            ['LIVE', 'STALE', 'DELAYED'][1 + v % 3] AS spot_status, ['FALLBACK', 'MISSING', NULL][1 + v % 3] AS bars_status,
            ['LIVE', 'LIVE', 'STALE', 'INVALID'][1 + v % 4] AS chain_status, v % 6 = 0 AS catalyst_active,
@@ -250,7 +250,7 @@ def _(spark, sf):
 def _(spark, sf):
     from tidemark.operators.chain import chain_coverage
 
-    ch = A.chain(spark, sf).filter((F.col("strike") <= 4) | (F.col("volume") % 3 == 0))
+    ch = A.chain(spark, sf)
     v = ch.groupBy("snapshot_id").agg(F.sum("volume").alias("v"))
     pick = lambda vals: F.element_at(F.array(*[F.lit(x) for x in vals]), (F.col("v") % len(vals) + 1).cast("int"))
     snap = chain_coverage(ch).join(v, "snapshot_id").select(

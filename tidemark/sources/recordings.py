@@ -31,7 +31,8 @@ def read_recording(spark: SparkSession, path: str, sessions: Sequence[str] | Non
 
 def parse_snapshot(records: DataFrame, raw: str = "snapshot") -> tuple[DataFrame, DataFrame]:
     """(typed snapshots, rejected records with the missing required fields). Optional fields become NULL, never a default."""
-    parsed = records.withColumn("s", F.from_json(F.col(raw), SNAPSHOT))
+    # inside a generator the text is parsed once a row; as a plain column it would be parsed again for every field used
+    parsed = records.select("*", F.inline(F.array(F.struct(F.from_json(F.col(raw), SNAPSHOT).alias("s")))))
     bad = [F.when(F.col(f"s.{n}").isNull(), F.lit(n)) for n in REQUIRED]
     price = F.try_to_number(F.col("s.underlying_price"), F.lit("999999999999.999999")).cast(DEC)
     ts = F.try_to_timestamp(F.col("s.timestamp"))
