@@ -125,25 +125,24 @@ def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
-def _decision(df: DataFrame, name: str, steps: Sequence[tuple[Column, str, str]], chosen: Column, reason: str, confidence: Column) -> DataFrame:
-    """First matching (condition, action, reason) step, else SELECT_CANDIDATE."""
+def _decision(name: str, steps: Sequence[tuple[Column, str, str]], chosen: Column, reason: str, confidence: Column) -> Column:
+    """First matching (condition, action, reason) step, else SELECT_CANDIDATE, as a struct over the columns of policy inputs."""
     over = F.coalesce(chosen["max_loss"] > F.col("risk_cap"), F.lit(False))
     action, why = F.when(F.lit(False), ""), F.when(F.lit(False), "")
     for cond, act, code in [*steps, (chosen.isNull(), "NO_EDGE", "empty_universe"), (over, "NO_EDGE", "risk_envelope")]:
         hit = F.coalesce(cond, F.lit(False))
         action, why = action.when(hit, act), why.when(hit, code)
     action, why = action.otherwise("SELECT_CANDIDATE"), why.otherwise(reason)
-    return df.select(
-        "snapshot_id", F.lit(name).alias("policy"), action.alias("action"),
+    return F.struct(
+        F.lit(name).alias("policy"), action.alias("action"),
         F.when(action == "SELECT_CANDIDATE", chosen["candidate_id"]).alias("candidate_id"),
         why.alias("reason"), F.when(action == "SELECT_CANDIDATE", confidence).otherwise(0.0).alias("confidence"),
     )
 
 
-def policy_legacy(inputs: DataFrame) -> DataFrame:
-    """First candidate in universe order when nothing vetoes and the view permits."""
+def legacy_view() -> Column:
     return _decision(
-        inputs, "legacy",
+        "legacy",
         [
             (~F.col("inputs_present"), "ABSTAIN", "missing_inputs"),
             (F.size("vetoes") > 0, "ABSTAIN", "hard_veto"),
@@ -153,8 +152,7 @@ def policy_legacy(inputs: DataFrame) -> DataFrame:
     )
 
 
-def policy_v2(inputs: DataFrame, max_uncertainty: float = 0.75, min_quality: float = 0.40, min_prob: float = 0.58) -> DataFrame:
-    """Directional policy: probability edge, then the first candidate aligned with it (else the first)."""
+def v2_view(max_uncertainty: float = 0.75, min_quality: float = 0.40, min_prob: float = 0.58) -> Column:
     p = F.col("p_up")
     edge = F.greatest(p, 1.0 - p)
     unc = F.coalesce(F.nullif("uncertainty", F.lit(0.0)), F.lit(0.5))
@@ -163,7 +161,7 @@ def policy_v2(inputs: DataFrame, max_uncertainty: float = 0.75, min_quality: flo
     )
     chosen = F.coalesce(_first(aligned), _first(F.col("candidates")))
     return _decision(
-        inputs, "v2",
+        "v2",
         [
             (~F.col("inputs_present") | ~F.col("has_forecast"), "ABSTAIN", "missing_forecast"),
             (F.size("vetoes") > 0, "ABSTAIN", "hard_veto"),
@@ -177,13 +175,12 @@ def policy_v2(inputs: DataFrame, max_uncertainty: float = 0.75, min_quality: flo
     )
 
 
-def policy_v3(inputs: DataFrame) -> DataFrame:
-    """Meta action first, then the best-ranked candidate within the risk cap."""
+def v3_view() -> Column:
     ranked = F.sort_array(F.transform(F.filter("candidates", lambda x: x["rank"].isNotNull()), lambda x: F.struct(x["rank"].alias("rank"), x["candidate_id"].alias("candidate_id"), x["max_loss"].alias("max_loss"))))
     chosen = _first(ranked)
     meta = F.col("meta_action")
-    out = _decision(
-        inputs, "v3",
+    return _decision(
+        "v3",
         [
             (~F.col("inputs_present"), "ABSTAIN", "missing_inputs"),
             (F.size("vetoes") > 0, "ABSTAIN", "hard_veto"),
@@ -195,43 +192,65 @@ def policy_v3(inputs: DataFrame) -> DataFrame:
         ],
         chosen, "v3_rank_select", F.lit(0.7),
     )
-    return out
+
+
+def policy_views(inputs: DataFrame, *views: Column) -> DataFrame:
+    """One row per (snapshot, policy), of all three policies or of the given ones, out of one pass over the inputs."""
+    return inputs.select("snapshot_id", F.inline(F.array(*(views or (legacy_view(), v2_view(), v3_view())))))
+
+
+def policy_legacy(inputs: DataFrame) -> DataFrame:
+    """First candidate in universe order when nothing vetoes and the view permits."""
+    return policy_views(inputs, legacy_view())
+
+
+def policy_v2(inputs: DataFrame, max_uncertainty: float = 0.75, min_quality: float = 0.40, min_prob: float = 0.58) -> DataFrame:
+    """Directional policy: probability edge, then the first candidate aligned with it (else the first)."""
+    return policy_views(inputs, v2_view(max_uncertainty, min_quality, min_prob))
+
+
+def policy_v3(inputs: DataFrame) -> DataFrame:
+    """Meta action first, then the best-ranked candidate within the risk cap."""
+    return policy_views(inputs, v3_view())
+
+
+def _mode(names: Column) -> Column:
+    """(minus its count, name) of the most frequent name, ties to the lower one; NULL of an empty array."""
+    return F.array_min(
+        F.transform(F.array_distinct(names), lambda a: F.struct((-F.size(F.filter(names, lambda x: x == a))).alias("k"), a.alias("a")))
+    )
+
+
+def _tallied(views: DataFrame, *sides: Column) -> DataFrame:
+    """One row per snapshot: `sides`, the modal action and candidate with their counts. A snapshot has one vote a policy."""
+    vote = F.struct("action", "candidate_id")
+    votes = views.groupBy("snapshot_id").agg(*sides, F.collect_list(vote).alias("votes"))
+    selects = F.filter("votes", lambda v: (v["action"] == "SELECT_CANDIDATE") & v["candidate_id"].isNotNull())
+    named = votes.withColumns({"actions": F.transform("votes", lambda v: v["action"]), "selected": F.transform(selects, lambda v: v["candidate_id"])})
+    return named.withColumns({
+        "m": _mode(F.col("actions")), "mc": _mode(F.col("selected")),
+        "action_conflict": F.size(F.array_distinct("actions")) > 1, "candidate_conflict": F.size(F.array_distinct("selected")) > 1,
+    }).withColumn("disagree", F.col("action_conflict") | F.col("candidate_conflict"))
 
 
 def policy_disagreement(views: DataFrame) -> DataFrame:
     """Action / candidate conflict over a snapshot's policies, with the modal action and how many share it.
 
-    Ties of the mode go to the lower name, so the result does not depend on row order.
+    Ties of the mode go to the lower name, so the result does not depend on row order. One shuffle.
     """
-    per_action = views.groupBy("snapshot_id", "action").agg(F.count(F.lit(1)).alias("n"))
-    modal = per_action.groupBy("snapshot_id").agg(
-        F.min(F.struct((-F.col("n")).alias("k"), F.col("action").alias("a"))).alias("m"), F.count(F.lit(1)).alias("n_actions"), F.sum("n").alias("n_views")
-    )
-    per_cand = views.filter((F.col("action") == "SELECT_CANDIDATE") & F.col("candidate_id").isNotNull()).groupBy("snapshot_id", "candidate_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    cands = per_cand.groupBy("snapshot_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.min(F.struct((-F.col("n")).alias("k"), F.col("candidate_id").alias("c"))).alias("mc")
-    )
-    j = modal.join(cands, "snapshot_id", "left")
     select_mode = (F.col("m.a") == "SELECT_CANDIDATE") & F.col("mc").isNotNull()
-    return j.select(
-        "snapshot_id",
-        (F.col("n_actions") > 1).alias("action_conflict"),
-        (F.coalesce("n_candidates", F.lit(0)) > 1).alias("candidate_conflict"),
-        ((F.col("n_actions") > 1) | (F.coalesce("n_candidates", F.lit(0)) > 1)).alias("disagree"),
-        F.col("m.a").alias("modal_action"),
+    return _tallied(views).select(
+        "snapshot_id", "action_conflict", "candidate_conflict", "disagree", F.col("m.a").alias("modal_action"),
         F.when(select_mode, -F.col("mc.k")).otherwise(-F.col("m.k")).alias("n_agreeing"),
-        F.col("mc.c").alias("modal_candidate"), F.coalesce(-F.col("mc.k"), F.lit(0)).alias("modal_votes"), "n_views",
+        F.col("mc.a").alias("modal_candidate"), F.coalesce(-F.col("mc.k"), F.lit(0)).alias("modal_votes"), F.size("votes").alias("n_views"),
     )
 
 
 def policy_ensemble(views: DataFrame, mode: str = "shadow") -> DataFrame:
     """Authority by mode: legacy / shadow follow legacy; champion follows v3, falling back on missing inputs and
-    taking a two-vote majority when candidates conflict."""
-    side = lambda p: F.max(F.when(F.col("policy") == p, F.struct("action", "candidate_id", "reason", "confidence")))
-    wide = views.groupBy("snapshot_id").agg(side("legacy").alias("legacy"), side("v3").alias("v3"))
-    j = wide.join(policy_disagreement(views), "snapshot_id")
+    taking a two-vote majority when candidates conflict. One shuffle."""
+    side = lambda p: F.max(F.when(F.col("policy") == p, F.struct("action", "candidate_id", "reason", "confidence"))).alias(p)
+    j = _tallied(views, side("legacy"), side("v3"))
     if mode in ("legacy", "shadow"):
         auth, source = F.col("legacy"), F.lit("legacy" if mode == "legacy" else "legacy_shadow")
         vote = F.lit(False)
@@ -239,20 +258,25 @@ def policy_ensemble(views: DataFrame, mode: str = "shadow") -> DataFrame:
         fallback = (F.col("v3.action") == "ABSTAIN") & F.col("v3.reason").contains("missing")
         auth = F.when(fallback, F.col("legacy")).otherwise(F.col("v3"))
         source = F.when(fallback, "fallback_legacy").otherwise("v3")
-        vote = F.col("candidate_conflict") & (auth["action"] == "SELECT_CANDIDATE") & (F.col("modal_votes") >= 2)
+        vote = F.col("candidate_conflict") & (auth["action"] == "SELECT_CANDIDATE") & (F.coalesce(-F.col("mc.k"), F.lit(0)) >= 2)
     return j.select(
-        "snapshot_id", auth["action"].alias("action"), F.when(vote, F.col("modal_candidate")).otherwise(auth["candidate_id"]).alias("candidate_id"),
+        "snapshot_id", auth["action"].alias("action"), F.when(vote, F.col("mc.a")).otherwise(auth["candidate_id"]).alias("candidate_id"),
         F.when(vote, F.least(auth["confidence"] + 0.1, F.lit(1.0))).otherwise(auth["confidence"]).alias("confidence"),
         source.alias("source"), "disagree", vote.alias("majority"),
     )
 
 
-def compare_shadow(authority: DataFrame, shadows: DataFrame) -> DataFrame:
-    """Shadow decisions against the authority's: what differs per (snapshot, shadow)."""
-    a = authority.select("snapshot_id", F.col("action").alias("auth_action"), F.col("candidate_id").alias("auth_candidate"))
-    return shadows.join(a, "snapshot_id").select(
-        "snapshot_id", "shadow", (F.col("action") != F.col("auth_action")).alias("action_differs"),
-        (~F.col("candidate_id").eqNullSafe(F.col("auth_candidate"))).alias("candidate_differs"),
+def compare_shadow(views: DataFrame, authority: str = "legacy") -> DataFrame:
+    """Shadow decisions against the authority's: what differs per (snapshot, shadow). Both are rows of `views`
+    (snapshot_id, policy, action, candidate_id), each policy once per snapshot, so one shuffle brings them together."""
+    view = F.struct(F.col("policy").alias("shadow"), F.col("action").alias("shadow_action"), F.col("candidate_id").alias("shadow_candidate"))
+    ours = F.col("policy") == authority
+    both = views.groupBy("snapshot_id").agg(
+        F.max(F.when(ours, F.struct("action", "candidate_id"))).alias("a"), F.collect_list(F.when(~ours, view)).alias("shadows")
+    )
+    return both.filter(F.col("a").isNotNull()).select("snapshot_id", "a", F.inline("shadows")).select(
+        "snapshot_id", "shadow", (F.col("shadow_action") != F.col("a.action")).alias("action_differs"),
+        (~F.col("shadow_candidate").eqNullSafe(F.col("a.candidate_id"))).alias("candidate_differs"),
     )
 
 

@@ -145,8 +145,7 @@ def _(spark, sf):
 
 
 def views(spark, sf):
-    i = inputs(spark, sf)
-    return D.policy_legacy(i).unionByName(D.policy_v2(i)).unionByName(D.policy_v3(i))
+    return D.policy_views(inputs(spark, sf))
 
 
 DIS = INPUTS + """, ac AS (SELECT sid, action, count(*) AS n FROM al GROUP BY ALL), mo AS (SELECT sid, first(action ORDER BY n DESC, action) AS modal, max(n) AS mn, count(*) AS na FROM ac GROUP BY 1),
@@ -180,9 +179,7 @@ def _(spark, sf):
     INPUTS + " SELECT s.policy AS shadow, count(*) AS n, count(*) FILTER (s.action <> a.action) AS action_differs, count(*) FILTER (s.cid IS DISTINCT FROM a.cid) AS candidate_differs FROM al s JOIN al a ON a.sid = s.sid AND a.policy = 'legacy' WHERE s.policy <> 'legacy' GROUP BY 1",
 )
 def _(spark, sf):
-    i = inputs(spark, sf)
-    shadows = D.policy_v2(i).unionByName(D.policy_v3(i)).withColumnRenamed("policy", "shadow")
-    return D.compare_shadow(D.policy_legacy(i), shadows).groupBy("shadow").agg(
+    return D.compare_shadow(views(spark, sf)).groupBy("shadow").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("action_differs").alias("action_differs"), F.count_if("candidate_differs").alias("candidate_differs")
     )
 

@@ -186,13 +186,13 @@ def _(spark, sf):
 
 @query(
     "open_gaps",
-    """SELECT archetype, round(epoch(max(ts))) AS observed FROM (SELECT 'a' || user_id AS archetype, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events WHERE event_type = 'error')
-       WHERE r = 1 AND value > 20 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 1""",
+    """SELECT archetype, round(epoch(max(ts))) AS observed FROM (SELECT 'a' || user_id AS archetype, ts, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events)
+       WHERE r = 1 AND event_type IN ('error', 'click') AND value > 20 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 1""",
 )
 def _(spark, sf):
-    e = A.table(spark, sf, "events").filter("event_type = 'error'").select(
+    e = A.table(spark, sf, "events").select(
         F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("archetype"), F.col("ts").cast("timestamp").alias("observed_at"),
-        F.when(F.col("value") > 20, "weak_archetype").otherwise("cleared").alias("kind"),
+        F.when(F.col("event_type").isin("error", "click") & (F.col("value") > 20), "weak_archetype").otherwise("cleared").alias("kind"),
     )
     g = J.open_gaps(e, F.lit("2024-01-31").cast("timestamp"))
     return g.select("archetype", F.round(F.unix_micros("observed_at") / 1e6).alias("observed"))

@@ -111,7 +111,7 @@ def _(spark, sf):
     "laundered_snapshots",
     A.sql(
         S + """ SELECT snapshot_id FROM s GROUP BY 1
-        HAVING bool_or(status IN ('STALE', 'DELAYED')) AND 0.1 * count(*) FILTER (status IN ('STALE', 'DELAYED')) < 0.3""",
+        HAVING bool_or(status IN ('STALE', 'DELAYED', 'MISSING', 'INVALID')) AND 0.1 * count(*) FILTER (status IN ('STALE', 'DELAYED')) < 0.3""",
         "v_feed",
     ),
 )
@@ -121,7 +121,7 @@ def _(spark, sf):
     lenient = feed.groupBy("snapshot_id").agg(
         F.when(F.count_if(F.col("status").isin("STALE", "DELAYED")) < 3, 0.0).otherwise(1.0).alias("penalty")
     )
-    return Q.stale_feed_audit(feed.filter(F.col("status").isin("STALE", "DELAYED")), lenient)[1].select("snapshot_id")
+    return Q.stale_feed_audit(feed, lenient)[1].select("snapshot_id")
 
 
 @query(
