@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from helpers import bag, corpus, documents
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -164,3 +165,14 @@ def test_tables_without_labels_or_rows(spark):
         n = len(corpus()) if own is docs else 0
         assert quality.count() == toxic.count() == lang.count() == n
         assert [r for r in quality.collect() if not 0 <= r.score <= 1] == [r for r in toxic.collect() if not 0 <= r.score <= 0.5] == []
+
+
+def test_numerals_are_no_letters_and_own_columns_may_clash(spark):
+    from tidemark.llm.language import fit_language, predict_language
+
+    learn = spark.createDataFrame([(i, "der und die " * 5 if i % 2 else "the and of " * 5, "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    net = fit_language(learn)
+    docs = spark.createDataFrame([(1, "² ½ Ⅷ ① ٣"), (2, "Ⅷ the and of"), (3, "ª")], "doc_id long, text string").withColumn("__p", F.lit("own"))
+    got = {r.doc_id: r for r in predict_language(docs, net).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0.0) and got[2].lang_pred != "und" and got[3].lang_pred != "und"
+    assert {r["__p"] for r in got.values()} == {"own"}

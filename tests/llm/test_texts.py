@@ -177,3 +177,17 @@ def test_empty_tables(spark):
     for out in (jaccard_classes(none), one_of_each(none), remove_repeats(none), shard(none), pack(none), decode(encode(none))):
         assert out.collect() == []
     assert len(CLASHES) == len(set(CLASHES))
+
+
+def test_best_fit_with_clashing_columns_null_ids_and_repeated_rows(spark):
+    from tidemark.llm.packing import best_fit
+
+    rows = [(None, 5), (None, 5), (1, 3), (1, 3), (2, 8), (3, 8), (4, 1)]
+    own = {c: F.lit("own") for c in ("__len", "__base", "__runs", "__hit", "__run", "__RANK")}
+    got = best_fit(spark.createDataFrame(rows, "doc_id long, length long").withColumns(own), capacity=8).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == sorted((i or 0, n) for i, n in rows)
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0) and all(r[c] == "own" for c in own)
+        filled[r.sequence_id] = r.offset + r.length
+    assert len(filled) == 5 and max(filled.values()) <= 8

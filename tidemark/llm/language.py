@@ -6,20 +6,20 @@ The network starts anew at each word, so equal words have equal labels and each
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, text_bytes
+from tidemark.llm.common import fold, fresh, text_bytes
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")  # letters are category L: neither digits of any kind nor numerals
 STEPS = 20  # bytes of a piece: longer words are read in pieces
 EMBED, HIDDEN = 10, 16
 CACHED = 300_000  # words whose labels a worker remembers
@@ -228,4 +228,5 @@ def predict_language(docs: DataFrame, net: BiGru, text_col: str = "text", lang_c
 
     taken = {lang_col.lower(), score_col.lower()}
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
-    return docs.select(*keep, predict(text_bytes(F.col(text_col))).alias("__p")).select(*keep, F.col("__p.lang").alias(lang_col), F.col("__p.score").alias(score_col))
+    found = fresh(docs, "__p")
+    return docs.select(*keep, predict(text_bytes(F.col(text_col))).alias(found)).select(*keep, F.col(f"{found}.lang").alias(lang_col), F.col(f"{found}.score").alias(score_col))

@@ -112,7 +112,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "len
     common length. The plan and the salts' offsets, both of bounded size, are broadcast.
     """
     pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
-    salt, tie, rank = (fresh(pieces, c) for c in ("__salt", "__tie", "__rank"))
+    salt, tie, rank, size, base_col, slots, hit = (fresh(pieces, c) for c in ("__salt", "__tie", "__rank", "__len", "__base", "__runs", "__hit"))
     wrong = F.col(length_col).isNull() | (F.col(length_col) < 1) | (F.col(length_col) > capacity)
     checked = F.when(wrong, F.raise_error(F.lit(f"piece length outside 1 to {capacity}"))).otherwise(F.col(length_col)).cast("int")
     rows = written(pieces.withColumn(length_col, checked.cast(dict(pieces.dtypes)[length_col])).withColumn(tie, F.monotonically_increasing_id()), "pieces")
@@ -123,21 +123,21 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "len
         starts.append((length, s, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
     spark = pieces.sparkSession
-    base = spark.createDataFrame(starts, f"__len int, `{salt}` int, __base long")
+    base = spark.createDataFrame(starts, f"`{size}` int, `{salt}` int, `{base_col}` long")
     planned = spark.createDataFrame(plan(counts, capacity), PLAN)
-    runs = planned.select(F.col("len").alias("__len"), F.struct("first", "count", "per", "sequence", "place").alias("__run"))
-    runs = runs.groupBy("__len").agg(F.sort_array(F.collect_list("__run")).alias("__runs"))
+    runs = planned.select(F.col("len").alias(size), F.struct("first", "count", "per", "sequence", "place").alias("run"))
+    runs = runs.groupBy(size).agg(F.sort_array(F.collect_list("run")).alias(slots))
     order = Window.partitionBy(length_col, salt).orderBy(tie)
     ranked = rows.withColumn(rank, F.row_number().over(order) - 1)
-    joined = ranked.join(F.broadcast(base), (ranked[length_col] == base["__len"]) & (ranked[salt] == base[salt])).drop(base[salt]).drop("__len")
-    joined = joined.withColumn(rank, F.col(rank) + F.col("__base"))
-    joined = joined.join(F.broadcast(runs), joined[length_col] == runs["__len"])
-    run = F.expr(f"filter(__runs, r -> r.first <= `{rank}` AND `{rank}` < r.first + r.count)[0]")
-    at = F.col(rank) - F.col("__hit.first")
-    return joined.withColumn("__hit", run).select(
+    joined = ranked.join(F.broadcast(base), (ranked[length_col] == base[size]) & (ranked[salt] == base[salt])).drop(base[salt]).drop(size)
+    joined = joined.withColumn(rank, F.col(rank) + F.col(base_col))
+    joined = joined.join(F.broadcast(runs), joined[length_col] == runs[size])
+    run = F.expr(f"filter(`{slots}`, r -> r.first <= `{rank}` AND `{rank}` < r.first + r.count)[0]")
+    at = F.col(rank) - F.col(f"{hit}.first")
+    return joined.withColumn(hit, run).select(
         *[F.col(f"`{c}`") for c in pieces.columns],
-        (F.col("__hit.sequence") + F.floor(at / F.col("__hit.per"))).cast("long").alias("sequence_id"),
-        (F.col("__hit.place") + F.pmod(at, F.col("__hit.per").cast("long")) * F.col(length_col)).cast("long").alias("offset"),
+        (F.col(f"{hit}.sequence") + F.floor(at / F.col(f"{hit}.per"))).cast("long").alias("sequence_id"),
+        (F.col(f"{hit}.place") + F.pmod(at, F.col(f"{hit}.per").cast("long")) * F.col(length_col)).cast("long").alias("offset"),
     )
 
 
