@@ -2,12 +2,12 @@
 
 1. A text's set of word n-grams becomes sorted 64-bit keys in one global order, rare n-grams first: the order's frequency
    classes come from counters of bounded size over all texts. Texts of equal sets are one set from then on.
-2. Two sets that link share one of their first n - ceil(t n) + 1 keys. Those prefix keys are counted, and only keys that
-   occur in more than one text are kept with their sets.
-3. The sets of a key meet its leader first; leaders' partners are stored in tries and the leader's set walks them, sharing
-   overlaps of common paths and cutting subtrees by what length remains. Links give classes; then only sets of one key that
-   are still in different classes are compared in the same way. A link between different classes is found in the second
-   step, so the classes are exact; links inside a class are not listed.
+2. Two sets that link share one of their first n - ceil(t n) + 1 keys. These prefix keys are shuffled once, and rows of keys
+   that more than one set has stay.
+3. A key's sets meet its leader first, which gives classes. Then, for each key that still holds several classes, its sets are
+   stored in tries from that key on and walk them: partial overlaps of common paths are shared, and a subtree is cut when what
+   remains of both sides is too short. Only pairs of different classes leave; tries of whole sets decide them. A link between
+   different classes is found in this step, so the classes are exact; links inside a class are not listed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from tidemark.llm.common import bit_filter, frames, fresh, text_bytes, written
 from tidemark.llm.graph import components
@@ -31,6 +31,7 @@ THRESHOLD = 75  # percent
 CELLS = 65_536  # counters of a slice
 COUNTERS = (16, 24)  # counters of the frequency classes as powers of two: least and most
 PARTNERS = 256  # sets of one trie
+WINDOW = 64  # keys of a stretch
 CLASS_SHIFT, HASH_SHIFT = np.uint64(58), np.uint64(6)
 
 
@@ -55,11 +56,14 @@ def prefix(size: int, percent: int = THRESHOLD) -> int:
 
 
 class Trie:
-    """Sets of ordered keys with common beginnings stored once. A node is (keys, sets that end here, children, smallest and
-    largest size of a set below)."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    """Ordered sets, or bounded stretches of them, with common beginnings stored once. A node is (keys, sets that end here,
+    children, smallest size of a set below, most keys that a set below has from the root on). `left` counts the keys of a
+    set from its stretch's first on, `sizes` those of the whole set; a set that is stored whole needs neither."""
+
+    def __init__(self, sets: list[np.ndarray], left: list[int] | None = None, sizes: list[int] | None = None):
+        self.left = left or [len(s) for s in sets]
+        self.sizes = sizes or self.left
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(sets[i].dtype.newbyteorder(">")).tobytes())
         self.root = self.node(sets, order, 0)
 
     def node(self, sets: list[np.ndarray], order: list[int], depth: int) -> tuple:
@@ -75,34 +79,48 @@ class Trie:
                 to += 1
             children.append(self.node(sets, rest[at:to], end))
             at = to
-        sizes = [len(sets[i]) for i in order]
-        return first[depth:end], ends, children, min(sizes), max(sizes)
+        return first[depth:end], ends, children, min(self.sizes[i] for i in order), max(self.left[i] for i in order)
 
-    def linked(self, x: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the sets whose overlap with x is at least percent of the union."""
+    def below(self, node: tuple) -> list[int]:
+        out, stack = [], [node]
+        while stack:
+            _, ends, children, _, _ = stack.pop()
+            out += ends
+            stack += children
+        return out
+
+    def linked(self, x: np.ndarray, percent: int, left: int | None = None, size: int | None = None) -> list[int]:
+        """Numbers of the sets whose overlap with x can be at least percent of the union: of whole sets, those whose overlap
+        is. A stretch says nothing of what lies behind it, so there the shorter rest counts as shared."""
+        left = len(x) if left is None else left
+        size = left if size is None else size
         found = []
         stack = [(self.root, 0, 0)]
         while stack:
-            (keys, ends, children, low, high), depth, overlap = stack.pop()
-            if len(keys):
+            node, depth, overlap = stack.pop()
+            keys, ends, children, low, high = node
+            inside, rest = len(keys), left
+            if inside:
                 at = np.searchsorted(x, keys)
-                overlap += int((x[np.minimum(at, len(x) - 1)] == keys).sum())
-                left = len(x) - int(at[-1])
-            else:
-                left = len(x)
-            depth += len(keys)
+                inside = int(np.searchsorted(at, len(x)))  # keys up to the last one of x
+                overlap += int((x[at[:inside]] == keys[:inside]).sum())
+                rest = left - (int(at[-1]) if inside == len(keys) else len(x))
+            past = inside < len(keys)
+            depth += inside
             # all that can still be shared: what is left of x, and of the longest set below
-            if (100 + percent) * (overlap + min(left, high - depth)) < percent * (len(x) + low):
+            if (100 + percent) * (overlap + min(rest, high - depth)) < percent * (size + low):
                 continue
-            found += [i for i in ends if (100 + percent) * overlap >= percent * (len(x) + depth)]
-            stack += [(child, depth, overlap) for child in children]
+            near = self.below(node) if past else ends
+            found += [i for i in near if (100 + percent) * (overlap + min(rest, self.left[i] - depth)) >= percent * (size + self.sizes[i])]
+            if not past:
+                stack += [(child, depth, overlap) for child in children]
         return found
 
 
 def frequency_classes(hashed: DataFrame, total: int) -> np.ndarray:
     """log2 classes of the counts of n-grams over all texts, in 2^16 to 2^24 shared counters. Tasks send their counters in
     compressed slices, which are added up slice by slice as they arrive."""
-    bits = max(COUNTERS[0], min(COUNTERS[1], max(1, total // 16).bit_length()))
+    bits = max(COUNTERS[0], min(COUNTERS[1], max(1, total // 8).bit_length()))
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, dtype=np.uint32)
@@ -159,10 +177,27 @@ def set_of(text_col: str) -> object:
     return named(text_bytes(F.col(text_col)))
 
 
-def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets that link with another set. texts: raw; rows: n, sid."""
+def stretches(it: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by `by`, a group at a time. Groups must be of bounded size."""
+    rest = None
+    for frame in it:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        new = np.zeros(len(frame), dtype=bool)
+        for c in by:
+            v = frame[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for at, to in zip(cuts, cuts[1:]):
+            yield frame.iloc[at:to]
+        rest = frame.iloc[cuts[-1]:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def classes_of_sets(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that link with another set. texts: uid, n, raw, one row a set."""
     spark = texts.sparkSession
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    total = texts.agg(F.sum("n")).first()[0] or 0
     classes = spark.sparkContext.broadcast(frequency_classes(texts, total))
 
     def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,103 +205,148 @@ def classes_of_sets(texts: DataFrame, rows: DataFrame, percent: int) -> DataFram
             out = [np.zeros(0, np.uint64)]
             for t in frame["raw"]:
                 s = shingles(bytes(t))
-                out.append(ordered(s, classes.value)[:prefix(len(s), percent)] if len(s) else s)
-            yield pd.DataFrame({"key": np.concatenate(out).view(np.int64)})
-
-    often = written(texts.mapInPandas(prefixes, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "prefix-keys")
-    shared = spark.sparkContext.broadcast(bit_filter(often, "key"))
-
-    def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames(it):
-            cols: dict[str, list] = {c: [] for c in ("key", "sid", "n", "at", "last", "lone")}
-            for t in frame["raw"]:
-                s = shingles(bytes(t))
-                if not len(s):
-                    continue
-                keys = ordered(s, classes.value)[:prefix(len(s), percent)]
-                kept = np.flatnonzero(shared.value.has(keys))
-                name = xxh3_128_digest(s.tobytes())
-                cols["key"] += keys[kept].view(np.int64).tolist()
-                cols["sid"] += [name] * len(kept)
-                cols["n"] += [len(s)] * len(kept)
-                cols["at"] += kept.tolist()
-                cols["last"] += [int(keys[-1])] * len(kept)
-                cols["lone"] += [1000 * (len(keys) - len(kept)) // len(keys)] * len(kept)
-            yield pd.DataFrame(cols)
-
-    # one row for each key and set, however many copies of the set there are
-    rest = ("n", "at", "last", "lone")
-    held = texts.mapInPandas(members, "key long, sid binary, n int, at int, last long, lone int").groupBy("key", "sid").agg(*[F.first(c).alias(c) for c in rest])
-    held = written(held, "members")
-    # a key's leader is the set of which most prefix keys occur elsewhere: of near copies, the text they were made from
-    leaders = held.groupBy("key").agg(F.min(F.struct("lone", "sid", "n", "at", "last")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
-    held = written(held.join(leaders, "key"), "members")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """(a, b) of rows (a, b, n, at, last, n_, at_, last_), one for each prefix key that a pair shares, whose overlap can
-        still reach the threshold. Up to their last common key, and up to the end of the prefix that ends first, all common
-        keys are among those counted; what lies behind bounds the rest."""
-        size = lambda n: f"({n} - CAST(ceil({percent} * {n} / 100) AS INT) + 1)"
-        one = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("n", "at", "last", "n_", "at_", "last_")])
-        behind = lambda n, at, mine, other: f"{n} - CASE WHEN {mine} <= {other} THEN {size(n)} ELSE {at} + 1 END"
-        most = f"c + least({behind('n', 'at', 'last', 'last_')}, {behind('n_', 'at_', 'last_', 'last')})"
-        return one.filter(f"{100 + percent} * ({most}) >= {percent} * (n + n_)").select("a", "b")
+                out.append(ordered(s, classes.value)[:prefix(len(s), percent)])
+            sizes = [len(x) for x in out[1:]]
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *sizes]])
+            keys = np.concatenate(out).view(np.int64)
+            yield pd.DataFrame({"key": keys, "uid": np.repeat(frame["uid"].to_numpy(), sizes), "n": np.repeat(frame["n"].to_numpy(), sizes), "at": at})
+
+    def met(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of keys that more than one set has, with the key's leader: its first row. Only the last row seen and the
+        leader are kept between frames, whatever a key's length."""
+        held, lead = None, None
+        for frame in it:
+            key = frame["key"].to_numpy()
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+                key = frame["key"].to_numpy()
+            start = np.ones(len(key), dtype=bool)
+            start[1:] = key[1:] != key[:-1]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+            cols = {f"{c}_": frame[c].to_numpy()[first] for c in ("uid", "n")}
+            if lead is not None and lead[0] == key[0]:  # the leader of the first key may lie in an earlier frame
+                old = first == 0
+                for c, v in zip(("uid_", "n_"), lead[1:]):
+                    cols[c][old] = v
+            frame = frame.assign(**cols)
+            # a row alone in its key goes; the last row waits for the next frame
+            alone = (frame["uid"] == frame["uid_"]).to_numpy() & np.append(start[1:], True)
+            lead = (key[-1], cols["uid_"][-1], cols["n_"][-1])
+            held = frame.iloc[-1:][["key", "uid", "n", "at"]]
+            yield frame.iloc[:-1][~alone[:-1]]
+        if held is not None and lead[1] != held["uid"].iloc[0]:
+            yield held.assign(uid_=lead[1], n_=lead[2])
+
+    # the set that a key stands first in leads it: copies carry their own rare keys in front of those of their source
+    keyed = texts.mapInPandas(prefixes, "key long, uid long, n int, at int").repartition("key").sortWithinPartitions("key", "at", "uid")
+    held = written(keyed.mapInPandas(met, "key long, uid long, n int, at int, uid_ long, n_ int"), "members")
 
     sizes = f"100 * n >= {percent} * n_ AND 100 * n_ >= {percent} * n"
-    first = held.filter("sid != lead.sid").select(
-        F.col("lead.sid").alias("a"), F.col("sid").alias("b"), "n", "at", "last", *[F.col(f"lead.{c}").alias(f"{c}_") for c in ("n", "at", "last")])
-    first = near(first.filter(sizes))
+    size = lambda n: f"({n} - CAST(ceil({percent} * {n} / 100) AS INT) + 1)"
+    # links to leaders, where the shared prefix keys allow them; a pair that is left out here is met again in the tries
+    first = held.filter(f"uid != uid_ AND {sizes}").groupBy(F.col("uid_").alias("a"), F.col("uid").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("n_").alias("n_"))
+    first = first.filter(f"{100 + percent} * (c + least(n - {size('n')}, n_ - {size('n_')})) >= {percent} * (n + n_)").select("a", "b")
     first = written(first, "pairs")
     edges = written(verified(first, texts, classes, percent), "links")
     labels = components(edges)
-    named = held.join(labels, held["sid"] == labels["node"], "left").select("key", "sid", "n", "at", "last", F.coalesce("component", "sid").alias("class"))
+
+    named = held.join(labels, held["uid"] == labels["node"], "left").select("key", "uid", "n", "at", F.coalesce("component", "uid").alias("class"))
     named = written(named, "classed")
-    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("key")
+    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c"))
+    mixed = mixed.filter("lo != hi").select("key", F.ceil(F.col("c") / PARTNERS).cast("int").alias("blocks"))
     open_ = written(named.join(mixed, "key"), "open")
-    other = open_.select("key", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "at", "last", "class")])
-    pairs = open_.join(other, "key").filter(f"sid < sid_ AND class != class_ AND {sizes}")
-    second = near(pairs.select(F.col("sid").alias("a"), F.col("sid_").alias("b"), "n", "at", "last", "n_", "at_", "last_"))
-    second = written(second.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
+    second = written(in_tries(open_, texts, classes, percent), "pairs")
     more = verified(second, texts, classes, percent)
-    return components(edges.union(more))
+    out = components(edges.union(more))
+    classes.unpersist()
+    return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that link. Sets are made again from the texts, for the names in the pairs alone; the
-    partners of a are stored in tries of about PARTNERS sets."""
-    names = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(names.select(F.xxhash64("sid").alias("h")), "h"))
+def sets_of(texts: DataFrame, uids: DataFrame, classes: object, keys: object) -> DataFrame:
+    """(uid, keys binary) of the sets in uids: keys(ordered set) of each. Only their texts are hashed."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(uids.select(F.xxhash64("uid").alias("h")), "h"))
+    cand = texts.select("uid", "raw", F.xxhash64("uid").alias("h"))
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames(it):
-            ids, data = [], []
-            for t in frame["raw"]:
-                s = shingles(bytes(t))
-                if not len(s):
+            frame = frame[wanted.value.has(frame["h"].to_numpy())]
+            data = [keys(ordered(shingles(bytes(t)), classes.value)).tobytes() for t in frame["raw"]]
+            yield pd.DataFrame({"uid": frame["uid"].to_numpy(), "keys": pd.Series(data, dtype=object)})
+
+    out = written(cand.mapInPandas(sets, "uid long, keys binary"), "sets")
+    wanted.unpersist()
+    return out
+
+
+def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
+    """(a, b) of sets of different classes that meet in a key and may link. open_: key, uid, n, at, class, blocks.
+
+    A key's sets are taken from that key on: were it their first common one, nothing before it is shared, and a pair that
+    shares an earlier key is judged there. Stretches of WINDOW keys (high halves) are stored in a trie of about PARTNERS
+    sets, the sets of each block walk it. A hot key has many blocks and a group for each two of them.
+    """
+    need = sets_of(texts, open_.select("uid").distinct(), classes, lambda k: (k[:prefix(len(k), percent) + WINDOW] >> np.uint64(32)).astype(np.uint32))
+    rows = open_.join(need, "uid").select(
+        "key", "uid", "n", "at", "class", "blocks", F.expr(f"substring(keys, 4 * at + 1, {4 * WINDOW})").alias("part"),
+        F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("o", other).select(
+        "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "uid", "n", "at", "class", "part")
+
+    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in stretches(it, ["key", "i", "j"]):
+            uid, n, at, cls = (g[c].to_numpy() for c in ("uid", "n", "at", "class"))
+            parts = [np.frombuffer(bytes(p), dtype=np.uint32) for p in g["part"]]
+            mine = (g["own"] == g["i"]).to_numpy()
+            same = g["i"].iloc[0] == g["j"].iloc[0]
+            values, counts = np.unique(cls[mine], return_counts=True)
+            if not len(values):
+                continue
+            # two sets of the largest class need no walk
+            large = cls == values[counts.argmax()]
+            walkers = np.ones(len(g), dtype=bool) if same else ~mine
+            a: list[int] = []
+            b: list[int] = []
+            for stored, walking in ((mine, walkers & ~large), (mine & ~large, walkers & large & (not same))):
+                inner = np.flatnonzero(stored)
+                if not len(inner) or not walking.any():
                     continue
-                name = xxh3_128_digest(s.tobytes())
-                if wanted.value.has(np.array([xxh64_intdigest(name, seed=42)], dtype=np.uint64))[0]:
-                    ids.append(name)
-                    data.append(ordered(s, classes.value).tobytes())
-            yield pd.DataFrame({"sid": pd.Series(ids, dtype=object), "keys": pd.Series(data, dtype=object)})
+                trie = Trie([parts[i] for i in inner], (n - at)[inner].tolist(), n[inner].tolist())
+                for x in np.flatnonzero(walking):
+                    hit = inner[trie.linked(parts[x], percent, int(n[x] - at[x]), int(n[x]))]
+                    hit = hit[cls[hit] != cls[x]]
+                    a += np.minimum(uid[hit], uid[x]).tolist()
+                    b += np.maximum(uid[hit], uid[x]).tolist()
+            if a:
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    sorted_ = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sorted_.mapInPandas(walk, "a long, b long").distinct()
+
 
-    made = written(texts.mapInPandas(sets, "sid binary, keys binary").groupBy("sid").agg(F.first("keys").alias("keys")), "sets")
+def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link, by tries of whole sets: about PARTNERS partners of a stored, a's set walks."""
+    names = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    made = sets_of(texts, names, classes, lambda k: k)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("tries"))
     dealt = pairs.join(many, "a").withColumn("trie", F.pmod(F.xxhash64("b"), F.col("tries")).cast("int"))
-    partners = dealt.join(made, dealt["b"] == made["sid"]).select("a", "trie", "b", "keys")
-    walkers = many.withColumn("trie", F.explode(F.sequence(F.lit(0), F.col("tries") - 1))).join(made, F.col("a") == made["sid"]).select("a", "trie", F.lit(None).cast("binary").alias("b"), "keys")
+    partners = dealt.join(made, dealt["b"] == made["uid"]).select("a", "trie", "b", "keys")
+    walkers = many.withColumn("trie", F.explode(F.sequence(F.lit(0), F.col("tries") - 1))).join(made, F.col("a") == made["uid"]).select("a", "trie", F.col("a").alias("b"), "keys")
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame["b"].isna().to_numpy()
-        if own.all() or not own.any():
-            return pd.DataFrame({"a": [], "b": []})
-        x = np.frombuffer(bytes(frame["keys"][own].iloc[0]), dtype=np.uint64)
-        others = frame[~own]
-        found = Trie([np.frombuffer(bytes(k), dtype=np.uint64) for k in others["keys"]]).linked(x, percent)
-        b = others["b"].iloc[found]
-        return pd.DataFrame({"a": pd.Series([frame["a"].iloc[0]] * len(b), dtype=object), "b": b.to_numpy()})
+    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in stretches(it, ["a", "trie"]):
+            own = (g["a"] == g["b"]).to_numpy()
+            if own.all() or not own.any():
+                continue
+            sets = [np.frombuffer(bytes(k), dtype=np.uint64) for k in g["keys"]]
+            others = np.flatnonzero(~own)
+            found = others[Trie([sets[i] for i in others]).linked(sets[int(own.argmax())], percent)]
+            if len(found):
+                yield pd.DataFrame({"a": g["a"].to_numpy()[found], "b": g["b"].to_numpy()[found]})
 
-    return partners.unionByName(walkers).groupBy("a", "trie").applyInPandas(walk, "a binary, b binary")
+    both = partners.unionByName(walkers).repartition("a", "trie").sortWithinPartitions("a", "trie")
+    return both.mapInPandas(walk, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,12 +354,17 @@ def jaccard_classes(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "do
     smallest id reachable over links of at least percent similarity, its own included. A null or empty text has no set and
     links with nothing; rows of equal sets link; a null id counts as larger than any other. Every text is read whole. Classes
     may have the same smallest id (ids that are null or repeated), but not the same name."""
-    named = docs.select(F.col(id_col), set_of(text_col).alias("s")).select(id_col, F.col("s.n").alias("n_shingles"), F.col("s.sid").alias("sid"))
-    named = written(named, "set-names")
-    texts = docs.select(text_bytes(F.col(text_col)).alias("raw"))
-    classes = classes_of_sets(texts, named.select(F.col("n_shingles").alias("n"), "sid"), percent)
-    least = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("low"))
-    least = written(least.join(classes, least["sid"] == classes["node"], "left").select("sid", "low", F.coalesce("component", "sid").alias("class")), "class-names")
+    named = docs.select(F.col(id_col), set_of(text_col).alias("s"), text_bytes(F.col(text_col)).alias("raw"))
+    named = written(named.select(id_col, F.col("s.n").alias("n_shingles"), F.col("s.sid").alias("sid"), "raw"), "set-names")
+    # one text a set, numbered: from here on a set is a long
+    texts = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").cast("int").alias("n"), F.first("raw").alias("raw"))
+    texts = written(texts.withColumn("uid", F.monotonically_increasing_id()), "set-texts")
+    named = named.select(id_col, "n_shingles", "sid")
+    classes = classes_of_sets(texts.select("uid", "n", "raw"), percent)
+    low = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("low"))
+    least = low.join(texts.select("sid", "uid"), "sid")
+    least = least.join(classes, least["uid"] == classes["node"], "left").select("sid", "low", F.coalesce("component", "uid").alias("class"))
+    least = written(least, "class-names")
     best = least.groupBy("class").agg(F.min("low").alias("component_id"))
     by_set = least.join(best, "class").select("sid", "class", "component_id")
     return named.join(by_set, "sid", "left").select(id_col, "n_shingles", "sid", "class", F.coalesce("component_id", id_col).alias("component_id"))
