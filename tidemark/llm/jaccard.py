@@ -57,10 +57,12 @@ def prefix(size: int, percent: int = THRESHOLD) -> int:
 
 class Trie:
     """Ordered sets, or bounded stretches of them, with common beginnings stored once. A node is (keys, sets that end here,
-    children, smallest size of a set below, most keys that a set below has from the root on). `left` counts the keys of a
-    set from its stretch's first on, `sizes` those of the whole set; a set that is stored whole needs neither."""
+    children, smallest size of a set below, most keys that a set below has from the root on, lowest rank below). `left`
+    counts the keys of a set from its stretch's first on, `sizes` those of the whole set; a set that is stored whole needs
+    neither. A walker meets sets of lower rank than its own."""
 
-    def __init__(self, sets: list[np.ndarray], left: list[int] | None = None, sizes: list[int] | None = None):
+    def __init__(self, sets: list[np.ndarray], left: list[int] | None = None, sizes: list[int] | None = None, ranks: list[int] | None = None):
+        self.ranks = ranks or [0] * len(sets)
         self.left = left or [len(s) for s in sets]
         self.sizes = sizes or self.left
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(sets[i].dtype.newbyteorder(">")).tobytes())
@@ -79,41 +81,48 @@ class Trie:
                 to += 1
             children.append(self.node(sets, rest[at:to], end))
             at = to
-        return first[depth:end], ends, children, min(self.sizes[i] for i in order), max(self.left[i] for i in order)
+        return first[depth:end], ends, children, min([self.sizes[i] for i in order]), max([self.left[i] for i in order]), min([self.ranks[i] for i in order])
 
     def below(self, node: tuple) -> list[int]:
         out, stack = [], [node]
         while stack:
-            _, ends, children, _, _ = stack.pop()
+            _, ends, children, *_ = stack.pop()
             out += ends
             stack += children
         return out
 
-    def linked(self, x: np.ndarray, percent: int, left: int | None = None, size: int | None = None) -> list[int]:
-        """Numbers of the sets whose overlap with x can be at least percent of the union: of whole sets, those whose overlap
-        is. A stretch says nothing of what lies behind it, so there the shorter rest counts as shared."""
+    def linked(self, x: np.ndarray, percent: int, left: int | None = None, size: int | None = None, rank: int = 1) -> list[int]:
+        """Numbers of the sets of a rank below `rank` whose overlap with x can be at least percent of the union: of whole
+        sets, those whose overlap is. A stretch says nothing of what lies behind it, so there the shorter rest counts as
+        shared."""
         left = len(x) if left is None else left
         size = left if size is None else size
         found = []
-        stack = [(self.root, 0, 0)]
+        stack = [(self.root, 0, 0, left)]
         while stack:
-            node, depth, overlap = stack.pop()
-            keys, ends, children, low, high = node
-            inside, rest = len(keys), left
+            (keys, ends, children, low, high, least), depth, overlap, rest = node = stack.pop()
+            # all that can still be shared: what is left of x, and of the longest set below
+            if least >= rank or (100 + percent) * (overlap + min(rest, high - depth)) < percent * (size + low):
+                continue
+            inside = len(keys)
             if inside:
-                at = np.searchsorted(x, keys)
-                inside = int(np.searchsorted(at, len(x)))  # keys up to the last one of x
-                overlap += int((x[at[:inside]] == keys[:inside]).sum())
-                rest = left - (int(at[-1]) if inside == len(keys) else len(x))
+                at = x.searchsorted(keys)
+                if at[-1] < len(x):
+                    overlap += int(np.count_nonzero(x[at] == keys))
+                    rest = left - int(at[-1])
+                else:  # only the keys up to the last one of x can be compared
+                    inside = int(at.searchsorted(len(x)))
+                    overlap += int(np.count_nonzero(x[at[:inside]] == keys[:inside]))
+                    rest = left - len(x)
             past = inside < len(keys)
             depth += inside
-            # all that can still be shared: what is left of x, and of the longest set below
             if (100 + percent) * (overlap + min(rest, high - depth)) < percent * (size + low):
                 continue
-            near = self.below(node) if past else ends
-            found += [i for i in near if (100 + percent) * (overlap + min(rest, self.left[i] - depth)) >= percent * (size + self.sizes[i])]
+            near = self.below(node[0]) if past else ends
+            found += [i for i in near if self.ranks[i] < rank
+                      and (100 + percent) * (overlap + min(rest, self.left[i] - depth)) >= percent * (size + self.sizes[i])]
             if not past:
-                stack += [(child, depth, overlap) for child in children]
+                stack += [(child, depth, overlap, rest) for child in children]
         return found
 
 
@@ -300,22 +309,22 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
             parts = [np.frombuffer(bytes(p), dtype=np.uint32) for p in g["part"]]
             mine = (g["own"] == g["i"]).to_numpy()
             same = g["i"].iloc[0] == g["j"].iloc[0]
-            values, counts = np.unique(cls[mine], return_counts=True)
-            if not len(values):
-                continue
-            # two sets of the largest class need no walk
-            large = cls == values[counts.argmax()]
-            walkers = np.ones(len(g), dtype=bool) if same else ~mine
+            # pairs of different classes whose keys from here on suffice; the largest class has the lowest rank, so its sets don't walk
+            _, number, counts = np.unique(cls, return_inverse=True, return_counts=True)
+            rank = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")[number]
+            left = n - at
+            able = (100 + percent) * np.minimum.outer(left, left).astype(np.int64) >= percent * np.add.outer(n, n).astype(np.int64)
+            able &= np.less.outer(rank, rank)  # [stored, walking]
             a: list[int] = []
             b: list[int] = []
-            for stored, walking in ((mine, walkers & ~large), (mine & ~large, walkers & large & (not same))):
-                inner = np.flatnonzero(stored)
-                if not len(inner) or not walking.any():
+            for stored, walking in ((mine, mine),) if same else ((mine, ~mine), (~mine, mine)):
+                part = able & np.logical_and.outer(stored, walking)
+                inner, walkers = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                if not len(inner):
                     continue
-                trie = Trie([parts[i] for i in inner], (n - at)[inner].tolist(), n[inner].tolist())
-                for x in np.flatnonzero(walking):
-                    hit = inner[trie.linked(parts[x], percent, int(n[x] - at[x]), int(n[x]))]
-                    hit = hit[cls[hit] != cls[x]]
+                trie = Trie([parts[i] for i in inner], left[inner].tolist(), n[inner].tolist(), rank[inner].tolist())
+                for x in walkers:
+                    hit = inner[trie.linked(parts[x], percent, int(left[x]), int(n[x]), int(rank[x]))]
                     a += np.minimum(uid[hit], uid[x]).tolist()
                     b += np.maximum(uid[hit], uid[x]).tolist()
             if a:
