@@ -186,8 +186,8 @@ def set_of(text_col: str) -> object:
     return named(text_bytes(F.col(text_col)))
 
 
-def stretches(it: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by `by`, a group at a time. Groups must be of bounded size."""
+def stretches(it: Iterator[pd.DataFrame], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by `by`, a group at a time. Groups must be of bounded size."""
     rest = None
     for frame in it:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
@@ -196,11 +196,12 @@ def stretches(it: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFram
             v = frame[c].to_numpy()
             new[1:] |= v[1:] != v[:-1]
         cuts = [0, *np.flatnonzero(new).tolist()]
+        cols = {c: frame[c].to_numpy() for c in frame.columns}
         for at, to in zip(cuts, cuts[1:]):
-            yield frame.iloc[at:to]
+            yield {c: v[at:to] for c, v in cols.items()}
         rest = frame.iloc[cuts[-1]:]
     if rest is not None and len(rest):
-        yield rest
+        yield {c: rest[c].to_numpy() for c in rest.columns}
 
 
 def classes_of_sets(texts: DataFrame, percent: int) -> DataFrame:
@@ -305,10 +306,10 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
 
     def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in stretches(it, ["key", "i", "j"]):
-            uid, n, at, cls = (g[c].to_numpy() for c in ("uid", "n", "at", "class"))
+            uid, n, at, cls = (g[c] for c in ("uid", "n", "at", "class"))
             parts = [np.frombuffer(bytes(p), dtype=np.uint32) for p in g["part"]]
-            mine = (g["own"] == g["i"]).to_numpy()
-            same = g["i"].iloc[0] == g["j"].iloc[0]
+            mine = g["own"] == g["i"]
+            same = g["i"][0] == g["j"][0]
             # pairs of different classes whose keys from here on suffice; the largest class has the lowest rank, so its sets don't walk
             _, number, counts = np.unique(cls, return_inverse=True, return_counts=True)
             rank = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")[number]
@@ -345,14 +346,14 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int)
 
     def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in stretches(it, ["a", "trie"]):
-            own = (g["a"] == g["b"]).to_numpy()
+            own = g["a"] == g["b"]
             if own.all() or not own.any():
                 continue
             sets = [np.frombuffer(bytes(k), dtype=np.uint64) for k in g["keys"]]
             others = np.flatnonzero(~own)
             found = others[Trie([sets[i] for i in others]).linked(sets[int(own.argmax())], percent)]
             if len(found):
-                yield pd.DataFrame({"a": g["a"].to_numpy()[found], "b": g["b"].to_numpy()[found]})
+                yield pd.DataFrame({"a": g["a"][found], "b": g["b"][found]})
 
     both = partners.unionByName(walkers).repartition("a", "trie").sortWithinPartitions("a", "trie")
     return both.mapInPandas(walk, "a long, b long")
