@@ -37,3 +37,43 @@ def test_only_the_newest_bars_of_a_vendor_stay(spark):
     sf, name = "/root/testdata/sf0.1", "normalize_vendor_bars"  # over 8,000 minutes a symbol
     result = compare(spark, connect(sf), name, QUERIES[name], ORACLES[name], sf)
     assert result.startswith("ok 40000 rows"), result
+
+
+def test_six_decimals_round_as_sql_rounds_doubles(spark):
+    from tidemark.functions.exprs import r6
+
+    values = [0.0631875, 0.0641875, 0.0639375, 0.038212499999999996, 0.042812499999999996, -0.0641875, 1e12 / 3, None]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", r6("v", "v")).collect()
+    assert [r.v for r in sorted(rows)] == want
+
+
+def test_disagreement_of_large_predictions(spark):
+    """Squares of the predictions would leave nothing of a variance of 1e-4 here."""
+    from tidemark.operators.forecast import mixture_of_experts
+
+    pred = spark.createDataFrame([(1, 0, 1e8), (1, 1, 1e8 + 0.02)], "obs_id int, regime int, pred double")
+    p = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5)], "obs_id int, regime int, p double")
+    support = spark.createDataFrame([(0, 1e18), (1, 1e18)], "regime int, sessions double")
+    g = spark.createDataFrame([(1, 1e8)], "obs_id int, g double")
+    row = mixture_of_experts(pred, p, support, g).first()
+    assert abs(row.prediction - (1e8 + 0.01)) < 1e-6 and abs(row.disagreement - 1e-4) < 1e-6
+
+
+def test_stream_join_pairs_at_the_limit(spark, tmp_path):
+    """Pairs on both sides of a stretch's edge, at the limit and beyond it, each once."""
+    import datetime as dt
+
+    from tidemark.streaming.streams import join_spot_chain
+
+    start = dt.datetime(2024, 1, 1, 0, 2)
+    at = [start + dt.timedelta(seconds=s) for s in (-121, -120, -61, -60, -59, -1, 0, 1, 59, 60, 61, 119, 120, 121)]
+    spark.createDataFrame([(i % 2, t, i) for i, t in enumerate(at * 2)], "symbol int, ts timestamp, id int").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("symbol int, ts timestamp, id int").parquet(f"{tmp_path}/in")
+    joined = join_spot_chain(stream.selectExpr("symbol", "ts AS spot_ts", "id AS spot"), stream.selectExpr("symbol", "ts AS chain_ts", "id AS chain"))
+    assert "_stretch" in joined._jdf.queryExecution().analyzed().toString()  # joined on time too, not on the symbol alone
+    q = joined.writeStream.format("memory").queryName("spot_chain_pairs").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.spot, r.chain) for r in spark.table("spot_chain_pairs").collect())
+    rows = list(enumerate(at * 2))
+    assert got == sorted((i, j) for i, s in rows for j, c in rows if i % 2 == j % 2 and abs((s - c).total_seconds()) <= 60)

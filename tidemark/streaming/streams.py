@@ -67,11 +67,19 @@ def split_late(feed: DataFrame, now: str | None = None) -> tuple[DataFrame, Data
 
 
 def join_spot_chain(spot: DataFrame, chain: DataFrame, limit: str = "60 seconds", late: str = "5 minutes") -> DataFrame:
-    """Spot and chain ticks of one symbol within the limit of each other (stream-stream join, state bounded both ways)."""
-    s = spot.withWatermark("spot_ts", late).alias("s")
-    c = chain.withWatermark("chain_ts", late).alias("c")
+    """Spot and chain ticks of one symbol within the limit of each other (stream-stream join, state bounded both ways).
+
+    Time is cut in stretches of twice the limit. A chain tick lies in one, a spot tick goes to the one or two that its limits
+    reach, so a tick meets only what is near it, not the whole state of its symbol, and a pair is found once.
+    """
+    def stretch(at: str) -> Column:
+        return F.expr(f"CAST(floor(unix_micros({at}) / (2 * unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {limit}))) AS BIGINT)")
+
+    reach = F.sequence(stretch(f"spot_ts - INTERVAL {limit}"), stretch(f"spot_ts + INTERVAL {limit}"))
+    s = spot.withWatermark("spot_ts", late).withColumn("_stretch", F.explode(reach)).alias("s")
+    c = chain.withWatermark("chain_ts", late).withColumn("_stretch", stretch("chain_ts")).alias("c")
     cond = F.expr(
-        f"s.symbol = c.symbol AND c.chain_ts >= s.spot_ts - INTERVAL {limit} AND c.chain_ts <= s.spot_ts + INTERVAL {limit}"
+        f"s.symbol = c.symbol AND s._stretch = c._stretch AND c.chain_ts >= s.spot_ts - INTERVAL {limit} AND c.chain_ts <= s.spot_ts + INTERVAL {limit}"
     )
     return s.join(c, cond, "inner").select("s.symbol", "spot_ts", "chain_ts", "spot", "chain")
 
