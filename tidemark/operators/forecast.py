@@ -249,13 +249,16 @@ def mixture_of_experts(predictions: DataFrame, probabilities: DataFrame, support
     s = F.coalesce("sessions", F.lit(0.0))
     w = F.when(s >= minimum, s / (s + shrinkage)).otherwise(0.0)
     shrunk = w * F.coalesce("pred", "g") + (1.0 - w) * F.col("g")
-    rows = j.select("obs_id", F.greatest("p", F.lit(0.0)).alias("p"), shrunk.alias("x"))
-    agg = rows.groupBy("obs_id").agg(
-        F.sum("p").alias("sp"), F.sum(F.col("p") * F.col("x")).alias("px"), F.sum(F.col("p") * F.col("x") * F.col("x")).alias("pxx"), F.avg("x").alias("mx"), F.avg(F.col("x") * F.col("x")).alias("mxx")
-    )
-    mean = F.when(F.col("sp") > 1e-12, F.col("px") / F.col("sp")).otherwise(F.col("mx"))
-    second = F.when(F.col("sp") > 1e-12, F.col("pxx") / F.col("sp")).otherwise(F.col("mxx"))
-    return agg.select("obs_id", mean.alias("prediction"), F.greatest(second - mean * mean, F.lit(0.0)).alias("disagreement"))
+    rows = j.select("obs_id", F.struct("regime", F.greatest("p", F.lit(0.0)).alias("p"), shrunk.alias("x")).alias("r"))
+    # an observation has a row a regime: a small array in one order, so sums don't depend on how the rows arrive
+    total = lambda f: F.aggregate("r", F.lit(0.0), lambda a, e: a + F.coalesce(f(e), F.lit(0.0)))
+    agg = rows.groupBy("obs_id").agg(F.sort_array(F.collect_list("r"), asc=False).alias("r")).select(
+        "*", total(lambda e: e["p"]).alias("sp"), F.nullif(F.size(F.filter("r", lambda e: e["x"].isNotNull())), F.lit(0)).alias("n"))
+    weighted = F.col("sp") > 1e-12
+    mean = F.when(weighted, F.when(F.col("n") > 0, total(lambda e: e["p"] * e["x"]) / F.col("sp"))).otherwise(total(lambda e: e["x"]) / F.col("n"))
+    off = lambda e: (e["x"] - F.col("prediction")) * (e["x"] - F.col("prediction"))
+    spread = F.when(weighted, total(lambda e: e["p"] * off(e)) / F.col("sp")).otherwise(total(off) / F.col("n"))
+    return agg.withColumn("prediction", mean).select("obs_id", "prediction", spread.alias("disagreement"))
 
 
 def mixture_uncertainty(within: Column, disagreement: Column, entropy: Column, support: Column, ood: Column) -> Column:
