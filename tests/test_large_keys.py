@@ -77,3 +77,24 @@ def test_stream_join_pairs_at_the_limit(spark, tmp_path):
     got = sorted((r.spot, r.chain) for r in spark.table("spot_chain_pairs").collect())
     rows = list(enumerate(at * 2))
     assert got == sorted((i, j) for i, s in rows for j, c in rows if i % 2 == j % 2 and abs((s - c).total_seconds()) <= 60)
+
+
+def test_grouped_medians_equal_the_sorted_middle(spark):
+    """Many, few, repeated and one value; even and odd numbers; cuts that are only approximate; a null key and a null group."""
+    import random
+    import statistics
+
+    from tidemark.operators.evaluation import feature_medians
+    from tidemark.operators.windows import grouped_medians
+
+    rng = random.Random(3)
+    groups = {
+        "many": [rng.gauss(0, 1) for _ in range(30_000)], "odd": [rng.random() for _ in range(20_001)], "few": [float(rng.randrange(4)) for _ in range(9_000)],
+        "halves": [0.0] * 5_000 + [1.0] * 5_000, "edge": [0.0] * 5_000 + [1.0] * 5_001, "one": [7.0], "two": [1.0, 4.0], None: [3.0, -1.0, 2.0, 9.0],
+    }
+    rows = [(k, x) for k, values in groups.items() for x in values] + [("two", None), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, value double").repartition(7)
+    got = {r.name: r.median for r in grouped_medians(df, ["name"], "value").collect()}
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
+    assert {r.name: r.median for r in feature_medians(df).collect()} == {k: round(v, 6) for k, v in got.items()} | {"none": None}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
-from tidemark.operators.windows import ranked
+from tidemark.operators.windows import grouped_medians, ranked
 
 PROFIT_FACTOR_CAP = 999.0
 
@@ -313,8 +313,10 @@ def top_decile_edge(rows: DataFrame, prediction: str = "pred", outcome: str = "p
 
 
 def feature_medians(long_features: DataFrame) -> DataFrame:
-    """Exact median per feature name, rounded to 6 digits."""
-    return long_features.groupBy("name").agg(F.round(F.median("value"), 6).alias("median"))
+    """Exact median per feature name, rounded to 6 digits; null for a name without values. No task holds a name's values."""
+    names = long_features.select(F.col("name").alias("_name")).distinct()
+    found = names.join(grouped_medians(long_features, ["name"], "value"), F.col("_name").eqNullSafe(F.col("name")), "left")
+    return found.select(F.col("_name").alias("name"), F.round("median", 6).alias("median"))
 
 
 def medians_fingerprint(medians: DataFrame) -> DataFrame:

@@ -16,24 +16,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio, uniform_hash
 from tidemark.functions.tables import materialized
 from tidemark.operators.fits import Fit, Prepared, exact_quantiles, fit_many, predict_many, prepare, rearranged
-from tidemark.operators.windows import ranked
+from tidemark.operators.windows import grouped_medians, ranked
 
 SEED = 42
 
 
 # -- feature vectors and fits ---------------------------------------------------------------------------------------
-def grouped_medians(long: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """(key, median): the mean of the middle pair where the number is even. Ranks are spread over value ranges, so a group
-    may hold all rows."""
-    middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2) + 1)
-    return ranked(long.select(key, value, tie), [key], value, [tie]).filter(middle).groupBy(key).agg(F.avg(value).alias("median"))
-
-
 def exact_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
     """Median of each column's known values, 0 where there is none. One number a column comes to the driver."""
-    long = df.select(F.xxhash64(*names).alias("_tie"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])).alias("e"))
-    known = long.select("e.name", "e.v", "_tie").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    return dict.fromkeys(names, 0.0) | {r.name: r.median for r in grouped_medians(known, "name", "v", "_tie").collect()}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])).alias("e"))
+    known = long.select("e.name", "e.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return dict.fromkeys(names, 0.0) | {r.name: r.median for r in grouped_medians(known, ["name"], "v").collect()}
 
 
 def vector_stages(df: DataFrame, names: Sequence[str]) -> list:
@@ -408,11 +401,11 @@ def apply_conformal(df: DataFrame, correction: DataFrame, ood_threshold: float =
 def robust_scaler(train: DataFrame, dims: int, vector: str = "vector") -> DataFrame:
     """One row: exact medians and MADs per dimension (MAD 0 → 1), 0 and 1 for a dimension without values. They are computed
     once: two numbers a dimension come to the driver, and plans that use the scaler don't hold its own."""
-    long = train.select(F.xxhash64(vector).alias("_tie"), F.posexplode(F.col(vector)).alias("d", "x")).filter(F.col("x").isNotNull())
-    med = {r.d: r.median for r in grouped_medians(long, "d", "x", "_tie").collect()}
+    long = train.select(F.posexplode(F.col(vector)).alias("d", "x")).filter(F.col("x").isNotNull())
+    med = {r.d: r.median for r in grouped_medians(long, ["d"], "x").collect()}
     centre = F.array(*[F.lit(float(med.get(d, 0.0))) for d in range(dims)])
     off = long.withColumn("off", F.abs(F.col("x") - centre[F.col("d")]))
-    mad = {r.d: r.median for r in grouped_medians(off, "d", "off", "_tie").collect()}
+    mad = {r.d: r.median for r in grouped_medians(off, ["d"], "off").collect()}
     wide = [mad.get(d, 0.0) for d in range(dims)]
     return train.sparkSession.createDataFrame(
         [([float(med.get(d, 0.0)) for d in range(dims)], [float(m) if m > 1e-12 else 1.0 for m in wide])], "med array<double>, mad array<double>")

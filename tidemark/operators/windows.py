@@ -74,6 +74,35 @@ def running_offsets(
     )
 
 
+def grouped_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): exact median of the known values, the mean of the middle pair where their number is even.
+
+    Two approximate quantiles beside the middle cut a group in three; counts say which part holds the middle, whatever the
+    error of the cuts, and only the distinct values of that part are sorted. All counts are combined before the shuffle. For
+    few groups of any size (features, dimensions): three numbers a group are broadcast.
+    """
+    keys, v = list(keys), F.col(value)
+    known = df.select(*keys, value).filter(v.isNotNull())
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [0.499, 0.501], 10_000).alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    placed = known.join(F.broadcast(cuts.withColumnsRenamed({k: f"_of_{k}" for k in keys})), same or F.lit(True)).select(
+        *keys, value, F.when(v < F.col("_cuts")[0], 0).when(v > F.col("_cuts")[1], 2).otherwise(1).alias("_b"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("_all"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = sizes.filter((F.col("_off") < high) & (F.col("_off") + F.col("_n") >= low))
+    here = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_b"]]
+    few = placed.join(F.broadcast(middle.drop("_n").withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_b"]})), here)
+    counts = few.groupBy(*keys, "_b", value, "_off", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_off") + F.sum("_n").over(upto)
+    held = counts.select(*keys, value, "_n", "_all", last.alias("_last"))
+    holds = lambda rank: F.max(F.when((F.col("_last") >= rank) & (F.col("_last") - F.col("_n") < rank), v))
+    return held.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias(name))
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
