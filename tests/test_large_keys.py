@@ -98,3 +98,20 @@ def test_grouped_medians_equal_the_sorted_middle(spark):
     got = {r.name: r.median for r in grouped_medians(df, ["name"], "value").collect()}
     assert got == {k: statistics.median(v) for k, v in groups.items()}
     assert {r.name: r.median for r in feature_medians(df).collect()} == {k: round(v, 6) for k, v in got.items()} | {"none": None}
+
+
+def test_bars_of_a_snapshot_move_once(spark):
+    """Timeframes, indicators and the last row of a snapshot are made after one exchange of its bars."""
+    from tidemark.operators.indicators import mtf_latest
+
+    bars = spark.sql("SELECT 's' || id % 3 AS snapshot_id, timestamp_seconds(1704205800 + id * 60) AS ts, 1D AS open, 2D AS high, 0.5D AS low, 1D AS close, 5L AS volume FROM range(90)")
+    plan = mtf_latest(bars, (1, 5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1, plan
+
+
+def test_blocks_grow_with_the_rows_and_packs_do_not(spark):
+    from tidemark.operators.forecast import QUERY_ROWS, NeighbourIndex
+
+    rows = spark.range(40_000).selectExpr("id", "array(rand(1), rand(2)) AS z")
+    index = NeighbourIndex(rows, pivots=4)
+    assert (index.block_rows, index.query_rows) == (40_000 // 64, QUERY_ROWS)
