@@ -419,6 +419,8 @@ def robust_z(df: DataFrame, scaler: DataFrame, vector: str = "vector", limit: fl
 # -- exact nearest neighbours ---------------------------------------------------------------------------------------------
 MOST_PIVOTS = 1_024  # rows that come to the driver and are broadcast
 RINGS = 16  # rings of a cell at most
+QUERY_ROWS = 512  # queries of a pack
+MOST_ROWS = 8_192  # training rows of a block: a pack against one is a matrix of 32 MB
 
 
 def _distances(a, b):
@@ -446,16 +448,20 @@ def _closest(qids, q, tids, t, k: int, exclude_self: bool) -> list:
 class NeighbourIndex:
     """Training rows in blocks of about block_rows, by nearest pivot and by ring of the distance to it.
 
+    A pack of queries moves once for each block it meets, so blocks grow with the rows (a 64th of them, 512 to MOST_ROWS):
+    what moves stays in proportion to the rows up to half a million, and beyond that is a 16th of what blocks of 512 take.
     Pivots grow with the root of the rows. Each cell is cut in up to RINGS rings at quantiles of the distance, and a ring
     beyond block_rows (repeated rows, crowded cells) in salts, so no block holds more than a few times block_rows. Every
     ring knows its lowest and highest distance.
     """
 
-    def __init__(self, train: DataFrame, pivots: int | None = None, block_rows: int = 512):
+    def __init__(self, train: DataFrame, pivots: int | None = None, block_rows: int | None = None):
         import numpy as np
 
-        self.block_rows = block_rows
-        count = pivots or max(1, min(MOST_PIVOTS, int(train.count() ** 0.5) // 8))
+        total = train.count()
+        block_rows = block_rows or max(QUERY_ROWS, min(MOST_ROWS, total // 64))
+        self.block_rows, self.query_rows = block_rows, min(block_rows, QUERY_ROWS)
+        count = pivots or max(1, min(MOST_PIVOTS, int(total ** 0.5) // 8))
         picked = train.orderBy(F.xxhash64("id"), "id").limit(count).select("z").collect()
         self.centres = np.array([r.z for r in picked], dtype=float)
         rows = materialized(self.celled(train), "cells")
@@ -522,7 +528,7 @@ class NeighbourIndex:
                     yield pd.DataFrame(out, columns=["q_ids", "q_zs", "bounds", "near"])
 
         rows = self.ringed(self.celled(queries))
-        sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("parts"))  # a row a ring
+        sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.query_rows).alias("parts"))  # a row a ring
         parted = rows.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")))
         packs = _blocks(parted, ["cell", "ring", "part"], "q_").join(F.broadcast(self.salts), ["cell", "ring"], "left")
         first = packs.withColumn("salt", F.pmod("part", "salts")).join(self.blocks, ["cell", "ring", "salt"], "left")
@@ -565,7 +571,7 @@ def _blocks(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
         *keys, F.transform("_rows", lambda r: r["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("_rows", lambda r: r["z"])).alias(f"{prefix}zs"))
 
 
-def knn_distance(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None, block_rows: int = 512) -> DataFrame:
+def knn_distance(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Mean and nearest distance of (id, z) rows to the k closest training rows, exact. Blocks of queries meet the blocks of
     training rows that the triangle inequality can't rule out, one matrix product a pair; all joins are equi-joins.
     Queries without any training row to compare with are left out; an id stands for one row."""
@@ -587,8 +593,9 @@ def ood_score(train: DataFrame, queries: DataFrame, dims: int, k: int = 5, limit
     scaler = robust_scaler(train, dims)
     tz, qz = robust_z(train, scaler, limit=limit), robust_z(queries, scaler, limit=limit)
     index = NeighbourIndex(tz.select("id", "z"))
-    own = mean_nearest(index.search(tz, k, True)).select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
-    theirs = mean_nearest(index.search(qz, k, False))
+    # a search is the costly part and its result three numbers a row: what follows reads them several times
+    own = materialized(mean_nearest(index.search(tz, k, True)), "ood-own").select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
+    theirs = materialized(mean_nearest(index.search(qz, k, False)), "ood-theirs")
     both = own.unionByName(theirs.select("id", F.col("mean_distance").alias("d"), F.lit(0).alias("t")))
     # share of training distances <= own: counts per distance value, then a running sum over ranges of values
     cuts = both.agg(F.percentile_approx("d", [i / 64 for i in range(1, 64)]).alias("cuts"))
