@@ -126,3 +126,15 @@ def test_regime_of_a_snapshot_without_gamma(spark, tmp_path):
     sf = folder_with(tmp_path, lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 7 < 5 THEN 0.0 ELSE l_discount END AS l_discount, l_orderkey * 300 AS l_orderkey) FROM {t}")
     result = compare(spark, connect(sf), name, QUERIES[name], ORACLES[name], sf)
     assert result.startswith("ok"), result
+
+
+@pytest.mark.parametrize("step", ["vendor_snapshots", "vendor_chain", "vendor_bars"])
+def test_vendor_lines_are_parsed_once(spark, step):
+    """A from_json in a filter and again in a projection parses every line as often."""
+    from tidemark.plans.sources import vendor_lines
+    from tidemark.sources import vendor as V
+
+    rows = V.vendor_snapshots(vendor_lines(spark, SMALL))
+    rows = rows if step == "vendor_snapshots" else getattr(V, step)(rows, symbol="SPY")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -22,9 +22,9 @@ STATUSES = ("LIVE", "DELAYED", "STALE", "MISSING", "INVALID", "FALLBACK")
 def parse_vendor_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed vendor lines. The vendor writes NaN for unknown, which is not JSON: it becomes null before parsing."""
     clean = F.regexp_replace(F.col(column), r"(?<=[:\[,])\s*-?(NaN|Infinity)(?=\s*[,\]}])", "null")
-    return lines.withColumn("v", F.from_json(clean, VENDOR_LINE)).select(
-        *[c for c in lines.columns if c != column], "v.*", F.col("v.t").isNull().alias("malformed")
-    )
+    # inside a generator a line is parsed once; as a plain column it would be parsed again for every field and filter that uses it
+    parsed = lines.select(*[c for c in lines.columns if c != column], F.inline(F.array(F.struct(F.from_json(clean, VENDOR_LINE).alias("v")))))
+    return parsed.select(*[c for c in lines.columns if c != column], "v.*", F.col("v.t").isNull().alias("malformed"))
 
 
 def read_vendor_ticks(spark: SparkSession, path: str, sessions: Sequence[str] | None = None) -> DataFrame:
@@ -78,9 +78,8 @@ def vendor_bars(snapshots: DataFrame, *, symbol: str) -> DataFrame:
     iso = F.regexp_replace(r[0], r"(\.\d{6})\d+", "$1")
     num = lambda i: finite(r[i].cast("double"))
     rows = snapshots.select(F.col("ts").alias("arrival"), F.explode("bars").alias("r")).filter(F.size("r") >= 6)
-    bars = rows.select(
-        F.lit(symbol).alias("symbol"), F.try_to_timestamp(iso).alias("ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"), "arrival"
-    )
+    typed = F.struct(F.try_to_timestamp(iso).alias("ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"))
+    bars = rows.select(F.lit(symbol).alias("symbol"), F.inline(F.array(typed)), "arrival")  # typed once a row, not again for the filter
     return bars.filter(F.col("ts").isNotNull() & (F.least("open", "high", "low", "close") > 0) & F.col("close").isNotNull() & F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & (F.col("volume") >= 0))
 
 
