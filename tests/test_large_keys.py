@@ -138,3 +138,27 @@ def test_vendor_lines_are_parsed_once(spark, step):
     rows = rows if step == "vendor_snapshots" else getattr(V, step)(rows, symbol="SPY")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_an_import_reads_its_archive_once(spark, tmp_path, monkeypatch):
+    from tidemark.sources import vendor as V
+
+    source, target = tmp_path / "source", tmp_path / "target"
+    source.mkdir()
+    line = '{"t":"tick","ts":"2024-01-02T15:00:00+00:00","market":{"spot":1.5},"option_rows":[],"bars":[]}\n'
+    (source / "2024-01-02.jsonl").write_text(line)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    read = V.session_lines
+    monkeypatch.setattr(V, "session_lines", lambda *a: counted(read(*a)))
+    for _ in range(2):
+        V.import_archive(spark, str(source), str(target), overwrite=True)
+    assert spark.read.parquet(str(target)).count() == 1 and seen.value == 2  # one line, two imports

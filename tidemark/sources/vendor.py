@@ -122,12 +122,12 @@ def import_archive(
 ) -> DataFrame:
     """Write the snapshots of vendor archives below `target`, one folder per session; returns the sessions skipped and why.
 
-    What may be written is decided first and kept in a table of its own, so a task that is run again decides the same
-    though folders have appeared meanwhile. Only folders of sessions that are written are replaced (dynamic overwrite), so
+    Snapshots are typed once into a table of their own. What may be written is decided first and kept in another, so a task that
+    is run again decides the same though folders have appeared meanwhile. Only folders of sessions that are written are replaced (dynamic overwrite), so
     a second run changes nothing and a run that died is simply repeated with `overwrite`. Sessions named in `sessions` are
     dates of the snapshots. Two imports into one target at a time are not guarded.
     """
-    rows = vendor_snapshots(read_vendor_ticks(spark, source), tz)
+    rows = materialized(vendor_snapshots(read_vendor_ticks(spark, source), tz), "import-rows")  # the archive is parsed once
     _, skipped = import_sessions(rows, existing_table(spark, target), sessions, overwrite)
     decided = materialized(skipped, "import-skipped")
     named = rows.filter(F.col("session_date").cast("string").isin(*sessions)) if sessions else rows
