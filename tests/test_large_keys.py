@@ -162,3 +162,23 @@ def test_an_import_reads_its_archive_once(spark, tmp_path, monkeypatch):
     for _ in range(2):
         V.import_archive(spark, str(source), str(target), overwrite=True)
     assert spark.read.parquet(str(target)).count() == 1 and seen.value == 2  # one line, two imports
+
+
+def test_passages_hold_no_session(spark):
+    """A session's observations stream through in batches; ids above 2^53 stay exact; null sessions and levels are kept."""
+    import datetime as dt
+
+    from tidemark.operators.labels import with_passages
+
+    day, base = dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 10)
+    minute = lambda m: base + dt.timedelta(minutes=m)
+    bars = spark.createDataFrame([("A", day, minute(m), float(m), float(m) - 1) for m in range(200)], "symbol string, session_date date, ts timestamp, high double, low double")
+    big = 2**53 + 1
+    rows = [(big + 2 * m, "A", day, minute(m), float(m + 5)) for m in range(150)] + [(1, "A", None, minute(0), 5.0), (2, "A", day, minute(0), None)]
+    obs = spark.createDataFrame(rows, "obs_id long, symbol string, session_date date, ts timestamp, level double")
+    out = with_passages(obs, bars, ["symbol"], {"up": ("level", "up")})
+    assert "FlatMapGroupsIn" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.obs_id: r.up for r in out.collect()}
+    at = {big + 2 * m: int((minute(m + 5) - base).total_seconds() * 1e6) for m in range(150)}
+    origin = got[big] - at[big]
+    assert got == {k: v + origin for k, v in at.items()} | {1: None, 2: None}

@@ -86,33 +86,50 @@ def with_passages(obs: DataFrame, bars: DataFrame, keys: Sequence[str], levels:
     """obs with one column for each entry name → (level column, kind): the time in microseconds of the first later bar of the
     session that hits the level (see first_hit), null if none does or the level is null.
 
-    A session's bars stand once beside its observations; none is copied for an observation.
+    A session's bars stand once beside its observations; none is copied for an observation. Rows arrive sorted, a session's
+    bars first, and leave batch by batch: a task holds the bars of one session, however many observations it has.
     """
     part = [*keys, "session_date"]
     names = {n: f"_l_{n}" for n in levels}
-    tagged = obs.withColumns({names[n]: F.col(c).cast("double") for n, (c, _) in levels.items()}).withColumn("_t", F.unix_micros("ts"))
-    tape = bars.select(*part, F.unix_micros("ts").alias("_t"), F.col("high").cast("double").alias("_high"), F.col("low").cast("double").alias("_low"))
-    rows = tagged.unionByName(tape, allowMissingColumns=True).withColumn("_bar", F.col("_high").isNotNull() & F.col("_low").isNotNull())
+    tagged = obs.filter(F.col("ts").isNotNull()).withColumns({names[n]: F.col(c).cast("double") for n, (c, _) in levels.items()}).withColumns({"_t": F.unix_micros("ts"), "_bar": F.lit(False)})
+    tape = bars.select(*part, F.unix_micros("ts").alias("_t"), F.col("high").cast("double").alias("_high"), F.col("low").cast("double").alias("_low"), F.lit(True).alias("_bar"))
+    rows = tagged.unionByName(tape.filter(F.col("_high").isNotNull() & F.col("_low").isNotNull()), allowMissingColumns=True)
     keep = [f.name for f in obs.schema.fields]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in obs.schema.fields], *[f"`{n}` double" for n in levels]])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in obs.schema.fields], *[f"`{n}` bigint" for n in levels]])
 
-    def passages(frame):
+    def passages(batches):
         import numpy as np
-
-        bar = frame["_bar"].to_numpy(dtype=bool)
-        tape, out = frame[bar].sort_values("_t", kind="stable"), frame[~bar & frame["ts"].notna().to_numpy()]
-        times = tape["_t"].to_numpy(dtype=np.int64)
-        start = np.searchsorted(times, out["_t"].to_numpy(dtype=np.int64), "right")
-        found = {}
-        for name, (_, kind) in levels.items():
-            level = out[names[name]].to_numpy(dtype=float)
-            at = first_hit(tape["_high"].to_numpy(dtype=float), tape["_low"].to_numpy(dtype=float), start, np.where(np.isnan(level), np.inf if kind != "down" else -np.inf, level), kind)
-            hit = times[np.maximum(at, 0)] if len(times) else np.zeros(len(at))
-            found[name] = np.where(at >= 0, hit, np.nan).astype(float)
-        return out[keep].assign(**found)
-
-    timed = rows.groupBy(*part).applyInPandas(passages, schema)
-    return timed.select(*keep, *[F.col(n).cast("long").alias(n) for n in levels])
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        current, tape, whole = None, [], None
+        for batch in batches:
+            bar = batch["_bar"].to_numpy(zero_copy_only=False)
+            at, found = batch["_t"].to_numpy(zero_copy_only=False), {n: [] for n in levels}
+            ends = sorted({e for p in part for e in pc.run_end_encode(batch[p]).run_ends.to_pylist()})
+            for first, end in zip([0, *ends], ends):
+                key = tuple(batch[p][first].as_py() for p in part)
+                if key != current:
+                    current, tape, whole = key, [], None
+                split = first + int(bar[first:end].sum())
+                if split > first:
+                    tape.append([at[first:split], *[batch[c][first:split].to_numpy(zero_copy_only=False) for c in ("_high", "_low")]])
+                    whole = None
+                if split == end:
+                    continue
+                if whole is None:
+                    whole = [np.concatenate(c) for c in zip(*tape)] if tape else [np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)]
+                times, high, low = whole
+                start = np.searchsorted(times, at[split:end], "right")
+                for n, (_, kind) in levels.items():
+                    level = batch[names[n]][split:end].to_numpy(zero_copy_only=False).astype(float)
+                    hit = first_hit(high, low, start, np.where(np.isnan(level), np.inf if kind != "down" else -np.inf, level), kind)
+                    found[n].append(pa.array(times[hit] if len(times) else np.zeros(len(hit), dtype=np.int64), pa.int64(), mask=hit < 0))
+            out = batch.filter(pa.array(~bar))
+            if out.num_rows:
+                yield pa.RecordBatch.from_arrays([*[out[c] for c in keep], *[pa.concat_arrays(found[n]) for n in levels]], names=[*keep, *levels])
+
+    return rows.repartition(*part).sortWithinPartitions(*part, F.desc("_bar"), "_t").mapInArrow(passages, schema)
 
 
 def label_observations(
