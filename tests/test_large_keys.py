@@ -182,3 +182,13 @@ def test_passages_hold_no_session(spark):
     at = {big + 2 * m: int((minute(m + 5) - base).total_seconds() * 1e6) for m in range(150)}
     origin = got[big] - at[big]
     assert got == {k: v + origin for k, v in at.items()} | {1: None, 2: None}
+
+
+def test_numbers_of_a_snapshot_are_read_once(spark):
+    """The rule that rejects a record also reads its price and time; a filter on it must not read them again."""
+    from tidemark.plans.sources import snapshot_lines
+    from tidemark.sources.recordings import explode_feed, parse_snapshot
+
+    plan = explode_feed(parse_snapshot(snapshot_lines(spark, SMALL))[0])._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("underlying_price" in line for line in filters)

@@ -17,28 +17,27 @@ def snapshot_lines(spark, sf):
     """orders ⋈ lineitem as snapshot JSON: every line a quote, one bar and one feed observation per line."""
     li = A.table(spark, sf, "lineitem")
     s = lambda c: c.cast("string")
-    quote = F.struct(
+    raw = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    quote = lambda r: F.struct(
         F.struct(
-            F.format_string("k%d", "l_linenumber").alias("contract_id"), F.when(F.col("l_linenumber") % 2 == 0, "put").otherwise("call").alias("option_type"), s(F.col("l_quantity")).alias("strike"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("expiration"),
+            F.format_string("k%d", r["l_linenumber"]).alias("contract_id"), F.when(r["l_linenumber"] % 2 == 0, "put").otherwise("call").alias("option_type"), s(r["l_quantity"]).alias("strike"),
+            F.date_format(r["l_shipdate"], "yyyy-MM-dd").alias("expiration"),
         ).alias("contract"),
-        s(F.round(F.col("l_extendedprice") / 1000, 5)).alias("bid"), F.col("l_discount").alias("gamma"), F.col("l_partkey").alias("open_interest"),
+        s(F.round(r["l_extendedprice"] / 1000, 5)).alias("bid"), r["l_discount"].alias("gamma"), r["l_partkey"].alias("open_interest"),
     )
-    bar = F.struct(
-        F.date_format(F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 60), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
-        *[s(F.col("l_quantity")).alias(n) for n in ("open", "high", "low", "close")], F.col("l_suppkey").alias("volume"),
-    )
-    feed = F.struct(F.col("l_returnflag").alias("component"), F.when(F.col("l_linestatus") == "O", "LIVE").otherwise("STALE").alias("status"), F.col("l_tax").alias("age_seconds"))
-    arrays = li.groupBy("l_orderkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", quote.alias("x"), bar.alias("b"), feed.alias("f")))), lambda r: r).alias("rows")
+    bar = lambda r: F.struct(
+        F.date_format(F.timestamp_seconds(F.unix_timestamp(r["l_shipdate"].cast("timestamp")) + r["l_linenumber"] * 60), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        *[s(r["l_quantity"]).alias(n) for n in ("open", "high", "low", "close")], r["l_suppkey"].alias("volume"),
     )
+    feed = lambda r: F.struct(r["l_returnflag"].alias("component"), F.when(r["l_linestatus"] == "O", "LIVE").otherwise("STALE").alias("status"), r["l_tax"].alias("age_seconds"))
+    arrays = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*raw))).alias("rows"))  # plain columns move, texts are made after
     o = A.table(spark, sf, "orders").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"))
     day = F.col("o_orderdate").cast("timestamp")
     body = F.struct(
         s(F.col("o_orderkey")).alias("snapshot_id"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.date_format(day, "yyyy-MM-dd").alias("session_date"),
         F.lit("IDX").alias("underlying_symbol"), F.when(F.col("o_custkey") % 10 != 0, s(F.round("o_totalprice", 2).cast("decimal(18,2)"))).alias("underlying_price"),
         F.when(F.col("o_custkey") % 25 != 1, "OPEN").alias("session_status"),
-        F.transform("rows", lambda r: r["x"]).alias("option_chain"), F.transform("rows", lambda r: r["b"]).alias("bars_1m"), F.transform("rows", lambda r: r["f"]).alias("feed_observations"),
+        F.transform("rows", quote).alias("option_chain"), F.transform("rows", bar).alias("bars_1m"), F.transform("rows", feed).alias("feed_observations"),
     )
     return o.select("o_orderkey", F.to_json(body).alias("snapshot"))
 

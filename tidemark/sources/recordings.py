@@ -40,10 +40,11 @@ def parse_snapshot(records: DataFrame, raw: str = "snapshot") -> tuple[DataFrame
         F.when(F.col("s.underlying_price").isNotNull() & price.isNull(), F.lit("underlying_price")),
         F.when(F.col("s.timestamp").isNotNull() & ts.isNull(), F.lit("timestamp")),
     ]
-    marked = parsed.withColumn("missing", F.array_compact(F.array(*bad)))
+    typed = F.struct(F.array_compact(F.array(*bad)).alias("missing"), price.alias("_price"), ts.alias("_ts"))
+    marked = parsed.select("*", F.inline(F.array(typed)))  # likewise once a row, not again for the filter
     good = marked.filter(F.size("missing") == 0).select(
-        F.col("s.snapshot_id").alias("snapshot_id"), ts.alias("ts"), F.to_date("s.session_date").alias("session_date"),
-        F.col("s.underlying_symbol").alias("symbol"), price.alias("spot"), *[F.col(f"s.{n}") for n in SNAPSHOT.fieldNames() if n not in ("snapshot_id", "timestamp", "session_date", "underlying_symbol", "underlying_price")],
+        F.col("s.snapshot_id").alias("snapshot_id"), F.col("_ts").alias("ts"), F.to_date("s.session_date").alias("session_date"),
+        F.col("s.underlying_symbol").alias("symbol"), F.col("_price").alias("spot"), *[F.col(f"s.{n}") for n in SNAPSHOT.fieldNames() if n not in ("snapshot_id", "timestamp", "session_date", "underlying_symbol", "underlying_price")],
     )
     return good, marked.filter(F.size("missing") > 0).select(*[c for c in records.columns], "missing")
 
