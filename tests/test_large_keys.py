@@ -192,3 +192,11 @@ def test_numbers_of_a_snapshot_are_read_once(spark):
     plan = explode_feed(parse_snapshot(snapshot_lines(spark, SMALL))[0])._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.split("\n") if "Filter" in line]
     assert filters and not any("underlying_price" in line for line in filters)
+
+
+def test_a_chain_moves_only_what_is_read(spark):
+    from tidemark.plans import QUERIES, load
+
+    load()
+    plan = QUERIES["black_prices_and_greeks"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_tax" not in plan.split("Relation")[0] and "l_returnflag" not in plan.split("Relation")[0]

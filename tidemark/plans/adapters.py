@@ -42,27 +42,32 @@ def block_month() -> Column:
 BLOCK_MONTH_SQL = "strftime(l_shipdate, '%Y-%m') || '-' || (l_orderkey // 1000)"
 
 
-def chain(spark: SparkSession, sf: str) -> DataFrame:
+CHAIN = ("gamma", "delta", "open_interest", "volume", "bid", "ask", "mark", "last", "iv")
+
+
+def chain(spark: SparkSession, sf: str, columns: tuple[str, ...] = CHAIN) -> DataFrame:
     """lineitem as option quotes: a snapshot is a month of a thousand orders and holds the first line per (side, strike).
 
-    Snapshots grow with the orders, so most lines stay at every scale. The pick is a min_by aggregate, combined map-side.
+    Snapshots grow with the orders, so most lines stay at every scale. The pick is a min_by aggregate, combined map-side;
+    only the `columns` that a query reads are sorted and moved.
     """
+    values = {
+        "gamma": F.col("l_discount").alias("gamma"),
+        "delta": (F.col("l_tax") * 10 - F.lit(0.4)).alias("delta"),
+        "open_interest": F.col("l_extendedprice").cast("bigint").alias("open_interest"),
+        "volume": (F.col("l_partkey") % 500).alias("volume"),
+        "bid": (F.col("l_extendedprice") / 1000.0).alias("bid"),
+        "ask": (F.col("l_extendedprice") / 1000.0 * (F.lit(1.0) + F.col("l_tax"))).alias("ask"),
+        "mark": F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") / 990.0).alias("mark"),
+        "last": (F.col("l_extendedprice") / 1010.0).alias("last"),
+        "iv": (F.lit(0.1) + F.col("l_discount")).alias("iv"),
+    }
     li = table(spark, sf, "lineitem").select(
         block_month().alias("snapshot_id"),
         F.when(F.col("l_linenumber") % 2 == 0, "put").otherwise("call").alias("side"),
         F.col("l_quantity").alias("strike"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
-        F.struct(
-            F.col("l_discount").alias("gamma"),
-            (F.col("l_tax") * 10 - F.lit(0.4)).alias("delta"),
-            F.col("l_extendedprice").cast("bigint").alias("open_interest"),
-            (F.col("l_partkey") % 500).alias("volume"),
-            (F.col("l_extendedprice") / 1000.0).alias("bid"),
-            (F.col("l_extendedprice") / 1000.0 * (F.lit(1.0) + F.col("l_tax"))).alias("ask"),
-            F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") / 990.0).alias("mark"),
-            (F.col("l_extendedprice") / 1010.0).alias("last"),
-            (F.lit(0.1) + F.col("l_discount")).alias("iv"),
-        ).alias("q"),
+        F.struct(*[values[n] for n in columns]).alias("q"),
     )
     return (
         li.groupBy("snapshot_id", "side", "strike")

@@ -195,7 +195,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    r = C.rnd_summary(A.chain(spark, sf))
+    r = C.rnd_summary(A.chain(spark, sf, ("bid", "ask", "mark", "last")))
     return r.select("snapshot_id", "n_strikes", *[F.round(n, 5).alias(n) for n in ("mean", "std", "skew", "prob_below_spot")])
 
 

@@ -129,7 +129,7 @@ def _(spark, sf):
     s = F.col("iv") * F.sqrt(F.lit(0.01))
     call = F.col("side") == "call"
     g = E.black_greeks(F.lit(25.0), F.col("strike"), s, F.lit(0.01), call)
-    return A.chain(spark, sf).select(
+    return A.chain(spark, sf, ("iv",)).select(
         "snapshot_id", "side", "strike", r6(E.black_value(call, F.lit(25.0), F.col("strike"), s), "price"),
         r6(g["delta"], "delta"), r6(g["gamma"], "gamma"), r6(g["vega"], "vega"), F.round(g["theta"], 5).alias("theta"),
     )
