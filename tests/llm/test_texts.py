@@ -18,6 +18,54 @@ def test_jaccard_classes(spark, clashing):
     assert ordered(got) == ordered(jaccard_brute(corpus()))
 
 
+@pytest.mark.parametrize("partners", [3, 256])
+def test_keys_of_few_sets_walk_no_trie(spark, monkeypatch, partners):
+    from tidemark.llm import jaccard as J
+
+    walked, walk = [], J.in_tries
+    monkeypatch.setattr(J, "PARTNERS", partners)
+    monkeypatch.setattr(J, "in_tries", lambda *args: walked.append(1) or walk(*args))
+    got = J.jaccard_classes(documents(spark)).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(jaccard_brute(corpus()))
+    assert partners < 256 or not walked
+
+
+def test_pairs_of_a_key_by_place_and_class(spark):
+    from tidemark.llm.jaccard import side_by_side
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(u), int(n), int(rng.integers(0, n // 4 + 1)), int(u) % 5) for k in range(40) for u, n in zip(rng.permutation(60)[:k], rng.integers(8, 40, k))]
+    got = side_by_side(spark.createDataFrame(rows, "key long, uid long, n int, at int, class long"), 75).collect()
+    able = {(x[1], y[1], x[4], y[4]) for x in rows for y in rows
+            if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and 175 * min(x[2] - x[3], y[2] - y[3]) >= 75 * (x[2] + y[2])}
+    assert able and sorted(map(tuple, got)) == sorted(able)
+
+
+def test_classes_that_link_are_no_square_of_edges(spark, monkeypatch):
+    from tidemark.llm import jaccard as J
+
+    words = [f"w{k}" for k in range(60)]
+    sets = [" ".join([*words, f"x{k}"]) if k < 20 else " ".join([f"y{k}", *words]) for k in range(40)] + ["other words " + " ".join(words[:30])]
+    texts = spark.createDataFrame([(k, len(J.shingles(t.encode())), bytearray(t.encode())) for k, t in enumerate(sets)], "uid long, n int, raw binary")
+    classes = spark.sparkContext.broadcast(J.frequency_classes(texts, 2_000))
+    seen, decide = [], J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *rest: seen.append(pairs.count()) or decide(pairs, *rest))
+    pairs = spark.createDataFrame([(a, b, 0, 20) for a in range(20) for b in range(20, 40)] + [(a, 40, 0, 40) for a in range(20)], J.PAIRS)
+    assert [tuple(r) for r in J.class_links(pairs, texts, classes, 75).collect()] == [(0, 20)]
+    assert seen == [40]  # 20 sets with one of each other class; all 420 pairs before
+
+
+def test_frequency_classes_count_every_shingle(spark):
+    from tidemark.llm.jaccard import frequency_classes, shingles
+
+    texts = [b"a b c d e f g"] * 300 + [b"p q r s t %d" % k for k in range(70)]
+    got = frequency_classes(spark.createDataFrame([(t,) for t in texts], "raw binary").repartition(3), 1_000)
+    counts = np.zeros(len(got), dtype=np.int64)
+    for t in texts:
+        counts[(shingles(t) & np.uint64(len(got) - 1)).astype(np.int64)] += 1
+    assert (got == np.log2(np.maximum(counts, 1)).astype(np.uint8)).all() and counts.max() == 300
+
+
 def test_one_of_each_keeps_one_row_a_class(spark):
     from tidemark.llm.jaccard import one_of_each
 

@@ -4,9 +4,10 @@
    classes come from counters of bounded size over all texts. Texts of equal sets are one set from then on.
 2. Two sets that link share one of their first n - ceil(t n) + 1 keys. These prefix keys are shuffled once, and rows of keys
    that more than one set has stay.
-3. A key's sets meet its leader first, which gives classes. Then, for each key that still holds several classes, its sets are
-   stored in tries from that key on and walk them: partial overlaps of common paths are shared, and a subtree is cut when what
-   remains of both sides is too short. Only pairs of different classes leave; tries of whole sets decide them. A link between
+3. A key's sets meet its leader first, which gives classes. Then, for each key that still holds several classes, pairs of
+   different classes leave whose places in the key allow a link, were it their first common one. Of a key of more than PARTNERS
+   sets they are found in tries: its sets are stored from that key on and walk them, partial overlaps of common paths are shared,
+   and a subtree is cut when what remains of both sides is too short. Tries of whole sets decide all pairs. A link between
    different classes is found in this step, so the classes are exact; links inside a class are not listed.
 """
 
@@ -30,11 +31,18 @@ WORDS = 5
 THRESHOLD = 75  # percent
 CELLS = 65_536  # counters of a slice
 COUNTERS = (16, 24)  # counters of the frequency classes as powers of two: least and most
-PARTNERS = 256  # sets of one trie
+PARTNERS = 256  # sets of one trie; a key of no more gives its pairs without one
 WINDOW = 64  # keys of a stretch
+PAIRS = "a long, b long, class_a long, class_b long"
 CLASS_SHIFT, HASH_SHIFT = np.uint64(58), np.uint64(6)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """np.unique by a sort, which is several times faster than its hash table."""
+    hashes = np.sort(hashes)
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])]
+
+
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Distinct hashes of the n-word shingles of a text in lower-case ASCII; with fewer words the whole sequence is one."""
     words = text.lower().split()
@@ -42,7 +50,7 @@ def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return gram_hashes(words, len(words)) ^ np.uint64(len(words))
-    return np.unique(gram_hashes(words, n))
+    return distinct(gram_hashes(words, n))
 
 
 def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -133,13 +141,15 @@ def frequency_classes(hashed: DataFrame, total: int) -> np.ndarray:
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, dtype=np.uint32)
-        for frame in it:
-            for t in frame["raw"]:
-                np.add.at(counts, (shingles(bytes(t)) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+        for frame in frames(it):
+            slots = np.sort(np.concatenate([np.zeros(0, np.uint64), *[shingles(bytes(t)) for t in frame["raw"]]]) & np.uint64((1 << bits) - 1))
+            ends = np.flatnonzero(np.append(slots[1:] != slots[:-1], len(slots) > 0))
+            counts[slots[ends].astype(np.int64)] += np.diff(ends, prepend=-1).astype(np.uint32)
         for k in range(len(counts) // CELLS):
             part = counts[k * CELLS:(k + 1) * CELLS]
-            if part.any():
-                yield pd.DataFrame({"slice": [k], "counts": [zlib.compress(part.tobytes(), 1)]})
+            if (most := part.max()) > 0:
+                part = part.astype(np.min_scalar_type(most))  # a slice is of bytes where its counts are small
+                yield pd.DataFrame({"slice": [k], "width": [part.itemsize], "counts": [zlib.compress(part.tobytes(), 1)]})
 
     def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, sums = -1, np.zeros(CELLS, dtype=np.int64)
@@ -148,16 +158,16 @@ def frequency_classes(hashed: DataFrame, total: int) -> np.ndarray:
             return pd.DataFrame({"slice": [at], "classes": [np.log2(np.maximum(sums, 1)).astype(np.uint8).tobytes()]})
 
         for frame in it:
-            for k, data in zip(frame["slice"], frame["counts"]):
+            for k, width, data in zip(frame["slice"], frame["width"], frame["counts"]):
                 if k != at and at >= 0:
                     yield done()
                     sums = np.zeros(CELLS, dtype=np.int64)
                 at = int(k)
-                sums += np.frombuffer(zlib.decompress(bytes(data)), dtype=np.uint32)
+                sums += np.frombuffer(zlib.decompress(bytes(data)), dtype=f"u{width}")
         if at >= 0:
             yield done()
 
-    slices = hashed.mapInPandas(count, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+    slices = hashed.mapInPandas(count, "slice int, width int, counts binary").repartition("slice").sortWithinPartitions("slice")
     out = np.zeros(1 << bits, dtype=np.uint8)
     for r in slices.mapInPandas(add, "slice int, classes binary").collect():  # at most 2^24 bytes
         out[r.slice * CELLS:(r.slice + 1) * CELLS] = np.frombuffer(r.classes, dtype=np.uint8)
@@ -266,13 +276,38 @@ def classes_of_sets(texts: DataFrame, percent: int) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c"))
     mixed = mixed.filter("lo != hi").select("key", F.ceil(F.col("c") / PARTNERS).cast("int").alias("blocks"))
     open_ = written(named.join(mixed, "key"), "open")
-    second = written(in_tries(open_, texts, classes, percent), "pairs")
-    more = verified(second, texts, classes, percent)
-    out = components(edges.union(more))
+    second = side_by_side(open_.filter("blocks = 1"), percent)
+    large = open_.filter("blocks > 1")
+    if large.limit(1).count():
+        second = second.union(in_tries(large, texts, classes, percent)).distinct()
+    out = components(edges.union(class_links(written(second, "pairs"), texts, classes, percent)))
     classes.unpersist()
     return out
 
 
+def class_links(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
+    """(a, b) of classes that a pair of their sets links. pairs: a, b, class_a, class_b. A set meets one set of each other class
+    first; the other pairs are decided only where that leaves their classes apart, so large classes that link are no square."""
+    between = ["class_a", "class_b"]
+
+    def linking(some: DataFrame) -> DataFrame:
+        found = verified(some.select("a", "b"), texts, classes, percent)
+        return written(some.join(found, ["a", "b"], "left_semi").select(*between).distinct(), "links")
+
+    one = written(pairs.groupBy("a", *between).agg(F.min("b").alias("b")), "pairs")
+    links = linking(one)
+    joined = components(links, *between)
+    apart = pairs.select(*between).distinct()
+    for c in between:
+        to = joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+        apart = apart.join(to, c, "left").withColumn(f"{c}_", F.coalesce(f"{c}_", c))
+    rest = pairs.join(apart.filter("class_a_ != class_b_").select(*between), between, "left_semi").join(one, ["a", "b"], "left_anti")
+    rest = written(rest, "pairs")
+    if rest.limit(1).count():
+        links = links.union(linking(rest))
+    return links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
 def sets_of(texts: DataFrame, uids: DataFrame, classes: object, keys: object) -> DataFrame:
     """(uid, keys binary) of the sets in uids: keys(ordered set) of each. Only their texts are hashed."""
     wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(uids.select(F.xxhash64("uid").alias("h")), "h"))
@@ -289,8 +324,54 @@ def sets_of(texts: DataFrame, uids: DataFrame, classes: object, keys: object) ->
     return out
 
 
+def side_by_side(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b, class_a, class_b) of sets of different classes that share a key of at most PARTNERS sets and may link: were it
+    their first common key, nothing before it is shared, and what is left of each from it on must suffice. open_: key, uid, n,
+    at, class."""
+
+    def able(frame: pd.DataFrame) -> pd.DataFrame:
+        key, uid, n, at, cls = (frame[c].to_numpy() for c in ("key", "uid", "n", "at", "class"))
+        n = n.astype(np.int64)
+        left = n - at
+        ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        first = np.arange(len(key))
+        for step in range(1, len(key)):  # rows of a key lie side by side: each meets the one `step` rows on
+            first = first[first + step < len(key)]
+            first = first[key[first] == key[first + step]]
+            if not len(first):
+                break
+            second = first + step
+            fits = (100 + percent) * np.minimum(left[first], left[second]) >= percent * (n[first] + n[second])
+            fits &= cls[first] != cls[second]
+            ones.append(first[fits])
+            others.append(second[fits])
+        return class_pairs(uid, cls, np.concatenate(ones), np.concatenate(others))
+
+    def pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in it:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            key = frame["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next frame
+            yield able(frame.iloc[:cut])
+            rest = frame.iloc[cut:]
+        if rest is not None:
+            yield able(rest)
+
+    rows = open_.select("key", "uid", "n", "at", "class").repartition("key").sortWithinPartitions("key")
+    return rows.mapInPandas(pairs, PAIRS).distinct()
+
+
+def class_pairs(uid: np.ndarray, cls: np.ndarray, one: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs of the rows `one` and `other`, the smaller uid first."""
+    swap = uid[one] > uid[other]
+    a, b = np.where(swap, other, one), np.where(swap, one, other)
+    return pd.DataFrame({"a": uid[a], "b": uid[b], "class_a": cls[a], "class_b": cls[b]}).drop_duplicates()
+
+
 def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
-    """(a, b) of sets of different classes that meet in a key and may link. open_: key, uid, n, at, class, blocks.
+    """(a, b, class_a, class_b) of sets of different classes that meet in a key and may link. open_: key, uid, n, at, class,
+    blocks.
 
     A key's sets are taken from that key on: were it their first common one, nothing before it is shared, and a pair that
     shares an earlier key is judged there. Stretches of WINDOW keys (high halves) are stored in a trie of about PARTNERS
@@ -316,8 +397,8 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
             left = n - at
             able = (100 + percent) * np.minimum.outer(left, left).astype(np.int64) >= percent * np.add.outer(n, n).astype(np.int64)
             able &= np.less.outer(rank, rank)  # [stored, walking]
-            a: list[int] = []
-            b: list[int] = []
+            ones: list[int] = []
+            others: list[int] = []
             for stored, walking in ((mine, mine),) if same else ((mine, ~mine), (~mine, mine)):
                 part = able & np.logical_and.outer(stored, walking)
                 inner, walkers = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
@@ -326,13 +407,13 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
                 trie = Trie([parts[i] for i in inner], left[inner].tolist(), n[inner].tolist(), rank[inner].tolist())
                 for x in walkers:
                     hit = inner[trie.linked(parts[x], percent, int(left[x]), int(n[x]), int(rank[x]))]
-                    a += np.minimum(uid[hit], uid[x]).tolist()
-                    b += np.maximum(uid[hit], uid[x]).tolist()
-            if a:
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                    ones += [x] * len(hit)
+                    others += hit.tolist()
+            if ones:
+                yield class_pairs(uid, cls, np.array(ones), np.array(others))
 
     sorted_ = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInPandas(walk, "a long, b long").distinct()
+    return sorted_.mapInPandas(walk, PAIRS).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
