@@ -29,11 +29,11 @@ def exact_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
     return dict.fromkeys(names, 0.0) | {r.name: r.median for r in grouped_medians(known, ["name"], "v").collect()}
 
 
-def vector_stages(df: DataFrame, names: Sequence[str]) -> list:
-    """Imputation by the exact medians of df, missing flags, one standardised vector."""
+def vector_stages(df: DataFrame, names: Sequence[str], medians: dict[str, float] | None = None) -> list:
+    """Imputation by the exact medians of df (medians, where they are known), missing flags, one standardised vector."""
     names = sorted(names)
     imputed = [f"{n}__i" for n in names]
-    filled = ", ".join(f"coalesce(`{n}`, {m!r}D) AS `{n}__i`" for n, m in exact_medians(df, names).items())
+    filled = ", ".join(f"coalesce(`{n}`, {m!r}D) AS `{n}__i`" for n, m in (medians or exact_medians(df, names)).items())
     return [
         SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
         VectorAssembler(inputCols=[*imputed, *[f"{n}__m" for n in names]], outputCol="raw_features"),
@@ -47,6 +47,16 @@ def with_flags(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: known(n) for n in names} | {f"{n}__m": known(n).isNull().cast("double") for n in names})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores: a small file of many rows is otherwise the work of one task or two."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def fit_rows(df: DataFrame, names: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Flagged features and labels, dealt over all cores and written once: medians, scales and every round of a fit read them."""
+    return materialized(spread(with_flags(df.select(*dict.fromkeys([*names, *labels])), names)), "fit-rows")
+
+
 def vectorize(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Values (sorted names, medians for the missing) followed by missing flags, as one array column."""
     flagged = with_flags(df, names)
@@ -61,15 +71,18 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(g.select(label, (total / (F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * F.col("_n"))).alias("weight"))), label)
 
 
-def logistic(df: DataFrame, names: Sequence[str], label: str, l1_ratio: float = 0.5, c: float = 0.1, balanced: bool = True):
-    """Elastic-net logistic model. The penalty is 1/(C·n), the same objective as a summed loss with strength C."""
-    rows = with_flags(df.filter(F.col(label).isNotNull()), names).withColumn(label, F.col(label).cast("double"))
+def logistic(df: DataFrame, names: Sequence[str], label: str, l1_ratio: float = 0.5, c: float = 0.1, balanced: bool = True,
+             medians: dict[str, float] | None = None):
+    """Elastic-net logistic model. The penalty is 1/(C·n), the same objective as a summed loss with strength C. medians: those
+    of the rows with a label, where df is of fit_rows and they are known."""
+    known = df.filter(F.col(label).isNotNull())
+    rows = (known if medians else fit_rows(known, names, [label])).withColumn(label, F.col(label).cast("double"))
     rows = balanced_weight(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
     n = rows.count()
     lr = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", elasticNetParam=l1_ratio, regParam=1.0 / (c * max(n, 1)), maxIter=50
     )
-    return Pipeline(stages=[*vector_stages(rows, names), lr]).fit(rows)
+    return Pipeline(stages=[*vector_stages(rows, names, medians), lr]).fit(rows)
 
 
 def probability(model, df: DataFrame, names: Sequence[str], out: str = "p") -> DataFrame:
@@ -145,10 +158,12 @@ def volatility_forecast(quantiles: DataFrame) -> DataFrame:
     return quantiles.select("*", F.greatest(F.col("q50"), F.lit(0.0)).alias("expected_move"), F.greatest(F.col("q90") - F.col("q10"), F.lit(0.0)).alias("spread_uncertainty"))
 
 
-def huber(train: DataFrame, names: Sequence[str], label: str):
+def huber(train: DataFrame, names: Sequence[str], label: str, medians: dict[str, float] | None = None):
+    """Huber regression. medians: those of the rows with a label, where train is of fit_rows and they are known."""
     lr = LinearRegression(featuresCol="features", labelCol=label, loss="huber", epsilon=1.35, maxIter=50)
-    flagged = with_flags(train.filter(F.col(label).isNotNull()), names)
-    return Pipeline(stages=[*vector_stages(flagged, names), lr]).fit(flagged)
+    known = train.filter(F.col(label).isNotNull())
+    rows = known if medians else fit_rows(known, names, [label])
+    return Pipeline(stages=[*vector_stages(rows, names, medians), lr]).fit(rows)
 
 
 def fill_concession(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "fill_fraction", prior: str = "prior") -> DataFrame:
@@ -169,10 +184,16 @@ def global_quantiles(values: DataFrame, taus: Sequence[float]) -> list[float]:
 
 
 def fill_probability(train: DataFrame, score: DataFrame, names: Sequence[str], horizons: Sequence[int], id_col: str) -> DataFrame:
-    """Logistic fill probability per horizon (labels y_<h>), made monotone over the horizon by a running maximum."""
-    out = score
-    for h in horizons:
-        out = probability(logistic(train, names, f"y_{h}", l1_ratio=0.0, c=1.0, balanced=False), out, names, f"p_{h}")
+    """Logistic fill probability per horizon (labels y_<h>), made monotone over the horizon by a running maximum. The rows are
+    written once for all horizons, and those that every row has a label of share the medians."""
+    labels = [f"y_{h}" for h in horizons]
+    rows = fit_rows(train, names, labels)
+    known = rows.agg(F.count(F.lit(1)).alias("_all"), *[F.count(y).alias(y) for y in labels]).first()
+    shared = exact_medians(rows, sorted(names)) if any(known[y] == known["_all"] for y in labels) else None
+    out = spread(score)
+    for h, y in zip(horizons, labels):
+        medians = shared if known[y] == known["_all"] else exact_medians(rows.filter(F.col(y).isNotNull()), sorted(names))
+        out = probability(logistic(rows, names, y, l1_ratio=0.0, c=1.0, balanced=False, medians=medians), out, names, f"p_{h}")
     hs = sorted(horizons)
     return out.select(id_col, *[F.greatest(*[F.col(f"p_{g}") for g in hs[: i + 1]], F.lit(0.0)).alias(f"p_{h}") for i, h in enumerate(hs)])
 
