@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bind, clip, codes, mean_known, ratio, uniform_hash
 from tidemark.functions.tables import materialized
-from tidemark.operators.fits import Fit, Prepared, exact_quantiles, fit_many, predict_many, prepare, rearranged
+from tidemark.operators.fits import Fit, Prepared, fit_many, predict_many, prepare, rearranged
 from tidemark.operators.windows import grouped_medians, ranked
 
 SEED = 42
@@ -176,11 +177,35 @@ def fill_concession(train: DataFrame, score: DataFrame, names: Sequence[str], la
     return model.transform(with_flags(score, names)).select(*score.columns, blended.alias("concession"), *[F.lit(x).alias(c) for c, x in zip(("q10", "q50", "q90"), q)])
 
 
-def global_quantiles(values: DataFrame, taus: Sequence[float]) -> list[float]:
-    """Exact quantiles of column v over the whole table, from distributed ranks; one number each comes to the driver."""
-    rows = values.withColumns({"tie": F.monotonically_increasing_id(), "one": F.lit(1)})
-    got = {round(r.tau, 9): r.quantile for r in exact_quantiles(rows, ["one"], "v", taus, "tie").collect()}
-    return [got.get(round(float(t), 9)) for t in taus]
+def global_quantiles(values: DataFrame, taus: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of column v over the whole table; one number each comes to the driver.
+
+    Approximate quantiles beside each tau cut a narrow band; counts say whether it holds the wanted order statistics, and where
+    it doesn't, the band is open on that side. Only the distinct values of the bands are sorted.
+    """
+    v, known = F.col("v"), values.select("v").filter(F.col("v").isNotNull())
+    taus = [float(t) for t in taus]
+    edges = [min(max(t + d, 0.0), 1.0) for t in taus for d in (-0.001, 0.001)]
+    n, cuts = known.agg(F.count(F.lit(1)), F.percentile_approx("v", edges, 10_000)).first()
+    if not n:
+        return [None] * len(taus)
+    sizes = known.agg(*[F.count_if(v < cuts[k]) if k % 2 == 0 else F.count_if(v <= cuts[k]) for k in range(len(cuts))]).first()
+    places = [(n - 1) * t + 1 for t in taus]
+    low = [math.floor(h) for h in places]
+    high = [min(k + 1, n) for k in low]
+    before, inside = [], []
+    for k in range(len(taus)):
+        above, below = sizes[2 * k] < low[k], sizes[2 * k + 1] >= high[k]
+        before.append(sizes[2 * k] if above else 0)
+        inside.append((v >= cuts[2 * k] if above else F.lit(True)) & (v <= cuts[2 * k + 1] if below else F.lit(True)))
+    at = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)])))
+    counts = known.select("v", at.alias("k")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    pick = lambda numbers: F.array(*[F.lit(x).cast("long") for x in numbers])[F.col("k")]
+    last = counts.withColumn("last", pick(before) + F.sum("c").over(upto))
+    holds = lambda rank: F.max(F.when((F.col("last") >= rank) & (F.col("last") - F.col("c") < rank), v))
+    got = {r.k: (r.a, r.b) for r in last.groupBy("k").agg(holds(pick(low)).alias("a"), holds(pick(high)).alias("b")).collect()}
+    return [got[k][0] + (h - low[k]) * (got[k][1] - got[k][0]) for k, h in enumerate(places)]
 
 
 def fill_probability(train: DataFrame, score: DataFrame, names: Sequence[str], horizons: Sequence[int], id_col: str) -> DataFrame:
@@ -199,14 +224,17 @@ def fill_probability(train: DataFrame, score: DataFrame, names: Sequence[str], h
 
 
 def candidate_value(train: DataFrame, score: DataFrame, names: Sequence[str], label: str = "pnl") -> DataFrame:
-    """Huber expected P&L, logistic P(profit), training residual quantiles shifted to the forecast, shortfall."""
-    ev = huber(train, names, label)
-    win = logistic(train.withColumn("won", (F.col(label) > 0).cast("double")), names, "won", l1_ratio=0.0, c=1.0, balanced=False)
-    resid = materialized(ev.transform(with_flags(train, names)).select((F.col(label) - F.col("prediction")).cast("double").alias("v")), "residuals")
+    """Huber expected P&L, logistic P(profit), training residual quantiles shifted to the forecast, shortfall. Both fits read
+    the same rows and medians, which are made once."""
+    rows = fit_rows(train.withColumn("won", (F.col(label) > 0).cast("double")), names, [label, "won"])
+    medians = exact_medians(rows.filter(F.col(label).isNotNull()), sorted(names))
+    ev = huber(rows, names, label, medians)
+    win = logistic(rows, names, "won", l1_ratio=0.0, c=1.0, balanced=False, medians=medians)
+    resid = materialized(ev.transform(rows).select((F.col(label) - F.col("prediction")).cast("double").alias("v")), "residuals")
     taus = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90)
     q = global_quantiles(resid, taus)
     tail = resid.filter(F.col("v") <= F.lit(q[0])).agg(F.avg("v")).first()[0]  # one number
-    scored = ev.transform(with_flags(probability(win, score, names, "p_profit"), names))
+    scored = ev.transform(with_flags(probability(win, spread(score), names, "p_profit"), names))
     quant = [(F.col("prediction") + F.lit(x)).alias(f"pnl_q{round(t * 100):02d}") for t, x in zip(taus, q)]
     return scored.select(
         *score.columns, F.col("prediction").alias("expected_net_pnl"), "p_profit", *quant,
