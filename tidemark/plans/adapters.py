@@ -45,11 +45,12 @@ BLOCK_MONTH_SQL = "strftime(l_shipdate, '%Y-%m') || '-' || (l_orderkey // 1000)"
 CHAIN = ("gamma", "delta", "open_interest", "volume", "bid", "ask", "mark", "last", "iv")
 
 
-def chain(spark: SparkSession, sf: str, columns: tuple[str, ...] = CHAIN) -> DataFrame:
+def chain(spark: SparkSession, sf: str, columns: tuple[str, ...] = CHAIN, together: bool = False) -> DataFrame:
     """lineitem as option quotes: a snapshot is a month of a thousand orders and holds the first line per (side, strike).
 
     Snapshots grow with the orders, so most lines stay at every scale. The pick is a min_by aggregate, combined map-side;
-    only the `columns` that a query reads are sorted and moved.
+    only the `columns` that a query reads are sorted and moved. together: lines move once, by their snapshot, and all that
+    follows per snapshot is done where they are (for queries that put several families together).
     """
     values = {
         "gamma": F.col("l_discount").alias("gamma"),
@@ -70,7 +71,7 @@ def chain(spark: SparkSession, sf: str, columns: tuple[str, ...] = CHAIN) -> Dat
         F.struct(*[values[n] for n in columns]).alias("q"),
     )
     return (
-        li.groupBy("snapshot_id", "side", "strike")
+        (li.repartition("snapshot_id") if together else li).groupBy("snapshot_id", "side", "strike")
         .agg(F.min("pos").alias("p"), F.min_by("q", "pos").alias("q"))
         .select(
             "snapshot_id", "side", "strike", F.lit(25.0).alias("spot"),

@@ -272,7 +272,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    ch = A.chain(spark, sf)
+    ch = A.chain(spark, sf, ("gamma", "open_interest", "bid", "ask", "mark", "last"), together=True)
     ids = ch.groupBy("snapshot_id").count()
     st = C.structural_state(C.gex_levels(ch), C.atm_straddle(ch), C.rnd_summary(ch), ids)
     return st.select(
