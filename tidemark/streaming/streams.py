@@ -112,6 +112,9 @@ def settle_closed_sessions(snapshots: DataFrame, value: str = "value", late: str
 
 
 # -- keyed state: rolling rank and robust score ----------------------------------------------------------------------
+PIECE = 50_000  # rows of a result frame
+
+
 class KeyedWindow(StatefulProcessor):
     """A key's trailing rows (time, value) as list state. Every micro-batch scores its new rows against the held ones, keeps
     those that a later row can still need, and sets a timer: a key that is idle for `age` after its last row, in event time,
@@ -130,17 +133,21 @@ class KeyedWindow(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         past = np.array([tuple(r) for r in self.held.get()], dtype=float).reshape(-1, 2) if self.held.exists() else np.zeros((0, 2))
-        frames = list(rows)
-        fresh = pd.concat(frames).sort_values("ts", kind="stable")
-        seconds = fresh["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        times, values = np.concatenate((past[:, 0], seconds)), np.concatenate((past[:, 1], fresh[self.value].to_numpy(dtype=float)))
+        # of a frame only its times and values stay, two numbers a row
+        stamps, numbers = map(np.concatenate, zip(*[(f["ts"].to_numpy(copy=True), f[self.value].to_numpy(dtype=float, copy=True)) for f in rows]))
+        sorted_ = np.argsort(stamps, kind="stable")
+        stamps, numbers = stamps[sorted_], numbers[sorted_]
+        seconds = stamps.astype("datetime64[us]").astype("int64") / 1e6
+        times, values = np.concatenate((past[:, 0], seconds)), np.concatenate((past[:, 1], numbers))
         # a late row takes its place in time among the held ones
         order = np.argsort(times, kind="stable")
         is_new = np.arange(len(times))[order] >= len(past)
         first = int(np.argmax(is_new))
         columns, keep = self.scored(times[order], values[order], first)
         new = is_new[first:]
-        yield pd.DataFrame({self.key: key[0], "ts": fresh["ts"].to_numpy(), **{n: c[new] for n, c in columns.items()}})
+        columns = {n: c[new] for n, c in columns.items()}
+        for at in range(0, len(stamps), PIECE):  # no frame of a whole key
+            yield pd.DataFrame({self.key: key[0], "ts": stamps[at:at + PIECE], **{n: c[at:at + PIECE] for n, c in columns.items()}})
         self.held.put([(float(t), float(v)) for t, v in zip(times[order][keep:], values[order][keep:])])
         for at in self.handle.listTimers():
             self.handle.deleteTimer(at)
