@@ -55,6 +55,47 @@ def test_classes_that_link_are_no_square_of_edges(spark, monkeypatch):
     assert seen == [40]  # 20 sets with one of each other class; all 420 pairs before
 
 
+def test_a_pair_is_judged_at_its_first_common_key(spark):
+    from tidemark.llm import jaccard as J
+
+    sets = [" ".join([*(f"w{k}" for k in range(60)), f"x{i}"]).encode() for i in range(2)]
+    texts = spark.createDataFrame([(k, len(J.shingles(t)), bytearray(t)) for k, t in enumerate(sets)], "uid long, n int, raw binary")
+    classes = spark.sparkContext.broadcast(J.frequency_classes(texts, 200))
+    keys = [J.ordered(J.shingles(t), classes.value) for t in sets]
+    shared = [k for k in keys[0][:J.prefix(len(keys[0]))] if k in keys[1][:J.prefix(len(keys[1]))]]
+    for nth, want in ((0, [(0, 1)]), (1, []), (-1, [])):
+        rows = [(int(shared[nth].view(np.int64)), u, len(k), int(np.flatnonzero(k == shared[nth])[0]), u, 2) for u, k in enumerate(keys)]
+        open_ = spark.createDataFrame(rows, "key long, uid long, n int, at int, class long, blocks int")
+        assert [tuple(r)[:2] for r in J.in_tries(open_, texts, classes, 75).collect()] == want
+
+
+def test_large_keys_meet_further_leaders(spark, monkeypatch):
+    from tidemark.llm import jaccard as J
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.choice(200, 4, replace=False):
+            words[at] = f"z{k}-{at}"
+        rows.append((k, " ".join(words), "en", "s", 0))
+    seen, links = [], J.class_links
+    monkeypatch.setattr(J, "PARTNERS", 8)
+    monkeypatch.setattr(J, "class_links", lambda pairs, *rest: seen.append(pairs.count()) or links(pairs, *rest))
+    for rounds in (0, J.ROUNDS):
+        monkeypatch.setattr(J, "ROUNDS", rounds)
+        got = J.jaccard_classes(documents(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+        assert ordered(got) == ordered(jaccard_brute(rows))
+    assert seen[1] < seen[0]
+
+
+def test_one_of_each_names_a_text_once(spark):
+    """A filter over the name worked it out again, in two more Python workers a core."""
+    from tidemark.llm.jaccard import one_of_each
+
+    assert "EvalPython" not in one_of_each(documents(spark))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_frequency_classes_count_every_shingle(spark):
     from tidemark.llm.jaccard import frequency_classes, shingles
 
@@ -195,6 +236,14 @@ def test_packing_is_exact_and_full(spark):
     assert least <= len(by) <= 1.05 * least + 1
 
 
+def test_plan_becomes_a_table_without_python_workers(spark, monkeypatch):
+    from tidemark.llm.packing import best_fit
+
+    pieces = documents(spark).select("doc_id", F.lit(5).alias("length"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert {r.offset % 5 for r in best_fit(pieces).collect()} == {0}
+
+
 def test_plan_is_best_fit_and_short():
     from tidemark.llm.packing import plan
 

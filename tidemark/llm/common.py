@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of longs that the driver holds, as a table. An Arrow table needs no Python workers; a list of rows has workers of
+    its own started on the executors, which stay beside those of the tasks."""
+    names = [field.split()[0].strip("`") for field in schema.split(",")]
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)}), schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any letter case."""
     taken = {c.lower() for c in df.columns}

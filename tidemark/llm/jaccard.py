@@ -4,7 +4,8 @@
    classes come from counters of bounded size over all texts. Texts of equal sets are one set from then on.
 2. Two sets that link share one of their first n - ceil(t n) + 1 keys. These prefix keys are shuffled once, and rows of keys
    that more than one set has stay.
-3. A key's sets meet its leader first, which gives classes. Then, for each key that still holds several classes, pairs of
+3. A key's sets meet its leader first, which gives classes; those of a key of more than PARTNERS sets meet a few more leaders
+   while it holds several classes. Then, for each key that still holds several classes, pairs of
    different classes leave whose places in the key allow a link, were it their first common one. Of a key of more than PARTNERS
    sets they are found in tries: its sets are stored from that key on and walk them, partial overlaps of common paths are shared,
    and a subtree is cut when what remains of both sides is too short. Tries of whole sets decide all pairs. A link between
@@ -33,6 +34,7 @@ CELLS = 65_536  # counters of a slice
 COUNTERS = (16, 24)  # counters of the frequency classes as powers of two: least and most
 PARTNERS = 256  # sets of one trie; a key of no more gives its pairs without one
 WINDOW = 64  # keys of a stretch
+ROUNDS, LEADERS = 1, 4  # rounds in which the sets of a large key meet further leaders, and leaders of a round
 PAIRS = "a long, b long, class_a long, class_b long"
 CLASS_SHIFT, HASH_SHIFT = np.uint64(58), np.uint64(6)
 
@@ -273,11 +275,23 @@ def classes_of_sets(texts: DataFrame, percent: int) -> DataFrame:
 
     named = held.join(labels, held["uid"] == labels["node"], "left").select("key", "uid", "n", "at", F.coalesce("component", "uid").alias("class"))
     named = written(named, "classed")
-    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c"))
-    mixed = mixed.filter("lo != hi").select("key", F.ceil(F.col("c") / PARTNERS).cast("int").alias("blocks"))
-    open_ = written(named.join(mixed, "key"), "open")
+    open_ = of_several_classes(named)
     second = side_by_side(open_.filter("blocks = 1"), percent)
     large = open_.filter("blocks > 1")
+    for k in range(ROUNDS):  # a leader that few sets link with leaves a large key's sets apart, and its pairs would be a square
+        if not large.limit(1).count():
+            break
+        drawn = [F.min_by(F.struct("uid", "n", "class"), F.xxhash64("uid", F.lit(LEADERS * k + i))) for i in range(LEADERS)]
+        lead = large.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("lead"))
+        some = large.join(lead, "key").withColumn("lead", F.explode("lead")).select(
+            "n", F.col("lead.n").alias("n_"), F.col("lead.uid").alias("a"), F.col("uid").alias("b"), F.col("lead.class").alias("class_a"),
+            F.col("class").alias("class_b"))
+        some = written(some.filter(f"class_a != class_b AND {sizes}").select("a", "b", "class_a", "class_b").distinct(), "pairs")
+        links = linking(some, texts, classes, percent)
+        edges = edges.union(links)
+        to = components(links)
+        large = of_several_classes(joined_classes(large.drop("blocks"), to, "class"))
+        second = joined_classes(joined_classes(second, to, "class_a"), to, "class_b").filter("class_a != class_b")
     if large.limit(1).count():
         second = second.union(in_tries(large, texts, classes, percent)).distinct()
     out = components(edges.union(class_links(written(second, "pairs"), texts, classes, percent)))
@@ -285,18 +299,34 @@ def classes_of_sets(texts: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def of_several_classes(named: DataFrame) -> DataFrame:
+    """Rows of keys whose sets are of several classes, with the key's number of blocks of PARTNERS sets. named: key, uid, n, at,
+    class."""
+    mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c"))
+    mixed = mixed.filter("lo != hi").select("key", F.ceil(F.col("c") / PARTNERS).cast("int").alias("blocks"))
+    return written(named.join(mixed, "key"), "open")
+
+
+def joined_classes(rows: DataFrame, to: DataFrame, name: str) -> DataFrame:
+    """rows with the classes in column `name` replaced by what they have become. to: node, component."""
+    rows = rows.join(to, rows[name] == to["node"], "left").withColumn(name, F.coalesce("component", name))
+    return rows.drop("node", "component")
+
+
+def linking(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
+    """(a, b) of the classes of pairs of sets that link. pairs: a, b, class_a, class_b."""
+    found = verified(pairs.select("a", "b"), texts, classes, percent)
+    found = pairs.join(found, ["a", "b"], "left_semi")
+    return written(found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
+
+
 def class_links(pairs: DataFrame, texts: DataFrame, classes: object, percent: int) -> DataFrame:
     """(a, b) of classes that a pair of their sets links. pairs: a, b, class_a, class_b. A set meets one set of each other class
     first; the other pairs are decided only where that leaves their classes apart, so large classes that link are no square."""
     between = ["class_a", "class_b"]
-
-    def linking(some: DataFrame) -> DataFrame:
-        found = verified(some.select("a", "b"), texts, classes, percent)
-        return written(some.join(found, ["a", "b"], "left_semi").select(*between).distinct(), "links")
-
     one = written(pairs.groupBy("a", *between).agg(F.min("b").alias("b")), "pairs")
-    links = linking(one)
-    joined = components(links, *between)
+    links = linking(one, texts, classes, percent)
+    joined = components(links)
     apart = pairs.select(*between).distinct()
     for c in between:
         to = joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
@@ -304,8 +334,8 @@ def class_links(pairs: DataFrame, texts: DataFrame, classes: object, percent: in
     rest = pairs.join(apart.filter("class_a_ != class_b_").select(*between), between, "left_semi").join(one, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
     if rest.limit(1).count():
-        links = links.union(linking(rest))
-    return links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        links = links.union(linking(rest, texts, classes, percent))
+    return links
 
 
 def sets_of(texts: DataFrame, uids: DataFrame, classes: object, keys: object) -> DataFrame:
@@ -373,22 +403,29 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
     """(a, b, class_a, class_b) of sets of different classes that meet in a key and may link. open_: key, uid, n, at, class,
     blocks.
 
-    A key's sets are taken from that key on: were it their first common one, nothing before it is shared, and a pair that
-    shares an earlier key is judged there. Stretches of WINDOW keys (high halves) are stored in a trie of about PARTNERS
+    A key's sets are taken from that key on, and a pair that shares a key before it is judged there alone, so it is found once
+    however many keys it shares. Stretches of WINDOW keys (high halves) are stored in a trie of about PARTNERS
     sets, the sets of each block walk it. A hot key has many blocks and a group for each two of them.
     """
-    need = sets_of(texts, open_.select("uid").distinct(), classes, lambda k: (k[:prefix(len(k), percent) + WINDOW] >> np.uint64(32)).astype(np.uint32))
+    def halves(keys: np.ndarray) -> np.ndarray:
+        """The keys of the prefix, then the high halves of them and of WINDOW more."""
+        to = prefix(len(keys), percent)
+        return np.concatenate([keys[:to].view(np.uint32), (keys[:to + WINDOW] >> np.uint64(32)).astype(np.uint32)])
+
+    need = sets_of(texts, open_.select("uid").distinct(), classes, halves)
     rows = open_.join(need, "uid").select(
-        "key", "uid", "n", "at", "class", "blocks", F.expr(f"substring(keys, 4 * at + 1, {4 * WINDOW})").alias("part"),
+        "key", "uid", "n", "at", "class", "blocks", F.expr("substring(keys, 1, 8 * at)").alias("before"),
+        F.expr(f"substring(keys, 8 * (n - CAST(ceil({percent} * n / 100) AS INT) + 1) + 4 * at + 1, {4 * WINDOW})").alias("part"),
         F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("o", other).select(
-        "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "uid", "n", "at", "class", "part")
+        "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "uid", "n", "at", "class", "before", "part")
 
     def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in stretches(it, ["key", "i", "j"]):
             uid, n, at, cls = (g[c] for c in ("uid", "n", "at", "class"))
             parts = [np.frombuffer(bytes(p), dtype=np.uint32) for p in g["part"]]
+            before = [set(np.frombuffer(bytes(p), dtype=np.uint64).tolist()) for p in g["before"]]
             mine = g["own"] == g["i"]
             same = g["i"][0] == g["j"][0]
             # pairs of different classes whose keys from here on suffice; the largest class has the lowest rank, so its sets don't walk
@@ -406,9 +443,10 @@ def in_tries(open_: DataFrame, texts: DataFrame, classes: object, percent: int)
                     continue
                 trie = Trie([parts[i] for i in inner], left[inner].tolist(), n[inner].tolist(), rank[inner].tolist())
                 for x in walkers:
-                    hit = inner[trie.linked(parts[x], percent, int(left[x]), int(n[x]), int(rank[x]))]
+                    hit = inner[trie.linked(parts[x], percent, int(left[x]), int(n[x]), int(rank[x]))].tolist()
+                    hit = [i for i in hit if before[x].isdisjoint(before[i])]
                     ones += [x] * len(hit)
-                    others += hit.tolist()
+                    others += hit
             if ones:
                 yield class_pairs(uid, cls, np.array(ones), np.array(others))
 
@@ -447,30 +485,37 @@ def jaccard_classes(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "do
     may have the same smallest id (ids that are null or repeated), but not the same name."""
     named = docs.select(F.col(id_col), set_of(text_col).alias("s"), text_bytes(F.col(text_col)).alias("raw"))
     named = written(named.select(id_col, F.col("s.n").alias("n_shingles"), F.col("s.sid").alias("sid"), "raw"), "set-names")
+    by_set = classes_of_names(named, percent, id_col)
+    named = named.select(id_col, "n_shingles", "sid")
+    return named.join(by_set, "sid", "left").select(id_col, "n_shingles", "sid", "class", F.coalesce("component_id", id_col).alias("component_id"))
+
+
+def classes_of_names(named: DataFrame, percent: int, id_col: str) -> DataFrame:
+    """(sid, class, component_id) of the sets of named (id_col, n_shingles, sid, raw), a table that is read several times."""
     # one text a set, numbered: from here on a set is a long
     texts = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").cast("int").alias("n"), F.first("raw").alias("raw"))
     texts = written(texts.withColumn("uid", F.monotonically_increasing_id()), "set-texts")
-    named = named.select(id_col, "n_shingles", "sid")
     classes = classes_of_sets(texts.select("uid", "n", "raw"), percent)
     low = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("low"))
     least = low.join(texts.select("sid", "uid"), "sid")
     least = least.join(classes, least["uid"] == classes["node"], "left").select("sid", "low", F.coalesce("component", "uid").alias("class"))
     least = written(least, "class-names")
     best = least.groupBy("class").agg(F.min("low").alias("component_id"))
-    by_set = least.join(best, "class").select("sid", "class", "component_id")
-    return named.join(by_set, "sid", "left").select(id_col, "n_shingles", "sid", "class", F.coalesce("component_id", id_col).alias("component_id"))
+    return least.join(best, "class").select("sid", "class", "component_id")
 
 
 def one_of_each(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """docs without near duplicates: of each class the row of the smallest doc_id stays (of rows that repeat it, one; a
     null id is the largest). Rows without a set stay. Columns as in docs."""
-    key = fresh(docs, "__sid")
-    found = jaccard_classes(docs.select("doc_id", "text"), percent)
+    key, n = fresh(docs, "__sid"), fresh(docs, "__n")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # written with their names: a filter over a Python column would work it out once more, in workers of its own
+    named = docs.withColumn(key, set_of("text")).select(*cols, F.col(f"{key}.n").alias(n), F.col(f"{key}.sid").alias(key))
+    named = written(named, "set-names")
+    sets = named.select("doc_id", F.col(n).alias("n_shingles"), F.col(key).alias("sid"), text_bytes(F.col("text")).alias("raw"))
+    found = sets.select("doc_id", "sid").join(classes_of_names(sets, percent, "doc_id"), "sid")
     # one row a class: its smallest id with the name of one of its sets
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")
-    kept = found.filter("sid IS NOT NULL").groupBy("class").agg(first)
-    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.sid").alias("__set"))
-    named = docs.withColumn(key, set_of("text")).withColumn(key, F.col(f"{key}.sid"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    kept = found.groupBy("class").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.sid").alias("__set"))
     with_set = named.filter(F.col(key).isNotNull()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__set")), "left_semi")
     return with_set.dropDuplicates(["doc_id", key]).select(*cols).unionByName(named.filter(F.col(key).isNull()).select(*cols))

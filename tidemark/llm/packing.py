@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, text_bytes, written
+from tidemark.llm.common import fresh, small_table, text_bytes, written
 from tidemark.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -123,8 +123,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "len
         starts.append((length, s, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
     spark = pieces.sparkSession
-    base = spark.createDataFrame(starts, f"`{size}` int, `{salt}` int, `{base_col}` long")
-    planned = spark.createDataFrame(plan(counts, capacity), PLAN)
+    base = small_table(spark, starts, f"`{size}` int, `{salt}` int, `{base_col}` long")
+    planned = small_table(spark, plan(counts, capacity), PLAN)
     runs = planned.select(F.col("len").alias(size), F.struct("first", "count", "per", "sequence", "place").alias("run"))
     runs = runs.groupBy(size).agg(F.sort_array(F.collect_list("run")).alias(slots))
     order = Window.partitionBy(length_col, salt).orderBy(tie)
