@@ -80,3 +80,30 @@ def test_all_eight_families_and_an_empty_snapshot(spark):
     assert got["s1"].features["session.underlying_spread_pct"] == 0.02
     assert got["s2"].missing_families == [n for n in X.FAMILIES if n != "session"]
     assert got["s2"].features == {"session.underlying_price": 100.0, "session.data_quality_penalty": 0.5, "session.is_live": 0.0, "session.contracts": 0.0, "session.strikes": 0.0}
+
+
+def test_lines_of_a_bundle_move_once(spark, tmp_path):
+    """All families start from lines that lie by snapshot, so nothing moves again, however many families read them."""
+    from tidemark.plans import QUERIES, load
+
+    load()
+    lines = spark.sql(
+        "SELECT id AS l_orderkey, id % 7 AS l_partkey, id % 5 AS l_suppkey, CAST(id % 4 AS int) AS l_linenumber, id % 50 + 1D AS l_quantity, 900D + id AS l_extendedprice,"
+        " 0.01D * (id % 9) AS l_discount, 0.01D * (id % 8) AS l_tax, substr('ANR', CAST(id % 3 AS int) + 1, 1) AS l_returnflag, timestamp '1994-01-05' AS l_shipdate FROM range(3000)")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("feature_bundle", "feature_families"):
+            df = QUERIES[name](spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+            assert df.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+
+
+def test_breadth_does_not_depend_on_the_order_of_its_rows(spark):
+    rows = [("s1", s, x, 1) for s, x in zip(C.TOP10_WEIGHTS, (0.1, -0.3, 0.07, 0.013, -0.21, 0.33, 0.0007, -0.11, 0.19, 0.23))]
+    seen = {C.breadth(spark.createDataFrame(rows[k:] + rows[:k], "snapshot_id string, symbol string, move double, seq int").repartition(k + 1), C.TOP10_WEIGHTS).first().top10_pressure for k in range(10)}
+    assert len(seen) == 1
