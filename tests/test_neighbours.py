@@ -44,3 +44,25 @@ def test_few_or_no_rows(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id long, z array<double>")
     assert {(r.id, r.mean_distance) for r in knn_distance(rows, rows, 5, exclude_self=True).collect()} == {(1, 5.0), (2, 5.0)}
     assert knn_distance(rows, rows.filter("id > 5")).count() == 0
+
+
+def test_queries_move_once_however_many_blocks_they_meet(spark):
+    """Points without clusters: every pack meets every block, and neither is copied for it."""
+    from tidemark.operators.forecast import NeighbourIndex
+
+    n, rng = 3_000, np.random.default_rng(3)
+    z = rng.normal(size=(n, 8))
+    z[:900] = z[0]  # more equal rows than a block holds
+    rows = spark.createDataFrame([(k, z[k].tolist()) for k in range(n)], "id long, z array<double>").repartition(4)
+    index = NeighbourIndex(rows, pivots=6, block_rows=200)
+    d = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2))
+    for queries, same in ((rows, False), (rows, True), (None, True)):
+        if same:
+            np.fill_diagonal(d, np.inf)
+        found = index.search(queries, 5, same)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        # packs, the rows of a ring (a number), and the answers; the training rows' own blocks don't move at all
+        assert plan.count("Exchange hashpartitioning") == (1 if queries is None else 3), plan
+        assert "SortMergeJoin" not in plan
+        got = {r.id: r.best for r in found.collect()}
+        assert np.allclose([got[k] for k in range(n)], np.sort(d, axis=1)[:, :5], atol=1e-9)

@@ -9,11 +9,11 @@ from tidemark.session import shared_folder
 BUCKET_ROWS = 250_000  # rows of a bucket, so that what a task sorts is small however many rows there are
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """df written below the cluster's shared folder and read again: rounds don't recompute it, and a lost executor costs only
-    the tasks that read."""
+    the tasks that read. rows_a_file: the most rows of a file, 0 for any number."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

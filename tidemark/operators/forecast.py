@@ -469,6 +469,7 @@ def robust_z(df: DataFrame, scaler: DataFrame, vector: str = "vector", limit: fl
 MOST_PIVOTS = 1_024  # rows that come to the driver and are broadcast
 RINGS = 16  # rings of a cell at most
 QUERY_ROWS = 512  # queries of a pack
+WALK_ROWS = 16_384  # queries that a task holds while the blocks pass: 8 MB of 64 dimensions
 MOST_ROWS = 8_192  # training rows of a block: a pack against one is a matrix of 32 MB
 
 
@@ -479,9 +480,9 @@ def _distances(a, b):
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
 
 
-def _closest(qids, q, tids, t, k: int, exclude_self: bool) -> list:
-    """The k smallest distances of each query row to the rows of a block. The product picks the candidates, differences give
-    their distances, so a distance of 0 is 0."""
+def _closest(qids, q, tids, t, k: int, exclude_self: bool):
+    """The k smallest distances of each query row to the rows of a block, infinite where there are fewer. The product picks the
+    candidates, differences give their distances, so a distance of 0 is 0."""
     import numpy as np
 
     d = _distances(q, t)
@@ -490,18 +491,48 @@ def _closest(qids, q, tids, t, k: int, exclude_self: bool) -> list:
     few = min(d.shape[1], k + 4)
     at = np.argpartition(d, few - 1, axis=1)[:, :few]
     exact = np.sqrt(((q[:, None, :] - t[at]) ** 2).sum(axis=2))
-    exact[np.isinf(np.take_along_axis(d, at, axis=1))] = np.inf
-    return [row[np.isfinite(row)].tolist() for row in np.sort(exact, axis=1)[:, :k]]
+    exact[~np.isfinite(np.take_along_axis(d, at, axis=1))] = np.inf
+    best = np.full((len(q), k), np.inf)
+    best[:, : min(k, few)] = np.sort(exact, axis=1)[:, :k]
+    return best
+
+
+def _closer(best, qids, q, tids, t, k: int, exclude_self: bool):
+    """best with the distances to the rows of a block that are among the k smallest then. Where k are known, only pairs below the
+    last of them are looked at."""
+    import numpy as np
+
+    if np.isfinite(best).all():
+        size = (q * q).sum(1)
+        length = (t * t).sum(1)
+        most = best[:, -1] ** 2 - size + 1e-10 * (1.0 + size + length.max())  # a margin for the rounding of products
+        at, to = np.nonzero(np.hstack([-2.0 * q, np.ones((len(q), 1))]) @ np.hstack([t, length[:, None]]).T <= most[:, None])
+        if exclude_self:
+            other = qids[at] != tids[to]
+            at, to = at[other], to[other]
+        if not len(at):
+            return best
+        if len(at) <= 8 * (k + 4) * len(q):
+            exact = np.sqrt(((q[at] - t[to]) ** 2).sum(axis=1))
+            order = np.lexsort((exact, at))
+            at, exact = at[order], exact[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            near = np.full(best.shape, np.inf)
+            near[at[place < k], place[place < k]] = exact[place < k]
+            return np.sort(np.hstack([best, near]), axis=1)[:, :k]
+    return np.sort(np.hstack([best, _closest(qids, q, tids, t, k, exclude_self)]), axis=1)[:, :k]
 
 
 class NeighbourIndex:
-    """Training rows in blocks of about block_rows, by nearest pivot and by ring of the distance to it.
+    """Training rows in blocks of about block_rows, by nearest pivot and by ring of the distance to it, one file a block below
+    the cluster's shared folder.
 
-    A pack of queries moves once for each block it meets, so blocks grow with the rows (a 64th of them, 512 to MOST_ROWS):
-    what moves stays in proportion to the rows up to half a million, and beyond that is a 16th of what blocks of 512 take.
+    Queries move once, in packs; a task walks its packs past the files of the blocks that the triangle inequality leaves and
+    keeps the k smallest distances so far, so what is moved and written grows with the rows, not with the pairs. A task holds
+    WALK_ROWS queries and one block. Blocks grow with the rows (a 64th of them, 512 to MOST_ROWS).
     Pivots grow with the root of the rows. Each cell is cut in up to RINGS rings at quantiles of the distance, and a ring
     beyond block_rows (repeated rows, crowded cells) in salts, so no block holds more than a few times block_rows. Every
-    ring knows its lowest and highest distance.
+    block knows its lowest and highest distance.
     """
 
     def __init__(self, train: DataFrame, pivots: int | None = None, block_rows: int | None = None):
@@ -513,18 +544,20 @@ class NeighbourIndex:
         count = pivots or max(1, min(MOST_PIVOTS, int(total ** 0.5) // 8))
         picked = train.orderBy(F.xxhash64("id"), "id").limit(count).select("z").collect()
         self.centres = np.array([r.z for r in picked], dtype=float)
-        rows = materialized(self.celled(train), "cells")
+        rows = self.celled(train)  # read again for each count: vectors are written once, in their blocks
         cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)]).alias("cuts"))
         # at most MOST_PIVOTS rows, and RINGS times as many: the plan of every search needs them
         self.cuts = cells.select("cell", "cuts", F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows)).cast("int").alias("rings"))
         known = self.cuts.collect()
         self.cuts = train.sparkSession.createDataFrame(known, self.cuts.schema)
         ringed = self.ringed(rows)
-        self.rings = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect() if known else []
-        self.salts = train.sparkSession.createDataFrame(
-            [(r.cell, r.ring, -(-r.n // block_rows)) for r in self.rings], "cell int, ring int, salts long")
-        salted = ringed.join(F.broadcast(self.salts), ["cell", "ring"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")))
-        self.blocks = _blocks(salted, ["cell", "ring", "salt"], "t_")
+        rings = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).collect() if known else []
+        salts = train.sparkSession.createDataFrame([(r.cell, r.ring, -(-r.n // block_rows)) for r in rings], "cell int, ring int, salts long")
+        salt = F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("salts", F.lit(1)))
+        salted = ringed.join(F.broadcast(salts), ["cell", "ring"], "left").withColumn("salt", salt)
+        packed = _blocks(salted, ["cell", "ring", "salt"], "t_", F.min("d").alias("low"), F.max("d").alias("high"))
+        self.blocks = materialized(packed, "blocks", 1)
+        self.places = self.blocks.select("cell", "ring", "salt", "low", "high", F.col("_metadata.file_path").alias("path")).collect() if known else []
 
     def celled(self, df: DataFrame) -> DataFrame:
         """(id, z, cell, d): nearest pivot and the distance to it."""
@@ -545,84 +578,114 @@ class NeighbourIndex:
 
     def ringed(self, rows: DataFrame) -> DataFrame:
         ring = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("d"))) * F.col("rings") / RINGS).cast("int")
-        return rows.join(F.broadcast(self.cuts), "cell").select("id", "z", "cell", "d", ring.alias("ring"))
+        return rows.join(F.broadcast(self.cuts), "cell", "left").select("id", "z", "cell", "d", F.coalesce(ring, F.lit(0)).alias("ring"))
 
-    def visits(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-        """(q_ids, q_zs, bounds, cell, ring, salt): each block of queries with every block of training rows that can hold one
-        of the k nearest of any of them. A first look at one block of the own ring gives the bounds."""
-        import numpy as np
+    def packs(self, queries: DataFrame | None) -> DataFrame:
+        """(q_ids, q_zs): queries by nearest pivot and ring; the training rows' own blocks for None, which don't move."""
+        if queries is None:
+            return self.blocks.select(F.col("t_ids").alias("q_ids"), F.col("t_zs").alias("q_zs"))
+        rows = self.ringed(self.celled(queries))
+        sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.query_rows).alias("parts"))  # a row a ring
+        part = F.pmod(F.xxhash64("id", F.lit(11)), F.coalesce("parts", F.lit(1)))
+        parted = rows.join(F.broadcast(sizes), ["cell", "ring"], "left").withColumn("part", part)
+        return _blocks(parted, ["cell", "ring", "part"], "q_").select("q_ids", "q_zs")
 
-        dims, centres = self.centres.shape[-1], self.centres
-        cell = np.array([r.cell for r in self.rings], dtype=int)
-        low, high = np.array([r.low for r in self.rings]), np.array([r.high for r in self.rings])
-        names = [{"cell": r.cell, "ring": r.ring} for r in self.rings]
+    def walk(self, k: int, exclude_self: bool):
+        """A function of batches of packs that gives, for each WALK_ROWS queries, (ids, best, looks): the k smallest distances,
+        and which queries met which block. A first look at the block that is nearest to a pack gives bounds."""
+        import numpy as np
 
-        def look(batches):
+        dims, centres, rows = self.centres.shape[-1], self.centres, self.query_rows
+        cell = np.array([r.cell for r in self.places], dtype=int)
+        low, high = np.array([r.low for r in self.places]), np.array([r.high for r in self.places])
+        paths = [r.path for r in self.places]
+
+        def block(j):
+            import pyarrow.parquet as pq
+
+            from tidemark.sources.session_lines import file_system
+
+            system, path = file_system(paths[j])
+            with system.open_input_file(path) as f:
+                t = pq.read_table(f, columns=["t_ids", "t_zs"])
+            ids, zs = (t.column(n).combine_chunks().flatten().to_numpy() for n in ("t_ids", "t_zs"))
+            return ids, zs.reshape(-1, dims)
+
+        def met(group):
+            gaps, first, best, looks = [], [], [], []
+            for _, q in group:
+                to = _distances(q, centres)[:, cell]
+                gap = np.maximum(to - high, low - to) - 1e-6 * (1.0 + to)  # a margin for the rounding of products
+                gaps.append(gap.astype("float32"))
+                first.append(int(gap.mean(axis=0).argmin()))
+                best.append(np.full((len(q), k), np.inf))
+            for look in (True, False):
+                for j in range(len(paths)):
+                    near = [np.flatnonzero(gaps[i][:, j] <= best[i][:, -1]) if (first[i] == j) == look else () for i in range(len(group))]
+                    if not any(len(n) for n in near):
+                        continue
+                    tids, t = block(j)
+                    for i, n in enumerate(near):
+                        if len(n):
+                            qids, q = group[i]
+                            best[i][n] = _closer(best[i][n], qids[n], q[n], tids, t, k, exclude_self)
+                            looks.append((qids[n], j))
+            return np.concatenate([qids for qids, _ in group]), np.concatenate(best), looks
+
+        def run(batches):
+            group, held = [], 0
+            for f in batches:
+                for qids, qz in zip(f["q_ids"], f["q_zs"]):
+                    qids, q = np.asarray(qids), np.asarray(qz, dtype=float).reshape(len(qids), -1)
+                    for i in range(0, len(qids), rows):
+                        group.append((qids[i : i + rows], q[i : i + rows]))
+                        held += len(group[-1][0])
+                        if held >= WALK_ROWS:
+                            yield met(group)
+                            group, held = [], 0
+            if group:
+                yield met(group)
+
+        return run
+
+    def visits(self, queries: DataFrame | None, k: int, exclude_self: bool) -> DataFrame:
+        """(q_ids, cell, ring, salt): which queries of a pack a search compares with which block."""
+        run, places = self.walk(k, exclude_self), [(r.cell, r.ring, r.salt) for r in self.places]
+
+        def looks(batches):
             import pandas as pd
 
-            for f in batches:
-                out = []
-                for qids, qz, tids, tz in zip(f["q_ids"], f["q_zs"], f["t_ids"], f["t_zs"]):
-                    q = np.asarray(qz, dtype=float).reshape(-1, dims)
-                    if tids is None:
-                        bound = np.full(len(q), np.inf)
-                    else:
-                        best = _closest(np.asarray(qids), q, np.asarray(tids), np.asarray(tz, dtype=float).reshape(-1, dims), k, exclude_self)
-                        bound = np.array([b[k - 1] if len(b) >= k else np.inf for b in best])
-                    to = _distances(q, centres)[:, cell]
-                    gap = np.maximum(to - high, low - to) - 1e-6 * (1.0 + to)  # a margin for the rounding of products
-                    near = (gap <= bound[:, None]).any(axis=0)
-                    out.append((qids, qz, bound.tolist(), [names[j] for j in np.flatnonzero(near)]))
-                if out:
-                    yield pd.DataFrame(out, columns=["q_ids", "q_zs", "bounds", "near"])
+            for _, _, seen in run(batches):
+                yield pd.DataFrame([(qids, *places[j]) for qids, j in seen], columns=["q_ids", "cell", "ring", "salt"])
 
-        rows = self.ringed(self.celled(queries))
-        sizes = rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / self.query_rows).alias("parts"))  # a row a ring
-        parted = rows.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")))
-        packs = _blocks(parted, ["cell", "ring", "part"], "q_").join(F.broadcast(self.salts), ["cell", "ring"], "left")
-        first = packs.withColumn("salt", F.pmod("part", "salts")).join(self.blocks, ["cell", "ring", "salt"], "left")
-        found = first.select("q_ids", "q_zs", "t_ids", "t_zs").mapInPandas(
-            look, "q_ids array<long>, q_zs array<double>, bounds array<double>, near array<struct<cell:int,ring:int>>")
-        pairs = found.withColumn("b", F.explode("near")).select("q_ids", "q_zs", "bounds", "b.cell", "b.ring")
-        return pairs.join(F.broadcast(self.salts), ["cell", "ring"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-
-    def search(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-        """(id, best): the k smallest distances of each query, ascending; fewer where there are fewer rows."""
-        dims = self.centres.shape[-1]
+        return self.packs(queries).mapInPandas(looks, "q_ids array<long>, cell int, ring int, salt long")
+
+    def search(self, queries: DataFrame | None, k: int, exclude_self: bool) -> DataFrame:
+        """(id, best): the k smallest distances of each query, ascending; fewer where there are fewer rows. None: the training
+        rows are the queries."""
+        run = self.walk(k, exclude_self)
 
         def compare(batches):
             import numpy as np
             import pandas as pd
 
-            for f in batches:
-                ids, best = [], []
-                for qids, qz, bounds, tids, tz in zip(f["q_ids"], f["q_zs"], f["bounds"], f["t_ids"], f["t_zs"]):
-                    qids = np.asarray(qids)
-                    near = _closest(qids, np.asarray(qz, dtype=float).reshape(-1, dims), np.asarray(tids), np.asarray(tz, dtype=float).reshape(-1, dims), k, exclude_self)
-                    for i, d, bound in zip(qids, near, bounds):
-                        ids.append(int(i))
-                        best.append([x for x in d if x <= bound + 1e-9])
-                if ids:
-                    yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "best": best})
-
-        pairs = self.visits(queries, k, exclude_self).join(self.blocks, ["cell", "ring", "salt"])
-        found = pairs.select("q_ids", "q_zs", "bounds", "t_ids", "t_zs").mapInPandas(compare, "id bigint, best array<double>").filter(F.size("best") > 0)
-        # the k smallest of a running list, so that a query near many blocks holds no long one
-        rows = found.select("id", F.posexplode("best").alias("_p", "d"))
-        ranked_rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).filter(F.col("_r") <= k)
-        return ranked_rows.groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("best"))
-
-
-def _blocks(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    """ids and one flat list of components for each block."""
-    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "z")).alias("_rows"))
+            for ids, best, _ in run(batches):
+                yield pd.DataFrame({"id": ids, "best": [row[np.isfinite(row)] for row in best]})
+
+        found = self.packs(queries).mapInPandas(compare, "id bigint, best array<double>").filter(F.size("best") > 0)
+        return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def _blocks(rows: DataFrame, keys: Sequence[str], prefix: str, *facts: Column) -> DataFrame:
+    """ids and one flat list of components for each block, and further facts of its rows."""
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "z")).alias("_rows"), *facts)
     return packed.select(
-        *keys, F.transform("_rows", lambda r: r["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("_rows", lambda r: r["z"])).alias(f"{prefix}zs"))
+        *[c for c in packed.columns if c != "_rows"], F.transform("_rows", lambda r: r["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("_rows", lambda r: r["z"])).alias(f"{prefix}zs"))
 
 
 def knn_distance(queries: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None, block_rows: int | None = None) -> DataFrame:
-    """Mean and nearest distance of (id, z) rows to the k closest training rows, exact. Blocks of queries meet the blocks of
-    training rows that the triangle inequality can't rule out, one matrix product a pair; all joins are equi-joins.
+    """Mean and nearest distance of (id, z) rows to the k closest training rows, exact. Packs of queries meet the blocks of
+    training rows that the triangle inequality can't rule out, one matrix product a pair; only queries move.
     Queries without any training row to compare with are left out; an id stands for one row."""
     return mean_nearest(NeighbourIndex(train, pivots, block_rows).search(queries, k, exclude_self))
 
@@ -643,7 +706,7 @@ def ood_score(train: DataFrame, queries: DataFrame, dims: int, k: int = 5, limit
     tz, qz = robust_z(train, scaler, limit=limit), robust_z(queries, scaler, limit=limit)
     index = NeighbourIndex(tz.select("id", "z"))
     # a search is the costly part and its result three numbers a row: what follows reads them several times
-    own = materialized(mean_nearest(index.search(tz, k, True)), "ood-own").select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
+    own = materialized(mean_nearest(index.search(None, k, True)), "ood-own").select(F.lit(None).cast("bigint").alias("id"), F.col("mean_distance").alias("d"), F.lit(1).alias("t"))
     theirs = materialized(mean_nearest(index.search(qz, k, False)), "ood-theirs")
     both = own.unionByName(theirs.select("id", F.col("mean_distance").alias("d"), F.lit(0).alias("t")))
     # share of training distances <= own: counts per distance value, then a running sum over ranges of values
